@@ -35,8 +35,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     whole = W.partitionBy()
     ranked = ranked.withColumn("total", F.sum("source_size").over(whole).cast("double"))
     ranked = ranked.withColumn("level", (F.col("total") - F.col("capped_before")) / F.col("weight_left"))
-    # the first source, by ratio, that the level leaves below its cap sets the level
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole)
+    # while sources are above their caps the level rises with each that is capped, then it falls: the largest is the one
+    level = F.max("level").over(whole)
     ranked = ranked.withColumn("target", F.least("cap", level * F.col("weight")))
     return ranked.select("source", "source_size", "target", ((F.col("rank") % 5 - 2) / 4).alias("slope"))
 
