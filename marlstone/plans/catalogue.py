@@ -1,6 +1,534 @@
-"""Registered queries and the SQL that each must equal."""
+"""Registered queries over the given tables, and for each the SQL that it must equal."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.functions import expr as X
+from marlstone.functions.text import html_to_text
+from marlstone.operators import boilerplate, resolve, validation
+from marlstone.operators.latest import latest_per_key
+from marlstone.plans import bindings as B
+from marlstone.plans import composition as C
+from marlstone.plans import read_models as R
+from marlstone.sources import ledger, payloads
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Times at which the questions are asked: within the history of the given tables.
+AS_OF, AS_OF_SQL = "2001-06-30", "timestamp '2001-06-30'"
+
+#: The bindings in SQL.
+BIND = """
+with runs as (select o_orderkey as id, o_custkey as company_id, o_orderdate as started_at, case o_orderstatus when 'F' then 'success' when 'P' then 'failed' else 'in_progress' end as status from orders),
+snaps as (select l_orderkey as fetch_run_id, o_custkey * 4294967296 + l_partkey as job_posting_id, o_custkey as company_id, l_partkey as part_id, o_orderdate as run_at, l_shipdate as fetched_at, p_name as title,
+  case p_size % 4 when 0 then 'Remote, ' || p_name when 1 then 'hybrid ' || p_name when 2 then 'On-site ' || p_name else p_name end as location_text, l_returnflag as flag, p_size,
+  l_linenumber as line, l_suppkey as supplier, l_quantity as quantity, l_extendedprice as price, l_discount as discount, l_tax as tax
+  from lineitem join orders on l_orderkey = o_orderkey left join part on l_partkey = p_partkey),
+postings as (select job_posting_id as id, company_id, part_id, min(run_at) as first_seen_at from snaps group by all),
+latest_run as (select id as fetch_run_id, company_id, started_at from (select *, row_number() over (partition by company_id order by started_at desc, id desc) as rn from runs where status = 'success') where rn = 1),
+opened as (select distinct s.job_posting_id, s.fetch_run_id, s.company_id, s.part_id from snaps s join latest_run l on s.fetch_run_id = l.fetch_run_id and s.company_id = l.company_id),
+current_class as (select event_id as id, user_id as part_id, ts as classified_at, event_type as seniority from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1),
+terms as (
+  select event_id as classification_id, 'role' as term_kind, p_brand as name from events join part on user_id = p_partkey union all
+  select event_id, 'specialization', p_type from events join part on user_id = p_partkey union all
+  select distinct event_id, 'skill', unnest(string_split(p_name, ' ')) from events join part on user_id = p_partkey union all
+  select event_id, 'function', r_name from events join part on user_id = p_partkey join region on p_size % 5 = r_regionkey),
+display as (select o.job_posting_id, o.company_id, c_name as company_name, o.fetch_run_id, l.started_at as run_started_at, s.fetched_at, p.first_seen_at, s.title, s.location_text,
+  case when flag = 'A' then 'onsite' when flag = 'R' then 'remote' when p_size % 4 = 1 then 'hybrid' when p_size % 4 = 2 then 'onsite' end as workplace_type,
+  case when flag = 'A' then 'ats' when flag = 'R' then 'raw_data' when p_size % 4 in (1, 2) then 'location_text' end as workplace_source,
+  k.id as classification_id, k.seniority, k.classified_at
+  from opened o join latest_run l on o.fetch_run_id = l.fetch_run_id
+  join (select *, row_number() over (partition by job_posting_id, fetch_run_id order by fetched_at desc, line desc, supplier desc, quantity desc, price desc, discount desc, tax desc, flag desc) as rn from snaps) s on s.job_posting_id = o.job_posting_id and s.fetch_run_id = o.fetch_run_id and s.rn = 1
+  join postings p on p.id = o.job_posting_id join customer on c_custkey = o.company_id left join current_class k on k.part_id = o.part_id)
+"""
+_SLUG = "regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g')"
+
+
+def query(sql: str | None = None):
+    """Registers a query, its timestamps without zone so that both sides compare, and its SQL."""
+
+    def add(fn):
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = fn(spark, sf_dir)
+            return df.select(*(F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes))
+
+        QUERIES[fn.__name__] = run
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return run
+
+    return add
+
+
+def _as_of():
+    return F.lit(AS_OF).cast("timestamp")
+
+
+def _display(spark, sf_dir):
+    t = B.bind(spark, sf_dir)
+    return R.open_display(t.runs, t.snapshots, t.postings, t.companies, t.classifications, B.SNAPSHOT_ORDER, "part_id")
+
+
+# --- runs, openness, display ---
+
+
+@query(BIND + "select company_id, count(*) as n_open from opened group by company_id")
+def open_count_per_company(spark, sf_dir):
+    t = B.bind(spark, sf_dir)
+    opened = R.open_postings(t.runs, t.snapshots, t.postings)
+    return opened.join(t.postings.select(F.col("id").alias("job_posting_id"), "company_id"), "job_posting_id").groupBy("company_id").agg(F.count(F.lit(1)).alias("n_open"))
+
+
+@query(BIND + "select fetch_run_id, company_id, started_at from latest_run")
+def latest_success_run(spark, sf_dir):
+    return R.latest_successful_runs(B.runs(spark, sf_dir))
+
+
+@query(BIND + "select id, company_id, started_at, status from (select *, row_number() over (partition by company_id order by started_at desc, id desc) as rn from runs) where rn = 1")
+def latest_any_run(spark, sf_dir):
+    return R.latest_runs(B.runs(spark, sf_dir))
+
+
+@query(BIND + "select job_posting_id, fetch_run_id from opened")
+def open_postings(spark, sf_dir):
+    t = B.bind(spark, sf_dir)
+    return R.open_postings(t.runs, t.snapshots, t.postings)
+
+
+@query(BIND + "select * from display")
+def open_display(spark, sf_dir):
+    return _display(spark, sf_dir)
+
+
+@query(BIND + "select * from display order by run_started_at desc, job_posting_id desc limit 500")
+def open_page(spark, sf_dir):
+    return R.open_page(_display(spark, sf_dir))
+
+
+@query(BIND + f"select distinct job_posting_id, term_kind, {_SLUG} as slug, name from display join terms using (classification_id)")
+def open_taxonomy(spark, sf_dir):
+    return R.open_taxonomy(_display(spark, sf_dir), B.terms(spark, sf_dir))
+
+
+@query(BIND + "select id, part_id, classified_at, seniority from current_class")
+def current_classification(spark, sf_dir):
+    return R.current_classifications(B.classifications(spark, sf_dir), "part_id")
+
+
+@query(BIND + "select fetch_run_id, job_posting_id, fetched_at, line, supplier from (select *, row_number() over (partition by job_posting_id, fetch_run_id order by fetched_at desc, line desc, supplier desc, quantity desc, price desc, discount desc, tax desc, flag desc) as rn from snaps) where rn = 1")
+def current_in_run(spark, sf_dir):
+    s = B.snapshots(spark, sf_dir).select("fetch_run_id", "job_posting_id", *B.SNAPSHOT_ORDER)
+    return latest_per_key(s, ["fetch_run_id", "job_posting_id"], list(B.SNAPSHOT_ORDER)).select("fetch_run_id", "job_posting_id", "fetched_at", "line", "supplier")
+
+
+_HEALTH = BIND + f""", health as (select
+  count(*) filter (started_at > {AS_OF_SQL} - interval 7 day) as runs_started, count(*) filter (started_at > {AS_OF_SQL} - interval 7 day and status = 'success') as runs_succeeded,
+  count(*) filter (started_at > {AS_OF_SQL} - interval 7 day and status = 'failed') as runs_failed, min(started_at) as first_run_at, max(started_at) as last_run_at,
+  (select count(*) from snaps) as snapshots_harvested, (select count(*) from postings) as postings_tracked, (select count(*) from opened) as postings_open,
+  (select count(distinct name) from terms where term_kind = 'skill') as skills_seen, (select count(distinct user_id) from events) as postings_classified from runs)
+"""
+
+
+def _health(spark, sf_dir):
+    t = B.bind(spark, sf_dir)
+    skills = t.terms.where("term_kind = 'skill'").select(F.col("name").alias("skill"))
+    return R.fetch_health(t.runs, t.snapshots, t.postings, t.classifications.withColumnRenamed("part_id", "job_posting_id"), skills, _as_of())
+
+
+@query(_HEALTH + "select * from health")
+def fetch_health(spark, sf_dir):
+    return _health(spark, sf_dir)
+
+
+@query(_HEALTH + "select round(postings_classified / postings_tracked, 6) as classified_share, round(postings_open / postings_tracked, 6) as open_share, round(runs_started / 7, 6) as runs_per_day, round(coalesce(runs_failed / nullif(runs_failed + runs_succeeded, 0), 0), 6) as error_rate from health")
+def coverage_rates(spark, sf_dir):
+    c = R.coverage(_health(spark, sf_dir))
+    return c.select(*(F.round(x, 6).alias(x) for x in c.columns))
+
+
+@query("""
+select event_id, t as workplace_type, case when t is null then null when event_type in ('signup', 'purchase') then 'ats' when k in (0, 1, 2, 3) then 'raw_data' else 'location_text' end as workplace_source from (
+  select event_id, event_type, k, case event_type when 'signup' then 'remote' when 'purchase' then 'hybrid' else
+    case when k in (0, 1) then 'remote' when k in (2, 3) then 'onsite' when p = 1 then 'hybrid' when p = 0 and k <> 4 then 'remote' when p = 3 then 'onsite' end end as t
+  from (select event_id, event_type, cast(json_extract_string(props, '$.k') as int) % 6 as k, user_id % 4 as p from events))
+""")
+def workplace_tiers(spark, sf_dir):
+    raw = ('{"telecommuting": true}', '{"metadata": [{"name": "Remote", "value": true}]}', '{"metadata": [{"name": "Location Type", "value": ["On-site"]}, {"name": "Remote", "value": false}]}', '{"metadata": [{"name": "Job Posting Location", "value": ["Berlin HQ", "x"]}]}', '{"telecommuting": false}', '{"metadata": null}')
+    places = ("Remote - US", "  Hybrid  (Paris)", "Remote-friendly office", "On site")
+    e = B.read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int") % 6)
+    pick = lambda values, i: F.element_at(F.array(*(F.lit(v) for v in values)), i.cast("int") + 1)
+    reported = F.when(F.col("event_type") == "signup", "remote").when(F.col("event_type") == "purchase", "hybrid")
+    return e.select("event_id", R.workplace(reported, pick(raw, F.col("k")), pick(places, F.col("user_id") % 4)).alias("w")).select("event_id", "w.*")
+
+
+@query(BIND + "select job_posting_id, description_text from (select job_posting_id, case when flag = 'N' then null else title end as description_text, row_number() over (partition by job_posting_id order by fetched_at desc, line desc, supplier desc, quantity desc, price desc, discount desc, tax desc, flag desc) as rn from snaps) where rn = 1 and description_text is not null")
+def latest_text_per_group(spark, sf_dir):
+    s = B.snapshots(spark, sf_dir).withColumn("description_text", F.when(F.col("flag") != "N", F.col("title")))
+    return R.latest_descriptions(s, B.SNAPSHOT_ORDER)
+
+
+# --- selection ---
+
+_SELECT = BIND + """, texts as (select job_posting_id, company_id, title, location_text from (select *, row_number() over (partition by job_posting_id order by fetched_at desc, line desc, supplier desc, quantity desc, price desc, discount desc, tax desc, flag desc) as rn from snaps) where rn = 1),
+chosen as (select job_posting_id, c_name as company_name, coalesce(title, '') as title, location_text as description_text, first_seen_at, part_id from postings p join texts t on p.id = t.job_posting_id join customer on c_custkey = p.company_id)
+"""
+
+
+def _selected(spark, sf_dir, forced: bool, **kwargs):
+    t = B.bind(spark, sf_dir)
+    done = None if forced else t.postings.join(t.classifications.select("part_id").distinct(), "part_id", "left_semi").select(F.col("id").alias("job_posting_id"))
+    return R.selection(t.postings, t.snapshots.withColumn("description_text", F.col("location_text")), t.companies, done, order=B.SNAPSHOT_ORDER, **kwargs)
+
+
+@query(_SELECT + "select * exclude (part_id) from chosen where (title ilike '%ring%' or description_text ilike '%ring%') and part_id not in (select user_id from events) order by first_seen_at, job_posting_id limit 100")
+def select_unclassified(spark, sf_dir):
+    return _selected(spark, sf_dir, False, name_like="ring", n=100)
+
+
+@query(_SELECT + "select * exclude (part_id) from chosen order by first_seen_at desc, job_posting_id limit 20")
+def select_forced(spark, sf_dir):
+    return _selected(spark, sf_dir, True, newest_first=True, n=20)
+
+
+@query(BIND + "select distinct id as job_posting_id from postings where part_id in (select user_id from events)")
+def already_classified(spark, sf_dir):
+    t = B.bind(spark, sf_dir)
+    return t.postings.join(t.classifications.select("part_id").distinct(), "part_id", "left_semi").select(F.col("id").alias("job_posting_id")).distinct()
+
+
+# --- entity resolution ---
+
+_TRIGRAMS = """trigrams as (select which, key, name, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) as g from names),
+scored as (select a.key as input_index, b.key as id, cast(cast(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) as float) as double) as score from trigrams a, trigrams b where a.which = 'a' and b.which = 'b' and len(a.g) > 0 and len(b.g) > 0)
+"""
+
+
+def _names(spark, sf_dir):
+    s = B.read(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("input_index"), F.concat(F.lit("CUSTOMER # "), F.substring("s_name", 10, 9)).alias("name"))
+
+
+@query("select s_suppkey as input_index, c_custkey as id from supplier join customer on 'customer' || substring(s_name, 10, 9) = lower(regexp_replace(c_name, '[^\\p{L}\\p{N}]', '', 'g'))")
+def norm_name_match(spark, sf_dir):
+    return resolve.name_matches(_names(spark, sf_dir), B.companies(spark, sf_dir))
+
+
+@query("""
+with h as (select page_id, lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?(?:www\\.)?([^/:?#]+)', 1)) as host from pages)
+select p.page_id as input_index, min(c.page_id) as id from h p join h c on p.host = c.host where p.host <> '' group by p.page_id
+""")
+def url_host_match(spark, sf_dir):
+    pages = B.read(spark, sf_dir, "pages")
+    known = pages.where(X.url_host(F.col("url")).isNotNull()).groupBy(X.url_host(F.col("url")).alias("h")).agg(F.min("page_id").alias("id"), F.first("url").alias("careers_page_url"))
+    return resolve.host_matches(pages.select(F.col("page_id").alias("input_index"), F.col("url").alias("careers_url")), known)
+
+
+@query("with names as (select 'a' as which, page_id as key, substring(regexp_extract(html, '<title>([^<]*)', 1), 1, 40) as name from pages union all select 'b', item_id, substring(text, 1, 40) from benchmark), " + _TRIGRAMS + "select input_index, id, round(score, 6) as score from scored where score >= cast(cast(0.4 as float) as double)")
+def fuzzy_match(spark, sf_dir):
+    cand = B.read(spark, sf_dir, "pages").select(F.col("page_id").alias("input_index"), F.substring(F.regexp_extract("html", "<title>([^<]*)", 1), 1, 40).alias("name"))
+    known = B.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 40).alias("name"))
+    return resolve.fuzzy_matches(cand, known).withColumn("score", F.round("score", 6))
+
+
+@query(BIND + f""", last as (select company_id, max(fetched_at) as seen from snaps group by 1),
+cand as (select s_suppkey as i, case s_suppkey % 5 when 0 then 'T' || s_suppkey when 1 then 'CUSTOMER # ' || substring(s_name, 10, 9) when 2 then 'Host ' || s_suppkey when 3 then 'Custmer ' || substring(s_name, 10, 9) else ' ' end as n from supplier),
+names as (select 'a' as which, i as key, n as name from cand where i % 5 in (0, 2, 3) union all select 'b', c_custkey, c_name from customer), {_TRIGRAMS},
+m as (
+  select i, c_custkey as id, 4 as p, 1.0 as score from cand join customer on i = c_custkey where i % 5 = 0 union all
+  select i, c_custkey, 2, 1.0 from cand join customer on 'customer' || substring(n, 12) = lower(regexp_replace(c_name, '[^a-zA-Z0-9]', '', 'g')) where i % 5 = 1 union all
+  select i, c_custkey, 3, 1.0 from cand join customer on i = c_custkey where i % 5 = 2 union all
+  select input_index, id, 1, score from scored where input_index % 5 = 3 and score >= cast(cast(0.4 as float) as double)),
+best as (select i, count(*) as match_count, max(p) as p, first(id order by p desc, score desc, id) as id from m group by i)
+select cand.i as input_index, case when i % 5 = 4 then 'invalid' when p = 4 and coalesce(last.seen >= {AS_OF_SQL} - interval 30 day, false) then 'duplicate' when p is not null then 'stale' else 'new' end as verdict,
+  case coalesce(p, 0) when 4 then 'token' when 3 then 'domain' when 2 then 'name_only' when 1 then 'fuzzy_name' else 'none' end as match_kind, coalesce(match_count, 0) as match_count, id as matched_id
+from cand left join best using (i) left join last on last.company_id = best.id
+""")
+def dedup_verdict(spark, sf_dir):
+    i, number = F.col("s_suppkey"), F.substring("s_name", 10, 9)
+    name = F.when(i % 5 == 0, F.concat(F.lit("T"), i)).when(i % 5 == 1, F.concat(F.lit("CUSTOMER # "), number)).when(i % 5 == 2, F.concat(F.lit("Host "), i)).when(i % 5 == 3, F.concat(F.lit("Custmer "), number)).otherwise(F.lit(" "))
+    url = F.when(i % 5 == 2, F.concat(F.lit("HTTP://me@www.C"), i, F.lit(".example.com:80/x")))
+    cand = B.read(spark, sf_dir, "supplier").select(i.alias("input_index"), name.alias("name"), F.when(i % 5 == 0, "greenhouse").alias("ats"), F.concat(F.lit("c"), i).alias("board_token"), url.alias("careers_url"))
+    known = B.companies(spark, sf_dir).select("id", "name", F.lit("greenhouse").alias("ats"), F.concat(F.lit("c"), "id").alias("board_token"), F.concat(F.lit("https://c"), "id", F.lit(".example.com/jobs")).alias("careers_page_url"))
+    return resolve.verdicts(cand, resolve.recent_companies(known, B.snapshots(spark, sf_dir), _as_of()))
+
+
+@query(f"""
+with r as (select o_orderkey as id, o_custkey, o_orderdate as seen, o_orderstatus as s from orders),
+m as (select c_custkey as i, false as by_host, seen, id, s from customer join r on c_custkey = o_custkey where s <> 'O' union all select c_custkey, true, seen, id, s from customer join r on c_custkey = o_custkey where s = 'O')
+select i as input_index, 'Customer #' || lpad(cast(i as varchar), 9, '0') as name, case s when 'P' then 'no_careers' else 'unsupported_ats' end as reason, seen as last_checked_at, seen < {AS_OF_SQL} - interval 90 day as stale
+from (select *, row_number() over (partition by i order by by_host desc, seen desc, id desc) as rn from m) where rn = 1
+""")
+def known_unsupported(spark, sf_dir):
+    """Registry rows from orders: those of status O are found by host only, the others by name."""
+    o = B.read(spark, sf_dir, "orders")
+    number = F.lpad(F.col("o_custkey").cast("string"), 9, "0")
+    by_host = F.col("o_orderstatus") == "O"
+    registry = o.select(F.col("o_orderkey").alias("id"), F.concat(F.when(by_host, "Other ").otherwise("Customer #"), number).alias("name"), F.when(by_host, F.concat(F.lit("https://www.h"), F.col("o_custkey"), F.lit(".example.com"))).alias("url"), F.when(F.col("o_orderstatus") == "P", "no_careers").otherwise("unsupported_ats").alias("reason"), F.col("o_orderdate").cast("timestamp").alias("last_checked_at"))
+    cand = B.companies(spark, sf_dir).select(F.col("id").alias("input_index"), "name", F.concat(F.lit("http://h"), "id", F.lit(".example.com/careers")).alias("careers_url"))
+    out = resolve.known_unsupported(cand, registry, _as_of())
+    return out.withColumn("name", F.regexp_replace("name", "^Other ", "Customer #"))
+
+
+@query("""
+select page_id as input_index, case page_id % 4 when 0 then 'detected' when 1 then 'unsupported-ats' when 2 then 'ambiguous' else 'invalid-input' end as status,
+  case page_id % 4 when 0 then 'greenhouse' end as ats, case page_id % 4 when 0 then 'acme' || page_id end as board_token from pages
+""")
+def detect_evidence(spark, sf_dir):
+    i = F.col("page_id")
+    mine = F.concat(F.lit("https://boards.greenhouse.io/ACME"), i, F.lit("/jobs/1"))
+    other = F.when(i % 4 == 0, F.concat(F.lit("http://job-boards.greenhouse.io/acme"), i)).when(i % 4 == 1, F.col("url")).when(i % 4 == 2, F.lit("https://jobs.lever.co/Acme")).otherwise(F.lit("ftp://x/%zz"))
+    first = F.when(i % 4 == 1, F.lit("https://example.com")).otherwise(mine)
+    return resolve.detect_evidence(B.read(spark, sf_dir, "pages").select(i.alias("input_index"), F.explode(F.array(first, other)).alias("url")))
+
+
+@query("""
+select s_suppkey as record_id, case s_suppkey % 7 when 0 then 'verified' when 1 then 'duplicate' when 2 then 'stale-needs-merge' when 3 then 'no-careers' when 4 then 'unsupported-ats' when 5 then 'invalid-token' else 'verified' end as next_status from supplier
+""")
+def onboarding_state(spark, sf_dir):
+    k = F.col("s_suppkey") % 7
+    rows = B.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_id"), F.when(k == 0, "verified").otherwise("pending").alias("status"), F.when(k <= 1, "duplicate").when(k == 2, "stale").otherwise("new").alias("verdict"), (k != 3).alias("careers_ok"), F.when(k == 4, "ambiguous").otherwise("detected").alias("detection"), (k != 5).alias("board_ok"))
+    return resolve.onboarding_state(rows).select("record_id", "next_status")
+
+
+# --- scalar functions ---
+
+
+@query("""
+select event_id, case k when 0 then date '2024-02-10' when 1 then date '2024-02-09' when 2 then date '2024-02-10' - cast(n as int) when 4 then date '2024-01-05' end::date::varchar as day, k <> 5 as known from (select event_id, user_id % 6 as k, cast(json_extract_string(props, '$.k') as int) as n from events)
+""")
+def posted_on_parse(spark, sf_dir):
+    k, n = F.col("user_id") % 6, F.get_json_object("props", "$.k")
+    text = F.when(k == 0, " Posted Today ").when(k == 1, "posted yesterday").when(k == 2, F.concat(F.lit("Posted "), n, F.lit(" Days Ago"))).when(k == 3, "Posted 30+ Days Ago").when(k == 4, "2024-01-05").otherwise("soon")
+    day, known = X.posted_on(text, F.lit("2024-02-10").cast("date"))
+    return B.read(spark, sf_dir, "events").select("event_id", day.cast("date").cast("string").alias("day"), known.alias("known"))
+
+
+@query("""
+select event_id, case k when 0 then 'greenhouse' when 1 then 'lever' when 2 then 'ashby' when 3 then 'workday' when 4 then 'workable' when 5 then 'gem' end as ats,
+  case when k in (0, 2, 4) then 'tok' || user_id when k in (1, 5) then 'ToK' || user_id when k = 3 then 'acme.wd5.myworkdayjobs.com/ToK' || user_id end as board_token from (select *, user_id % 7 as k from events)
+""")
+def detect_url(spark, sf_dir):
+    hosts = ("https://boards.greenhouse.io/", "http://jobs.lever.co/", "https://JOBS.ashbyhq.com/", "https://Acme.wd5.myworkdayjobs.com/en-US/", "https://apply.workable.com/", "https://jobs.gem.com/", "https://example.com/")
+    url = F.concat(F.element_at(F.array(*(F.lit(h) for h in hosts)), (F.col("user_id") % 7 + 1).cast("int")), F.lit("ToK"), F.col("user_id"), F.lit("?x=1#y"))
+    return B.read(spark, sf_dir, "events").select("event_id", X.detect_board(url).alias("d")).select("event_id", "d.ats", "d.board_token")
+
+
+@query("select s_suppkey, case s_suppkey % 3 when 0 then lower(s_name) when 1 then 'host.example/' || s_name else s_name end as token, s_suppkey % 3 = 2 as valid from supplier")
+def token_normalize(spark, sf_dir):
+    k = F.col("s_suppkey") % 3
+    ats = F.when(k == 0, "workable").when(k == 1, "workday").otherwise("lever")
+    token = F.when(k == 1, F.concat(F.lit("HOST.example/"), "s_name")).otherwise(F.col("s_name"))
+    return B.read(spark, sf_dir, "supplier").select("s_suppkey", X.normalize_board_token(ats, token).alias("token"), X.token_valid(ats, X.normalize_board_token(ats, token)).alias("valid"))
+
+
+@query("""
+select o_orderkey, case when n >= 999950 then regexp_replace(printf('%.1f', n / 1000000), '\\.0$', '') || 'M' when n >= 1000 then regexp_replace(printf('%.1f', n / 1000), '\\.0$', '') || 'K' else cast(n as varchar) end as compact,
+  case when s > 0 and w < 1 then '<1%' when s < 1 and w > 99 then '99%' else w || '%' end as percent from (select o_orderkey, cast(floor(o_totalprice) as bigint) * 10 as n, o_custkey / 1500 as s, cast(round(o_custkey / 1500 * 100) as int) as w from orders where o_custkey <= 1500)
+""")
+def display_formats(spark, sf_dir):
+    o = B.read(spark, sf_dir, "orders").where("o_custkey <= 1500")
+    return o.select("o_orderkey", X.compact_count(F.floor("o_totalprice").cast("long") * 10).alias("compact"), X.percent_text(F.col("o_custkey") / 1500).alias("percent"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    return B.read(spark, sf_dir, "pages").select("page_id", html_to_text("html").alias("plain"))
+
+
+@query()
+def boilerplate_strip(spark, sf_dir):
+    d = B.read(spark, sf_dir, "documents")
+    return boilerplate.strip_boilerplate(d.select(F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("company_id"), F.col("doc_id").alias("job_posting_id"), F.col("text").alias("description_text")))
+
+
+# --- sources and writes ---
+
+
+@query("""
+select o_custkey as company_id, cast(o_orderkey as varchar) as source_id, 'https://jobs.example/' || o_orderkey as source_url, o_orderdate as posted_at,
+  case o_orderstatus when 'F' then 'full_time' when 'P' then 'contract' end as employment_type, case o_orderstatus when 'F' then 'remote' end as workplace_type,
+  case when o_orderkey % 3 = 0 then cast(floor(o_totalprice) as bigint) end as compensation_min, case when o_orderkey % 3 = 0 then 'EUR' end as compensation_currency, case when o_orderkey % 3 = 0 then 'year' end as compensation_period, len(x) as n_locations
+from (select *, case o_orderkey % 4 when 0 then [] when 1 then ['A', 'B'] when 2 then ['Here'] end as x from orders)
+where o_custkey not in (select o_custkey from orders where o_totalprice < 1500)
+""")
+def lever_boards(spark, sf_dir):
+    """Orders as captured boards, one for each customer; one job without an address rejects its whole board."""
+    k, o = F.col("o_orderkey"), B.read(spark, sf_dir, "orders")
+    job = F.struct(
+        k.cast("string").alias("id"), F.col("o_orderpriority").alias("text"), F.when(F.col("o_totalprice") >= 1500, F.concat(F.lit("https://jobs.example/"), k)).alias("hostedUrl"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("createdAt"),
+        F.when(F.col("o_orderstatus") == "F", "REMOTE").otherwise("unspecified").alias("workplaceType"),
+        F.struct(F.when(F.col("o_orderstatus") == "F", "Full-Time").when(F.col("o_orderstatus") == "P", "Fixed term").otherwise("odd").alias("commitment"), F.when(k % 4 == 2, "Here").alias("location"), F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(F.lit("A"), F.lit("B"))).alias("allLocations")).alias("categories"),
+        F.struct(F.col("o_totalprice").alias("min"), (F.col("o_totalprice") + 1).alias("max"), F.lit(" eur ").alias("currency"), F.when(k % 3 == 0, "per-year-salary").otherwise("per-decade").alias("interval")).alias("salaryRange"),
+    )
+    body = o.groupBy(F.col("o_custkey").alias("company_id")).agg(F.to_json(F.collect_list(job)).alias("body"))
+    pages = body.select("company_id", F.lit("lever").alias("ats"), F.lit("t").alias("board_token"), F.lit(0).alias("page_no"), F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "body")
+    out = payloads.accepted(pages)
+    return out.select("company_id", "source_id", "source_url", "posted_at", "employment_type", "workplace_type", "compensation_min", "compensation_currency", "compensation_period", F.size("location_texts").cast("long").alias("n_locations")).withColumn("n_locations", F.when(F.col("n_locations") >= 0, F.col("n_locations")))
+
+
+@query("select o_orderkey as run_id, o_custkey as company_id, o_orderdate as started_at, case o_orderstatus when 'F' then 'success' when 'P' then 'failed' else 'in_progress' end as status, case o_orderstatus when 'F' then 7 end as postings_count from orders")
+def run_ledger(spark, sf_dir):
+    o = B.runs(spark, sf_dir)
+    start = o.select(F.col("id").alias("run_id"), "company_id", F.lit(0).alias("seq"), F.col("started_at").alias("at"), F.lit("in_progress").alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("int").alias("postings_count"))
+    end = o.where("status <> 'in_progress'").select(F.col("id").alias("run_id"), "company_id", F.lit(1).alias("seq"), F.col("started_at").alias("at"), "status", F.when(F.col("status") == "failed", "timeout").alias("error_message"), F.when(F.col("status") == "success", 7).alias("postings_count"))
+    return ledger.fold_runs(start.unionByName(end)).select("run_id", "company_id", "started_at", "status", "postings_count")
+
+
+@query(BIND + """, old as (select company_id, cast(part_id as varchar) as source_url, min(run_at) as first_seen_at, 'old' as source_id from snaps where run_at < timestamp '1998-01-01' group by all),
+seen as (select company_id, cast(part_id as varchar) as source_url, min(run_at) as seen_at, first('r' || fetch_run_id order by run_at desc, 'r' || fetch_run_id desc) as source_id from snaps where run_at >= timestamp '1998-01-01' group by all)
+select coalesce(o.company_id, s.company_id) as company_id, coalesce(o.source_url, s.source_url) as source_url, coalesce(s.source_id, o.source_id) as source_id, coalesce(o.first_seen_at, s.seen_at) as first_seen_at, o.company_id is not null as known from old o full join seen s on o.company_id = s.company_id and o.source_url = s.source_url
+""")
+def posting_identity_upsert(spark, sf_dir):
+    s = B.snapshots(spark, sf_dir).select("company_id", F.col("part_id").cast("string").alias("source_url"), F.concat(F.lit("r"), "fetch_run_id").alias("source_id"), F.col("run_at").alias("fetched_at"), "job_posting_id")
+    cut = F.lit("1998-01-01").cast("timestamp")
+    old = s.where(F.col("fetched_at") < cut).groupBy("company_id", "source_url").agg(F.min("fetched_at").alias("first_seen_at"), F.min("job_posting_id").alias("id")).withColumn("source_id", F.lit("old"))
+    out = ledger.upsert_identities(old, s.where(F.col("fetched_at") >= cut))
+    return out.crossJoin(F.broadcast(ledger.greatest_id(old))).select("company_id", "source_url", "source_id", "first_seen_at", (F.col("id") <= F.col("m")).alias("known"))
+
+
+@query("""
+with r as (select o_custkey, o_orderdate as seen, o_orderkey, o_orderstatus from orders)
+select 'customer' || o_custkey as norm, min(seen) as first_seen_at, max(seen) as last_checked_at, first('u' || o_orderkey order by seen desc, 'u' || o_orderkey desc) as url from r group by o_custkey
+""")
+def registry_upsert(spark, sf_dir):
+    o = B.read(spark, sf_dir, "orders").select(F.concat(F.when(F.col("o_orderstatus") == "F", "Customer #").otherwise("CUSTOMER-"), "o_custkey").alias("name"), F.concat(F.lit("u"), "o_orderkey").alias("url"), F.lit(None).cast("string").alias("detected_platform"), F.lit("no_careers").alias("reason"), F.col("o_orderdate").cast("timestamp").alias("at"), "o_orderstatus")
+    old = o.where("o_orderstatus = 'F'").select("name", "url", "detected_platform", "reason", F.col("at").alias("first_seen_at"), F.col("at").alias("last_checked_at"))
+    return ledger.fold_registry(old, o.where("o_orderstatus <> 'F'")).select("norm", "first_seen_at", "last_checked_at", "url")
+
+
+@query("select 'c' || s_suppkey as board_token, min(s_suppkey % 2 = 1) as inserted from supplier group by 1")
+def add_company(spark, sf_dir):
+    s = B.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("lever").alias("ats"), F.concat(F.lit("c"), "s_suppkey").alias("board_token"))
+    return ledger.add_companies(s.where("id % 2 = 0"), s.drop("id")).select("board_token", "inserted")
+
+
+@query(BIND + f"select distinct term_kind, {_SLUG} as slug, name from terms")
+def union_terms(spark, sf_dir):
+    t = B.terms(spark, sf_dir)
+    kinds = {k: t.where(F.col("term_kind") == k) for k in ("role", "specialization", "skill", "function")}
+    return R.all_terms(**kinds).select("term_kind", "slug", "name").distinct()
+
+
+@query(BIND + f"select {_SLUG} as slug, min(name) as name from terms where term_kind = 'role' and {_SLUG} not in (select {_SLUG} from terms where term_kind = 'role' and classification_id < 50) group by 1")
+def new_terms(spark, sf_dir):
+    roles = B.terms(spark, sf_dir).where("term_kind = 'role'")
+    old = roles.where("classification_id < 50").groupBy("slug").agg(F.min("name").alias("name"))
+    old = ledger.numbered(old, ["slug"], ledger.greatest_id(B.runs(spark, sf_dir).where("false"))).withColumn("created_at", _as_of()).select("id", "slug", "name", "created_at")
+    after = ledger.get_or_create(old, roles.select("slug", "name"), _as_of())
+    return ledger.new_terms(old, after).select("slug", "name")
+
+
+@query("select count(*) as n from lineitem where l_orderkey not in (select o_orderkey from orders)")
+def orphan_snapshots(spark, sf_dir):
+    line, orders = B.read(spark, sf_dir, "lineitem"), B.read(spark, sf_dir, "orders")
+    return ledger.orphans(line.select("l_orderkey"), orders, "l_orderkey", "o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with p as (select event_id, user_id, event_type, case user_id % 4 when 0 then 'senior' when 1 then ' ' when 2 then ' lead' else event_type end as sen from events),
+t as (select event_id, 'roles' as kind, 0 as pos, event_type as slug from p union all select event_id, 'roles', 1, case when user_id % 5 = 0 then event_type else 'Bad Slug' end from p union all select event_id, 'skills', 0, case when user_id % 5 = 1 then event_type else 'go' end from p)
+select event_id as payload_id, 'seniority' as path, 'missing_seniority' as code from p where sen = ' ' union all select event_id, 'seniority', 'invalid_seniority' from p where sen not in (' ', 'senior')
+union all select event_id, 'roles[1].slug', 'invalid_slug' from t where kind = 'roles' and pos = 1 and slug = 'Bad Slug'
+union all select event_id, 'roles[1].dimensions', 'empty_dimensions' from p
+union all select event_id, 'roles[0].dimensions[1]', 'unknown_dimension' from p
+union all select event_id, 'roles[1].slug', 'duplicate_slug' from p where user_id % 5 = 0
+union all select event_id, unnest(['roles[0].slug', 'roles[1].slug']), 'slug_collision' from p where user_id % 5 = 0
+union all select event_id, unnest(['roles[0].slug', 'skills[0].slug']), 'slug_collision' from p where user_id % 5 = 1
+""")
+def payload_rule_failures(spark, sf_dir):
+    e = B.read(spark, sf_dir, "events")
+    u = F.col("user_id")
+    sen = F.when(u % 4 == 0, "senior").when(u % 4 == 1, " ").when(u % 4 == 2, " lead").otherwise(F.col("event_type"))
+    none = F.lit(None).cast("string")
+    role = lambda slug, dims: F.struct(slug.alias("slug"), none.alias("name"), dims.alias("dimensions"), none.alias("notes"))
+    roles = F.array(role(F.col("event_type"), F.array(F.lit("engineering"), F.lit("magic"))), role(F.when(u % 5 == 0, F.col("event_type")).otherwise("Bad Slug"), F.array().cast("array<string>")))
+    skills = F.array(F.struct(F.when(u % 5 == 1, F.col("event_type")).otherwise("go").alias("slug"), none.alias("name")))
+    rows = e.select(F.col("event_id").alias("payload_id"), sen.alias("seniority"), none.alias("notes"), roles.alias("roles"), F.expr("cast(array() as array<struct<slug: string, name: string>>)").alias("specializations"), skills.alias("skills"))
+    taxonomy = spark.createDataFrame([("skills", "go")], "kind string, slug string")
+    return validation.rule_failures(rows, taxonomy, spark.createDataFrame([("engineering",), ("design",)], "slug string"))
+
+
+@query("""
+select user_id as batch_id, event_id as posting_id, case when user_id % 3 = 0 then 'json_failed' when user_id % 3 = 1 and event_id = m then 'missing' else 'parsed' end as outcome from (select *, min(event_id) over (partition by user_id) as m from events)
+""")
+def response_outcomes(spark, sf_dir):
+    e = B.read(spark, sf_dir, "events").select(F.col("user_id").alias("batch_id"), F.col("event_id").alias("posting_id"))
+    first = e.groupBy("batch_id").agg(F.min("posting_id").alias("m"))
+    given = e.join(first, "batch_id").where("batch_id % 3 <> 1 or posting_id <> m")
+    body = given.groupBy("batch_id").agg(F.concat(F.lit("```json\n"), F.to_json(F.struct(F.collect_list(F.struct("posting_id", F.lit("{}").alias("payload"))).alias("results"))), F.lit("\n```")).alias("body"))
+    body = e.select("batch_id").distinct().join(body, "batch_id", "left").select("batch_id", F.when(F.col("batch_id") % 3 == 0, F.lit("{oops")).otherwise(F.coalesce("body", F.lit('{"results": []}'))).alias("body"))
+    return validation.response_outcomes(body, e)
+
+
+@query("select o_orderstatus as outcome, count(*) as n, count(*) filter (o_orderkey % 2 = 0) as again from orders where o_orderstatus <> 'O' group by 1")
+def outcome_tally(spark, sf_dir):
+    o = B.read(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "O", "cancelled").otherwise(F.col("o_orderstatus")).alias("outcome"), (F.col("o_orderkey") % 2 == 0).alias("was_classified"))
+    return ledger.outcome_tally(o)
+
+
+# --- questions ---
+
+
+def _corpus(spark, sf_dir) -> C.Corpus:
+    t = B.bind(spark, sf_dir)
+    return C.Corpus(t.postings, t.snapshots.select("job_posting_id", "company_id", "fetch_run_id"), t.runs, t.companies, R.current_classifications(t.classifications, "part_id"), t.terms, "part_id")
+
+
+_ASK = BIND + f""", done as (select * from runs where status = 'success' and started_at <= {AS_OF_SQL}),
+last_done as (select company_id, id from (select *, row_number() over (partition by company_id order by started_at desc, id desc) as rn from done) where rn = 1),
+life as (select s.job_posting_id, s.company_id, s.part_id, max(d.started_at) as last_seen_at, bool_or(s.fetch_run_id = l.id) as is_open from snaps s join done d on s.fetch_run_id = d.id and s.company_id = d.company_id join last_done l on l.company_id = s.company_id group by all),
+covered as (select count(*) as total, count(k.id) as classified from life left join current_class k using (part_id) where is_open)
+"""
+
+
+@query(_ASK + f""", weeks as (select company_id, date_trunc('week', started_at) as week, id, row_number() over (partition by company_id, date_trunc('week', started_at) order by started_at desc, id desc) as rn from done),
+runs_of as (select company_id, id, week, coalesce(lead(week) over (partition by company_id order by week), date_trunc('week', {AS_OF_SQL}) + interval 7 day) as until from weeks where rn = 1),
+spread as (select company_id, id, unnest(generate_series(week, until - interval 7 day, interval 7 day)) as week from runs_of)
+select c_name as company, cast(week as timestamp) as week, count(distinct job_posting_id) as value from spread join snaps s on s.fetch_run_id = spread.id and s.company_id = spread.company_id join customer on c_custkey = s.company_id group by 1, 2
+""")
+def demand_trend(spark, sf_dir):
+    return C.answer(_corpus(spark, sf_dir), C.SEEDS["demand_trend"], _as_of())
+
+
+@query(_ASK + f""", before as (select * from done where started_at <= {AS_OF_SQL} - interval 14 day),
+last_before as (select company_id, id from (select *, row_number() over (partition by company_id order by started_at desc, id desc) as rn from before) where rn = 1),
+n1 as (select company_id, count(*) as n from life where is_open group by 1), n0 as (select s.company_id, count(distinct job_posting_id) as n from snaps s join last_before l on s.fetch_run_id = l.id and s.company_id = l.company_id group by 1)
+select c_name as company, case when b.company_id is not null then coalesce(n1.n, 0) - coalesce(n0.n, 0) end as value from n1 full join n0 using (company_id) join customer on c_custkey = company_id left join (select distinct company_id from before) b using (company_id) order by value desc nulls last, company limit 20
+""")
+def movers(spark, sf_dir):
+    return C.answer(_corpus(spark, sf_dir), C.SEEDS["movers"], _as_of())
+
+
+@query(_ASK + "select job_posting_id, round(date_diff('second', first_seen_at, last_seen_at) / 86400, 6) as value from life join postings on postings.id = job_posting_id where not is_open")
+def role_lifecycle(spark, sf_dir):
+    return C.answer(_corpus(spark, sf_dir), C.SEEDS["role_lifecycle"], _as_of()).withColumn("value", F.round("value", 6))
+
+
+@query(_ASK + """, n as (select c_name as company, seniority, count(distinct job_posting_id) as v from life join current_class using (part_id) join customer on c_custkey = company_id where is_open group by 1, 2)
+select company, seniority, round(v / sum(v) over (partition by company), 6) as value, classified, total from n, covered
+""")
+def seniority_mix(spark, sf_dir):
+    return C.answer(_corpus(spark, sf_dir), C.SEEDS["seniority_mix"], _as_of()).withColumn("value", F.round("value", 6))
+
+
+@query(_ASK + """, n as (select name as function, count(distinct job_posting_id) as value from life join current_class k using (part_id) join terms on terms.classification_id = k.id and term_kind = 'function' where is_open group by 1)
+select function, value, classified, total from n, covered
+""")
+def demand_by_function(spark, sf_dir):
+    return C.answer(_corpus(spark, sf_dir), C.SEEDS["demand_by_function"], _as_of())
+
+
+@query(_ASK + "select date_trunc('week', first_seen_at)::timestamp as week, count(distinct job_posting_id) as value from life join postings on postings.id = job_posting_id group by 1")
+def arrival_rate(spark, sf_dir):
+    return C.answer(_corpus(spark, sf_dir), C.Composition("rate", "line", group_by=("week",)), _as_of())
+
+
+@query(_ASK + f"select job_posting_id, c_name as company, round(date_diff('second', first_seen_at, {AS_OF_SQL}) / 86400, 6) as value from life join postings on postings.id = job_posting_id join customer on c_custkey = life.company_id where is_open and c_name = 'Customer#000000001'")
+def open_age(spark, sf_dir):
+    return C.answer(_corpus(spark, sf_dir), C.Composition("age", "table", group_by=("company",), filters=(("company", "Customer#000000001"),)), _as_of()).withColumn("value", F.round("value", 6))
