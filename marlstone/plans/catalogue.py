@@ -472,6 +472,54 @@ def outcome_tally(spark, sf_dir):
     return ledger.outcome_tally(o)
 
 
+@query("""
+select o_custkey as company_id, cast(o_orderkey as varchar) as source_id, 'https://boards-api.greenhouse.io/v1/boards/Co%20' || o_custkey || '/jobs/' || o_orderkey as source_url, o_orderdate as source_last_modified_at,
+  'P ' || o_orderpriority as description_text, case when o_orderkey % 2 = 0 then 'D' || o_orderstatus end as department from orders where o_orderkey <> 0 and o_custkey not in (select o_custkey from orders where o_totalprice < 1500 or o_orderkey = 0)
+""")
+def greenhouse_boards(spark, sf_dir):
+    """Orders as captured boards of another format; one job with a malformed time rejects its whole board."""
+    k = F.col("o_orderkey")
+    stamp = F.when(F.col("o_totalprice") < 1500, "soon").otherwise(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    job = F.struct(k.alias("id"), stamp.alias("updated_at"), F.concat(F.lit("&lt;p&gt;P&amp;nbsp;"), "o_orderpriority", F.lit("&lt;/p&gt;&lt;script&gt;x&lt;/script&gt;")).alias("content"), F.when(k % 2 == 0, F.array(F.struct(F.concat(F.lit("D"), "o_orderstatus").alias("name")))).alias("departments"))
+    body = B.read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("company_id")).agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("body"))
+    pages = body.select("company_id", F.lit("greenhouse").alias("ats"), F.concat(F.lit("Co "), "company_id").alias("board_token"), F.lit(0).alias("page_no"), F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "body")
+    out = payloads.accepted(pages).withColumn("source_url", F.replace("source_url", F.lit("+"), F.lit("%20")))
+    return out.select("company_id", "source_id", "source_url", "source_last_modified_at", "description_text", "department")
+
+
+@query("select c_custkey as id, c_name as name from customer where c_mktsegment <> 'BUILDING'")
+def company_list(spark, sf_dir):
+    c = B.companies(spark, sf_dir).withColumn("ats", F.when(F.col("industry") != "BUILDING", "lever"))
+    return c.where("ats is not null").select("id", "name").orderBy("name", "id")
+
+
+@query(_SELECT + ", t as (select * exclude (part_id) from chosen order by first_seen_at desc, job_posting_id limit 30) select *, (select count(*) from t) as selected_count from t order by first_seen_at desc, job_posting_id limit 20")
+def selection_preview(spark, sf_dir):
+    return R.preview(_selected(spark, sf_dir, True, n=None), 30, "newest_first")
+
+
+@query(BIND + """, l as (select company_id, status from (select *, row_number() over (partition by company_id order by started_at desc, id desc) as rn from runs) join customer on c_custkey = company_id where rn = 1 and c_mktsegment <> 'BUILDING')
+select count(*) as attempted, count(*) filter (status = 'success') as succeeded, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'in_progress') as aborted,
+  (select count(distinct o_custkey) from orders join customer on c_custkey = o_custkey where c_mktsegment = 'BUILDING') as unsupported, true as conserved from l
+""")
+def run_summary(spark, sf_dir):
+    c = B.companies(spark, sf_dir).withColumn("ats", F.when(F.col("industry") != "BUILDING", "lever").otherwise("other"))
+    return R.run_summary(B.runs(spark, sf_dir), c, ("lever",))
+
+
+@query(BIND + f"select distinct classification_id, {_SLUG} as slug from terms where term_kind = 'skill' and classification_id >= 100")
+def skill_links(spark, sf_dir):
+    """Pairs to append: those of the early classifications are there already."""
+    t = B.terms(spark, sf_dir).where("term_kind = 'skill'").select("classification_id", "slug")
+    return ledger.link(t.where("classification_id < 100").distinct(), t)
+
+
+@query("select distinct lower(p_type) as slug, case when p_type = 'ECONOMY' then 'Thrift' else p_type end as name from part")
+def renamed_terms(spark, sf_dir):
+    terms = B.read(spark, sf_dir, "part").select(F.lower("p_type").alias("slug"), F.col("p_type").alias("name")).distinct()
+    return ledger.rename_terms(terms, terms.where("slug = 'economy'").select("slug", F.lit("Thrift").alias("name")))
+
+
 # --- questions ---
 
 

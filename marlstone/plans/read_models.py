@@ -140,3 +140,24 @@ def selection(postings: DataFrame, snapshots: DataFrame, companies: DataFrame, c
     out = out.select("job_posting_id", "company_name", F.coalesce("title", F.lit("")).alias("title"), "description_text", "first_seen_at")
     first = F.col("first_seen_at").desc() if newest_first else F.col("first_seen_at").asc()
     return out if n is None else top(out, n, first, F.col("job_posting_id"))
+
+
+def preview(selected: DataFrame, count: int = 10, sort: str = "oldest_first", shown: int = 20) -> DataFrame:
+    """The first ``count`` selected postings, at most ``shown`` of them, each with the number that would be taken.
+
+    Arguments out of range are refused: count 1 to 100, sort oldest_first or newest_first.
+    """
+    if not 1 <= count <= 100 or sort not in ("oldest_first", "newest_first"):
+        raise ValueError("count must be 1 to 100, sort oldest_first or newest_first")
+    first = F.col("first_seen_at").desc() if sort == "newest_first" else F.col("first_seen_at").asc()
+    taken = top(selected, count, first, F.col("job_posting_id"))
+    total = taken.agg(F.count(F.lit(1)).alias("selected_count"))
+    return top(taken, shown, first, F.col("job_posting_id")).crossJoin(F.broadcast(total))  # one row
+
+
+def run_summary(runs: DataFrame, companies: DataFrame, supported: tuple[str, ...]) -> DataFrame:
+    """attempted, succeeded, failed, aborted, unsupported, conserved: one row over each company's latest run."""
+    latest = latest_runs(runs).join(companies.select(F.col("id").alias("company_id"), "ats"), "company_id")
+    known = F.col("ats").isin(*supported)
+    out = latest.agg(F.count_if(known).alias("attempted"), F.count_if(known & (F.col("status") == "success")).alias("succeeded"), F.count_if(known & (F.col("status") == "failed")).alias("failed"), F.count_if(known & (F.col("status") == "in_progress")).alias("aborted"), F.count_if(~known).alias("unsupported"))
+    return out.withColumn("conserved", F.col("succeeded") + F.col("failed") + F.col("aborted") == F.col("attempted"))
