@@ -17,7 +17,7 @@ from .common import BROADCAST_ROWS, stash
 
 MOST_TIMES = 3
 #: Rows of a bucket that one running sum covers, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
