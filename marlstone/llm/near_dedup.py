@@ -6,9 +6,9 @@ collision-corrected estimate of the Jaccard similarity rejects the clearly dissi
 decide about the rest.
 
 Documents with equal sets form a class and go on as one representative. A bucket of a band isn't expanded into pairs:
-its members are first compared with one leader, then only members that the links so far leave in different components
-are compared with each other, so that a group of near copies costs as many comparisons as it has members, while no link
-between components is missed.
+its members are first compared with one leader, then, in rounds, those that are still apart with members of the largest component,
+and at the end those that are apart even then meet by the rare shingles they share, so that a group of near copies costs
+about as many comparisons as it has members, while no link between components is missed.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ SHINGLE, NUMERATOR, DENOMINATOR = 4, 80, 100
 #: Six standard deviations of the estimate below the threshold.
 SLACK = 6 * (0.8 * 0.2 / REGISTERS) ** 0.5
 WORDS_KEPT = 400_000
+#: Rounds in which members that are still apart meet heads of their band's largest component, and heads at a time.
+ROUNDS, HEADS = 2, 8
+#: Links that one task contracts in memory: about 100 MB.
+LINKS_A_TASK = 400_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -108,15 +112,15 @@ def _plan() -> tuple[np.ndarray, np.ndarray]:
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of each row. Empty registers borrow from others by fixed permutations, so that small sets fill all."""
     bands, borrow = _plan()
-    full = regs.astype(np.uint64)
-    source, turn = regs.astype(np.uint64), 0
-    while (full == 0).any() and turn < 4096:
-        rows = np.flatnonzero((full == 0).any(1))
-        shift = (turn // len(borrow)) * 37
-        taken = source[rows][:, (borrow[turn % len(borrow)] + shift) % REGISTERS]
-        part = full[rows]
-        full[rows] = np.where(part == 0, np.where(taken > 0, taken | np.uint64((turn + 1) << 16), 0), part)
-        turn += 1
+    full, turn = regs.astype(np.uint64), 0
+    row, column = np.nonzero(regs == 0)
+    held = (regs > 0).any(1)[row]
+    row, column = row[held], column[held]
+    while len(row) and turn < 4096:
+        taken = regs[row, (borrow[turn % len(borrow)][column] + turn // len(borrow) * 37) % REGISTERS]
+        found = taken > 0
+        full[row[found], column[found]] = taken[found] | np.uint64((turn + 1) << 16)
+        row, column, turn = row[~found], column[~found], turn + 1
     keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(1), len(regs), 0)
     for i in range(ROWS):
         keys = _mix(keys * _A + full[:, bands[:, i]])
@@ -175,11 +179,69 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
 
+def _by_rare_shingles(docs: DataFrame, apart: DataFrame) -> DataFrame:
+    """(a, b) of different components that may link: exact for what the rounds leave.
+
+    Sets of n and m elements at the threshold share so many that, with all elements in one order, the first
+    ``n - ceil(0.8 n) + 1`` of one and as many of the other have an element in common. Rare shingles come first, so a
+    member that differs from the rest of its group by more than the threshold meets nobody.
+    """
+    members = stash(apart.select("id", "component").distinct(), "members")
+    sets = stash(narrow_to(docs, members.select(F.col("id").alias("doc_id")), members.count()).mapInArrow(_hash_lists, "id long, h array<long>"), "lists")
+    each = sets.dropDuplicates(["id"]).select("id", F.size("h").alias("n"), F.explode("h").alias("h"))
+    counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    ranked = each.join(counts.where("k > 1"), "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("o"))
+    # shingles that only one member has stand first and meet nobody: they use up the front of the order
+    front = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int") + 1 - (F.col("n") - F.size("o"))
+    ranked = ranked.withColumn("front", front).where("front > 0").select("id", "n", F.explode(F.slice("o", 1, F.col("front"))).alias("o")).select("id", "n", F.col("o.h").alias("h")).join(members, "id")
+    ranked = stash(ranked, "fronts")
+    # of two components at most one is a shingle's largest: its members need not meet each other
+    largest = ranked.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+    x, y = (ranked.select("h", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("component").alias(f"c_{i}")) for i in "xy")
+    x = x.join(largest, "h").where("c_x <> main").drop("main")
+    met = x.join(y, "h").where(f"c_x <> c_y and {DENOMINATOR} * least(n_x, n_y) >= {NUMERATOR} * greatest(n_x, n_y)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _hash_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _WordHashes()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes(t.as_py(), known).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], ["id", "h"])
+
+
+def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over one partition's links: each id with the least one it reaches there."""
+    parent: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        root = i
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[i] != root:
+            parent[i], i = root, parent[i]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    ids = [i for i in parent if find(i) != i]
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(i) for i in ids], pa.int64())], ["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in ``links`` (a, b): the least id reachable. Large-star and small-star steps, each a
-    minimum and a join, until every id points at its least; partial minima keep hot ids from one task."""
-    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
+    """(id, component) of every id in ``links`` (a, b): the least id reachable.
+
+    Tasks of at most LINKS_A_TASK links each contract what they hold to stars; if there are several, large-star and
+    small-star steps, each a minimum and a join, follow until every id points at its least. Partial minima keep hot ids
+    from one task.
+    """
+    tasks = -(-max(1, links.count()) // LINKS_A_TASK)
+    edges = stash(links.select("a", "b").repartition(tasks).mapInArrow(_contract, "u long, v long"), "edges")
+    while tasks > 1:
         # done when each id has one smaller neighbour, and no smaller neighbour has one itself
         many = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
         if not many and not edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").limit(1).count():
@@ -206,9 +268,13 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     named = sketches.where("n_shingles > 0 and doc_id is not null")
     # registers and size follow from the set, so as keys they ride along and partial minima collapse hot classes
     classes = stash(named.groupBy("digest", "n_shingles", "regs").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-    bands = classes.select("id", "regs").mapInArrow(_explode, "band long, id long")
-    leaders = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = stash(bands.join(leaders.select("band", "leader"), "band"), "bands")
+    bands = stash(classes.select("id", "regs").mapInArrow(_explode, "band long, id long"), "bands")
+    counts = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = stash(bands.join(counts, "band"), "shared")
+    # the member whose bands are fullest leads: the middle of a group of near copies, which links with most of them
+    weight = shared.groupBy("id").agg(F.sum("members").alias("weight"))
+    shared = stash(shared.select("band", "id").join(weight, "id"), "weighed")
+    leaders = shared.groupBy("band").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("leader"))
 
     sizes = classes.select("id", "n_shingles", "regs")
     close = F.expr(f"{DENOMINATOR} * least(n_a, n_b) >= {NUMERATOR} * greatest(n_a, n_b)")
@@ -224,18 +290,29 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
         joined = likely.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")), "a")
         return stash(joined.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verify, "a long, b long").distinct(), "links")
 
-    star = shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = links_of(star)
+    met = shared.join(leaders, "band").where("id <> leader")
+    links = links_of(met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
     parts = stash(components(links), "components")
-    # members of one bucket that are still apart: only those, and not the pairs with a leader, remain to be compared
-    now = shared.join(parts, "id", "left").select("band", "id", "leader", F.coalesce("component", "id").alias("component"))
-    mixed = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    apart = stash(now.join(mixed, "band"), "apart")
-    x, y = apart.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), "leader"), apart.select("band", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = x.join(y, "band").where("a < b and ca <> cb and a <> leader").select("a", "b").distinct()
-    more = links_of(rest)
-    if more.limit(1).count():
-        parts = stash(components(links.unionByName(more)), "components")
+    for turn in range(ROUNDS + 1):
+        # members of one band that are still apart: only they remain to be compared
+        now = shared.join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+        mixed = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+        apart = stash(now.join(mixed, "band"), "apart")
+        if not apart.limit(1).count():
+            break
+        if turn == ROUNDS:
+            links = links.unionByName(links_of(_by_rare_shingles(docs, apart)))
+            parts = stash(components(links), "components")
+            break
+        # each member outside its band's largest component meets one of a few heads inside it, others in each round
+        largest = apart.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"))
+        placed = apart.join(largest, "band")
+        inside = placed.where("component = main").withColumn("slot", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(HEADS)))
+        heads = inside.groupBy("band", "slot").agg(F.max_by("id", F.xxhash64("id", "band", F.lit(turn))).alias("head")).groupBy("band").agg(F.collect_list("head").alias("heads"))  # at most HEADS
+        outside = placed.where("component <> main").join(heads, "band")
+        head = F.element_at("heads", (F.pmod(F.xxhash64("id", "band", F.lit(turn)), F.size("heads")) + 1).cast("int"))
+        links = links.unionByName(links_of(outside.select(F.least("id", head).alias("a"), F.greatest("id", head).alias("b")).distinct()))
+        parts = stash(components(links), "components")
     # classes with copies of their own, then the ids themselves
     classed = classes.join(parts, "id", "left").select("digest", F.col("id").alias("rep"), F.coalesce("component", "id").alias("component"), "copies")
     total = max(1000, sketches.count() // 1000)
@@ -254,3 +331,16 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     n = dropped.count()
     dropped = dropped.select(F.col("doc_id").alias("_dropped_id"))
     return docs.join(F.broadcast(dropped) if n <= BROADCAST_ROWS else dropped, F.col(id_column).eqNullSafe(F.col("_dropped_id")), "left_anti")
+
+
+ORACLE = """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) end) as sh from w),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 80 * (nx.n + ny.n - c)),
+e as (select x, y from l union all select y, x from l),
+reach as (select x as id, x as m from e union select e.y, r.m from reach r join e on e.x = r.id),
+c as (select id, min(m) as m from reach group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.m, d.doc_id) as component_id, coalesce(c.m, d.doc_id) = d.doc_id as kept from documents d left join n on n.doc_id = d.doc_id left join c on c.id = d.doc_id
+"""

@@ -59,4 +59,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_quality_rules, op2_bpe, op3_near_dedup, op4_exact_dedup, op5_html_blocks, op6_mixing, op7_license_scan, op8_secret_scan, op9_toxicity, op10_language_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op3_near_dedup": near_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
