@@ -192,14 +192,20 @@ def _by_rare_shingles(docs: DataFrame, apart: DataFrame) -> DataFrame:
     counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
     ranked = each.join(counts.where("k > 1"), "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("o"))
     # shingles that only one member has stand first and meet nobody: they use up the front of the order
-    front = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int") + 1 - (F.col("n") - F.size("o"))
-    ranked = ranked.withColumn("front", front).where("front > 0").select("id", "n", F.explode(F.slice("o", 1, F.col("front"))).alias("o")).select("id", "n", F.col("o.h").alias("h")).join(members, "id")
+    alone = F.col("n") - F.size("o")
+    front = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int") + 1 - alone
+    ranked = ranked.withColumn("front", front).withColumn("alone", alone).where("front > 0")
+    ranked = ranked.select("id", "n", "alone", F.posexplode(F.slice("o", 1, F.col("front"))).alias("at", "o"))
+    # after: how many elements can be common if this is the first common one
+    ranked = ranked.select("id", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("after"), F.col("o.h").alias("h")).join(members, "id")
     ranked = stash(ranked, "fronts")
     # of two components at most one is a shingle's largest: its members need not meet each other
     largest = ranked.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    x, y = (ranked.select("h", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("component").alias(f"c_{i}")) for i in "xy")
+    x, y = (ranked.select("h", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("after").alias(f"after_{i}"), F.col("component").alias(f"c_{i}")) for i in "xy")
+    # a pair's first common element leaves room for the elements that the threshold asks for; later ones may not, and needn't
+    room = f"{NUMERATOR + DENOMINATOR} * least(after_x, after_y) >= {NUMERATOR} * (n_x + n_y)"
     x = x.join(largest, "h").where("c_x <> main").drop("main")
-    met = x.join(y, "h").where(f"c_x <> c_y and {DENOMINATOR} * least(n_x, n_y) >= {NUMERATOR} * greatest(n_x, n_y)")
+    met = x.join(y, "h").where(f"c_x <> c_y and {DENOMINATOR} * least(n_x, n_y) >= {NUMERATOR} * greatest(n_x, n_y) and {room}")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -116,3 +116,42 @@ def test_estimate_is_close():
     x, y = (near_dedup.registers(np.unique(np.concatenate([both, v]).astype(np.uint64) * np.uint64(2))) for v in (a, b))
     got = near_dedup.estimate(x[None], y[None], np.array([900.0]), np.array([900.0]))[0]
     assert abs(got - 0.8) < 0.12
+
+
+def test_components_in_one_task_and_in_many(spark, monkeypatch):
+    r = random.Random(5)
+    chain = [(i, i + 1) for i in range(0, 300)]
+    links = chain + [(1000 + r.randrange(400), 1000 + r.randrange(400)) for _ in range(150)] + [(5000, 5000 + i) for i in range(1, 200)]
+    links = [(a, b) for a, b in links if a != b]
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in list(parent)}
+    df = spark.createDataFrame([(min(x), max(x)) for x in links], "a long, b long")
+    for limit in (10**6, 100):
+        monkeypatch.setattr(near_dedup, "LINKS_A_TASK", limit)
+        got = near_dedup.components(df).collect()
+        assert len(got) == len(want) and {x.id: x.component for x in got} == want
+
+
+def test_rare_shingles_meet_all_links(spark):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    rows = []
+    for g in range(6):
+        base = [r.choice(words) for _ in range(40 + 30 * g)]
+        for _ in range(12):
+            share = r.choice((0.0, 0.01, 0.02, 0.04, 0.08))
+            rows.append((len(rows), " ".join(r.choice(words) if r.random() < share else w for w in base)))
+    apart = spark.createDataFrame([(0, i, i) for i, _ in rows], "band long, id long, component long")
+    got = {(x.a, x.b) for x in near_dedup._by_rare_shingles(frame(spark, rows).select("doc_id", "text"), apart).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want and want <= got and all(a < b for a, b in got)
