@@ -349,6 +349,24 @@ def boilerplate_strip(spark, sf_dir):
 
 # --- sources and writes ---
 
+#: Jobs or results in one captured body, on average: some 3 MB, far below the body limit.
+BODY_ROWS = 10_000
+
+
+def _dealt(rows: DataFrame, key: str, row_id: str) -> DataFrame:
+    """``rows`` with body_no: the rows of a key dealt by hash into as many bodies as their count asks for, so that no body grows with its key.
+
+    Only keys of more than BODY_ROWS rows are looked up: at most one for BODY_ROWS rows of the table.
+    """
+    large = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BODY_ROWS)
+    bodies = F.coalesce(F.ceil(F.col("_n") / BODY_ROWS), F.lit(1))
+    return rows.join(F.broadcast(large), F.col(key) == F.col("_key"), "left").withColumn("body_no", F.pmod(F.xxhash64(row_id), bodies)).drop("_key", "_n")
+
+
+def _page_no() -> F.Column:
+    """Page numbers come round again instead of reaching the ceiling, which is for sources that never end."""
+    return (F.col("body_no") % payloads.MOST_PAGES).cast("int").alias("page_no")
+
 
 @query("""
 select o_custkey as company_id, cast(o_orderkey as varchar) as source_id, 'https://jobs.example/' || o_orderkey as source_url, o_orderdate as posted_at,
@@ -358,16 +376,16 @@ from (select *, case o_orderkey % 4 when 0 then [] when 1 then ['A', 'B'] when 2
 where o_custkey not in (select o_custkey from orders where o_totalprice < 1500)
 """)
 def lever_boards(spark, sf_dir):
-    """Orders as captured boards, one for each customer; one job without an address rejects its whole board."""
-    k, o = F.col("o_orderkey"), B.read(spark, sf_dir, "orders")
+    """Orders as captured boards, one for each customer, large ones in several pages; one job without an address rejects its whole board."""
+    k, o = F.col("o_orderkey"), _dealt(B.read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
     job = F.struct(
         k.cast("string").alias("id"), F.col("o_orderpriority").alias("text"), F.when(F.col("o_totalprice") >= 1500, F.concat(F.lit("https://jobs.example/"), k)).alias("hostedUrl"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("createdAt"),
         F.when(F.col("o_orderstatus") == "F", "REMOTE").otherwise("unspecified").alias("workplaceType"),
         F.struct(F.when(F.col("o_orderstatus") == "F", "Full-Time").when(F.col("o_orderstatus") == "P", "Fixed term").otherwise("odd").alias("commitment"), F.when(k % 4 == 2, "Here").alias("location"), F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(F.lit("A"), F.lit("B"))).alias("allLocations")).alias("categories"),
         F.struct(F.col("o_totalprice").alias("min"), (F.col("o_totalprice") + 1).alias("max"), F.lit(" eur ").alias("currency"), F.when(k % 3 == 0, "per-year-salary").otherwise("per-decade").alias("interval")).alias("salaryRange"),
     )
-    body = o.groupBy(F.col("o_custkey").alias("company_id")).agg(F.to_json(F.collect_list(job)).alias("body"))
-    pages = body.select("company_id", F.lit("lever").alias("ats"), F.lit("t").alias("board_token"), F.lit(0).alias("page_no"), F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "body")
+    body = o.groupBy(F.col("o_custkey").alias("company_id"), "body_no").agg(F.to_json(F.collect_list(job)).alias("body"))
+    pages = body.select("company_id", F.lit("lever").alias("ats"), F.lit("t").alias("board_token"), _page_no(), F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "body")
     out = payloads.accepted(pages)
     return out.select("company_id", "source_id", "source_url", "posted_at", "employment_type", "workplace_type", "compensation_min", "compensation_currency", "compensation_period", F.size("location_texts").cast("long").alias("n_locations")).withColumn("n_locations", F.when(F.col("n_locations") >= 0, F.col("n_locations")))
 
@@ -461,7 +479,7 @@ def response_outcomes(spark, sf_dir):
     e = B.read(spark, sf_dir, "events").select(F.col("user_id").alias("batch_id"), F.col("event_id").alias("posting_id"))
     first = e.groupBy("batch_id").agg(F.min("posting_id").alias("m"))
     given = e.join(first, "batch_id").where("batch_id % 3 <> 1 or posting_id <> m")
-    body = given.groupBy("batch_id").agg(F.concat(F.lit("```json\n"), F.to_json(F.struct(F.collect_list(F.struct("posting_id", F.lit("{}").alias("payload"))).alias("results"))), F.lit("\n```")).alias("body"))
+    body = _dealt(given, "batch_id", "posting_id").groupBy("batch_id", "body_no").agg(F.concat(F.lit("```json\n"), F.to_json(F.struct(F.collect_list(F.struct("posting_id", F.lit("{}").alias("payload"))).alias("results"))), F.lit("\n```")).alias("body"))
     body = e.select("batch_id").distinct().join(body, "batch_id", "left").select("batch_id", F.when(F.col("batch_id") % 3 == 0, F.lit("{oops")).otherwise(F.coalesce("body", F.lit('{"results": []}'))).alias("body"))
     return validation.response_outcomes(body, e)
 
@@ -477,12 +495,12 @@ select o_custkey as company_id, cast(o_orderkey as varchar) as source_id, 'https
   'P ' || o_orderpriority as description_text, case when o_orderkey % 2 = 0 then 'D' || o_orderstatus end as department from orders where o_orderkey <> 0 and o_custkey not in (select o_custkey from orders where o_totalprice < 1500 or o_orderkey = 0)
 """)
 def greenhouse_boards(spark, sf_dir):
-    """Orders as captured boards of another format; one job with a malformed time rejects its whole board."""
+    """Orders as captured boards of another format, large ones in several pages; one job with a malformed time rejects its whole board."""
     k = F.col("o_orderkey")
     stamp = F.when(F.col("o_totalprice") < 1500, "soon").otherwise(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     job = F.struct(k.alias("id"), stamp.alias("updated_at"), F.concat(F.lit("&lt;p&gt;P&amp;nbsp;"), "o_orderpriority", F.lit("&lt;/p&gt;&lt;script&gt;x&lt;/script&gt;")).alias("content"), F.when(k % 2 == 0, F.array(F.struct(F.concat(F.lit("D"), "o_orderstatus").alias("name")))).alias("departments"))
-    body = B.read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("company_id")).agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("body"))
-    pages = body.select("company_id", F.lit("greenhouse").alias("ats"), F.concat(F.lit("Co "), "company_id").alias("board_token"), F.lit(0).alias("page_no"), F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "body")
+    body = _dealt(B.read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").groupBy(F.col("o_custkey").alias("company_id"), "body_no").agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("body"))
+    pages = body.select("company_id", F.lit("greenhouse").alias("ats"), F.concat(F.lit("Co "), "company_id").alias("board_token"), _page_no(), F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "body")
     out = payloads.accepted(pages).withColumn("source_url", F.replace("source_url", F.lit("+"), F.lit("%20")))
     return out.select("company_id", "source_id", "source_url", "source_last_modified_at", "description_text", "department")
 
