@@ -85,14 +85,15 @@ def _placed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The columns of documents, one row for each reading that the mix takes, range-sorted by its position. A partial
-    reading holds the words it takes, joined by one space. Rows that repeat an id are mixed as one document."""
-    took = stash(_placed(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken", "begins", "source_size", "target", "slope"), "took").dropDuplicates(["_id"])
+    """The columns of documents, one row for each reading that the mix takes, range-sorted by its position. Readings are
+    whole: of a document at its source's boundary one more is taken if its middle lies before the goal, so a source's
+    words are within half a document of its target. Rows that repeat an id are mixed as one document."""
+    # what is left over from complete readings is at least half of the text where its middle lies before the goal
+    readings = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    took = _placed(docs).where("taken > 0").withColumn("_readings", readings).where("_readings > 0")
+    took = stash(took.select(F.col("doc_id").alias("_id"), "_readings", "begins", "source_size", "target", "slope"), "took").dropDuplicates(["_id"])
     n = took.count()
-    took = took.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
-    took = took.select("_id", "_turn", due(F.col("_turn")).alias("_at"), F.least("size", F.col("taken") - F.col("_turn") * F.col("size")).alias("_words"), F.col("size").alias("_size"))
+    took = took.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_readings") - 1)))
+    took = took.select("_id", "_turn", due(F.col("_turn")).alias("_at"))
     out = docs.join(F.broadcast(took) if n <= BROADCAST_ROWS // MOST_TIMES else took, F.col("doc_id").eqNullSafe(F.col("_id")))
-    whole = F.col("_words") == F.col("_size")
-    cut = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "), 1, F.col("_words").cast("int")), " ")
-    changed = {"text": F.when(whole, F.col("text")).otherwise(cut), "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length(cut).cast("long"))}
-    return out.orderBy("_at", "_id", "_turn").select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+    return out.orderBy("_at", "_id", "_turn").select(*docs.columns)
