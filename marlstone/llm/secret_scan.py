@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, each_batch
 
 #: Forms of published key prefixes, and names that credentials are assigned to.
-PREFIXED = {"aws": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "github": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", "slack": r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "google": r"\bAIza[0-9A-Za-z_-]{35}", "stripe": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", "jwt": r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}", "private-key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"}
+PREFIXED = {"aws": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "github": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", "slack": r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "google": r"\bAIza[0-9A-Za-z_-]{35}", "stripe": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", "jwt": r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}", "private-key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?s:.*?)(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----|\Z)"}
 CONTEXT = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential", "private", "access")
 BENIGN = ("sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "id", "etag", "revision", "version", "example", "http", "https", "url", "path", "file", "isbn", "order", "number")
 _FORMS = re.compile("|".join(f"(?P<{k.replace('-', '_')}>{v})" for k, v in PREFIXED.items()))
-_ASSIGNED = re.compile(r"(?i)\b[\w.-]*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)[\w.-]*\s{0,3}(?:=>|:=|=|:)\s{0,3}(?P<value>\"[^\"\s]{6,200}\"|'[^'\s]{6,200}'|[^\s\"',;]{8,200})")
+_ASSIGNED = re.compile(r"(?i)\b[\w.-]*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)[\w.-]*\s{0,3}(?:=>|:=|=|:)\s{0,3}(?P<value>\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{8,})")
 _RUN = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 #: Letter pairs that running text of several languages has most; the rest of a value's pairs speak for chance.
@@ -45,7 +45,8 @@ class Finding:
 
 
 def findings_in(text: str | None) -> list[Finding]:
-    """Candidates in order; of overlapping ones, the form of known keys stays before an assignment, that before a plain run."""
+    """Candidates in order, each to its end, however long; a private key reaches its END line, or the end of the text if it
+    has none. Of overlapping ones, the form of known keys stays before an assignment, that before a plain run."""
     text = text or ""
     spans: list[tuple[int, int, str]] = [(m.start(), m.end(), m.lastgroup.replace("_", "-")) for m in _FORMS.finditer(text)]
     for m in _ASSIGNED.finditer(text):
