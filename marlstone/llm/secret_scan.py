@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, each_batch
+from .common import BROADCAST_ROWS, bounded_sample, each_batch, stash
 
 #: Forms of published key prefixes, and names that credentials are assigned to.
 PREFIXED = {"aws": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "github": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", "slack": r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "google": r"\bAIza[0-9A-Za-z_-]{35}", "stripe": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", "jwt": r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}", "private-key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?s:.*?)(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----|\Z)"}
@@ -197,17 +197,33 @@ def train(labelled: list[tuple[Finding, int]], dictionary: frozenset[str], seed:
     return Model(grow_forest(x, y), dictionary)
 
 
-def fit(docs: DataFrame, sample_docs: int = 3000, longest: int = 50_000, most_words: int = 5000) -> Model:
+#: Documents that a word of the dictionary is in at least: what fewer have is as likely a part of a key.
+LEAST_DOCS = 3
+
+
+def dictionary_of(docs: DataFrame, most_words: int = BROADCAST_ROWS) -> frozenset[str]:
+    """Words of three letters at least that LEAST_DOCS documents have, counted over all documents, whatever their length.
+
+    ``most_words`` is what the broadcast may hold: only if there are more, the least number of documents rises until they fit.
+    """
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).where(F.length("w") >= 3)
+    counted = stash(words.groupBy("w").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= LEAST_DOCS), "words")
+    held, least = 0, None
+    for r in sorted(counted.groupBy("docs").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        held += r["n"]
+        if held > most_words:
+            break
+        least = r["docs"]
+    return frozenset(r["w"] for r in counted.where(F.col("docs") >= least).select("w").collect()) if least else frozenset()
+
+
+def fit(docs: DataFrame, sample_docs: int = 3000, longest: int = 50_000, most_words: int = BROADCAST_ROWS) -> Model:
     """From findings in at most ``sample_docs`` whole texts of at most ``longest`` characters (documented bounds; the same
-    in every run), labelled by the strict rule, with the sample's ``most_words`` most frequent words as the dictionary."""
+    in every run), labelled by the strict rule, with the dictionary of all documents."""
+    dictionary = dictionary_of(docs, most_words)
     chosen = bounded_sample(docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= longest)).select("doc_id"), "doc_id", sample_docs)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").persist()
-    try:
-        counted = sample.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).where(F.length("w") >= 3).groupBy("w").count().orderBy(F.desc("count"), "w").limit(most_words)
-        dictionary = frozenset(r["w"] for r in counted.select("w").collect())
-        found = sample.select("doc_id", "text").mapInArrow(_candidates, "doc_id long, start long, end long, kind string, value string, before string, after string").toPandas()
-    finally:
-        sample.unpersist()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
+    found = sample.mapInArrow(_candidates, "doc_id long, start long, end long, kind string, value string, before string, after string").toPandas()
     labelled = []
     for r in found.sort_values(["doc_id", "start", "value"]).itertuples(index=False):
         f = Finding(r.start, r.end, r.kind, r.value, r.before, r.after)

@@ -32,3 +32,12 @@ def test_the_whole_value_is_hashed(spark):
     model = secret_scan.train([], frozenset(["some", "words"]))
     got = secret_scan.secrets(frame(spark, [f"token={LONG} and on", KEY, KEY.replace("MII", "MIJ")]), model).collect()
     assert {r.doc_id: r.value_sha256 for r in got} == {i: hashlib.sha256(v.encode()).hexdigest() for i, v in enumerate([LONG, KEY, KEY.replace("MII", "MIJ")])}
+
+
+def test_the_dictionary_is_of_all_documents(spark):
+    long = "sehr langes wortreich " + "und " * 20_000
+    texts = [f"common words number {i}" for i in range(3200)] + ["selten glossar"] * 3 + [long] * 3 + ["twice", "twice", None, ""]
+    got = secret_scan.dictionary_of(frame(spark, texts))
+    assert got == {"common", "words", "number", "selten", "glossar", "sehr", "langes", "wortreich", "und"}
+    assert secret_scan.dictionary_of(frame(spark, texts), 5) == {"common", "words", "number"}
+    assert secret_scan.fit(frame(spark, texts)).dictionary == got
