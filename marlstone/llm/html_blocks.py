@@ -13,6 +13,7 @@ import html as entities
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, each_batch
 
 PATH_BITS, WORD_BITS, EMBED, HIDDEN, MEASURES = 10, 9, 20, 16, 6
+#: Rows at which a sum of rows stops growing with their number; all of them count.
+FULL_ROWS = 40
 #: Fixed values of HTML: elements that hold no text to read, that stand alone, and that don't break a line.
 SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "object", "head", "select", "option", "textarea", "math", "canvas", "audio", "video", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -101,6 +104,16 @@ def blocks_of(page: str | None) -> list[Block]:
     return out
 
 
+@lru_cache(1 << 16)
+def _word_row(word: str) -> int:
+    return xxhash.xxh32_intdigest(word) >> (32 - WORD_BITS)
+
+
+def _scale(sizes: np.ndarray) -> np.ndarray:
+    """What a sum of rows is divided by: its length's root, and for long ones in proportion, so that they don't saturate."""
+    return np.maximum(np.sqrt(np.maximum(sizes, 1)), sizes / np.sqrt(FULL_ROWS))[:, None]
+
+
 def vectors(blocks: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """(path features, word features, measures) of each block."""
     paths, words = [], []
@@ -113,8 +126,8 @@ def vectors(blocks: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np
             seen[b.path] = np.unique(np.array([xxhash.xxh32_intdigest(t) for t in tags] or [0], np.uint32) >> bits).astype(np.int64)
         paths.append(seen[b.path])
         w = b.text.lower().split()
-        words.append(np.array([xxhash.xxh32_intdigest(x) >> (32 - WORD_BITS) for x in w[:40]], np.int64))
-        measures[i] = np.log1p(len(w)) / 5, min(1.0, b.linked / max(1, len(b.text))), i / max(1, len(blocks)), b.text[-1] in ".!?", len(b.text) / 500 if len(b.text) < 500 else 1.0, sum(c.isdigit() for c in b.text[:200]) / 50
+        words.append(np.array([_word_row(x) for x in w], np.int64))
+        measures[i] = np.log1p(len(w)) / 5, min(1.0, b.linked / max(1, len(b.text))), i / max(1, len(blocks)), b.text[-1] in ".!?", len(b.text) / 500 if len(b.text) < 500 else 1.0, 4 * sum(map(str.isdigit, b.text)) / max(1, len(b.text))
     return paths, words, measures
 
 
@@ -146,7 +159,7 @@ class Labeller:
             full = np.flatnonzero(sizes)
             if len(full):
                 flat = table[np.concatenate([rows[i] for i in full])]
-                x[full, at : at + EMBED] = np.add.reduceat(flat, np.cumsum(sizes[full]) - sizes[full]) / np.sqrt(sizes[full])[:, None]
+                x[full, at : at + EMBED] = np.add.reduceat(flat, np.cumsum(sizes[full]) - sizes[full]) / _scale(sizes[full])
         return x
 
     def _direction(self, x: np.ndarray, d: str, keep: list | None) -> np.ndarray:
@@ -217,7 +230,7 @@ class Labeller:
             for i, p in enumerate(pages):
                 sizes = np.array([len(r) for r in p[which]])
                 if sizes.sum():
-                    rows = np.repeat(dx[: len(sizes), i, at : at + EMBED] / np.sqrt(np.maximum(sizes, 1))[:, None], sizes, axis=0)
+                    rows = np.repeat(dx[: len(sizes), i, at : at + EMBED] / _scale(sizes), sizes, axis=0)
                     np.add.at(g[name], np.concatenate(p[which]), rows)
         return g
 
