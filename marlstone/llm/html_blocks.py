@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -27,29 +28,76 @@ PATH_BITS, WORD_BITS, EMBED, HIDDEN, MEASURES = 10, 9, 20, 16, 6
 #: Rows at which a sum of rows stops growing with their number; all of them count.
 FULL_ROWS = 40
 #: Fixed values of HTML: elements that hold no text to read, that stand alone, and that don't break a line.
-SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "object", "head", "select", "option", "textarea", "math", "canvas", "audio", "video", "title"}
+SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "object", "head", "select", "datalist", "textarea", "math", "canvas", "audio", "video", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Elements that an opening tag of the same kind closes.
-SELF_CLOSING = {"p", "li", "dt", "dd", "tr", "td", "th"}
+#: End tags that HTML implies: (elements that are closed, elements behind which they are out of reach, opening tags that close them).
+_ROWS, _HEADS, _ITEMS = {"tbody", "thead", "tfoot"}, {"caption", "colgroup"}, {"li", "dt", "dd"}
+_BLOCKS = set("article aside blockquote center details dialog dir dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr listing main menu nav ol pre search section summary table ul xmp".split())
+_LIMITS = _BLOCKS | _ROWS | _HEADS | {"body", "button", "html", "marquee", "td", "th", "tr"}
+IMPLIED = (
+    ({"p"}, {"table", "td", "th", "caption", "button", "marquee"}, _BLOCKS | _ITEMS | {"p", "address", "div"}),
+    ({"li"}, _LIMITS | {"dt", "dd"}, {"li"}), ({"dt", "dd"}, _LIMITS | {"li"}, {"dt", "dd"}), ({"option"}, _LIMITS | _ITEMS | {"optgroup"}, {"option", "optgroup"}), ({"optgroup"}, _LIMITS | _ITEMS, {"optgroup"}),
+    ({"td", "th"}, {"table"}, _ROWS | _HEADS | {"td", "th", "tr"}), ({"tr"}, {"table"}, _ROWS | _HEADS | {"tr"}), (_ROWS, {"table"}, _ROWS | _HEADS), (_HEADS, {"table"}, _ROWS | _HEADS | {"td", "th", "tr"}),
+)
+#: The same by tag: the rules that it stands in, as one to be closed or as a limit, and the rules by which it closes others.
+_STANDS = {t: [(k, t in rule[0]) for k, rule in enumerate(IMPLIED) if t in rule[0] | rule[1]] for t in set().union(*(r[0] | r[1] for r in IMPLIED))}
+_CLOSES = {t: [k for k, rule in enumerate(IMPLIED) if t in rule[2]] for t in set().union(*(r[2] for r in IMPLIED))}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+@lru_cache(1 << 16)
+def _path_bit(token: str) -> int:
+    return 1 << (xxhash.xxh32_intdigest(token) >> (32 - PATH_BITS))
+
+
+class Element:
+    """An open element: its tokens, and as bits the rows of the path table for all tokens and neighbours down to it."""
+
+    __slots__ = ("tag", "above", "tokens", "rows")
+
+    def __init__(self, tag: str, tokens: tuple[str, ...], above: Element | None):
+        self.tag, self.tokens, self.above = tag, tokens, above
+        self.rows, last = (above.rows, above.tokens[-1]) if above else (0, None)
+        for t in tokens:
+            self.rows |= _path_bit(t) | (_path_bit(f"{last}>{t}") if last is not None else 0)
+            last = t
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]  # tokens of the elements around it, outermost first
+    around: tuple[str, ...] | Element | None  # the tokens of the elements around it, outermost first, or the innermost element
     text: str
     linked: int = 0  # characters inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        if isinstance(self.around, tuple):
+            return self.around
+        found, e = [], self.around
+        while e:
+            found.append(e.tokens)
+            e = e.above
+        return tuple(t for tokens in reversed(found) for t in tokens)
+
+    @property
+    def rows(self) -> int:
+        if isinstance(self.around, tuple):
+            return Element("", self.around, None).rows
+        return self.around.rows if self.around else 0
+
 
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order, with references decoded and white space made single; blocks without text don't count.
 
-    Text within silent elements is left out. An unclosed silent element ends with the page.
+    Text within silent elements is left out. An unclosed silent element ends with the page. End tags that HTML lets one
+    omit are implied, and all open elements count, however many.
     """
     page, at = page or "", 0
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    standing: list[list[int]] = [[] for _ in IMPLIED]  # for each rule the places of its elements, -1 for a limit
+    opened: Counter[str] = Counter()
     out: list[Block] = []
     parts: list[str] = []
     linked, links = 0, 0
@@ -58,10 +106,17 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append(Block(tuple(t for _, tokens in stack for t in tokens), text, linked))
+            out.append(Block(stack[-1] if stack else None, text, linked))
         parts.clear()
         linked = 0
 
+    def pop() -> str:
+        tag = stack.pop().tag
+        opened[tag] -= 1
+        for k, _ in _STANDS.get(tag, ()):
+            standing[k].pop()
+        return tag
+
     while at <= len(page):
         m = _TAG.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
@@ -88,18 +143,21 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         close()
         if not opening:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if opened[tag]:
+                while pop() != tag:
                     pass
-        elif tag not in VOID:
-            if tag in SELF_CLOSING and stack and stack[-1][0] == tag:
-                stack.pop()
+            continue
+        reach = [standing[k][-1] for k in _CLOSES.get(tag, ()) if standing[k] and standing[k][-1] >= 0]
+        while reach and len(stack) > min(reach):
+            pop()
+        if tag not in VOID:
             tokens = [tag]
             for name, a, b, c in _ATTR.findall(m[2]):
                 tokens += [f"{name.lower()}:{x}" for x in re.split(r"[^a-z0-9]+", (a or b or c).lower()) if x][:6]
-            stack.append((tag, tuple(tokens)))
-            if len(stack) > 60:
-                del stack[1]
+            for k, closable in _STANDS.get(tag, ()):
+                standing[k].append(len(stack) if closable else -1)
+            stack.append(Element(tag, tuple(tokens), stack[-1] if stack else None))
+            opened[tag] += 1
     close()
     return out
 
@@ -118,13 +176,12 @@ def vectors(blocks: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np
     """(path features, word features, measures) of each block."""
     paths, words = [], []
     measures = np.zeros((len(blocks), MEASURES))
-    seen: dict[tuple[str, ...], np.ndarray] = {}
+    seen: dict[int, np.ndarray] = {}
     for i, b in enumerate(blocks):
-        if b.path not in seen:
-            bits = np.uint32(32 - PATH_BITS)
-            tags = [*b.path, *(f"{x}>{y}" for x, y in zip(b.path, b.path[1:], strict=False))]
-            seen[b.path] = np.unique(np.array([xxhash.xxh32_intdigest(t) for t in tags] or [0], np.uint32) >> bits).astype(np.int64)
-        paths.append(seen[b.path])
+        rows = b.rows or 1
+        if rows not in seen:
+            seen[rows] = np.flatnonzero(np.unpackbits(np.frombuffer(rows.to_bytes((1 << PATH_BITS) // 8, "little"), np.uint8), bitorder="little"))
+        paths.append(seen[rows])
         w = b.text.lower().split()
         words.append(np.array([_word_row(x) for x in w], np.int64))
         measures[i] = np.log1p(len(w)) / 5, min(1.0, b.linked / max(1, len(b.text))), i / max(1, len(blocks)), b.text[-1] in ".!?", len(b.text) / 500 if len(b.text) < 500 else 1.0, 4 * sum(map(str.isdigit, b.text)) / max(1, len(b.text))
