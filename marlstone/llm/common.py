@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows up to which a keyed set of 8-byte ids may be broadcast (about 24 MB as a hash table).
@@ -20,13 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
-        if not sc.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         known = sc.getCheckpointDir()
     return known
 
 
+#: Folders that stash() wrote and nothing has removed yet.
+_WRITTEN: list[str] = []
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df once as a Parquet table in the shared folder and return a reader of it.
 
@@ -34,7 +41,42 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def _remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN.remove(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove stashed tables that no frame reads any more. Only what stash() returned is taken, once."""
+    for f in frames:
+        path = f.__dict__.get("_stashed")
+        if path in _WRITTEN:
+            _remove(f.sparkSession, [path])
+
+
+def cleanup(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Remove all that the operators of this process have stashed, but for ``keep``: once their results are written, nothing needs it."""
+    _remove(spark, [p for p in _WRITTEN if keep is None or p != keep.__dict__.get("_stashed")])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A name for each of ``names`` that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,5 +113,63 @@ def bounded_sample(df: DataFrame, id_column: str, limit: int, salt: int = 0) ->
 
 def narrow_to(df: DataFrame, ids: DataFrame, n_ids: int, column: str = "doc_id") -> DataFrame:
     """Rows of df whose id is among ``ids`` (distinct): by broadcast if n_ids is within BROADCAST_ROWS, else by a shuffle."""
-    ids = ids.select(F.col(column).alias("_narrow_id"))
-    return df.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, F.col(column).eqNullSafe(F.col("_narrow_id")), "left_semi")
+    (name,) = fresh(df, "narrow_id")
+    ids = ids.select(F.col(column).alias(name))
+    return df.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, F.col(column).eqNullSafe(F.col(name)), "left_semi")
+
+
+def sampled_texts(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """chosen (doc_id, ...: n rows at most, each id once) with a text for each: of a repeated id the least, so that n bounds the rows."""
+    texts = narrow_to(docs.select("doc_id", "text").where("text is not null"), chosen.select("doc_id"), n)
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
+#: Rows of one key above which a join splits the key; the keys above it are so few that a broadcast holds them.
+HOT_ROWS = 1_000
+
+
+def hot_keys(counts: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """(key, parts) of the keys with more than HOT_ROWS rows, or total / BROADCAST_ROWS if that is more: BROADCAST_ROWS keys at most."""
+    most = max(HOT_ROWS, total // BROADCAST_ROWS)
+    return counts.where(F.col(rows) > most).select(key, F.ceil(F.col(rows) / most).cast("int").alias("parts"))
+
+
+def salted_join(many: DataFrame, other: DataFrame, key: str, hot: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``many`` joined with ``other`` on ``key``. A hot key's rows of ``many`` are dealt over its parts by the hash of ``by``,
+    and its rows of ``other`` are repeated for each part, so that no task meets all rows of a key."""
+    hot = F.broadcast(hot.select(F.col(key).alias("_hot_key"), "parts"))
+    dealt = many.join(hot, F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("parts", F.lit(1))).cast("int")).drop("_hot_key", "parts")
+    copies = other.join(hot, F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("_hot_key", "parts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
+#: Rows that one range of ranged() holds, on average.
+RANGE_ROWS = 100_000
+
+
+def ranged(df: DataFrame, order: Sequence[F.Column], n: int, tag: str) -> DataFrame:
+    """df (n rows), written in ranges of ``order``, with column _range: the ranges' numbers ascend with the order, equal rows share
+    one. Rows for one range only are left where they are."""
+    ranges = -(-n // RANGE_ROWS)
+    if ranges <= 1:
+        return df.withColumn("_range", F.lit(0))
+    return stash(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), tag)
+
+
+def before_ranges(df: DataFrame, **sums: F.Column) -> DataFrame:
+    """_range and, for each named aggregate, what the ranges before it sum to: one row for each range of ranged()."""
+    per = df.groupBy("_range").agg(*(c.alias(k) for k, c in sums.items()))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    return F.broadcast(per.select("_range", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums)))
+
+
+def apart(found: Iterable[tuple]) -> list[tuple]:
+    """Those of ``found`` (any, start, end, ...) that overlap none before them in the list, by their start."""
+    kept: list[tuple] = []
+    starts: list[int] = []
+    for f in found:
+        i = bisect_right(starts, f[1])
+        if (i == 0 or kept[i - 1][2] <= f[1]) and (i == len(kept) or f[2] <= starts[i]):
+            starts.insert(i, f[1])
+            kept.insert(i, f)
+    return kept

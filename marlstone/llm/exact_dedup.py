@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, each_batch, narrow_to, stash
+from .common import BROADCAST_ROWS, ascii_lower, discard, each_batch, fresh, narrow_to, stash
 
 FINGERPRINT_BITS = 48
 CHUNK_ROWS = 100_000
+#: Fingerprints of one owner: what its task holds at once, about 50 MB.
+OWNER_ROWS = 2_000_000
 LEDGER = "part string, owner int, n int, rice int, quotients binary, remainders binary, twice binary, ranks binary, ids binary, no_id binary, digests binary"
 
 
@@ -31,15 +33,19 @@ def rice_encode(sorted_values: np.ndarray, universe: int) -> tuple[int, bytes, b
     stops = np.cumsum(quotients + 1) - 1
     unary = np.zeros(int(stops[-1]) + 1, np.uint8)
     unary[stops] = 1
-    bits = (gaps[:, None] >> np.arange(k - 1, -1, -1, dtype=np.uint64)) & np.uint64(1)
-    return k, np.packbits(unary).tobytes(), np.packbits(bits.astype(np.uint8).ravel()).tobytes()
+    bits = np.zeros((len(gaps), k), np.uint8)
+    for i in range(k):  # a byte for each bit at most, never a word
+        bits[:, i] = (gaps >> np.uint64(k - 1 - i)) & np.uint64(1)
+    return k, np.packbits(unary).tobytes(), np.packbits(bits.ravel()).tobytes()
 
 
 def rice_decode(n: int, k: int, unary: bytes, remainders: bytes) -> np.ndarray:
     stops = np.flatnonzero(np.unpackbits(np.frombuffer(unary, np.uint8)))[:n]
     quotients = np.diff(stops, prepend=-1) - 1
-    bits = np.unpackbits(np.frombuffer(remainders, np.uint8))[: n * k].reshape(n, k).astype(np.uint64)
-    low = bits @ (np.uint64(1) << np.arange(k - 1, -1, -1, dtype=np.uint64)) if k else np.zeros(n, np.uint64)
+    bits = np.unpackbits(np.frombuffer(remainders, np.uint8))[: n * k].reshape(n, k)
+    low = np.zeros(n, np.uint64)
+    for i in range(k):
+        low = (low << np.uint64(1)) | bits[:, i]
     return np.cumsum((quotients.astype(np.uint64) << np.uint64(k)) + low, dtype=np.uint64)
 
 
@@ -116,14 +122,16 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     same text count each in group_size and share one answer. An empty table gives an empty result. Other columns are
     not read, so their names can't clash.
 
-    ``owners``: number of fingerprint ranges; default: the session's number of shuffle partitions.
+    ``owners``: number of fingerprint ranges; default: as many as keep each within OWNER_ROWS rows, and at least the
+    session's number of shuffle partitions.
     """
     spark = docs.sparkSession
-    owners = owners or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    owners = owners or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNER_ROWS))
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     ledger = stash(each_batch(docs, ["doc_id", "text"], LEDGER, _send(owners)), "fingerprints")
     bitmaps = ledger.select("part", "owner", "n", "rice", "quotients", "remainders").groupBy("owner").applyInArrow(_answer, "part string, owner int, bitmap binary")
     rows = stash(ledger.select("part", "owner", "n", "twice", "ranks", "ids", "no_id", "digests").join(bitmaps, ["part", "owner"]).mapInArrow(_unpack, "doc_id long, text_sha256 string, suspect boolean"), "suspects")
+    discard(ledger)
     suspects = rows.where("suspect").select("doc_id", "text_sha256")
     n = suspects.count()
     texts = narrow_to(docs, suspects.select("doc_id").distinct(), n).select("doc_id", ascii_lower("text").alias("_text"))
@@ -140,12 +148,18 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows that repeat both id and text all stay: they can't be told apart by id."""
-    dropped = exact_groups(docs, id_column, text_column).where("not kept").select("doc_id")
-    dropped = stash(dropped, "dropped")
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    A row goes by its id and its text, so of a repeated id only the rows whose text is kept elsewhere go. Rows that repeat
+    both id and text share one answer. A null text counts as empty; a row without an id goes if any row with one has its
+    text, and stays otherwise. An empty table gives an empty result.
+    """
+    dropped = stash(exact_groups(docs, id_column, text_column).where("not kept").select("doc_id", "text_sha256").distinct(), "dropped")
     n = dropped.count()
-    dropped = dropped.select(F.col("doc_id").alias("_dropped_id"))
-    return docs.join(F.broadcast(dropped) if n <= 500_000 else dropped, F.col(id_column).eqNullSafe(F.col("_dropped_id")), "left_anti")
+    gone, sha = fresh(docs, "gone_id", "gone_text")
+    dropped = dropped.select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(sha))
+    same = F.col(id_column).cast("long").eqNullSafe(F.col(gone)) & (F.sha2(ascii_lower(text_column).cast("binary"), 256) == F.col(sha))
+    return docs.join(F.broadcast(dropped) if n <= BROADCAST_ROWS // 4 else dropped, same, "left_anti")
 
 
 ORACLE = """

@@ -18,10 +18,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, each_batch, narrow_to, stash
+from .common import BROADCAST_ROWS, before_ranges, discard, each_batch, fresh, hot_keys, narrow_to, ranged, salted_join, stash
 
 REGISTERS, MANTISSA = 256, 10
 #: With 64 bands of 6 registers, a pair at similarity 0.8 is missed with probability (1 - 0.8**6)**64 < 4e-9.
@@ -187,10 +188,11 @@ def _by_rare_shingles(docs: DataFrame, apart: DataFrame) -> DataFrame:
     member that differs from the rest of its group by more than the threshold meets nobody.
     """
     members = stash(apart.select("id", "component").distinct(), "members")
-    sets = stash(narrow_to(docs, members.select(F.col("id").alias("doc_id")), members.count()).mapInArrow(_hash_lists, "id long, h array<long>"), "lists")
-    each = sets.dropDuplicates(["id"]).select("id", F.size("h").alias("n"), F.explode("h").alias("h"))
-    counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
-    ranked = each.join(counts.where("k > 1"), "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("o"))
+    sets = stash(narrow_to(docs, members.select(F.col("id").alias("doc_id")), members.count()).mapInArrow(_hash_lists, "id long, h array<long>").dropDuplicates(["id"]), "lists")
+    each = sets.select("id", F.size("h").alias("n"), F.explode("h").alias("h"))
+    total = sets.agg(F.sum(F.size("h"))).first()[0] or 0
+    counts = stash(each.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shingles")
+    ranked = salted_join(each, counts, "h", hot_keys(counts, "h", "k", total), ["id"]).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("o"))
     # shingles that only one member has stand first and meet nobody: they use up the front of the order
     alone = F.col("n") - F.size("o")
     front = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int") + 1 - alone
@@ -200,13 +202,17 @@ def _by_rare_shingles(docs: DataFrame, apart: DataFrame) -> DataFrame:
     ranked = ranked.select("id", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("after"), F.col("o.h").alias("h")).join(members, "id")
     ranked = stash(ranked, "fronts")
     # of two components at most one is a shingle's largest: its members need not meet each other
-    largest = ranked.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+    parts = stash(ranked.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k")), "parts")
+    largest = parts.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("k"))
+    hot = hot_keys(largest, "h", "k", total)
     x, y = (ranked.select("h", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("after").alias(f"after_{i}"), F.col("component").alias(f"c_{i}")) for i in "xy")
     # a pair's first common element leaves room for the elements that the threshold asks for; later ones may not, and needn't
     room = f"{NUMERATOR + DENOMINATOR} * least(after_x, after_y) >= {NUMERATOR} * (n_x + n_y)"
-    x = x.join(largest, "h").where("c_x <> main").drop("main")
-    met = x.join(y, "h").where(f"c_x <> c_y and {DENOMINATOR} * least(n_x, n_y) >= {NUMERATOR} * greatest(n_x, n_y) and {room}")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    x = salted_join(x, largest.drop("k"), "h", hot, ["x"]).where("c_x <> main").drop("main")
+    met = salted_join(y, x, "h", hot, ["y"]).where(f"c_x <> c_y and {DENOMINATOR} * least(n_x, n_y) >= {NUMERATOR} * greatest(n_x, n_y) and {room}")
+    out = stash(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "met")
+    discard(members, sets, counts, ranked, parts)
+    return out
 
 
 def _hash_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,14 +256,18 @@ def components(links: DataFrame) -> DataFrame:
     while tasks > 1:
         # done when each id has one smaller neighbour, and no smaller neighbour has one itself
         many = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-        if not many and not edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").limit(1).count():
+        if not many and not edges.select(F.col("v").alias("u")).distinct().join(edges.select("u").distinct(), "u", "left_semi").limit(1).count():
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        edges = stash(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        stars = stash(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("m", "u").alias("m"), "n"), "stars")
+        large = salted_join(both.where("v > u"), stars.select("u", "m"), "u", hot_keys(stars, "u", "n", 2 * tasks * LINKS_A_TASK), ["v"])
+        larger = stash(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        discard(edges, stars)
+        stars = stash(larger.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "stars")
+        small = salted_join(larger, stars.select("u", "m"), "u", hot_keys(stars, "u", "n", 2 * tasks * LINKS_A_TASK), ["v"])
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = stash(small.unionByName(stars.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(larger, stars)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
@@ -275,35 +285,52 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # registers and size follow from the set, so as keys they ride along and partial minima collapse hot classes
     classes = stash(named.groupBy("digest", "n_shingles", "regs").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
     bands = stash(classes.select("id", "regs").mapInArrow(_explode, "band long, id long"), "bands")
-    counts = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = stash(bands.join(counts, "band"), "shared")
+    counts = stash(bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "counts")
+    total = counts.agg(F.sum("members")).first()[0] or 0
+    hot = hot_keys(counts, "band", "members", total)
+
+    def by_band(many: DataFrame, one: DataFrame) -> DataFrame:
+        return salted_join(many, one, "band", hot, ["id"])
+
+    in_shared = stash(by_band(bands, counts), "shared")
+    discard(bands)
     # the member whose bands are fullest leads: the middle of a group of near copies, which links with most of them
-    weight = shared.groupBy("id").agg(F.sum("members").alias("weight"))
-    shared = stash(shared.select("band", "id").join(weight, "id"), "weighed")
+    weight = in_shared.groupBy("id").agg(F.sum("members").alias("weight"))
+    shared = stash(in_shared.select("band", "id").join(weight, "id"), "weighed")
+    discard(in_shared)
     leaders = shared.groupBy("band").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("leader"))
 
     sizes = classes.select("id", "n_shingles", "regs")
     close = F.expr(f"{DENOMINATOR} * least(n_a, n_b) >= {NUMERATOR} * greatest(n_a, n_b)")
 
+    def with_both(pairs: DataFrame, of: DataFrame, columns: dict[str, str]) -> DataFrame:
+        """``pairs`` (a, b) with the columns of both from ``of``, one row for each id. A leader is in as many pairs as it leads."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("pairs"))
+        most = stash(hot_keys(ids, "id", "pairs", 2 * pairs.count()), "leaders")
+        for side, other in ("ba", "ab"):
+            own = of.select(F.col("id").alias(side), *(F.col(c).alias(f"{n}_{side}") for c, n in columns.items()))
+            pairs = salted_join(pairs, own, side, most.withColumnRenamed("id", side), [other])
+        return pairs
+
     def links_of(pairs: DataFrame) -> DataFrame:
-        first = sizes.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("regs").alias("regs_a"))
-        second = sizes.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("regs").alias("regs_b"))
-        likely = pairs.join(second, "b").join(first, "a").where(close)
+        pairs = stash(pairs, "pairs")
+        likely = with_both(pairs, sizes, {"n_shingles": "n", "regs": "regs"}).where(close)
         likely = stash(likely.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(NUMERATOR / DENOMINATOR - SLACK), "a long, b long"), "likely")
         wanted = stash(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-        sets = narrow_to(docs, wanted, wanted.count()).mapInArrow(_sets, "id long, hashes binary")
-        sets = stash(sets, "sets")
-        joined = likely.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")), "a")
-        return stash(joined.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verify, "a long, b long").distinct(), "links")
+        sets = stash(narrow_to(docs, wanted, wanted.count()).mapInArrow(_sets, "id long, hashes binary"), "sets")
+        joined = with_both(likely, sets, {"hashes": "hashes"})
+        out = stash(joined.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verify, "a long, b long").distinct(), "links")
+        discard(pairs, likely, wanted, sets)
+        return out
 
-    met = shared.join(leaders, "band").where("id <> leader")
+    met = by_band(shared, leaders).where("id <> leader")
     links = links_of(met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
     parts = stash(components(links), "components")
     for turn in range(ROUNDS + 1):
         # members of one band that are still apart: only they remain to be compared
         now = shared.join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
         mixed = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-        apart = stash(now.join(mixed, "band"), "apart")
+        apart = stash(by_band(now, mixed), "apart")
         if not apart.limit(1).count():
             break
         if turn == ROUNDS:
@@ -312,13 +339,15 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
             break
         # each member outside its band's largest component meets one of a few heads inside it, others in each round
         largest = apart.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"))
-        placed = apart.join(largest, "band")
+        placed = stash(by_band(apart, largest), "placed")
         inside = placed.where("component = main").withColumn("slot", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(HEADS)))
         heads = inside.groupBy("band", "slot").agg(F.max_by("id", F.xxhash64("id", "band", F.lit(turn))).alias("head")).groupBy("band").agg(F.collect_list("head").alias("heads"))  # at most HEADS
-        outside = placed.where("component <> main").join(heads, "band")
+        outside = by_band(placed.where("component <> main"), heads)
         head = F.element_at("heads", (F.pmod(F.xxhash64("id", "band", F.lit(turn)), F.size("heads")) + 1).cast("int"))
         links = links.unionByName(links_of(outside.select(F.least("id", head).alias("a"), F.greatest("id", head).alias("b")).distinct()))
+        discard(apart, placed, parts)
         parts = stash(components(links), "components")
+    discard(shared, counts)
     # classes with copies of their own, then the ids themselves
     classed = classes.join(parts, "id", "left").select("digest", F.col("id").alias("rep"), F.coalesce("component", "id").alias("component"), "copies")
     total = max(1000, sketches.count() // 1000)
@@ -332,11 +361,30 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component, with all their columns."""
-    dropped = stash(near_components(docs, id_column, text_column).where("not kept").select("doc_id").distinct(), "dropped")
-    n = dropped.count()
-    dropped = dropped.select(F.col("doc_id").alias("_dropped_id"))
-    return docs.join(F.broadcast(dropped) if n <= BROADCAST_ROWS else dropped, F.col(id_column).eqNullSafe(F.col("_dropped_id")), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns, whatever their names: of each component the row with the least id.
+
+    A row goes by its own text. Where ids repeat, rows are told apart by numbers that follow their ids, so of rows that
+    share id and text one stays, and a row isn't lost to another text of its id. A text without words links with nothing
+    and stays; so does a row without an id. An empty table gives an empty result.
+    """
+    (name,) = fresh(docs, "gone_id")
+    known = docs.where(F.col(id_column).isNotNull())
+    if not known.groupBy(id_column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return _without(docs, near_components(docs, id_column, text_column), F.col(id_column), name)
+    # numbers in the order of ids: by range, then from the first of its range on
+    row, number, place = fresh(docs, "row_number", "row_place", "range_place")
+    docs = stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    keys = docs.where(F.col(id_column).isNotNull()).select(F.col(row).alias("row"), F.col(id_column).alias("id"))
+    keys = ranged(keys, [F.col("id"), F.col("row")], docs.count(), "ids")
+    keys = keys.withColumn("at", F.row_number().over(W.partitionBy("_range").orderBy("id", "row"))).join(before_ranges(keys, before=F.count(F.lit(1))), "_range")
+    keys = stash(keys.select(F.col("row").alias(place), (F.col("at") + F.col("before")).alias(number)), "places")
+    docs = stash(docs.join(keys, F.col(row) == F.col(place), "left").drop(place), "placed")
+    return _without(docs, near_components(docs, number, text_column), F.col(number), name).drop(row, number)
+
+
+def _without(docs: DataFrame, found: DataFrame, key: Column, name: str) -> DataFrame:
+    gone = stash(found.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key.eqNullSafe(F.col(name)), "left_anti")
 
 
 ORACLE = """

@@ -7,15 +7,15 @@ information gain of its next threshold and pruned on the other third; rows it co
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded_sample, held_out, narrow_to
+from .common import bounded_sample, held_out, sampled_texts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_bars", "n_long_words", "n_distinct_words")
 #: Learned features as Spark SQL over the counts.
@@ -55,19 +55,16 @@ def statistics(text: str | None) -> tuple[int, ...]:
     return (len(words), len(text) - less(_SPACE), less(_SYMBOLS), len(lines) - len(set(lines)), repeated, len(lines), less(_UPPER), less(_DIGITS), less(_MARKS), raw.count(b"|"), sum(len(x) > 30 for x in words), len(set(words)))
 
 
-def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``docs`` with the columns of COUNTS; of its own columns, those with such a name are replaced."""
-    own = [c for c in docs.columns if c.lower() not in COUNTS]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema), *(f"{c} long" for c in COUNTS)])
-    at = own.index(text_column)
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
+def counts_of(texts: pa.Array) -> pa.Array:
+    """A struct of COUNTS for each text: only the texts go to Python, whatever else the rows have."""
+    rows = [statistics(t.as_py()) for t in texts]
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))], list(COUNTS))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [statistics(t.as_py()) for t in batch.column(at)]
-            new = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*own, *COUNTS])
 
-    return docs.select(*own).mapInArrow(run, schema)
+def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """The columns of COUNTS and ``row``, a struct of all columns of ``docs``, so that no name can clash."""
+    return docs.select(F.struct("*").alias("row"), counts_of(F.col(text_column)).alias("counts")).select("row", "counts.*")
 
 
 @dataclass(frozen=True)
@@ -159,14 +156,13 @@ def verdict(rules: list[Rule]) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> list[Rule]:
-    """Rules from at most ``max_rows`` labelled rows (documented bound; the same rows in every run). Label 0 is bad; null labels and ids don't count."""
-    chosen = bounded_sample(labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull() & ~held_out(id_column)).groupBy(F.col(id_column).alias("doc_id")).agg(F.min(label_column).alias("label")), "doc_id", max_rows)
-    chosen = chosen.persist()
+    """Rules from at most ``max_rows`` labelled rows (documented bound; the same rows in every run). Label 0 is bad; null
+    labels and ids don't count; of a repeated id the least label and the least text do."""
+    known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull() & ~held_out(id_column)).groupBy(F.col(id_column).alias("doc_id")).agg(F.min(label_column).alias("label"))
+    chosen = bounded_sample(known, "doc_id", max_rows).persist()
     try:
-        n = chosen.count()
-        rows = narrow_to(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), chosen.select("doc_id"), n)
-        rows = with_statistics(rows).select("doc_id", *(F.expr(x).alias(f) for f, x in FEATURES.items())).join(F.broadcast(chosen), "doc_id")
-        got = rows.drop("doc_id").toPandas()
+        rows = sampled_texts(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), chosen, chosen.count())
+        got = with_statistics(rows).select(*(F.expr(x).alias(f) for f, x in FEATURES.items()), "row.label").toPandas()
     finally:
         chosen.unpersist()
     got = got.sort_values(list(got.columns)).reset_index(drop=True)
@@ -177,7 +173,7 @@ BASE_FAILED = "(n_words < 50 or 100 * n_repeat_words > 50 * n_words)"
 
 
 def judge(docs: DataFrame, rules: list[Rule], text_column: str = "text") -> DataFrame:
-    """``docs`` with COUNTS, base_failed, rule (number of the rule that fired, 0: none) and kept."""
+    """row (all columns of ``docs``), COUNTS, base_failed, rule (number of the rule that fired, 0: none) and kept."""
     out = with_statistics(docs, text_column).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rule", verdict(rules))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
@@ -189,9 +185,11 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000)
     give an empty result or no learned rules. Other columns of ``docs`` are not read.
     """
     rules = fit(docs, labels, max_rows)
-    return judge(docs.select("doc_id", "text"), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rule").cast("int").alias("rule"))
+    return judge(docs.select("doc_id", "text"), rules).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rule").cast("int").alias("rule"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` that neither the base rules nor a learned rule rejects, with their own columns."""
-    return judge(docs, fit(docs, labels, max_rows)).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that neither the base rules nor a learned rule rejects, with all their own columns, whatever
+    their names. A null or empty text goes; repeated rows and rows without an id are judged each by itself; an empty
+    table gives an empty result."""
+    return judge(docs, fit(docs, labels, max_rows)).where("kept").select("row.*")

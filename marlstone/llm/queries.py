@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, html_blocks, language_id, license_scan, mixing, near_dedup, quality_rules, secret_scan, toxicity
 from .common import table
@@ -38,7 +39,8 @@ def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """Positions to nine places, which SQL gives alike."""
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 9))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +61,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_quality_rules, op2_bpe, op3_near_dedup, op4_exact_dedup, op5_html_blocks, op6_mixing, op7_license_scan, op8_secret_scan, op9_toxicity, op10_language_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op3_near_dedup": near_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op3_near_dedup": near_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}

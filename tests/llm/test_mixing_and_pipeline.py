@@ -50,6 +50,15 @@ def test_mix(spark, seed):
     assert positions == sorted(positions) and all(r.position is None for r in got[len(positions) :])
     again = mixing.mix(frame(spark, rows).repartition(5)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
+    if seed == 0:
+        import duckdb
+
+        con = duckdb.connect()
+        con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+        con.executemany("insert into documents values (?, ?, ?)", rows)
+        want = con.execute(mixing.ORACLE)
+        names = [d[0] for d in want.description]
+        assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(round(r[n], 9) if n == "position" and r[n] is not None else r[n] for n in names)) for r in got)
 
 
 def test_mixed_documents(spark):
