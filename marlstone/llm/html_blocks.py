@@ -43,7 +43,9 @@ IMPLIED = (
 #: The same by tag: the rules that it stands in, as one to be closed or as a limit, and the rules by which it closes others.
 _STANDS = {t: [(k, t in rule[0]) for k, rule in enumerate(IMPLIED) if t in rule[0] | rule[1]] for t in set().union(*(r[0] | r[1] for r in IMPLIED))}
 _CLOSES = {t: [k for k, rule in enumerate(IMPLIED) if t in rule[2]] for t in set().union(*(r[2] for r in IMPLIED))}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARK = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)")
+#: What follows a tag's name: quotes count behind a sign of equality and where both are there.
+_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -65,6 +67,35 @@ class Element:
             last = t
 
 
+class Marks:
+    """Reads a page's tags, comments and declarations one after the other.
+
+    Every character is read a bounded number of times: a comment that nothing closes ends with the page, a '<' behind the
+    last '>' is text, and once a quoted attribute has run to the page's end, tags end at their next '>'.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, tag, whether it opens, attributes) of the first from ``at`` on; a comment or declaration has no tag."""
+        page = self.page
+        while m := _MARK.search(page, at):
+            start, at = m.span()
+            if m[2] is None:
+                end = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+                found = page.find(end, at)
+                return start, found + len(end) if found >= 0 else len(page), "", True, ""
+            if at > self.last:  # only comments and declarations can follow
+                continue
+            rest = _REST.match(page, at) if self.quotes else None
+            if rest:
+                return start, rest.end(), m[2].lower(), not m[1], rest[1]
+            self.quotes, close = False, page.find(">", at)
+            return start, close + 1, m[2].lower(), not m[1], page[at:close]
+        return None
+
+
 @dataclass
 class Block:
     around: tuple[str, ...] | Element | None  # the tokens of the elements around it, outermost first, or the innermost element
@@ -117,25 +148,21 @@ def blocks_of(page: str | None) -> list[Block]:
             standing[k].pop()
         return tag
 
-    while at <= len(page):
-        m = _TAG.search(page, at)
-        piece = page[at : m.start()] if m else page[at:]
+    marks = Marks(page)
+    while at < len(page):
+        mark = marks.after(at)
+        start, end, tag, opening, attributes = mark or (len(page), len(page), "", True, "")
+        piece, at = page[at:start], end
         if piece:
             parts.append(piece)
             if links:
                 linked += len(piece)
-        if not m:
-            break
-        at = m.end()
-        if m[1] is None:
+        if not tag:
             continue
-        tag, opening = m[1].lower(), not m[0].startswith("</")
         if opening and tag in SILENT:
-            if tag == "head":
-                continue
-            if not m[0].endswith("/>"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page) + 1
+            if tag != "head" and not page.endswith("/>", 0, end):
+                closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = closing.end() if closing else len(page)
             continue
         if tag == "a":
             links = max(0, links + (1 if opening else -1))
@@ -152,8 +179,8 @@ def blocks_of(page: str | None) -> list[Block]:
             pop()
         if tag not in VOID:
             tokens = [tag]
-            for name, a, b, c in _ATTR.findall(m[2]):
-                tokens += [f"{name.lower()}:{x}" for x in re.split(r"[^a-z0-9]+", (a or b or c).lower()) if x][:6]
+            for name, a, b, c in _ATTR.findall(attributes):
+                tokens += [f"{name.lower()}:{x}" for x in re.split(r"[^a-z0-9]+", (a or b or c).lower()) if x]
             for k, closable in _STANDS.get(tag, ()):
                 standing[k].append(len(stack) if closable else -1)
             stack.append(Element(tag, tuple(tokens), stack[-1] if stack else None))
