@@ -8,13 +8,15 @@ the window around a seed and tells the edits and the span.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import each_batch
+from .common import apart, each_batch
 
 #: Phrases whose words must stand consecutively, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -59,48 +61,48 @@ class Scanner:
         for seed, where in seeds.items():
             self.automaton.add_word(seed, (len(seed), where))
         self.automaton.make_automaton()
+        self._best = lru_cache(1 << 15)(self._search)
+
+    def _search(self, which: int, window: str) -> tuple[int, int, int] | None:
+        """(start, end, edits) of the notice's best match in the window of one seed, which has room for one match only."""
+        m = self.patterns[which].search(window)
+        return (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
 
     def notices_in(self, words: str) -> list[tuple[str, int, int, int, float]]:
         """(label, start, end, edits, score) in characters of the joined words; of overlapping matches the best stays."""
-        windows: dict[int, list[list[int]]] = {}
+        found, windows = set(), set()
         for end, (size, where) in self.automaton.iter(words):
             for which, offset in where:
                 k, start = self.edits[which], end + 1 - size - offset
-                lo, hi = max(0, start - k), start + len(self.notices[which][0]) + k
-                spans = windows.setdefault(which, [])
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][0], spans[-1][1] = min(lo, spans[-1][0]), max(hi, spans[-1][1])
-                else:
-                    spans.append([lo, hi])
-        found = []
-        for which, spans in windows.items():
-            notice, label = self.notices[which]
-            for lo, hi in spans:
-                for m in self.patterns[which].finditer(words, lo, min(hi, len(words))):
-                    edits = sum(m.fuzzy_counts)
-                    found.append((label, m.start(), m.end(), edits, 1 - edits / len(notice)))
-        found.sort(key=lambda f: (-f[4], f[1] - f[2], f[1], f[0]))
-        kept: list[tuple[str, int, int, int, float]] = []
-        for f in found:
-            if all(f[2] <= g[1] or g[2] <= f[1] for g in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: (f[1], f[2], f[0]))
+                window = (which, max(0, start - k), start + len(self.notices[which][0]) + k)
+                if window not in windows:
+                    windows.add(window)
+                    if m := self._best(which, words[window[1] : window[2]]):
+                        notice, label = self.notices[which]
+                        found.add((label, window[1] + m[0], window[1] + m[1], m[2], 1 - m[2] / len(notice)))
+        return apart(sorted(found, key=lambda f: (-f[4], f[1] - f[2], f[1], f[0])))
 
     def scan(self, text: str | None) -> dict:
         words = (text or "").encode().translate(_WORDS).split()
         joined = b" " + b" ".join(words) + b" "
+        blanks = np.zeros(0, np.int64)
         places: list[int] = []
         base = set()
         for phrase, label in BASE.items():
             needle, at = b" " + phrase.encode() + b" ", joined.find(b" " + phrase.encode() + b" ")
             while at >= 0:
+                if not len(blanks):
+                    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
                 base.add(label)
-                places.append(joined.count(b" ", 0, at))
+                places.append(int(np.searchsorted(blanks, at)))
                 at = joined.find(needle, at + 1)
         plain = joined[1:-1].decode()
         notices = self.notices_in(plain)
         score = 1.0 if base else max((f[4] for f in notices), default=0.0)
-        spans = [{"label": f[0], "first_word": plain.count(" ", 0, f[1] + (plain[f[1] : f[1] + 1] == " ")), "last_word": plain.count(" ", 0, f[2] - (plain[f[2] - 1 : f[2]] == " ")), "edits": f[3], "score": f[4]} for f in notices]
+        # the word of a character: how many blanks stand before it
+        gaps = np.cumsum([len(w) + 1 for w in plain.split(" ")]) - 1 if notices else blanks
+        word = lambda at: int(np.searchsorted(gaps, at))
+        spans = [{"label": f[0], "first_word": word(f[1] + (plain[f[1] : f[1] + 1] == " ")), "last_word": word(f[2] - (plain[f[2] - 1 : f[2]] == " ")), "edits": f[3], "score": f[4]} for f in notices]
         return {"n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | {f[0] for f in notices})), "score": score, "spans": spans}
 
 
