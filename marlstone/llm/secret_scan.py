@@ -19,16 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_sample, each_batch, stash
+from .common import BROADCAST_ROWS, apart, bounded_sample, discard, each_batch, sampled_texts, stash
 
 #: Forms of published key prefixes, and names that credentials are assigned to.
-PREFIXED = {"aws": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "github": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", "slack": r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "google": r"\bAIza[0-9A-Za-z_-]{35}", "stripe": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", "jwt": r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}", "private-key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?s:.*?)(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----|\Z)"}
+PREFIXED = {"aws": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "github": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", "slack": r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "google": r"\bAIza[0-9A-Za-z_-]{35}", "stripe": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", "jwt": r"(?<![\w-])eyJ[\w-]{8,}+\.eyJ[\w-]{8,}\.[\w-]{8,}", "private-key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?s:.*?)(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----|\Z)"}
 CONTEXT = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential", "private", "access")
-BENIGN = ("sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "id", "etag", "revision", "version", "example", "http", "https", "url", "path", "file", "isbn", "order", "number")
+BENIGN = ("sha", "sha1", "sha224", "sha256", "sha384", "sha512", "md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "id", "etag", "revision", "version", "example", "http", "https", "url", "path", "file", "isbn", "order", "number")
 _FORMS = re.compile("|".join(f"(?P<{k.replace('-', '_')}>{v})" for k, v in PREFIXED.items()))
-_ASSIGNED = re.compile(r"(?i)\b[\w.-]*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)[\w.-]*\s{0,3}(?:=>|:=|=|:)\s{0,3}(?P<value>\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{8,})")
-_RUN = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
+#: A name is read to its end before its sign is looked for, from the name's start only, so that no text is read over and over.
+_ASSIGNED = re.compile(r"(?i)(?<![\w.-])(?=[\w.-]*?(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential))[\w.-]++\s{0,3}(?:=>|:=|=|:)\s{0,3}(?P<value>\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|[^\s\"',;]{8,})")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}")
+#: What a text must contain for the forms, or for a credential's name, to be looked for.
+_FORM_SIGNS = ("AKIA", "ASIA", "gh", "xox", "AIza", "k_live_", "k_test_", "eyJ", "-----BEGIN")
+_NAME_SIGNS = ("token", "secret", "passw", "pwd", "key", "auth", "credential")
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
+#: Words joined in a value: by signs, digits or capitals.
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Letter pairs that running text of several languages has most; the rest of a value's pairs speak for chance.
 PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ei ie un ge au ue es la qu os".split())
 FEATURES = ("length", "entropy", "digit_share", "upper_share", "transitions", "common_pairs", "hex", "coverage", "longest_word", "slashes", "extension", "padding", "distinct_share", "quoted", "assigned", "context_words", "benign_words", "prefixed")
@@ -44,27 +50,31 @@ class Finding:
     after: str
 
 
+def _named(low: str) -> bool:
+    return any(x in low for x in _NAME_SIGNS)
+
+
 def findings_in(text: str | None) -> list[Finding]:
     """Candidates in order, each to its end, however long; a private key reaches its END line, or the end of the text if it
     has none. Of overlapping ones, the form of known keys stays before an assignment, that before a plain run."""
     text = text or ""
-    spans: list[tuple[int, int, str]] = [(m.start(), m.end(), m.lastgroup.replace("_", "-")) for m in _FORMS.finditer(text)]
-    for m in _ASSIGNED.finditer(text):
-        a, b = m.span("value")
-        quoted = text[a] in "\"'"
-        spans.append((a + quoted, b - quoted, "assigned"))
-    for m in _RUN.finditer(text):
-        v = m[0]
-        if any(c.isdigit() for c in v) and (any(c.isalpha() for c in v) and (v.lower() != v or sum(c.isdigit() for c in v) >= 4)):
-            spans.append((m.start(), m.end(), "run"))
-    out: list[Finding] = []
-    taken: list[tuple[int, int]] = []
+    spans: list[tuple[str, int, int]] = []
+    if any(x in text for x in _FORM_SIGNS):
+        spans += [(m.lastgroup.replace("_", "-"), m.start(), m.end()) for m in _FORMS.finditer(text)]
+    if ("=" in text or ":" in text) and _named(text.lower()):
+        for m in _ASSIGNED.finditer(text):
+            a, b = m.span("value")
+            quoted = text[a] in "\"'"
+            spans.append(("assigned", a + quoted, b - quoted))
+    if max(map(len, text.split()), default=0) >= 20:
+        for m in _RUN.finditer(text):
+            v = m[0]
+            digits = sum(map(str.isdigit, v))
+            if digits and any(map(str.isalpha, v)) and (digits >= 4 or v.lower() != v):
+                spans.append(("run", m.start(), m.end()))
     rank = {"run": 2, "assigned": 1}
-    for a, b, kind in sorted(spans, key=lambda s: (rank.get(s[2], 0), s[0], s[1])):
-        if all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
-            out.append(Finding(a, b, kind, text[a:b], text[max(0, a - 40) : a], text[b : b + 30]))
-    return sorted(out, key=lambda f: f.start)
+    kept = apart(sorted(spans, key=lambda s: (rank.get(s[0], 0), s[1], s[2])))
+    return [Finding(a, b, kind, text[a:b], text[max(0, a - 40) : a], text[b : b + 30]) for kind, a, b in kept]
 
 
 def _kind(c: str) -> int:
@@ -74,10 +84,10 @@ def _kind(c: str) -> int:
 def describe(f: Finding, dictionary: frozenset[str]) -> list[float]:
     v, n = f.value, max(1, len(f.value))
     count = Counter(v)
-    words = _WORD.findall(v.lower().replace("_", " "))
+    words = [w.lower() for w in _PART.findall(v)]
     pairs = [v[i : i + 2].lower() for i in range(n - 1) if v[i : i + 2].isalpha()]
     near = {w.lower() for w in _WORD.findall(f.before)[-4:]} | {w.lower() for w in _WORD.findall(f.after)[:1]}
-    near |= {p for w in near for p in w.split("_")}
+    near |= {p for w in near for p in w.split("_")} | {w.lower() for w in _WORD.findall(re.split("[-=:]", v, maxsplit=1)[0])}  # a value may begin with its own label
     return [
         float(len(v)), -sum(k / n * math.log2(k / n) for k in count.values()), sum(map(str.isdigit, v)) / n, sum(map(str.isupper, v)) / n,
         sum(_kind(a) != _kind(b) for a, b in zip(v, v[1:], strict=False)) / n, sum(p in PAIRS for p in pairs) / max(1, len(pairs)), float(all(c in "0123456789abcdefABCDEF" for c in v)),
@@ -167,15 +177,16 @@ def decoys(words: list[str], n: int, seed: int = 8) -> list[tuple[Finding, int]]
     for _ in range(n):
         name = CONTEXT[int(r.integers(len(CONTEXT)))]
         quote, sign = ("\"", "'", "")[int(r.integers(3))], (" = ", "=", ": ")[int(r.integers(3))]
-        value = (draw("0123456789abcdef", 32, 64), draw(low + up + dig, 20, 48), draw(low + up + dig + "+/", 24, 64), draw(low + dig, 20, 40), draw(up + dig, 20, 40))[int(r.integers(5))]
+        random = lambda: (draw("0123456789abcdef", 32, 64), draw(low + up + dig, 20, 48), draw(low + up + dig + "+/", 24, 88), draw(low + dig, 20, 40), draw(up + dig, 20, 40))[int(r.integers(5))]
+        value = random()
         out.append((Finding(0, len(value), "assigned", value, f"{word()} {word()} {name}{sign}{quote}", f"{quote} {word()}"), 1))
         benign = BENIGN[int(r.integers(len(BENIGN)))]
         value, before = (
-            (draw("0123456789abcdef", 32, 64), f"{word()} {benign}{sign}"), ("/".join(word() for _ in range(4)) + "/" + draw(dig, 2, 4), f"{word()} {word()} "), ("-".join(word() for _ in range(4)) + draw(dig, 1, 4), f"{word()} {word()} "),
+            (random(), f"{word()} {benign}{sign}{quote}"), ("/".join(word() for _ in range(4)) + "/" + draw(dig, 2, 4), f"{word()} {word()} "), ("-".join(word() for _ in range(4)) + draw(dig, 1, 4), f"{word()} {word()} "),
             (draw(dig, 16, 24) + "x", f"{benign} "), (f"your_{name}_here_{draw(dig, 1, 3)}", f"{name}{sign}{quote}"), ("x" * int(r.integers(16, 40)) + "1", f"{name}{sign}{quote}"), (word() + draw("123", 1, 3), f"{name}{sign}{quote}"),
             ("".join(w.capitalize() for w in (word(), word(), word())) + draw(dig, 1, 4), f"{word()} {word()} "),
         )[int(r.integers(8))]
-        out.append((Finding(0, len(value), "run", value, before, f" {word()}"), 0))
+        out.append((Finding(0, len(value), "run", value, before, f"{quote if before.endswith(quote) else ''} {word()}"), 0))
     return out
 
 
@@ -214,23 +225,32 @@ def dictionary_of(docs: DataFrame, most_words: int = BROADCAST_ROWS) -> frozense
         if held > most_words:
             break
         least = r["docs"]
-    return frozenset(r["w"] for r in counted.where(F.col("docs") >= least).select("w").collect()) if least else frozenset()
+    out = frozenset(r["w"] for r in counted.where(F.col("docs") >= least).select("w").collect()) if least else frozenset()
+    discard(counted)
+    return out
 
 
-def fit(docs: DataFrame, sample_docs: int = 3000, longest: int = 50_000, most_words: int = BROADCAST_ROWS) -> Model:
+def fit(docs: DataFrame, labelled: DataFrame | None = None, sample_docs: int = 3000, longest: int = 50_000, most_words: int = BROADCAST_ROWS) -> Model:
     """From findings in at most ``sample_docs`` whole texts of at most ``longest`` characters (documented bounds; the same
-    in every run), labelled by the strict rule, with the dictionary of all documents."""
+    in every run), with the dictionary of all documents. ``labelled`` (doc_id, start, end, label) tells which findings are
+    secrets: its documents are the sample, and findings that it doesn't name don't count. Without it the strict rule
+    labels them. Of a repeated id the least text counts."""
     dictionary = dictionary_of(docs, most_words)
-    chosen = bounded_sample(docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= longest)).select("doc_id"), "doc_id", sample_docs)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
-    found = sample.mapInArrow(_candidates, "doc_id long, start long, end long, kind string, value string, before string, after string").toPandas()
-    labelled = []
-    for r in found.sort_values(["doc_id", "start", "value"]).itertuples(index=False):
+    short = docs.where(F.col("doc_id").isNotNull() & (F.length("text") <= longest)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = (short if labelled is None else labelled.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")).select("doc_id").distinct()
+    chosen = bounded_sample(ids, "doc_id", sample_docs)
+    found = each_batch(sampled_texts(short, chosen, sample_docs), ["doc_id", "text"], "doc_id long, start long, end long, kind string, value string, before string, after string", _candidates)
+    if labelled is None:
+        found = found.withColumn("label", F.lit(None).cast("int"))
+    else:
+        found = found.join(labelled.where("label is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).agg(F.max("label").cast("int").alias("label")), ["doc_id", "start", "end"])
+    known = []
+    for r in found.toPandas().sort_values(["doc_id", "start"]).itertuples(index=False):
         f = Finding(r.start, r.end, r.kind, r.value, r.before, r.after)
-        y = strict_label(f, dictionary)
+        y = strict_label(f, dictionary) if labelled is None else int(r.label)
         if y is not None:
-            labelled.append((f, y))
-    return train(labelled, dictionary)
+            known.append((f, y))
+    return train(known, dictionary)
 
 
 def _rows(ids: list, found: list[list[Finding]]) -> list[list]:
@@ -244,15 +264,16 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], ["doc_id", "start", "end", "kind", "value", "before", "after"])
 
 
-def secrets(docs: DataFrame, model: Model | None = None, threshold: float = 0.5) -> DataFrame:
+def secrets(docs: DataFrame, model: Model | None = None, threshold: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, start, end, kind, value_sha256, score, is_secret: one row for each candidate, the false positives too.
 
-    start and end count code points. The value itself isn't returned. Null and empty texts have no rows; repeated rows
-    are scanned each by itself; an empty table gives an empty result; other columns are not read.
+    start and end count code points. The value itself isn't returned. Without a model one is fitted, from ``labelled``
+    findings (doc_id, start, end, label) where they are given. Null and empty texts have no rows; repeated rows are
+    scanned each by itself, one without an id too; an empty table gives an empty result; other columns are not read.
     """
     import hashlib
 
-    model = model or fit(docs)
+    model = model or fit(docs, labelled)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
