@@ -2,7 +2,7 @@
 
 Each word has features (the word itself, its affixes and its letter n-grams, hashed) that score the languages; learned
 transitions tie neighbouring words; forward-backward gives each word's probabilities, in code-switched text too. A
-document's language is the one with the largest mean over its words.
+document's language is the one with the largest mean over its words; runs of words of one language are its spans.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import each_batch, held_out
+from .common import each_batch, held_out, sampled_texts
 
 BITS, WORDS_KEPT = 17, 300_000
 TRAIN_STEPS, CHUNK = 40, 400
@@ -68,6 +68,9 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(flat)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
 
+SPANS = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("lang", pa.string())]))
+
+
 @dataclass
 class Crf:
     languages: list[str]
@@ -179,7 +182,8 @@ class Tagger:
     def _scores(self, words: list[bytes]) -> np.ndarray:
         return self.rows[np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))]
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+        """(language, probability, spans) of each text; a span is (first word, last word, language)."""
         model = self.model
         split = [words_of(t) for t in texts]
         if len(self.numbers) > WORDS_KEPT:
@@ -188,8 +192,8 @@ class Tagger:
         if new:
             self.numbers.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             self.rows = np.concatenate([self.rows, *(emissions(new[i : i + 20_000], model.weights).astype(np.float32) for i in range(0, len(new), 20_000))])
-        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        order = sorted((i for i, w in enumerate(split) if w), key=lambda i: -len(split[i]))
+        out: list[tuple[str, float, list]] = [("und", 0.0, [])] * len(texts)
+        order = sorted((i for i, w in enumerate(split) if w and has_letter(texts[i])), key=lambda i: -len(split[i]))
         while order and model.languages:
             # sequences of like length together, at most 400,000 cells of padding at a time
             size = max(1, min(512, 400_000 // len(split[order[0]])))
@@ -198,29 +202,39 @@ class Tagger:
             scores = np.zeros((len(group), lengths[0], len(model.languages)))
             for r, i in enumerate(group):
                 scores[r, : lengths[r]] = self._scores(split[i])
-            p = marginals(scores, lengths, model.transitions, model.start)[0].sum(1) / lengths[:, None]
+            p = marginals(scores, lengths, model.transitions, model.start)[0]
+            mean, best = p.sum(1) / lengths[:, None], p.argmax(2)
             for r, i in enumerate(group):
-                if has_letter(texts[i]):
-                    best = int(np.argmax(p[r]))
-                    out[i] = (model.languages[best], float(min(1.0, p[r, best])))
+                of = best[r, : lengths[r]]
+                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), lengths[r]]
+                most = int(np.argmax(mean[r]))
+                out[i] = (model.languages[most], float(min(1.0, mean[r, most])), [(a, int(b) - 1, model.languages[of[a]]) for a, b in zip(cuts, cuts[1:], strict=False)])
         return out
 
 
-def fit(docs: DataFrame, per_language: int = 120, longest: int = 20_000) -> Crf:
-    """A model from whole texts of at most ``longest`` characters, at most ``per_language`` of each language (documented
-    bounds), outside the held-out fold: those with the least hash of their id."""
+def fit(docs: DataFrame, per_language: int = 120, longest: int = 20_000, most_languages: int = 100) -> Crf:
+    """A model from whole texts of at most ``longest`` characters, at most ``per_language`` of each of at most
+    ``most_languages`` languages, those with most rows (documented bounds), outside the held-out fold: the texts with the
+    least hash of their id. Of a repeated id the least language and the least text count."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id") & (F.length("text") <= longest))
-    rows = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    chosen = rows.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language).select("doc_id", "lang")
-    got = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages).select("lang")
+    rows = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(common), "lang", "left_semi")
+    first = rows.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language)
+    chosen = first.groupBy("doc_id").agg(F.min("lang").alias("lang")).persist()
+    try:
+        got = sampled_texts(docs.where(F.length("text") <= longest), chosen, per_language * most_languages).toPandas().sort_values("doc_id")
+    finally:
+        chosen.unpersist()
     return train(got["text"].tolist(), got["lang"].tolist())
 
 
 def languages(docs: DataFrame, model: Crf | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs``.
+    """doc_id, held_out, lang_pred, score, spans for every row of ``docs``.
 
-    A null text, or one without a letter, is 'und' with score 0, and so is all text if no language was learned. Repeated
-    rows get one answer. An empty table gives an empty result; other columns are not read.
+    spans has the runs of words that the chain gives to one language: first_word, last_word (from 0) and lang, so that
+    code-switched text shows its parts; words are runs of letters as words_of() cuts them. A null text, or one without a
+    letter, is 'und' with score 0 and no spans, and so is all text if no language was learned. Repeated rows get one
+    answer. An empty table gives an empty result; other columns are not read.
     """
     model = model or fit(docs)
     used = np.flatnonzero(model.weights.any(1))
@@ -235,7 +249,7 @@ def languages(docs: DataFrame, model: Crf | None = None) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 got = tagger.label(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([[dict(zip(("first_word", "last_word", "lang"), x, strict=True)) for x in g[2]] for g in got], SPANS)], ["doc_id", "lang_pred", "score", "spans"])
 
-    out = each_batch(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), ["doc_id", "text"], "doc_id long, lang_pred string, score double", run)
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    out = each_batch(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), ["doc_id", "text"], "doc_id long, lang_pred string, score double, spans array<struct<first_word: int, last_word: int, lang: string>>", run)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "spans")
