@@ -57,6 +57,14 @@ class Vocabulary:
     @classmethod
     def parse(cls, text: str) -> Vocabulary:
         spec = json.loads(text)
+        pre, model, post = spec["pre_tokenizer"] or {}, spec["model"], spec["decoder"] or {}
+        odd = {
+            "a normalizer": spec["normalizer"], "another pre-tokenizer": pre.get("type") != "ByteLevel" or not pre.get("use_regex", True), "a prefix space": pre.get("add_prefix_space"), "another decoder": post.get("type") != "ByteLevel",
+            "another model": model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+            "added tokens that match otherwise than verbatim": any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+        }
+        if found := [k for k, v in odd.items() if v]:
+            raise ValueError(f"the vocabulary file asks for {', '.join(found)}: only plain byte-level BPE is read")
         vocab, to_byte = spec["model"]["vocab"], byte_symbols()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         token_bytes = [b""] * (max([*vocab.values(), *special.values()]) + 1)
