@@ -21,7 +21,7 @@ def _decoded(m: re.Match) -> str:
     name = m[1]
     if name in NAMED:
         return NAMED[name]
-    number = re.fullmatch(r"#(?:[xX]([0-9a-fA-F]+)|(\d+))", name)
+    number = re.fullmatch(r"#(?:[xX]([0-9a-fA-F]+)|([0-9]+))", name)
     if not number:
         return m[0]
     n = int(number[1], 16) if number[1] else int(number[2])

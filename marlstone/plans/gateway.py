@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import threading
 import uuid
 from dataclasses import dataclass
@@ -11,8 +12,15 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 ROWS, SECONDS = 1000, 5.0
-#: Spark's commands are logical plans of these kinds; anything else that its analyser accepts only reads.
-_WRITES = ("Command", "Insert", "CreateTable", "CreateView", "Drop", "Alter", "AppendData", "Overwrite", "Delete", "Update", "Merge", "SetCatalog", "AddJar", "CacheTable", "RefreshTable")
+#: The kinds of node that a parsed query may consist of; whatever else Spark's parser gives (commands, inserts below a
+#: FROM, scripts, EXECUTE IMMEDIATE, TRANSFORM) is refused.
+READS = frozenset("""
+Aggregate AsOfJoin Deduplicate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation Pivot Project
+Range RelationTimeTravel Sample Sort SubqueryAlias Tail Union UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedOrdinal UnresolvedRelation UnresolvedSubqueryColumnAliases
+UnresolvedTVFAliases UnresolvedTableValuedFunction UnresolvedWith Unpivot Window WithWindowDefinition
+""".split())
+#: Functions that run code by name.
+_CALLS = re.compile(r"'(?:reflect|try_reflect|java_method)\(", re.I)
 
 
 @dataclass(frozen=True)
@@ -23,23 +31,32 @@ class Answer:
     error: str = ""
 
 
+def _odd_node(plan) -> str | None:
+    """The first kind of node, in the whole plan with its common table expressions, that isn't a read."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in READS:
+            return node.nodeName()
+        for nodes in (node.children(), node.innerChildren()):
+            todo += [x for i in range(nodes.size()) if hasattr(x := nodes.apply(i), "nodeName")]
+    return None
+
+
 def query(spark: SparkSession, sql: str, rows: int = ROWS, seconds: float = SECONDS) -> Answer:
-    """Rows as JSON values, times in UTC. Only what Spark's own parser calls a query is run; a late one is cancelled."""
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-        names = [plan.nodeName()]
-        if any(w in n for n in names for w in _WRITES):
-            return Answer(False, error=f"only queries are answered, not {names[0]}")
-        df = spark.sql(sql)
-    except Exception as e:  # the parser's and the analyser's refusals are answers here
-        return Answer(False, error=str(e).splitlines()[0])
+    """Rows as JSON values, times in UTC. Only a plan of reads alone is run; a late one is cancelled, its analysis included."""
     tag = f"gateway-{uuid.uuid4().hex}"
-    spark.addTag(tag)
     timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
+    spark.addTag(tag)
     timer.start()
     try:
-        got = df.limit(rows + 1).select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "ignoreNullFields": "false"}).alias("j")).collect()
-    except Exception as e:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        if odd := _odd_node(plan):
+            return Answer(False, error=f"only queries are answered, not {odd}")
+        if _CALLS.search(plan.toString()):
+            return Answer(False, error="functions that call code by name aren't answered")
+        got = spark.sql(sql).limit(rows + 1).select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "ignoreNullFields": "false"}).alias("j")).collect()
+    except Exception as e:  # the parser's, the analyser's and the timer's refusals are answers here
         return Answer(False, error=str(e).splitlines()[0])
     finally:
         timer.cancel()

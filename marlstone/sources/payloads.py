@@ -8,6 +8,7 @@ the source wrote it, up to the order and blanks of its keys that the variant typ
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone import schemas
@@ -15,19 +16,39 @@ from marlstone.functions import expr as X
 from marlstone.functions.text import html_to_text
 
 KEYS = ("company_id", "ats", "board_token", "fetched_at")
-#: Jobs on a full page, and pages at which a paged source stops.
+#: Where a body has its jobs; jobs on a full page of the paged sources; pages at which those stop, and from which they warn.
+ENVELOPES = {"greenhouse": "jobs", "lever": None, "ashby": "jobs", "workday": "jobPostings", "workable": "jobs", "gem": None}
 PAGE = {"lever": 100, "workday": 20}
-MOST_PAGES = 1000
+MOST_PAGES, WARN_PAGES, WARN_JOBS = 1000, 500, 1000
 API = {"greenhouse": "https://boards-api.greenhouse.io/v1/boards"}
 
 
-def jobs(payloads: DataFrame, ats: str, envelope: str | None) -> DataFrame:
-    """One row for each job of the source's pages: keys, job (variant), issue. A body that isn't the source's envelope is one row with an issue."""
-    path = "$" if envelope is None else f"$.{envelope}"
-    page = payloads.where(F.col("ats") == ats)
-    parsed = page.withColumn("_list", F.when(F.octet_length("body") <= schemas.BODY_LIMIT, F.try_variant_get(F.try_parse_json("body"), path, "array<variant>")))
-    out = parsed.select(*KEYS, "page_no", F.col("_list").isNull().alias("_bad"), F.posexplode_outer("_list").alias("_at", "job"))
-    return out.where("_bad or job is not null").withColumn("issue", F.when(F.col("_bad"), "malformed body"))
+def _by_source(values: dict[str, Column | None], otherwise: Column | None = None) -> Column:
+    """The value of the row's source, null (or ``otherwise``) where it has none."""
+    out = F
+    for ats, value in values.items():
+        if value is not None:
+            out = out.when(F.col("ats") == ats, value)
+    return (F.lit(None) if otherwise is None else otherwise) if out is F else out if otherwise is None else out.otherwise(otherwise)
+
+
+def pages(payloads: DataFrame) -> DataFrame:
+    """The pages that count, with their jobs: ``payloads`` of known sources with _jobs (array of variants, null if the body
+    isn't the source's envelope). A body is parsed once, whatever its source.
+
+    A paged source is read up to its first short page; Workday's also ends where its pages have as many jobs as it says in
+    total. What was captured beyond isn't the board's.
+    """
+    body = F.try_parse_json(F.when(F.octet_length("body") <= schemas.BODY_LIMIT, F.col("body")))
+    known = payloads.where(F.col("ats").isin(*ENVELOPES)).withColumn("_body", body)
+    at = {ats: F.try_variant_get("_body", "$" if path is None else f"$.{path}", "array<variant>") for ats, path in ENVELOPES.items()}
+    found = known.withColumn("_jobs", _by_source(at)).withColumn("_total", F.try_variant_get("_body", "$.total", "long"))
+    paged = found.where(F.col("ats").isin(*PAGE)).groupBy(*KEYS, "page_no").agg(F.sum(F.coalesce(F.size("_jobs"), F.lit(0))).alias("n"), F.max("_total").alias("total"))
+    so_far = F.sum("n").over(W.partitionBy(*KEYS).orderBy("page_no"))  # as many rows as a board has pages
+    ends = (F.col("n") < _by_source({k: F.lit(v) for k, v in PAGE.items()})) | ((F.col("ats") == "workday") & (so_far >= F.coalesce("total", F.lit(0))))
+    last = paged.withColumn("_end", ends).where("_end").groupBy(*KEYS).agg(F.min("page_no").alias("_last"))
+    read = found.drop("_body", "_total").join(last, list(KEYS), "left")
+    return read.where("_last is null or page_no <= _last").drop("_last")
 
 
 def field(path: str, kind: str = "string") -> Column:
@@ -38,12 +59,6 @@ def text(path: str) -> Column:
     return X.blank_to_null(field(path))
 
 
-def _posting(df: DataFrame, columns: dict[str, Column], issue: Column) -> DataFrame:
-    kinds = dict(c.split() for c in schemas.POSTING.split(", "))
-    out = df.select(*KEYS, F.coalesce("issue", issue).alias("issue"), *(columns.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in schemas.POSTING_COLUMNS if c != "raw_data"), F.to_json("job").alias("raw_data"))
-    return out.select(*KEYS, "issue", *schemas.POSTING_COLUMNS)
-
-
 def _strict(path: str) -> tuple[Column, Column]:
     """An instant that must be one if it is there: (value, broken)."""
     raw = text(path)
@@ -54,107 +69,124 @@ def _list_of(c: Column) -> Column:
     return F.when(c.isNotNull(), F.array(c))
 
 
-def greenhouse(payloads: DataFrame) -> DataFrame:
-    df = jobs(payloads, "greenhouse", "jobs")
+def _named(array: str, name) -> Column:
+    """What ``name`` gives for each element of an array, nulls left out; empty if there is no array."""
+    return F.filter(F.transform(F.coalesce(field(array, "array<variant>"), F.expr("cast(array() as array<variant>)")), name), lambda x: x.isNotNull())
+
+
+# Each source gives the columns of a posting, the HTML of its description as "html", and what is wrong with a job as "issue".
+
+
+def greenhouse() -> dict[str, Column]:
     number = field("$.id", "long")
     (first, bad1), (changed, bad2) = _strict("$.first_published"), _strict("$.updated_at")
-    issue = F.when(F.coalesce(number, F.lit(0)) == 0, "missing id").when(bad1 | bad2, "malformed time")
     source_id = number.cast("string")
-    return _posting(df, {
-        "source_id": source_id, "source_url": F.concat_ws("/", F.lit(API["greenhouse"]), F.url_encode("board_token"), F.lit("jobs"), source_id), "title": text("$.title"), "job_url": text("$.absolute_url"),
-        "location_text": text("$.location.name"), "location_texts": _list_of(text("$.location.name")), "department": text("$.departments[0].name"), "description_text": X.blank_to_null(html_to_text(text("$.content"))),
-        "source_first_published_at": first, "source_last_modified_at": changed,
-    }, issue)
+    return {
+        "issue": F.when(F.coalesce(number, F.lit(0)) == 0, "missing id").when(bad1 | bad2, "malformed time"),
+        "source_id": source_id, "source_url": F.concat_ws("/", F.lit(API["greenhouse"]), X.path_escape(F.col("board_token")), F.lit("jobs"), source_id), "title": text("$.title"), "job_url": text("$.absolute_url"),
+        "location_texts": _list_of(text("$.location.name")), "department": text("$.departments[0].name"), "html": text("$.content"), "source_first_published_at": first, "source_last_modified_at": changed,
+    }
 
 
-def lever(payloads: DataFrame) -> DataFrame:
-    df = jobs(payloads, "lever", None)
+def lever() -> dict[str, Column]:
     made = X.epoch_ms(field("$.createdAt", "long"))
     pay = X.pay(field("$.salaryRange.min", "double"), field("$.salaryRange.max", "double"), field("$.salaryRange.currency"), field("$.salaryRange.interval"))
-    places = field("$.categories.allLocations", "array<string>")
-    issue = F.when(text("$.id").isNull(), "missing id").when(text("$.hostedUrl").isNull(), "missing url")
-    return _posting(df, {
-        "source_id": text("$.id"), "source_url": text("$.hostedUrl"), "job_url": text("$.hostedUrl"), "title": text("$.text"), "location_text": text("$.categories.location"),
-        "location_texts": F.coalesce(places, _list_of(text("$.categories.location"))), "department": text("$.categories.department"), "team": text("$.categories.team"),
-        "employment_type": X.employment(text("$.categories.commitment"), X.EMPLOYMENT_LEVER), "workplace_type": X.workplace(text("$.workplaceType")),
-        "description_text": F.coalesce(text("$.descriptionPlain"), X.blank_to_null(html_to_text(text("$.description")))), "posted_at": made, "source_first_published_at": made,
+    places = field("$.categories.allLocations", "array<string>")  # an empty list is one, a missing one isn't
+    return {
+        "issue": F.when(text("$.id").isNull(), "missing id").when(text("$.hostedUrl").isNull(), "missing url"),
+        "source_id": text("$.id"), "source_url": text("$.hostedUrl"), "job_url": text("$.hostedUrl"), "title": text("$.text"), "location_texts": F.coalesce(places, _list_of(text("$.categories.location"))),
+        "department": text("$.categories.department"), "team": text("$.categories.team"), "employment_type": X.employment(text("$.categories.commitment"), X.EMPLOYMENT_LEVER), "workplace_type": X.workplace(text("$.workplaceType")),
+        "description_text": text("$.descriptionPlain"), "html": text("$.description"), "posted_at": made, "source_first_published_at": made,
         "compensation_min": pay["min"], "compensation_max": pay["max"], "compensation_currency": pay["currency"], "compensation_period": pay["period"],
-    }, issue)
+    }
 
 
-def ashby(payloads: DataFrame) -> DataFrame:
-    df = jobs(payloads, "ashby", "jobs")
+def ashby() -> dict[str, Column]:
     at, bad = _strict("$.publishedAt")
     get = lambda e, p: X.blank_to_null(F.try_variant_get(e, p, "string"))
     postal = lambda e: X.blank_to_null(X.join_non_empty(", ", *(get(e, f"$.address.postalAddress.{p}") for p in ("addressLocality", "addressRegion", "addressCountry"))))
-    second = F.transform(F.coalesce(field("$.secondaryLocations", "array<variant>"), F.expr("cast(array() as array<variant>)")), lambda e: F.coalesce(postal(e), get(e, "$.location")))
-    places = F.filter(F.concat(F.array(text("$.location")), second), lambda x: x.isNotNull())
-    issue = F.when(text("$.id").isNull(), "missing id").when(text("$.jobUrl").isNull(), "missing url").when(bad, "malformed time")
-    return _posting(df, {
-        "source_id": text("$.id"), "source_url": text("$.jobUrl"), "job_url": text("$.jobUrl"), "title": text("$.title"), "department": text("$.department"), "team": text("$.team"), "location_text": text("$.location"),
-        "location_texts": F.when(F.size(places) > 0, places), "employment_type": X.employment(text("$.employmentType")), "workplace_type": X.workplace(text("$.workplaceType")), "posted_at": at, "source_first_published_at": at,
-        "description_text": X.blank_to_null(html_to_text(text("$.descriptionHtml"))),
-    }, issue)
-
-
-def workday(payloads: DataFrame) -> DataFrame:
-    df = jobs(payloads, "workday", "jobPostings")
-    host, site = F.substring_index("board_token", "/", 1), F.substring_index("board_token", "/", -1)
-    path = text("$.externalPath")
-    url = F.coalesce(text("$.externalUrl"), F.concat(F.lit("https://"), host, F.lit("/"), site, path))
+    places = F.concat(F.coalesce(_list_of(text("$.location")), F.expr("cast(array() as array<string>)")), _named("$.secondaryLocations", lambda e: F.coalesce(postal(e), get(e, "$.location"))))
+    return {
+        "issue": F.when(text("$.id").isNull(), "missing id").when(text("$.jobUrl").isNull(), "missing url").when(bad, "malformed time"),
+        "source_id": text("$.id"), "source_url": text("$.jobUrl"), "job_url": text("$.jobUrl"), "title": text("$.title"), "department": text("$.department"), "team": text("$.team"), "location_texts": F.when(F.size(places) > 0, places),
+        "employment_type": X.employment(text("$.employmentType")), "workplace_type": X.workplace(text("$.workplaceType")), "html": text("$.descriptionHtml"), "posted_at": at, "source_first_published_at": at,
+    }
+
+
+def workday() -> dict[str, Column]:
+    token = F.trim("board_token")
+    host, path = F.substring_index(token, "/", 1), text("$.externalPath")
+    site = F.substring(token, F.length(host) + 2, F.length(token))
+    url = F.coalesce(text("$.externalUrl"), F.concat(F.lit("https://"), host, F.lit("/en-US/"), site, F.lit("/"), F.regexp_replace(path, "^/", "")))
     day, _ = X.posted_on(field("$.postedOn"), F.to_date("fetched_at"))
-    return _posting(df, {"source_id": path, "source_url": url, "job_url": url, "title": text("$.title"), "location_text": text("$.locationsText"), "location_texts": _list_of(text("$.locationsText")), "posted_at": day}, F.when(path.isNull(), "missing path").when(~X.token_valid(F.lit("workday"), F.col("board_token")), "bad token"))
+    return {"issue": F.when(path.isNull(), "missing path"), "source_id": path, "source_url": url, "job_url": url, "title": text("$.title"), "location_texts": _list_of(text("$.locationsText")), "posted_at": day}
 
 
-def workable(payloads: DataFrame) -> DataFrame:
-    df = jobs(payloads, "workable", "jobs")
+def workable() -> dict[str, Column]:
     url = F.coalesce(text("$.url"), text("$.application_url"))
     place = X.blank_to_null(X.join_non_empty(", ", *(text(f"$.{p}") for p in ("city", "state", "country"))))
-    issue = F.when(text("$.shortcode").isNull(), "missing shortcode").when(url.isNull(), "missing url").when(~F.col("board_token").rlike(X.SLUG), "bad token")
-    return _posting(df, {
-        "source_id": text("$.shortcode"), "source_url": url, "job_url": url, "title": text("$.title"), "department": text("$.department"), "location_text": place, "location_texts": _list_of(place),
-        "employment_type": X.employment(text("$.employment_type")), "posted_at": X.day_or_instant(text("$.published_on")), "source_first_published_at": X.day_or_instant(text("$.created_at")),
-    }, issue)
+    return {
+        "issue": F.when(text("$.shortcode").isNull(), "missing shortcode").when(url.isNull(), "missing url"),
+        "source_id": text("$.shortcode"), "source_url": url, "job_url": url, "title": text("$.title"), "department": text("$.department"), "location_texts": _list_of(place), "employment_type": X.employment(text("$.employment_type")),
+        "posted_at": X.day(text("$.published_on")), "source_first_published_at": X.day_or_instant(text("$.created_at")),
+    }
 
 
-def gem(payloads: DataFrame) -> DataFrame:
-    df = jobs(payloads, "gem", None)
+def gem() -> dict[str, Column]:
     (first, bad1), (changed, bad2) = _strict("$.first_published_at"), _strict("$.updated_at")
-    offices = F.transform(F.coalesce(field("$.offices", "array<variant>"), F.expr("cast(array() as array<variant>)")), lambda e: X.blank_to_null(F.try_variant_get(e, "$.location.name", "string")))
-    offices = F.filter(offices, lambda x: x.isNotNull())
-    issue = F.when(text("$.id").isNull(), "missing id").when(text("$.absolute_url").isNull(), "missing url").when(bad1 | bad2, "malformed time")
-    return _posting(df, {
-        "source_id": text("$.id"), "source_url": text("$.absolute_url"), "job_url": text("$.absolute_url"), "title": text("$.title"), "location_text": text("$.location.name"),
-        "location_texts": F.when(F.size(offices) > 0, offices).otherwise(_list_of(text("$.location.name"))), "department": text("$.departments[0].name"),
-        "description_text": F.coalesce(text("$.content_plain"), X.blank_to_null(html_to_text(text("$.content")))), "workplace_type": X.workplace(text("$.location_type"), X.WORKPLACE_GEM),
-        "employment_type": X.employment(text("$.employment_type")), "source_first_published_at": first, "source_last_modified_at": changed,
-    }, issue)
+    offices = _named("$.offices", lambda e: X.blank_to_null(F.try_variant_get(e, "$.location.name", "string")))
+    return {
+        "issue": F.when(text("$.id").isNull(), "missing id").when(text("$.absolute_url").isNull(), "missing url").when(bad1 | bad2, "malformed time"),
+        "source_id": text("$.id"), "source_url": text("$.absolute_url"), "job_url": text("$.absolute_url"), "title": text("$.title"), "location_texts": F.when(F.size(offices) > 0, offices).otherwise(_list_of(text("$.location.name"))),
+        "department": text("$.departments[0].name"), "description_text": text("$.content_plain"), "html": text("$.content"), "workplace_type": X.workplace(text("$.location_type"), X.WORKPLACE_GEM),
+        "employment_type": X.employment(text("$.employment_type")), "posted_at": first, "source_first_published_at": first, "source_last_modified_at": changed,
+    }
+
+
+SOURCES = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby, "workday": workday, "workable": workable, "gem": gem}
 
 
-NORMALIZERS = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby, "workday": workday, "workable": workable, "gem": gem}
+def _jobs(payloads: DataFrame) -> tuple[DataFrame, dict[str, dict[str, Column]]]:
+    """One row for each job with its issue, and what each source makes of it. A body that isn't an envelope is one row with an issue."""
+    exploded = pages(payloads).select(*KEYS, F.col("_jobs").isNull().alias("_bad"), F.posexplode_outer("_jobs").alias("_at", "job")).where("_bad or job is not null")
+    made = {ats: source() for ats, source in SOURCES.items()}
+    return exploded.withColumn("issue", F.when(F.col("_bad"), "malformed body").otherwise(_by_source({k: v["issue"] for k, v in made.items()}))), made
 
 
 def normalize(payloads: DataFrame) -> DataFrame:
-    """Postings of all sources with their issues; a board over its page ceiling has one too."""
-    out = None
-    for fn in NORMALIZERS.values():
-        out = fn(payloads) if out is None else out.unionByName(fn(payloads))
-    return out
+    """Postings of all sources with their issues. location_text is the first of location_texts."""
+    rows, made = _jobs(payloads)
+    kinds = dict(c.split() for c in schemas.POSTING.split(", "))
+    column = lambda c: _by_source({k: v.get(c) for k, v in made.items()})
+    own = [c for c in schemas.POSTING_COLUMNS if c not in ("raw_data", "description_text", "location_text")]
+    out = rows.select(*KEYS, "issue", *(column(c).cast(kinds[c]).alias(c) for c in own), F.to_json("job").alias("raw_data"), column("description_text").alias("_plain"), F.when(column("description_text").isNull(), column("html")).alias("_html"))
+    out = out.withColumn("location_text", F.get("location_texts", F.lit(0))).withColumn("description_text", F.coalesce("_plain", X.blank_to_null(html_to_text("_html"))))
+    return out.select(*KEYS, "issue", *schemas.POSTING_COLUMNS)
+
+
+def token_readable(ats: Column, token: Column) -> Column:
+    """Whether a source can be asked for the token at all: a bare name for some, host and site for one, anything for the rest."""
+    token = F.trim(token)
+    host = F.substring_index(token, "/", 1)
+    site = ~token.contains("://") & ~token.startswith("/") & ~token.endswith("/") & token.contains("/") & (F.instr(host, ".") > 1)
+    return F.coalesce(F.when(ats.isin("workable", "gem"), (token != "") & ~token.rlike("[/?#]")).when(ats == "workday", site).otherwise(F.lit(True)), F.lit(False))
 
 
 def boards(payloads: DataFrame) -> DataFrame:
-    """company_id, ats, board_token, fetched_at, postings, first_issue: a board with any issue counts as failed. An empty board is sound."""
-    found = normalize(payloads).groupBy(*KEYS).agg(F.count_if(F.col("issue").isNull()).alias("postings"), F.min("issue").alias("first_issue"))
+    """company_id, ats, board_token, fetched_at, postings, first_issue, warning: a board with any issue counts as failed. An empty
+    board is sound. A board near the end of what its source gives at once, or of its pages, has a warning."""
+    found = _jobs(payloads)[0].groupBy(*KEYS).agg(F.count_if(F.col("issue").isNull()).alias("postings"), F.min("issue").alias("first_issue"))
     seen = payloads.groupBy(*KEYS).agg(F.max("page_no").alias("pages"))
-    out = seen.join(found, list(KEYS), "left")
-    issue = F.when(~F.col("ats").isin(*schemas.SOURCES), "unsupported source").when(F.col("pages") >= MOST_PAGES, "too many pages").otherwise(F.col("first_issue"))
-    return out.select(*KEYS, F.coalesce("postings", F.lit(0)).alias("postings"), issue.alias("first_issue"))
+    out = seen.join(found, list(KEYS), "left").withColumn("postings", F.coalesce("postings", F.lit(0)))
+    issue = F.when(~F.col("ats").isin(*SOURCES), "unsupported source").when(~token_readable(F.col("ats"), F.col("board_token")), "bad token").when(F.col("pages") >= MOST_PAGES, "too many pages").otherwise(F.col("first_issue"))
+    warning = F.when(F.col("ats").isin(*PAGE) & (F.col("pages") >= WARN_PAGES), "many pages").when(F.col("ats").isin("workable", "gem") & (F.col("postings") >= WARN_JOBS), "many jobs")
+    return out.select(*KEYS, "postings", issue.alias("first_issue"), warning.alias("warning"))
 
 
 def accepted(payloads: DataFrame) -> DataFrame:
-    """Postings of sound boards only."""
-    sound = boards(payloads).where("first_issue is null").select(*KEYS)
-    return normalize(payloads).where("issue is null").join(sound, list(KEYS), "left_semi").drop("issue")
+    """Postings of sound boards only. Boards are judged by their jobs' issues, without the rest of a posting."""
+    unsound = boards(payloads).where("first_issue is not null").select(*KEYS)
+    return normalize(payloads).where("issue is null").join(unsound, list(KEYS), "left_anti").drop("issue")
 
 
 def read_sidecar(spark, path: str) -> DataFrame:
