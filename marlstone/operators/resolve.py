@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as X
 from marlstone.operators.latest import latest_per_key
 
 THRESHOLD, FUZZY_SHOWN, REVISIT_DAYS = 0.4, 3, 90
+#: What one request may ask: candidates, and days that count as recent.
+MOST_CANDIDATES, RECENT_DAYS, MOST_DAYS = 200, 30, 2**31 - 1
 KINDS = {"token": 4, "domain": 3, "name_only": 2, "fuzzy_name": 1}
 
 
-def recent_companies(companies: DataFrame, snapshots: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+def recent_companies(companies: DataFrame, snapshots: DataFrame, as_of: Column, days: int = RECENT_DAYS) -> DataFrame:
     """companies with has_recent_snapshot: any fetched within the days before as_of, the edge included."""
     last = snapshots.groupBy("company_id").agg(F.max("fetched_at").alias("_last"))
     out = companies.join(last, companies["id"] == last["company_id"], "left").drop("company_id")
@@ -42,15 +45,58 @@ def fuzzy_matches(candidates: DataFrame, companies: DataFrame, threshold: float
         sides.append(df.select(key, X.trigrams(F.col("name")).alias("grams")).where(F.size("grams") > 0))
     counts = sides[1].select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     prefixed = []
-    for df, key in zip(sides, ("input_index", "id"), strict=True):
-        ranked = df.select(key, "grams", F.explode("grams").alias("g")).join(counts, "g", "left")
-        ranked = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("o"), F.first("grams").alias("grams"))
-        keep = F.size("o") - F.ceil(F.size("o") * threshold - 1e-9).cast("int") + 1
-        prefixed.append(ranked.select(key, "grams", F.explode(F.slice("o", 1, keep)).alias("o")).select(key, "grams", F.col("o.g").alias("g")))
-    left, right = prefixed[0].withColumnRenamed("grams", "a"), prefixed[1].withColumnRenamed("grams", "b")
-    near = F.expr(f"least(size(a), size(b)) >= {threshold} * greatest(size(a), size(b)) - 1e-9")
-    pairs = left.join(right, "g").where(near).dropDuplicates(["input_index", "id"])
-    return pairs.withColumn("score", X.similarity(F.col("a"), F.col("b"))).where(F.col("score") >= F.lit(threshold).cast("float").cast("double")).select("input_index", "id", "score")
+    for df, key, name in zip(sides, ("input_index", "id"), "ab", strict=True):
+        ranked = df.select(key, F.explode("grams").alias("g")).join(counts, "g", "left")
+        ranked = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("o")).select(key, F.col("o.g").alias(name))
+        keep = F.size(name) - F.ceil(F.size(name) * threshold - 1e-9).cast("int") + 1
+        prefixed.append(ranked.withColumn(f"front_{name}", F.slice(name, 1, keep)).withColumn("g", F.explode(f"front_{name}")))
+    n, m = F.size("a"), F.size("b")
+    near = F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
+    # both fronts are in one order, so a pair is met once: at the first that they share; the arrays go through one shuffle only
+    first = F.get(F.array_intersect("front_a", "front_b"), F.lit(0)) == F.col("g")
+    score = X.similarity(F.col("a"), F.col("b"))
+    pairs = prefixed[0].join(prefixed[1], "g").where(near).where(first).withColumn("score", score)
+    return pairs.where(F.col("score") >= F.lit(threshold).cast("float").cast("double")).select("input_index", "id", "score")
+
+
+def request_failures(requests: DataFrame, candidates: DataFrame) -> DataFrame:
+    """request_id, path, code of look-ups (request_id, recency_days) over their candidates (request_id, ...) that ask too much."""
+    n = candidates.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
+    days = F.coalesce(F.col("recency_days").cast("long"), F.lit(RECENT_DAYS))
+    rules = (("candidates", "too_many_candidates", F.coalesce("_n", F.lit(0)) > MOST_CANDIDATES), ("recency_days", "invalid_recency_days", ~days.between(1, MOST_DAYS)))
+    # the first that is wrong is told, as a request is refused by it
+    found = F.coalesce(*(F.when(broken, F.struct(F.lit(path).alias("path"), F.lit(code).alias("code"))) for path, code, broken in rules))
+    return requests.join(n, "request_id", "left").select("request_id", found.alias("f")).where("f is not null").select("request_id", "f.*")
+
+
+def _resolved(candidates: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates trimmed, token matches, all other matches): input_index, id, p (strength), score."""
+    cand = candidates.withColumn("name", F.trim(F.coalesce("name", F.lit("")))).withColumn("careers_url", F.when(X.url_valid(F.trim("careers_url")), F.trim("careers_url")))
+    valid = cand.where("name <> ''")
+    token = valid.where("trim(ats) <> '' and trim(board_token) <> ''").select("input_index", F.trim("ats").alias("ats"), F.trim("board_token").alias("board_token"))
+    by_token = token.join(companies.select("id", "ats", "board_token", "has_recent_snapshot"), ["ats", "board_token"]).groupBy("input_index").agg(F.min(F.struct("id", "has_recent_snapshot")).alias("t"))
+    rest = valid.join(by_token.select("input_index"), "input_index", "left_anti")
+    exact = name_matches(rest, companies).select("input_index", "id", F.lit(2).alias("p")).unionByName(host_matches(rest, companies).select("input_index", "id", F.lit(3).alias("p")))
+    fuzzy = fuzzy_matches(rest.join(exact.select("input_index").distinct(), "input_index", "left_anti"), companies)
+    every = exact.groupBy("input_index", "id").agg(F.max("p").alias("p")).withColumn("score", F.lit(1.0)).unionByName(fuzzy.select("input_index", "id", F.lit(1).alias("p"), "score"))
+    return cand, by_token, every
+
+
+def matches(candidates: DataFrame, companies: DataFrame, shown: int = FUZZY_SHOWN) -> DataFrame:
+    """input_index, id, match_kind, score, match_count: every match of each candidate, a company once and by its strongest kind.
+
+    A token match is the only one. Of matches by trigrams, which there are only where nothing else matches, the ``shown``
+    most alike are given (ties to the smaller id); match_count counts those that aren't, too.
+    """
+    _, by_token, every = _resolved(candidates, companies)
+    exact = every.where("p > 1").select("input_index", "id", "p", "score")
+    counts = every.groupBy("input_index").agg(F.count(F.lit(1)).alias("match_count"))
+    # a rank that is filtered at once is cut in each task before the shuffle, so no candidate's matches meet in one
+    place = W.partitionBy("input_index").orderBy(F.col("score").desc(), "id")
+    fuzzy = every.where("p = 1").withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= shown).drop("_r")
+    kind = F.when(F.col("p") == 3, "domain").when(F.col("p") == 2, "name_only").otherwise("fuzzy_name")
+    out = exact.unionByName(fuzzy).join(counts, "input_index").select("input_index", "id", kind.alias("match_kind"), "score", "match_count")
+    return out.unionByName(by_token.select("input_index", F.col("t.id").alias("id"), F.lit("token").alias("match_kind"), F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("match_count")))
 
 
 def verdicts(candidates: DataFrame, companies: DataFrame) -> DataFrame:
@@ -60,16 +106,8 @@ def verdicts(candidates: DataFrame, companies: DataFrame) -> DataFrame:
     host or name, or, only where there is none, by trigrams, is stale; nothing at all is new; a blank name is invalid.
     Of several matches the strongest kind leads, then the higher score, then the smaller id.
     """
-    cand = candidates.withColumn("name", F.trim(F.coalesce("name", F.lit("")))).withColumn("careers_url", F.when(X.url_valid(F.trim("careers_url")), F.trim("careers_url")))
-    valid = cand.where("name <> ''")
-    token = valid.where("trim(ats) <> '' and trim(board_token) <> ''").select("input_index", F.trim("ats").alias("ats"), F.trim("board_token").alias("board_token"))
-    by_token = token.join(companies.select("id", "ats", "board_token", "has_recent_snapshot"), ["ats", "board_token"]).groupBy("input_index").agg(F.min(F.struct("id", "has_recent_snapshot")).alias("t"))
-    rest = valid.join(by_token.select("input_index"), "input_index", "left_anti")
-    exact = name_matches(rest, companies).select("input_index", "id", F.lit(2).alias("p")).unionByName(host_matches(rest, companies).select("input_index", "id", F.lit(3).alias("p")))
-    fuzzy = fuzzy_matches(rest.join(exact.select("input_index").distinct(), "input_index", "left_anti"), companies)
-    every = exact.withColumn("score", F.lit(1.0)).unionByName(fuzzy.select("input_index", "id", F.lit(1).alias("p"), "score"))
-    every = every.groupBy("input_index", "id").agg(F.max(F.struct("p", "score")).alias("m"))
-    best = every.groupBy("input_index").agg(F.count(F.lit(1)).alias("match_count"), F.max(F.struct(F.col("m.p").alias("p"), F.col("m.score").alias("score"), (-F.col("id")).alias("neg"))).alias("b"))
+    cand, by_token, every = _resolved(candidates, companies)
+    best = every.groupBy("input_index").agg(F.count(F.lit(1)).alias("match_count"), F.max(F.struct("p", "score", (-F.col("id")).alias("neg"))).alias("b"))
     out = cand.select("input_index", "name").join(by_token, "input_index", "left").join(best, "input_index", "left")
     kind = F.when(F.col("t").isNotNull(), "token").when(F.col("b.p") == 3, "domain").when(F.col("b.p") == 2, "name_only").when(F.col("b.p") == 1, "fuzzy_name").otherwise("none")
     verdict = F.when(F.col("name") == "", "invalid").when(F.col("t.has_recent_snapshot"), "duplicate").when(F.col("t").isNotNull() | F.col("b").isNotNull(), "stale").otherwise("new")
@@ -105,3 +143,8 @@ def onboarding_state(records: DataFrame) -> DataFrame:
         .when(F.coalesce("detection", F.lit("")) != "detected", "unsupported-ats").when(~F.coalesce("board_ok", F.lit(False)), "invalid-token").otherwise("verified")
     )
     return records.withColumn("next_status", state)
+
+
+def onboarding_summary(records: DataFrame) -> DataFrame:
+    """status, n of research records after a run: how many stand in each state."""
+    return records.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

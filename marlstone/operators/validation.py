@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone import schemas
-from marlstone.functions.expr import SLUG
+from marlstone.functions.expr import SLUG, strip_code_fence
 
 MOST_SLUG, MOST_NOTES = 64, 4096
 PAYLOAD = (
@@ -57,13 +57,23 @@ RESPONSE = "results array<struct<posting_id: long, payload: string>>"
 
 def response_outcomes(responses: DataFrame, expected: DataFrame) -> DataFrame:
     """batch_id, posting_id, outcome of model responses (batch_id, body) against the ids that were asked (batch_id, posting_id):
-    missing ones, ones given twice (which void the batch's JSON), unexpected ones dropped, the rest parsed."""
-    from marlstone.functions.expr import strip_code_fence
+    missing ones, ones given twice (which void the batch's JSON), the rest parsed. Ids that nobody asked for are dropped
+    here; unexpected_ids() has them."""
+    _, given, bad = _given(responses)
+    out = expected.join(given, ["batch_id", "posting_id"], "left").join(bad, "batch_id", "left")
+    return out.select("batch_id", "posting_id", F.when(F.col("bad"), "json_failed").when(F.col("count").isNull(), "missing").otherwise("parsed").alias("outcome"))
 
+
+def _given(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(parsed bodies, how often each batch gives each id, the batches whose JSON counts for nothing)."""
     parsed = responses.select("batch_id", F.from_json(strip_code_fence(F.col("body")), RESPONSE).alias("r"))
     broken = parsed.where("r.results is null").select("batch_id")
     given = parsed.select("batch_id", F.explode("r.results").alias("x")).groupBy("batch_id", F.col("x.posting_id").alias("posting_id")).count()
     twice = given.where("count > 1").select("batch_id").distinct()
-    bad = broken.unionByName(twice).distinct().withColumn("bad", F.lit(True))
-    out = expected.join(given, ["batch_id", "posting_id"], "left").join(bad, "batch_id", "left")
-    return out.select("batch_id", "posting_id", F.when(F.col("bad"), "json_failed").when(F.col("count").isNull(), "missing").otherwise("parsed").alias("outcome"))
+    return parsed, given, broken.unionByName(twice).distinct().withColumn("bad", F.lit(True))
+
+
+def unexpected_ids(responses: DataFrame, expected: DataFrame) -> DataFrame:
+    """batch_id, posting_id that a sound response gives and nobody asked for."""
+    _, given, bad = _given(responses)
+    return given.select("batch_id", "posting_id").join(bad, "batch_id", "left_anti").join(expected.select("batch_id", "posting_id"), ["batch_id", "posting_id"], "left_anti")

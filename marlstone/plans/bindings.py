@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: A snapshot's place among those of one time: all other columns, so the order is total up to equal rows.
 SNAPSHOT_ORDER = ("fetched_at", "line", "supplier", "quantity", "price", "discount", "tax", "flag")
-#: A posting is a company and a part; both fit 31 bits.
+#: A posting is a company and a part; both fit 31 bits, so that ids are whole numbers below 2**63.
 PART_SPAN = 4294967296
 
 
@@ -51,7 +51,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshots(spark, sf_dir).groupBy(F.col("job_posting_id").alias("id"), "company_id", "part_id").agg(F.min("run_at").alias("first_seen_at"))
+    """Company and part of a posting follow from its id, and its first sighting from line items and orders alone."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("run_at"))
+    seen = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    first = seen.groupBy((F.col("o_custkey") * F.lit(PART_SPAN) + F.col("l_partkey")).alias("id")).agg(F.min("run_at").alias("first_seen_at"))
+    return first.select("id", F.shiftright("id", 32).alias("company_id"), (F.col("id") % PART_SPAN).alias("part_id"), "first_seen_at")
 
 
 def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from marlstone.operators.latest import latest_per_key
 from marlstone.plans import bindings as B
 from marlstone.plans import composition as C
 from marlstone.plans import read_models as R
-from marlstone.sources import ledger, payloads
+from marlstone.sources import actions, ledger, payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,7 +82,7 @@ def _display(spark, sf_dir):
 def open_count_per_company(spark, sf_dir):
     t = B.bind(spark, sf_dir)
     opened = R.open_postings(t.runs, t.snapshots, t.postings)
-    return opened.join(t.postings.select(F.col("id").alias("job_posting_id"), "company_id"), "job_posting_id").groupBy("company_id").agg(F.count(F.lit(1)).alias("n_open"))
+    return opened.groupBy(F.shiftright("job_posting_id", 32).alias("company_id")).agg(F.count(F.lit(1)).alias("n_open"))
 
 
 @query(BIND + "select fetch_run_id, company_id, started_at from latest_run")
@@ -229,33 +229,50 @@ def url_host_match(spark, sf_dir):
     return resolve.host_matches(pages.select(F.col("page_id").alias("input_index"), F.col("url").alias("careers_url")), known)
 
 
-@query("with names as (select 'a' as which, page_id as key, substring(regexp_extract(html, '<title>([^<]*)', 1), 1, 40) as name from pages union all select 'b', item_id, substring(text, 1, 40) from benchmark), " + _TRIGRAMS + "select input_index, id, round(score, 6) as score from scored where score >= cast(cast(0.4 as float) as double)")
+@query("with names as (select 'a' as which, p_partkey as key, p_type || ' ' || p_name as name from part union all select 'b', min(p_partkey), p_name from part group by p_name), " + _TRIGRAMS + "select input_index, id, round(score, 6) as score from scored where score >= cast(cast(0.4 as float) as double)")
 def fuzzy_match(spark, sf_dir):
-    cand = B.read(spark, sf_dir, "pages").select(F.col("page_id").alias("input_index"), F.substring(F.regexp_extract("html", "<title>([^<]*)", 1), 1, 40).alias("name"))
-    known = B.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 40).alias("name"))
+    """Whole names of parts, with their type, against the distinct names."""
+    part = B.read(spark, sf_dir, "part")
+    cand = part.select(F.col("p_partkey").alias("input_index"), F.concat("p_type", F.lit(" "), "p_name").alias("name"))
+    known = part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
     return resolve.fuzzy_matches(cand, known).withColumn("score", F.round("score", 6))
 
 
-@query(BIND + f""", last as (select company_id, max(fetched_at) as seen from snaps group by 1),
+_MATCHES = BIND + f""", last as (select company_id, max(fetched_at) as seen from snaps group by 1),
 cand as (select s_suppkey as i, case s_suppkey % 5 when 0 then 'T' || s_suppkey when 1 then 'CUSTOMER # ' || substring(s_name, 10, 9) when 2 then 'Host ' || s_suppkey when 3 then 'Custmer ' || substring(s_name, 10, 9) else ' ' end as n from supplier),
 names as (select 'a' as which, i as key, n as name from cand where i % 5 in (0, 2, 3) union all select 'b', c_custkey, c_name from customer), {_TRIGRAMS},
 m as (
   select i, c_custkey as id, 4 as p, 1.0 as score from cand join customer on i = c_custkey where i % 5 = 0 union all
   select i, c_custkey, 2, 1.0 from cand join customer on 'customer' || substring(n, 12) = lower(regexp_replace(c_name, '[^a-zA-Z0-9]', '', 'g')) where i % 5 = 1 union all
   select i, c_custkey, 3, 1.0 from cand join customer on i = c_custkey where i % 5 = 2 union all
-  select input_index, id, 1, score from scored where input_index % 5 = 3 and score >= cast(cast(0.4 as float) as double)),
-best as (select i, count(*) as match_count, max(p) as p, first(id order by p desc, score desc, id) as id from m group by i)
+  select input_index, id, 1, score from scored where input_index % 5 = 3 and score >= cast(cast(0.4 as float) as double))
+"""
+
+
+@query(_MATCHES + f""", best as (select i, count(*) as match_count, max(p) as p, first(id order by p desc, score desc, id) as id from m group by i)
 select cand.i as input_index, case when i % 5 = 4 then 'invalid' when p = 4 and coalesce(last.seen >= {AS_OF_SQL} - interval 30 day, false) then 'duplicate' when p is not null then 'stale' else 'new' end as verdict,
   case coalesce(p, 0) when 4 then 'token' when 3 then 'domain' when 2 then 'name_only' when 1 then 'fuzzy_name' else 'none' end as match_kind, coalesce(match_count, 0) as match_count, id as matched_id
 from cand left join best using (i) left join last on last.company_id = best.id
 """)
 def dedup_verdict(spark, sf_dir):
+    return resolve.verdicts(*_candidates(spark, sf_dir))
+
+
+@query(_MATCHES + """, c as (select *, count(*) over (partition by i) as match_count, row_number() over (partition by i order by score desc, id) as rn from m)
+select i as input_index, id, case p when 4 then 'token' when 3 then 'domain' when 2 then 'name_only' else 'fuzzy_name' end as match_kind, round(score, 6)::double as score, match_count from c where p > 1 or rn <= 3
+""")
+def dedup_matches(spark, sf_dir):
+    return resolve.matches(*_candidates(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+def _candidates(spark, sf_dir):
+    """(candidates, companies): suppliers that match customers by token, name, host or likeness, or not at all."""
     i, number = F.col("s_suppkey"), F.substring("s_name", 10, 9)
     name = F.when(i % 5 == 0, F.concat(F.lit("T"), i)).when(i % 5 == 1, F.concat(F.lit("CUSTOMER # "), number)).when(i % 5 == 2, F.concat(F.lit("Host "), i)).when(i % 5 == 3, F.concat(F.lit("Custmer "), number)).otherwise(F.lit(" "))
     url = F.when(i % 5 == 2, F.concat(F.lit("HTTP://me@www.C"), i, F.lit(".example.com:80/x")))
     cand = B.read(spark, sf_dir, "supplier").select(i.alias("input_index"), name.alias("name"), F.when(i % 5 == 0, "greenhouse").alias("ats"), F.concat(F.lit("c"), i).alias("board_token"), url.alias("careers_url"))
     known = B.companies(spark, sf_dir).select("id", "name", F.lit("greenhouse").alias("ats"), F.concat(F.lit("c"), "id").alias("board_token"), F.concat(F.lit("https://c"), "id", F.lit(".example.com/jobs")).alias("careers_page_url"))
-    return resolve.verdicts(cand, resolve.recent_companies(known, B.snapshots(spark, sf_dir), _as_of()))
+    return cand, resolve.recent_companies(known, B.snapshots(spark, sf_dir), _as_of())
 
 
 @query(f"""
@@ -329,11 +346,12 @@ def token_normalize(spark, sf_dir):
 
 @query("""
 select o_orderkey, case when n >= 999950 then regexp_replace(printf('%.1f', n / 1000000), '\\.0$', '') || 'M' when n >= 1000 then regexp_replace(printf('%.1f', n / 1000), '\\.0$', '') || 'K' else cast(n as varchar) end as compact,
-  case when s > 0 and w < 1 then '<1%' when s < 1 and w > 99 then '99%' else w || '%' end as percent from (select o_orderkey, cast(floor(o_totalprice) as bigint) * 10 as n, o_custkey / 1500 as s, cast(round(o_custkey / 1500 * 100) as int) as w from orders where o_custkey <= 1500)
+  case when s > 0 and w < 1 then '<1%' when s < 1 and w > 99 then '99%' else w || '%' end as percent from (select o_orderkey, cast(floor(o_totalprice) as bigint) * 10 as n, o_custkey / m as s, cast(round(o_custkey / m * 100) as int) as w from orders, (select max(o_custkey) as m from orders))
 """)
 def display_formats(spark, sf_dir):
-    o = B.read(spark, sf_dir, "orders").where("o_custkey <= 1500")
-    return o.select("o_orderkey", X.compact_count(F.floor("o_totalprice").cast("long") * 10).alias("compact"), X.percent_text(F.col("o_custkey") / 1500).alias("percent"))
+    o = B.read(spark, sf_dir, "orders")
+    o = o.crossJoin(F.broadcast(o.agg(F.max("o_custkey").alias("m"))))  # one row
+    return o.select("o_orderkey", X.compact_count(F.floor("o_totalprice").cast("long") * 10).alias("compact"), X.percent_text(F.col("o_custkey") / F.col("m")).alias("percent"))
 
 
 @query()
@@ -371,7 +389,7 @@ def _page_no() -> F.Column:
 @query("""
 select o_custkey as company_id, cast(o_orderkey as varchar) as source_id, 'https://jobs.example/' || o_orderkey as source_url, o_orderdate as posted_at,
   case o_orderstatus when 'F' then 'full_time' when 'P' then 'contract' end as employment_type, case o_orderstatus when 'F' then 'remote' end as workplace_type,
-  case when o_orderkey % 3 = 0 then cast(floor(o_totalprice) as bigint) end as compensation_min, case when o_orderkey % 3 = 0 then 'EUR' end as compensation_currency, case when o_orderkey % 3 = 0 then 'year' end as compensation_period, len(x) as n_locations
+  case when o_orderkey % 3 = 0 then cast(floor(o_totalprice) as bigint) end as compensation_min, case when o_orderkey % 3 = 0 then 'EUR' end as compensation_currency, case when o_orderkey % 3 = 0 then 'year' end as compensation_period, array_to_string(x, '|') as locations, x[1] as location_text
 from (select *, case o_orderkey % 4 when 0 then [] when 1 then ['A', 'B'] when 2 then ['Here'] end as x from orders)
 where o_custkey not in (select o_custkey from orders where o_totalprice < 1500)
 """)
@@ -387,7 +405,7 @@ def lever_boards(spark, sf_dir):
     body = o.groupBy(F.col("o_custkey").alias("company_id"), "body_no").agg(F.to_json(F.collect_list(job)).alias("body"))
     pages = body.select("company_id", F.lit("lever").alias("ats"), F.lit("t").alias("board_token"), _page_no(), F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "body")
     out = payloads.accepted(pages)
-    return out.select("company_id", "source_id", "source_url", "posted_at", "employment_type", "workplace_type", "compensation_min", "compensation_currency", "compensation_period", F.size("location_texts").cast("long").alias("n_locations")).withColumn("n_locations", F.when(F.col("n_locations") >= 0, F.col("n_locations")))
+    return out.select("company_id", "source_id", "source_url", "posted_at", "employment_type", "workplace_type", "compensation_min", "compensation_currency", "compensation_period", F.array_join("location_texts", "|").alias("locations"), "location_text")
 
 
 @query("select o_orderkey as run_id, o_custkey as company_id, o_orderdate as started_at, case o_orderstatus when 'F' then 'success' when 'P' then 'failed' else 'in_progress' end as status, case o_orderstatus when 'F' then 7 end as postings_count from orders")
@@ -501,8 +519,100 @@ def greenhouse_boards(spark, sf_dir):
     job = F.struct(k.alias("id"), stamp.alias("updated_at"), F.concat(F.lit("&lt;p&gt;P&amp;nbsp;"), "o_orderpriority", F.lit("&lt;/p&gt;&lt;script&gt;x&lt;/script&gt;")).alias("content"), F.when(k % 2 == 0, F.array(F.struct(F.concat(F.lit("D"), "o_orderstatus").alias("name")))).alias("departments"))
     body = _dealt(B.read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").groupBy(F.col("o_custkey").alias("company_id"), "body_no").agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("body"))
     pages = body.select("company_id", F.lit("greenhouse").alias("ats"), F.concat(F.lit("Co "), "company_id").alias("board_token"), _page_no(), F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "body")
-    out = payloads.accepted(pages).withColumn("source_url", F.replace("source_url", F.lit("+"), F.lit("%20")))
-    return out.select("company_id", "source_id", "source_url", "source_last_modified_at", "description_text", "department")
+    return payloads.accepted(pages).select("company_id", "source_id", "source_url", "source_last_modified_at", "description_text", "department")
+
+
+def _captured(spark, sf_dir, ats: str, token, job, envelope: str | None):
+    """Orders as a source's captured boards, one for each customer, large ones in several pages."""
+    jobs = F.collect_list(job)
+    body = jobs if envelope is None else F.struct(jobs.alias(envelope), F.lit(10**9).alias("total"))
+    rows = _dealt(B.read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").groupBy(F.col("o_custkey").alias("company_id"), "body_no").agg(F.to_json(body).alias("body"))
+    return rows.select("company_id", F.lit(ats).alias("ats"), token.alias("board_token"), _page_no(), F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "body")
+
+
+#: All columns of a posting but its raw JSON, with the places as one text.
+_SHOWN = ("company_id", "source_id", "source_url", "title", "location_text", "locations", "department", "team", "employment_type", "workplace_type", "job_url", "description_text", "posted_at", "source_first_published_at", "source_last_modified_at")
+_SOUND = "o_custkey not in (select o_custkey from orders where o_totalprice < 1500)"
+
+
+def _shown(pages):
+    return payloads.accepted(pages).withColumn("locations", F.array_join("location_texts", "|")).select(*_SHOWN)
+
+
+def _stamp():
+    return F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+@query(f"""
+select o_custkey as company_id, 'a' || o_orderkey as source_id, 'https://ashby.example/' || o_orderkey as source_url, o_orderpriority as title, x[1] as location_text, array_to_string(nullif(x, []), '|') as locations, 'D' || o_orderstatus as department, case o_orderstatus when 'F' then 'T' end as team,
+  case o_orderstatus when 'F' then 'full_time' when 'P' then 'intern' end as employment_type, case o_orderstatus when 'F' then 'onsite' when 'P' then 'hybrid' end as workplace_type, 'https://ashby.example/' || o_orderkey as job_url, 'P ' || o_orderpriority as description_text, o_orderdate as posted_at, o_orderdate as source_first_published_at, null::timestamp as source_last_modified_at
+from (select *, list_concat(case when o_orderkey % 3 > 0 then ['L' || o_orderkey % 5] else [] end, case o_orderkey % 4 when 0 then ['Rome, IT', 'S2'] when 1 then [] when 2 then ['Lyon, ARA, FR'] else [] end) as x from orders) where {_SOUND}
+""")
+def ashby_boards(spark, sf_dir):
+    """One job without an address rejects its whole board."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    place = lambda location, city, region, country: F.struct(F.lit(location).alias("location"), F.struct(F.struct(F.lit(city).alias("addressLocality"), F.lit(region).alias("addressRegion"), F.lit(country).alias("addressCountry")).alias("postalAddress")).alias("address"))
+    more = F.when(k % 4 == 0, F.array(place("S1", "Rome", "", "IT"), place("S2", "", "", ""))).when(k % 4 == 1, F.array(place("", "", "", ""))).when(k % 4 == 2, F.array(place("", "Lyon", "ARA", "FR")))
+    job = F.struct(
+        F.concat(F.lit("a"), k).alias("id"), F.when(F.col("o_totalprice") >= 1500, F.concat(F.lit("https://ashby.example/"), k)).alias("jobUrl"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("D"), status).alias("department"), F.when(status == "F", "T").otherwise("").alias("team"),
+        F.when(k % 3 > 0, F.concat(F.lit("L"), k % 5)).otherwise("").alias("location"), more.alias("secondaryLocations"), F.when(status == "F", "FullTime").when(status == "P", "Intern").otherwise("odd").alias("employmentType"), F.when(status == "F", "OnSite").when(status == "P", "Hybrid").alias("workplaceType"),
+        _stamp().alias("publishedAt"), F.concat(F.lit("<p>P "), "o_orderpriority", F.lit("</p>")).alias("descriptionHtml"),
+    )
+    return _shown(_captured(spark, sf_dir, "ashby", F.lit("t"), job, "jobs"))
+
+
+@query(f"""
+select o_custkey as company_id, path as source_id, url as source_url, o_orderpriority as title, place as location_text, place as locations, null::varchar as department, null::varchar as team, null::varchar as employment_type, null::varchar as workplace_type, url as job_url, null::varchar as description_text,
+  case o_orderkey % 4 when 0 then {AS_OF_SQL} when 1 then {AS_OF_SQL} - interval 1 day * (o_orderkey % 25) when 2 then cast(o_orderdate::date as timestamp) end as posted_at, null::timestamp as source_first_published_at, null::timestamp as source_last_modified_at
+from (select *, case when o_orderkey % 5 = 0 then 'https://w.example/' || o_orderkey else 'https://a' || o_custkey || '.wd5.myworkdayjobs.com/en-US/Site/x/job/' || o_orderkey end as url from (select *, case when o_orderkey % 2 = 0 then '/' else '' end || 'job/' || o_orderkey as path, case when o_orderkey % 3 > 0 then 'P' || o_orderkey % 7 end as place from orders)) where {_SOUND}
+""")
+def workday_boards(spark, sf_dir):
+    """One job without a path rejects its whole board; addresses are the source's own or made of host, site and path."""
+    k = F.col("o_orderkey")
+    posted = F.when(k % 4 == 0, "Posted Today").when(k % 4 == 1, F.concat(F.lit("Posted "), k % 25, F.lit(" Days Ago"))).when(k % 4 == 2, F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd")).otherwise("Posted 30+ Days Ago")
+    job = F.struct(
+        F.col("o_orderpriority").alias("title"), F.when(F.col("o_totalprice") >= 1500, F.concat(F.when(k % 2 == 0, "/").otherwise(""), F.lit("job/"), k)).alias("externalPath"), F.when(k % 3 > 0, F.concat(F.lit("P"), k % 7)).otherwise("").alias("locationsText"),
+        posted.alias("postedOn"), F.when(k % 5 == 0, F.concat(F.lit("https://w.example/"), k)).alias("externalUrl"),
+    )
+    return _shown(_captured(spark, sf_dir, "workday", F.concat(F.lit("a"), "company_id", F.lit(".wd5.myworkdayjobs.com/Site/x")), job, "jobPostings"))
+
+
+@query(f"""
+select o_custkey as company_id, 'S' || o_orderkey as source_id, u as source_url, o_orderpriority as title, place as location_text, place as locations, case when o_orderkey % 2 = 0 then 'D' end as department, null::varchar as team, case o_orderstatus when 'F' then 'full_time' when 'P' then 'contract' end as employment_type, null::varchar as workplace_type, u as job_url, null::varchar as description_text,
+  case when o_orderkey % 3 = 0 then cast(o_orderdate::date as timestamp) end as posted_at, case o_orderkey % 3 when 0 then o_orderdate when 1 then cast(o_orderdate::date as timestamp) end as source_first_published_at, null::timestamp as source_last_modified_at
+from (select *, case when o_orderkey % 2 = 0 then 'https://u.example/' else 'https://v.example/' end || o_orderkey as u, nullif(array_to_string([case when o_orderkey % 4 > 0 then 'C' || o_orderkey % 4 end, case when o_orderkey % 4 = 2 then 'St' end, case when o_orderkey % 4 > 1 then 'X' end], ', '), '') as place from orders) where {_SOUND}
+""")
+def workable_boards(spark, sf_dir):
+    """One job without any address rejects its whole board."""
+    k = F.col("o_orderkey")
+    day = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd")
+    sound = F.col("o_totalprice") >= 1500
+    job = F.struct(
+        F.concat(F.lit("S"), k).alias("shortcode"), F.when(sound & (k % 2 == 0), F.concat(F.lit("https://u.example/"), k)).otherwise("").alias("url"), F.when(sound, F.concat(F.lit("https://v.example/"), k)).alias("application_url"), F.col("o_orderpriority").alias("title"), F.when(k % 2 == 0, "D").alias("department"),
+        F.when(k % 4 > 0, F.concat(F.lit("C"), k % 4)).alias("city"), F.when(k % 4 == 2, "St").alias("state"), F.when(k % 4 > 1, "X").otherwise("").alias("country"), F.when(F.col("o_orderstatus") == "F", "Full-time").when(F.col("o_orderstatus") == "P", "CONTRACT").otherwise("odd").alias("employment_type"),
+        F.when(k % 3 == 0, day).otherwise(_stamp()).alias("published_on"), F.when(k % 3 == 0, _stamp()).when(k % 3 == 1, day).otherwise("soon").alias("created_at"),
+    )
+    return _shown(_captured(spark, sf_dir, "workable", F.concat(F.lit("Co_"), "company_id"), job, "jobs"))
+
+
+@query(f"""
+select o_custkey as company_id, 'g' || o_orderkey as source_id, 'https://gem.example/' || o_orderkey as source_url, o_orderpriority as title, x[1] as location_text, array_to_string(x, '|') as locations, case when o_orderkey % 2 = 0 then 'D' || o_orderstatus end as department, null::varchar as team,
+  case o_orderstatus when 'F' then 'full_time' when 'P' then 'temporary' end as employment_type, case o_orderstatus when 'F' then 'onsite' when 'P' then 'remote' end as workplace_type, 'https://gem.example/' || o_orderkey as job_url, case when o_orderkey % 2 = 0 then 'plain' else 'P ' || o_orderpriority end as description_text,
+  o_orderdate as posted_at, o_orderdate as source_first_published_at, case when o_orderkey % 3 = 0 then o_orderdate end as source_last_modified_at
+from (select *, case o_orderkey % 4 when 0 then ['O1', 'O2'] when 1 then ['N'] when 2 then ['N'] end as x from orders) where {_SOUND}
+""")
+def gem_boards(spark, sf_dir):
+    """One job with a malformed time rejects its whole board; offices come before the job's own place."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    office = lambda name: F.struct(F.struct(F.lit(name).alias("name")).alias("location"))
+    offices = F.when(k % 4 == 0, F.array(office("O1"), office(""), office("O2"))).when(k % 4 == 1, F.array(office("")))
+    job = F.struct(
+        F.concat(F.lit("g"), k).alias("id"), F.concat(F.lit("https://gem.example/"), k).alias("absolute_url"), F.col("o_orderpriority").alias("title"), F.struct(F.when(k % 4 < 3, "N").otherwise("").alias("name")).alias("location"), offices.alias("offices"),
+        F.when(k % 2 == 0, F.array(F.struct(F.concat(F.lit("D"), status).alias("name")))).alias("departments"), F.when(k % 2 == 0, "plain").otherwise("").alias("content_plain"), F.concat(F.lit("<p>P "), "o_orderpriority", F.lit("</p>")).alias("content"),
+        F.when(status == "F", "in_office").when(status == "P", "REMOTE").otherwise("moon").alias("location_type"), F.when(status == "F", "full_time").when(status == "P", "Temporary").otherwise("odd").alias("employment_type"),
+        F.when(F.col("o_totalprice") < 1500, "soon").otherwise(_stamp()).alias("first_published_at"), F.when(k % 3 == 0, _stamp()).otherwise("").alias("updated_at"),
+    )
+    return _shown(_captured(spark, sf_dir, "gem", F.lit("g"), job, None))
 
 
 @query("select c_custkey as id, c_name as name from customer where c_mktsegment <> 'BUILDING'")
@@ -598,3 +708,181 @@ def arrival_rate(spark, sf_dir):
 @query(_ASK + f"select job_posting_id, c_name as company, round(date_diff('second', first_seen_at, {AS_OF_SQL}) / 86400, 6) as value from life join postings on postings.id = job_posting_id join customer on c_custkey = life.company_id where is_open and c_name = 'Customer#000000001'")
 def open_age(spark, sf_dir):
     return C.answer(_corpus(spark, sf_dir), C.Composition("age", "table", group_by=("company",), filters=(("company", "Customer#000000001"),)), _as_of()).withColumn("value", F.round("value", 6))
+
+
+_WEEKS = _ASK + f""", seen as (select s.job_posting_id, s.company_id, s.part_id, min(date_trunc('week', d.started_at)) as w from snaps s join done d on s.fetch_run_id = d.id group by all),
+weeks as (select company_id, date_trunc('week', started_at) as week, id, row_number() over (partition by company_id, date_trunc('week', started_at) order by started_at desc, id desc) as rn from done),
+runs_of as (select company_id, id, week, coalesce(lead(week) over (partition by company_id order by week), date_trunc('week', {AS_OF_SQL}) + interval 7 day) as until from weeks where rn = 1),
+spread as (select company_id, id, unnest(generate_series(week, until - interval 7 day, interval 7 day)) as week from runs_of),
+now_open as (select distinct s.job_posting_id, spread.week from spread join snaps s on s.fetch_run_id = spread.id and s.company_id = spread.company_id),
+by_then as (select seen.*, unnest(generate_series(w, date_trunc('week', {AS_OF_SQL}), interval 7 day)) as week from seen)
+"""
+
+
+@query(_WEEKS + "select cast(week as timestamp) as week, count(distinct job_posting_id) as value from by_then group by 1")
+def known_by_week(spark, sf_dir):
+    return C.answer(_corpus(spark, sf_dir), C.Composition("count", "line", "all", ("week",)), _as_of())
+
+
+@query(_WEEKS + f"select seniority, cast(week as timestamp) as week, count(distinct job_posting_id) as value, classified, total from by_then join current_class using (part_id), (select count(*) as total, count(k.id) as classified from life left join current_class k using (part_id) where not is_open) where (job_posting_id, week) not in (select job_posting_id, week from now_open) and week >= date_trunc('week', {AS_OF_SQL} - interval 70 day) group by all")
+def closed_by_week(spark, sf_dir):
+    return C.answer(_corpus(spark, sf_dir), C.Composition("count", "line", "closed", ("seniority", "week"), weeks=10), _as_of())
+
+
+@query(_WEEKS + ", n as (select seniority, cast(week as timestamp) as week, count(distinct job_posting_id) as v from now_open join postings on postings.id = job_posting_id join current_class using (part_id) group by 1, 2) select seniority, week, round(v / sum(v) over (partition by seniority), 6) as value, classified, total from n, covered")
+def share_by_week(spark, sf_dir):
+    return C.answer(_corpus(spark, sf_dir), C.Composition("share", "line", "open", ("seniority", "week")), _as_of()).withColumn("value", F.round("value", 6))
+
+
+@query(_ASK + f""", last_before as (select company_id, id from (select *, row_number() over (partition by company_id order by started_at desc, id desc) as rn from done where started_at <= {AS_OF_SQL} - interval 28 day) where rn = 1)
+select (select count(*) from life where is_open) - (select count(distinct job_posting_id) from snaps s join last_before l on s.fetch_run_id = l.id and s.company_id = l.company_id) as value""")
+def change_in_all(spark, sf_dir):
+    return C.answer(_corpus(spark, sf_dir), C.Composition("delta", "table", "open", weeks=4), _as_of())
+
+
+@query(_ASK + "select k.seniority, count(distinct job_posting_id) as value, classified, total from life join current_class k using (part_id) join terms t on t.classification_id = k.id and t.term_kind = 'skill', covered where is_open and t.name in ('ring', 'small') group by all order by value desc, seniority limit 3")
+def demand_for_skills(spark, sf_dir):
+    return C.answer(_corpus(spark, sf_dir), C.Composition("count", "ranked_bars", "open", ("seniority",), (("skill", "ring"), ("skill", " small ")), sort="desc", limit=3), _as_of())
+
+
+# --- actions: requests judged, rows to append ---
+
+_REQUEST = """with p as (select page_id, regexp_extract(html, '<title>([^<]*)', 1) as title, url, regexp_extract(url, '^https?://([^/?#]+)', 1) as host, regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1) as path from pages),
+r as (select page_id as request_id, case when length(title) > 30 then title else '  ' end as name, case when host like '%.com' then 'lever' when host like '%.net' then 'workday' when host like '%.org' then ' ' else 'other' end as ats,
+  case when host like 'm.%' then null when host like '%.net' and length(host) % 2 = 0 then 'a' || page_id || '.myworkdayjobs.com/Site' else path end as token, case when length(url) % 3 = 0 then replace(url, '://', ':') else url end as link,
+  case when host like '%.com' then 'no_careers' when host like '%.net' then 'unsupported_ats' when host like '%.org' then 'bored' end as reason, length(title) % 2 = 0 as bare from p)
+"""
+
+
+def _requests(spark, sf_dir):
+    """Pages as requests: what they ask follows from their addresses and titles."""
+    host, path, title = F.regexp_extract("url", "^https?://([^/?#]+)", 1), F.regexp_extract("url", "^https?://[^/?#]+/([^?#]*)", 1), F.regexp_extract("html", "<title>([^<]*)", 1)
+    ends = lambda x: F.endswith(host, F.lit(x))
+    return B.read(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("request_id"), F.when(F.length(title) > 30, title).otherwise("  ").alias("name"), F.when(ends(".com"), "lever").when(ends(".net"), "workday").when(ends(".org"), " ").otherwise("other").alias("ats"),
+        F.when(F.startswith(host, F.lit("m.")), F.lit(None)).when(ends(".net") & (F.length(host) % 2 == 0), F.concat(F.lit("a"), "page_id", F.lit(".myworkdayjobs.com/Site"))).otherwise(path).alias("board_token"),
+        F.when(F.length("url") % 3 == 0, F.replace("url", F.lit("://"), F.lit(":"))).otherwise(F.col("url")).alias("careers_page_url"), F.when(ends(".com"), "no_careers").when(ends(".net"), "unsupported_ats").when(ends(".org"), "bored").alias("reason"), (F.length(title) % 2 == 0).alias("bare"),
+    )
+
+
+@query(_REQUEST + """select request_id, 'name' as path, 'missing_required' as code from r where trim(name) = '' union all select request_id, 'ats', case ats when 'other' then 'unsupported_ats' else 'missing_required' end from r where ats in ('other', ' ')
+union all select request_id, 'board_token', 'missing_required' from r where coalesce(token, '') = '' union all select request_id, 'board_token', 'invalid_board_token' from r where token <> '' and ats = 'workday' and token not like '%.myworkdayjobs.com/Site'
+union all select request_id, 'careers_page_url', 'invalid_url' from r where link not like 'http%://%'""")
+def add_company_checks(spark, sf_dir):
+    return actions.add_company_failures(_requests(spark, sf_dir))
+
+
+@query(_REQUEST + """select request_id, 'name' as path, 'missing_required' as code from r where trim(name) = '' union all select request_id, 'reason', case when reason is null then 'missing_required' else 'invalid_reason' end from r where coalesce(reason, 'bored') = 'bored'
+union all select request_id, 'url', 'missing_required' from r where bare and reason = 'unsupported_ats' union all select request_id, 'url', 'invalid_url' from r where not bare and link not like 'http%://%'""")
+def record_unsupported_checks(spark, sf_dir):
+    r = _requests(spark, sf_dir)
+    return actions.record_unsupported_failures(r.select("request_id", "name", F.when(~F.col("bare"), F.col("careers_page_url")).alias("url"), "reason"))
+
+
+@query(_REQUEST + """, s as (select * from r where trim(name) <> '' and reason in ('no_careers', 'unsupported_ats') and (reason = 'no_careers' or not bare) and (bare or link like 'http%://%'))
+select lower(regexp_replace(name, '[^\\p{L}\\p{N}]', '', 'g')) as norm, count(*) as n, max(case when bare then null else link end) as url from s group by 1""")
+def record_unsupported(spark, sf_dir):
+    """The registry after the sound requests; names that come once tell their address."""
+    r = _requests(spark, sf_dir).select("request_id", "name", F.when(~F.col("bare"), F.col("careers_page_url")).alias("url"), "reason", F.lit(None).cast("string").alias("detected_platform"), _as_of().alias("at"))
+    none = r.where("false").select("name", "url", "detected_platform", "reason", F.col("at").alias("first_seen_at"), F.col("at").alias("last_checked_at"))
+    after, failed = actions.record_unsupported(none, r)
+    sound = r.join(failed.select("request_id").distinct(), "request_id", "left_anti").groupBy(X.normalize_name(F.trim("name")).alias("norm")).agg(F.count(F.lit(1)).alias("n"), F.max("url").alias("most"))
+    return after.join(sound, "norm").select("norm", "n", F.when(F.col("n") == 1, F.col("url")).otherwise(F.col("most")).alias("url"))
+
+
+@query("""with c as (select l_suppkey * 3 + case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as request_id, l_suppkey, count(*) as n from lineitem group by 1, 2)
+select request_id, case when n > 200 then 'candidates' else 'recency_days' end as path, case when n > 200 then 'too_many_candidates' else 'invalid_recency_days' end as code from c join supplier on s_suppkey = l_suppkey where n > 200 or s_nationkey - 3 < 1""")
+def lookup_checks(spark, sf_dir):
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    asked = B.read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 3 + flag).alias("request_id"), "l_suppkey")
+    days = B.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") - 3).alias("recency_days"))
+    return resolve.request_failures(asked.distinct().join(days, "l_suppkey").select("request_id", "recency_days"), asked)
+
+
+_SAVE = """with e as (select event_id as payload_id, user_id as posting_id, ts, case event_type when 'signup' then 'senior' when 'purchase' then 'lead' when 'click' then 'mid' else event_type end as seniority, case when event_type = 'click' and user_id % 2 = 0 then 'no model' when event_type = 'purchase' then 'm-1' else ' ' end as model,
+  lower(replace(p_brand, '#', '-')) as role, p_brand, lower(p_type) as spec, p_type, split_part(p_name, ' ', 1) as skill1, split_part(p_name, ' ', 2) as skill2, case when p_name like 'small%' then ' x ' else ' ' end as notes from events join part on p_partkey = user_id),
+f as (select payload_id, 'seniority' as path, 'invalid_seniority' as code from e where seniority not in ('senior', 'lead', 'mid')
+  union all select payload_id, 'provenance.model', 'invalid_provenance' from e where model = 'no model' union all select payload_id, 'posting_id', 'posting_not_found' from e join part on p_partkey = posting_id where p_size % 5 = 0
+  union all select payload_id, unnest(['specializations[0].slug', 'skills[0].slug']), 'slug_collision' from e where spec = skill1 and skill1 <> skill2 union all select payload_id, unnest(['specializations[0].slug', 'skills[1].slug']), 'slug_collision' from e where spec = skill2 and skill1 <> skill2
+  union all select payload_id, unnest(['specializations[0].slug', 'skills[0].slug', 'skills[1].slug']), 'slug_collision' from e where spec = skill2 and skill1 = skill2 union all select payload_id, 'skills[1].slug', 'duplicate_slug' from e where skill1 = skill2
+  union all select payload_id, 'roles[0].slug', 'slug_too_long' from e where false),
+sound as (select * from e where payload_id not in (select payload_id from f))
+"""
+
+
+def _saved(spark, sf_dir) -> actions.Saved:
+    """Events as classification payloads of parts: brand as role, type as specialization, words of the name as skills."""
+    part, kind, none = B.read(spark, sf_dir, "part"), F.col("event_type"), F.lit(None).cast("string")
+    e = B.read(spark, sf_dir, "events").join(part, F.col("user_id") == F.col("p_partkey"))
+    words = F.split("p_name", " ")
+    term = lambda slug, name: F.struct(slug.alias("slug"), name.alias("name"))
+    rows = e.select(
+        F.col("event_id").alias("payload_id"), F.col("user_id").alias("posting_id"), F.when((kind == "click") & (F.col("user_id") % 2 == 0), "no model").when(kind == "purchase", "m-1").otherwise(" ").alias("model"), none.alias("prompt_version"),
+        F.when(kind == "signup", "senior").when(kind == "purchase", "lead").when(kind == "click", "mid").otherwise(kind).alias("seniority"), F.when(F.col("p_name").like("small%"), " x ").otherwise(" ").alias("notes"),
+        F.array(F.struct(F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("slug"), F.col("p_brand").alias("name"), F.array(F.lit("engineering")).alias("dimensions"), none.alias("notes"))).alias("roles"),
+        F.array(term(F.lower("p_type"), F.col("p_type"))).alias("specializations"), F.transform(words, lambda w: F.struct(w.alias("slug"), none.alias("name"))).alias("skills"),
+    )
+    known = part.select(F.lit("skills").alias("kind"), F.explode(F.split("p_name", " ")).alias("slug")).where("slug = 'ring'").distinct()
+    dimensions = B.read(spark, sf_dir, "region").limit(1).select(F.lit("engineering").alias("slug"))
+    return actions.save_enrichments(rows, part.where("p_size % 5 <> 0").select(F.col("p_partkey").alias("id")), known, dimensions, B.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), _as_of())
+
+
+@query(_SAVE + "select * from f")
+def save_failures(spark, sf_dir):
+    return _saved(spark, sf_dir).failures
+
+
+@query(_SAVE + "select payload_id, posting_id, case model when ' ' then 'mcp-agent' else model end as model, 'mcp-save-enrichment-v1' as prompt_version, seniority, nullif(trim(notes), '') as notes from sound")
+def save_enrichment(spark, sf_dir):
+    return _saved(spark, sf_dir).classifications.select("payload_id", "posting_id", "model", "prompt_version", "seniority", "notes")
+
+
+@query(_SAVE + "select distinct 'roles' as kind, role as slug, p_brand as name from sound union all select distinct 'specializations', spec, p_type from sound union all select 'skills', w, w from (select distinct unnest([skill1, skill2]) as w from sound) where w <> 'ring'")
+def save_new_terms(spark, sf_dir):
+    return _saved(spark, sf_dir).terms.select("kind", "slug", "name")
+
+
+@query("""with d as (select doc_id, text, substr(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+', '-', 'g'), 1, 5 + n_chars % 90) as slug from documents)
+select doc_id as payload_id, 'notes' as path, 'notes_too_long' as code from d where strlen(text) > 4096 union all select doc_id, 'specializations[0].slug', case when length(slug) > 64 then 'slug_too_long' else 'invalid_slug' end from d where length(slug) > 64 or not regexp_full_match(slug, '[a-z]+(-[a-z]+)*')
+union all select doc_id, 'specializations[0].name', 'null_byte' from d where contains(text, '|') union all select doc_id, 'notes', 'null_byte' from d where contains(text, '$')""")
+def payload_text_rules(spark, sf_dir):
+    """Documents as notes and their first letters as slugs; a sign stands for a null byte, which files of text can't hold."""
+    text, none = F.col("text"), F.lit(None).cast("string")
+    slug = F.expr("substring(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+', '-'), 1, cast(5 + n_chars % 90 as int))")
+    mark = lambda c, x: F.replace(c, F.lit(x), F.lit("\0"))
+    rows = B.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("payload_id"), F.lit("senior").alias("seniority"), mark(text, "$").alias("notes"), F.expr("cast(array() as array<struct<slug: string, name: string, dimensions: array<string>, notes: string>>)").alias("roles"), F.array(F.struct(slug.alias("slug"), mark(text, "|").alias("name"))).alias("specializations"), F.expr("cast(array() as array<struct<slug: string, name: string>>)").alias("skills"))
+    nothing = rows.where("false").select(none.alias("kind"), none.alias("slug"))
+    return validation.rule_failures(rows, nothing, nothing.select("slug"))
+
+
+@query("select user_id as batch_id, event_id + 10000000 as posting_id from (select *, count(*) over (partition by user_id) as n, max(case when event_type = 'error' and cast(json_extract_string(props, '$.k') as int) > 97 then 1 else 0 end) over (partition by user_id) as broken from events) where event_type = 'error' and broken = 0")
+def unexpected_ids(spark, sf_dir):
+    """Error events are answered with ids that nobody asked for; a batch with an odd one of them is no JSON."""
+    e = B.read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    given = e.select(F.col("user_id").alias("batch_id"), F.when(F.col("event_type") == "error", F.col("event_id") + 10_000_000).otherwise(F.col("event_id")).alias("posting_id"), ((F.col("event_type") == "error") & (F.col("k") > 97)).alias("odd"))
+    body = _dealt(given, "batch_id", "posting_id").groupBy("batch_id", "body_no").agg(F.to_json(F.struct(F.collect_list(F.struct("posting_id", F.lit("{}").alias("payload"))).alias("results"))).alias("body"), F.max("odd").alias("odd"))
+    return validation.unexpected_ids(body.select("batch_id", F.when(F.col("odd"), F.lit("{oops")).otherwise(F.col("body")).alias("body")), e.select(F.col("user_id").alias("batch_id"), F.col("event_id").alias("posting_id")))
+
+
+@query("select case o_orderstatus when 'F' then 'verified' when 'P' then 'no-careers' else 'pending' end as status, count(*) as n from orders group by 1")
+def onboarding_summary(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "verified").when(F.col("o_orderstatus") == "P", "no-careers").otherwise("pending")
+    return resolve.onboarding_summary(B.read(spark, sf_dir, "orders").select(status.alias("status")))
+
+
+@query("select min(p_partkey) as id, lower(replace(p_brand, '#', '-')) as slug, p_brand as name from part group by p_brand order by slug")
+def taxonomy_list(spark, sf_dir):
+    brands = B.read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("id"))
+    return ledger.terms_by_slug(brands.withColumn("slug", F.lower(F.replace("name", F.lit("#"), F.lit("-")))))
+
+
+@query(f"""with r as (select o_custkey, count(*) as n, bool_or(o_totalprice < 1500) as bad from orders group by 1)
+select o_custkey as company_id, case when bad then 'failed' else 'success' end as status, case when bad then 'missing url' end as error_message, case when not bad then n end as postings_count, case when bad then 0 else n end as n_snapshots from r""")
+def fetch_outcomes(spark, sf_dir):
+    """Captured boards through the whole transaction: each board's run, and how many snapshots it writes."""
+    k = F.col("o_orderkey")
+    job = F.struct(F.concat(F.lit("a"), k).alias("id"), F.when(F.col("o_totalprice") >= 1500, F.concat(F.lit("https://ashby.example/"), k)).alias("jobUrl"))
+    none = B.read(spark, sf_dir, "orders").where("false").select(k.alias("id"), F.col("o_custkey").alias("company_id"), F.lit("").alias("source_url"), F.lit("").alias("source_id"), F.col("o_orderdate").cast("timestamp").alias("first_seen_at"))
+    events, _, snaps = actions.fetch_transaction(_captured(spark, sf_dir, "ashby", F.lit("t"), job, "jobs"), B.runs(spark, sf_dir), none)
+    counts = snaps.groupBy("company_id", F.col("fetch_run_id").alias("run_id")).agg(F.count(F.lit(1)).alias("n_snapshots"))
+    return ledger.fold_runs(events).join(counts, ["company_id", "run_id"], "left").select("company_id", "status", "error_message", F.col("postings_count").cast("long").alias("postings_count"), F.coalesce("n_snapshots", F.lit(0)).alias("n_snapshots"))

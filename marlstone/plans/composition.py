@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from urllib.parse import parse_qsl, urlencode
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.operators.latest import latest_per_key
@@ -65,6 +66,9 @@ class Composition:
         return bool(CLASSIFIED & {*self.group_by, *(d for d, _ in self.filters)})
 
     def link(self) -> str:
+        """The canonical question as a link; one that can't be answered has none."""
+        if wrong := self.issues():
+            raise ValueError(f"no link for what can't be answered: {wrong}")
         c = self.canonical()
         pairs = [("v", "1"), ("m", c.measure), ("coh", c.cohort), *([("by", ",".join(c.group_by))] if c.group_by else []), *(("f", f"{d}:{v}") for d, v in c.filters)]
         pairs += [(k, str(v)) for k, v in (("win", f"{c.weeks}w" if c.weeks is not None else None), ("sort", c.sort), ("n", c.limit)) if v is not None]
@@ -86,6 +90,44 @@ def from_link(link: str) -> tuple[Composition | None, list[tuple[str, str]]]:
     return (None, issues) if issues else (c.canonical(), [])
 
 
+def from_mapping(value: object) -> tuple[Composition | None, list[tuple[str, str]]]:
+    """(composition, issues) from plain data, as JSON gives it: unknown keys are refused, null is absent, numbers may be digits in
+    a text, nothing else is converted."""
+    keys = {"measure": str, "encoding": str, "cohort": str, "groupBy": list, "filters": list, "window": dict, "sort": str, "limit": int}
+    if not isinstance(value, dict):
+        return None, [("shape", "")]
+    got = {k: v for k, v in value.items() if v is not None}
+    number = lambda v: v if isinstance(v, int) and not isinstance(v, bool) else int(v) if isinstance(v, str) and re.fullmatch("[0-9]{1,9}", v) else None
+    if "limit" in got:
+        got["limit"] = number(got["limit"])
+    bad = [k for k, v in got.items() if k not in keys or not isinstance(v, keys[k])]
+    window, filters, groups = got.get("window", {}), got.get("filters", []), got.get("groupBy", [])
+    if isinstance(window, dict) and window and (set(window) != {"weeks"} or number(window["weeks"]) is None):
+        bad.append("window")
+    if isinstance(filters, list) and not all(isinstance(f, dict) and set(f) == {"dimension", "value"} and all(isinstance(x, str) for x in f.values()) for f in filters):
+        bad.append("filters")
+    if isinstance(groups, list) and not all(isinstance(g, str) for g in groups):
+        bad.append("groupBy")
+    bad += [k for k in ("measure", "encoding") if k not in got]
+    if bad:
+        return None, [("shape", k) for k in dict.fromkeys(bad)]
+    c = Composition(got["measure"], got["encoding"], got.get("cohort", ""), tuple(groups), tuple((f["dimension"], f["value"]) for f in filters), number(window["weeks"]) if window else None, got.get("sort"), got.get("limit"))
+    issues = c.issues()
+    return (None, issues) if issues else (c.canonical(), [])
+
+
+def json_schema() -> dict:
+    """JSON Schema of what from_mapping() reads. It is looser: the rules between slots aren't in it."""
+    one_of = lambda values: {"type": "string", "enum": list(values)}
+    whole = lambda most: {"type": "integer", "minimum": 1, "maximum": most}
+    strict = lambda properties, required: {"type": "object", "properties": properties, "required": required, "additionalProperties": False}
+    text = {"type": "string", "minLength": 1}
+    return strict({
+        "measure": one_of(COHORTS), "encoding": one_of(ENCODINGS), "cohort": one_of(dict.fromkeys(c for v in COHORTS.values() for c in v)), "groupBy": {"type": "array", "items": one_of(GROUPINGS)},
+        "filters": {"type": "array", "items": strict({"dimension": one_of(GROUPINGS[:-1]), "value": text}, ["dimension", "value"])}, "window": strict({"weeks": whole(MOST_WEEKS)}, ["weeks"]), "sort": one_of(SORTS), "limit": whole(MOST_ROWS),
+    }, ["measure", "encoding"])
+
+
 # The five questions that come with the product.
 SEEDS = {
     "demand_trend": Composition("count", "line", "open", ("company", "week")),
@@ -110,13 +152,6 @@ class Corpus:
     key: str = "job_posting_id"
 
 
-def open_at(corpus: Corpus, at: Column) -> DataFrame:
-    """job_posting_id, company_id of postings open at a time: seen in the last successful run of their company at or before it."""
-    done = corpus.runs.where((F.col("status") == "success") & (F.col("started_at") <= at))
-    last = latest_per_key(done.select("company_id", F.col("id").alias("fetch_run_id"), "started_at"), ["company_id"], ["started_at", "fetch_run_id"])
-    return corpus.sightings.join(last.select("company_id", "fetch_run_id"), ["company_id", "fetch_run_id"]).select("job_posting_id", "company_id").distinct()
-
-
 def lifetimes(corpus: Corpus, as_of: Column) -> DataFrame:
     """job_posting_id, company_id, first_seen_at, last_seen_at, is_open of postings seen in any successful run by then; the others are unknown and absent.
 
@@ -222,8 +257,6 @@ def _weekly(corpus: Corpus, scoped, counted, groups: list[str], as_of: Column, b
     successful run, so sightings are spread over as many weeks as the history has, not over all pairs."""
     done = corpus.runs.where((F.col("status") == "success") & (F.col("started_at") <= as_of)).withColumn("week", F.date_trunc("week", "started_at"))
     last = latest_per_key(done.select("company_id", "week", F.col("id").alias("fetch_run_id"), "started_at"), ["company_id", "week"], ["started_at", "fetch_run_id"])
-    from pyspark.sql import Window as W
-
     until = F.coalesce(F.lead("week").over(W.partitionBy("company_id").orderBy("week")), F.date_trunc("week", as_of) + F.expr("interval 7 days"))
     spread = last.withColumn("until", until).withColumn("week", F.explode(F.sequence(F.col("week"), F.col("until") - F.expr("interval 7 days"), F.expr("interval 7 days")))).select("company_id", "fetch_run_id", "week")
     if begin is not None:
@@ -231,9 +264,16 @@ def _weekly(corpus: Corpus, scoped, counted, groups: list[str], as_of: Column, b
     seen = corpus.sightings.select("job_posting_id", "company_id", "fetch_run_id").distinct()
     if cohort == "open":
         return counted(scoped(seen.join(spread, ["company_id", "fetch_run_id"])), [*groups, "week"])
-    # seen by then, and for closed ones not in the company's run of that week
-    ever = seen.join(done.select(F.col("id").alias("fetch_run_id"), F.col("week").alias("w")), "fetch_run_id").groupBy("job_posting_id", "company_id").agg(F.min("w").alias("w"))
-    weeks = ever.join(spread, "company_id").where("w <= week")
+    # seen by then: arrivals by week, summed up; closed: those that aren't open, as an open one has been seen by then
+    ever = seen.join(done.select(F.col("id").alias("fetch_run_id"), F.col("week").alias("w")), "fetch_run_id").groupBy("job_posting_id", "company_id").agg(F.min("w").alias("week"))
+    arrived = counted(scoped(ever), [*groups, "week"])
+    first = arrived.groupBy(*groups).agg(F.min("week").alias("_first")) if groups else arrived.agg(F.min("week").alias("_first"))
+    weeks = first.where("_first is not null").withColumn("week", F.explode(F.sequence("_first", F.date_trunc("week", as_of), F.expr("interval 7 days")))).drop("_first")
+    upto = W.partitionBy(*groups).orderBy("week")  # a row for each week of the history
+    every = weeks.join(arrived, [*groups, "week"], "left").withColumn("value", F.sum(F.coalesce("value", F.lit(0))).over(upto))
+    if begin is not None:
+        every = every.where(F.col("week") >= F.date_trunc("week", begin))
     if cohort == "closed":
-        weeks = weeks.join(seen, ["job_posting_id", "company_id", "fetch_run_id"], "left_anti")
-    return counted(scoped(weeks.select("job_posting_id", "company_id", "week")), [*groups, "week"])
+        opened = counted(scoped(seen.join(spread, ["company_id", "fetch_run_id"])), [*groups, "week"]).withColumnRenamed("value", "_open")
+        every = every.join(opened, [*groups, "week"], "left").withColumn("value", F.col("value") - F.coalesce("_open", F.lit(0))).where("value > 0")
+    return every.select(*groups, "week", "value")

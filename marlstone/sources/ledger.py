@@ -58,6 +58,11 @@ def get_or_create(existing: DataFrame, wanted: DataFrame, at: Column) -> DataFra
     return existing.unionByName(numbered(new, ["slug"], greatest_id(existing)).select(*existing.columns))
 
 
+def terms_by_slug(terms: DataFrame) -> DataFrame:
+    """id, slug, name in the order of slugs."""
+    return terms.select("id", "slug", "name").orderBy("slug")
+
+
 def new_terms(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(before.select("slug"), "slug", "left_anti")
 
