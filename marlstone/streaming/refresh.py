@@ -1,20 +1,45 @@
-"""Optional: snapshots as a file stream that keeps the table of open postings fresh. The batch read models stay the definition."""
+"""Open postings kept fresh by a stream of snapshot files. The batch read models stay the definition."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from marlstone.plans.read_models import open_postings
+from marlstone.plans.read_models import latest_successful_runs
+
+SCHEMA = "job_posting_id long, fetch_run_id long"
+
+
+def _version(spark: SparkSession, out_dir: str, version: int) -> DataFrame:
+    try:
+        return spark.read.schema(SCHEMA).parquet(f"{out_dir}/version={version}")
+    except AnalysisException:
+        return spark.createDataFrame([], SCHEMA)
 
 
 def open_postings_stream(spark: SparkSession, snapshot_dir: str, schema: str, runs_dir: str, postings_dir: str, out_dir: str, checkpoint: str):
-    """Starts a query that, for each micro-batch of new snapshot files, rewrites the open postings of the companies in it."""
+    """Starts a query that reads each snapshot file once and writes the open postings after each micro-batch as a version.
+
+    A batch joins its new snapshots and the version before with the latest successful runs, so its work follows the open
+    postings and the new files, not the whole log. A run whose end is logged after its snapshots were read is found again
+    among ``pending`` ones, which a version keeps as long as their run isn't older than the company's latest. A batch
+    that is run again overwrites its own version only.
+    """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select("company_id").distinct()
-        snapshots = spark.read.schema(schema).parquet(snapshot_dir).join(touched, "company_id", "left_semi")
-        opened = open_postings(spark.read.parquet(runs_dir), snapshots, spark.read.parquet(postings_dir))
-        opened.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        session = batch.sparkSession
+        runs = session.read.parquet(runs_dir)
+        latest = latest_successful_runs(runs).select("company_id", F.col("started_at").alias("latest_at"), F.col("fetch_run_id").alias("latest_id"))
+        owners = session.read.parquet(postings_dir).select(F.col("id").alias("job_posting_id"), "company_id")
+        seen = _version(session, out_dir, batch_id - 1).unionByName(batch.where("fetch_run_id is not null").select("job_posting_id", "fetch_run_id")).distinct()
+        placed = seen.join(runs.select(F.col("id").alias("fetch_run_id"), F.col("company_id").alias("run_company"), "started_at"), "fetch_run_id").join(owners, "job_posting_id").where("company_id = run_company").join(latest, "company_id", "left")
+        kept = placed.where("latest_id is null or struct(started_at, fetch_run_id) >= struct(latest_at, latest_id)")
+        kept.select("job_posting_id", "fetch_run_id").write.mode("overwrite").parquet(f"{out_dir}/version={batch_id}")
 
     return spark.readStream.schema(schema).parquet(snapshot_dir).writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def open_now(spark: SparkSession, runs: DataFrame, out_dir: str, version: int) -> DataFrame:
+    """job_posting_id, fetch_run_id of the postings that are open by a version and the runs as they stand now."""
+    return _version(spark, out_dir, version).join(latest_successful_runs(runs).select("fetch_run_id"), "fetch_run_id").select("job_posting_id", "fetch_run_id")
