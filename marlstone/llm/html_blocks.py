@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, each_batch
 
-PATH_BITS, WORD_BITS, EMBED, HIDDEN, MEASURES = 10, 9, 20, 16, 6
+PATH_BITS, WORD_BITS, EMBED, HIDDEN, MEASURES = 12, 9, 20, 16, 6
 #: Rows at which a sum of rows stops growing with their number; all of them count.
 FULL_ROWS = 40
 #: Fixed values of HTML: elements that hold no text to read, that stand alone, and that don't break a line.
@@ -383,6 +383,8 @@ def composed(texts: list[str], n: int, seed: int = 4) -> list[tuple[list[Block],
             if r.random() < 0.4:
                 part((*body, *frame), kind, 0.0)
         main = pick(("article",), ("main", "article"), ("main",), ("article",), ("div", "class:" + pick("content", "post", "article", "entry", "story")), ("div", "id:" + pick("content", "main", "article")))
+        if r.random() < 0.4:  # a main part that no name tells: what stands around it and its own text must
+            main = pick(("div",), ("section",), (pick("div", "section"), f"class:c{int(r.integers(10_000))}"), (pick("div", "section"), f"id:n{int(r.integers(10_000))}"), ("div", "div"), ())
         inner = (*body, *main)
         if r.random() < 0.8:
             rows.append(((*inner, pick("h1", "h1", "h2")), say(3, 12), 0, 1.0))
