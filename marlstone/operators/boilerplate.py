@@ -3,8 +3,9 @@
 A window of 200 bytes qualifies if at least ``ceil(0.6 n)`` of the company's n texts hold it. Counting every window of
 every text would shuffle as many rows as there are bytes, so a window is first represented by the least hash among the
 32-byte pieces inside it, which each of its copies has too: only where that piece is frequent are whole windows counted.
-A company with most of the texts is no single group: all counting is by (company, hash) with partial aggregation, and
-what qualifies in a company is bounded by the mean length of its texts over 0.6.
+A company with most of the texts is no single group: all counting is by (company, hash) with partial aggregation, what
+qualifies in a company is bounded by the mean length of its texts over 0.6, and where it meets the company's texts they
+are dealt over parts.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.skew import hot_keys, salted_join
+
 WINDOW, PREVALENCE, LEAST_TEXTS, PIECE = 200, 0.6, 3, 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = b" \t\n\r\f\v"
@@ -70,16 +73,12 @@ def _each(out_schema: pa.Schema, fn):
 def _spans(raw: bytes, good: np.ndarray) -> list[bytes]:
     """Runs of qualifying windows as spans, trimmed to blanks, those that stay long enough."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
-    out = []
-    for a, last in zip(edges[::2], edges[1::2], strict=True):
-        b = last - 1 + WINDOW
-        while a < b and a > 0 and raw[a - 1] not in _BLANK and raw[a] not in _BLANK:
-            a += 1
-        while b > a and b < len(raw) and raw[b - 1] not in _BLANK and raw[b] not in _BLANK:
-            b -= 1
-        if b - a >= WINDOW:
-            out.append(raw[a:b])
-    return out
+    begins, ends = edges[::2], edges[1::2] - 1 + WINDOW
+    # a place may cut where a blank stands on either side of it, or at the text's ends: the next such place, and the last
+    blank = np.isin(np.frombuffer(raw, np.uint8), np.frombuffer(_BLANK, np.uint8))
+    cuts = np.flatnonzero(np.concatenate([[True], blank[1:] | blank[:-1], [True]]))
+    begins, ends = cuts[np.searchsorted(cuts, begins)], cuts[np.searchsorted(cuts, ends, "right") - 1]
+    return [raw[a:b] for a, b in zip(begins, ends, strict=True) if b - a >= WINDOW]
 
 
 def cut_spans(text: str, spans: list[bytes]) -> str:
@@ -104,7 +103,12 @@ def strip_boilerplate(texts: DataFrame) -> DataFrame:
     texts = texts.select("company_id", "job_posting_id", "description_text").where("description_text is not null")
     sized = texts.groupBy("company_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS)
     least = F.ceil(F.col("n") * PREVALENCE - 1e-9)
-    rows = texts.join(sized, "company_id")
+    hot = hot_keys(sized, "company_id", "n", texts.count())
+
+    def with_company(of: DataFrame, how: str = "inner") -> DataFrame:
+        return salted_join(texts, of, "company_id", hot, ["job_posting_id"], how)
+
+    rows = with_company(sized.select("company_id"))
     pair = pa.schema([("company_id", pa.int64()), ("h", pa.int64())])
 
     def first(r: dict) -> list[dict]:
@@ -117,20 +121,20 @@ def strip_boilerplate(texts: DataFrame) -> DataFrame:
         good = np.isin(anchors(raw).view(np.int64), np.array(r["anchors"], np.int64))
         return [{"company_id": r["company_id"], "h": x} for x in np.unique(rolling(raw, WINDOW)[good]).view(np.int64).tolist()]
 
-    windows = rows.join(frequent, "company_id").mapInArrow(_each(pair, second), "company_id long, h long").groupBy("company_id", "h").count().join(sized, "company_id").where(F.col("count") >= least).groupBy("company_id").agg(F.sort_array(F.collect_list("h")).alias("windows"))
+    windows = with_company(frequent).mapInArrow(_each(pair, second), "company_id long, h long").groupBy("company_id", "h").count().join(sized, "company_id").where(F.col("count") >= least).groupBy("company_id").agg(F.sort_array(F.collect_list("h")).alias("windows"))
     span = pa.schema([("company_id", pa.int64()), ("span", pa.binary())])
 
     def third(r: dict) -> list[dict]:
         raw = r["description_text"].encode()
         return [{"company_id": r["company_id"], "span": s} for s in _spans(raw, np.isin(rolling(raw, WINDOW).view(np.int64), np.array(r["windows"], np.int64)))]
 
-    spans = rows.join(windows, "company_id").mapInArrow(_each(span, third), "company_id long, span binary").distinct().groupBy("company_id").agg(F.collect_list("span").alias("spans"))
+    spans = with_company(windows).mapInArrow(_each(span, third), "company_id long, span binary").distinct().groupBy("company_id").agg(F.collect_list("span").alias("spans"))
     out = pa.schema([("job_posting_id", pa.int64()), ("stripped", pa.string())])
 
     def fourth(r: dict) -> list[dict]:
         return [{"job_posting_id": r["job_posting_id"], "stripped": cut_spans(r["description_text"], r["spans"]) if r["spans"] else r["description_text"]}]
 
-    return texts.join(spans, "company_id", "left").mapInArrow(_each(out, fourth), "job_posting_id long, stripped string")
+    return with_company(spans, "left").mapInArrow(_each(out, fourth), "job_posting_id long, stripped string")
 
 
 def stripped_for(selected: DataFrame, corpus: DataFrame) -> DataFrame:
