@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows up to which a keyed set of 8-byte ids may be broadcast (about 24 MB as a hash table).
-BROADCAST_ROWS = 500_000
+from marlstone.operators.skew import BROADCAST_ROWS
+
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -124,25 +124,6 @@ def sampled_texts(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     return texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
-#: Rows of one key above which a join splits the key; the keys above it are so few that a broadcast holds them.
-HOT_ROWS = 1_000
-
-
-def hot_keys(counts: DataFrame, key: str, rows: str, total: int) -> DataFrame:
-    """(key, parts) of the keys with more than HOT_ROWS rows, or total / BROADCAST_ROWS if that is more: BROADCAST_ROWS keys at most."""
-    most = max(HOT_ROWS, total // BROADCAST_ROWS)
-    return counts.where(F.col(rows) > most).select(key, F.ceil(F.col(rows) / most).cast("int").alias("parts"))
-
-
-def salted_join(many: DataFrame, other: DataFrame, key: str, hot: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``many`` joined with ``other`` on ``key``. A hot key's rows of ``many`` are dealt over its parts by the hash of ``by``,
-    and its rows of ``other`` are repeated for each part, so that no task meets all rows of a key."""
-    hot = F.broadcast(hot.select(F.col(key).alias("_hot_key"), "parts"))
-    dealt = many.join(hot, F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("parts", F.lit(1))).cast("int")).drop("_hot_key", "parts")
-    copies = other.join(hot, F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("_hot_key", "parts")
-    return dealt.join(copies, [key, "_salt"]).drop("_salt")
-
-
 #: Rows that one range of ranged() holds, on average.
 RANGE_ROWS = 100_000
 

@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, before_ranges, discard, fresh, hot_keys, narrow_to, ranged, salted_join, stash
+from marlstone.operators.skew import hot_keys, salted_join
+
+from .common import BROADCAST_ROWS, before_ranges, discard, fresh, narrow_to, ranged, stash
 
 MOST_TIMES = 3
 #: Rows of a bucket that one running sum covers, on average.

@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, before_ranges, discard, each_batch, fresh, hot_keys, narrow_to, ranged, salted_join, stash
+from marlstone.operators.skew import hot_keys, salted_join
+
+from .common import BROADCAST_ROWS, before_ranges, discard, each_batch, fresh, narrow_to, ranged, stash
 
 REGISTERS, MANTISSA = 256, 10
 #: With 64 bands of 6 registers, a pair at similarity 0.8 is missed with probability (1 - 0.8**6)**64 < 4e-9.

@@ -5,9 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from marlstone.llm import exact_dedup, mixing, near_dedup
-from marlstone.llm import common
+from marlstone.llm import common, exact_dedup, mixing, near_dedup
 from marlstone.llm import quality_rules as Q
+from marlstone.operators import skew
 
 CLASHES = "kept string, rule string, n_lines string, base_failed string, row string, counts string, _size string, _id string, _turn string, _at string, _words string, gone_id string, gone_text string, narrow_id string, row_number string, reading_at string, parts string, name string"
 SCHEMA = f"doc_id long, text string, source string, {CLASHES}"
@@ -134,17 +134,17 @@ def test_stashes_can_be_removed(spark):
 def test_a_hot_key_is_dealt_over_tasks(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
     many = spark.range(3000).select(F.col("id"), F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).cast("long").alias("k"))
     counts = many.groupBy("k").count()
-    hot = common.hot_keys(counts, "k", "count", 3000)
+    hot = skew.hot_keys(counts, "k", "count", 3000)
     assert [tuple(r) for r in hot.collect()] == [(7, 20)]
-    got = common.salted_join(many, counts, "k", hot, ["id"])
+    got = skew.salted_join(many, counts, "k", hot, ["id"])
     assert got.count() == 3000 and got.where("k = 7 and count = 2000").count() == 2000
 
 
 def test_a_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
     r = np.random.default_rng(0)
     base = [f"w{i}" for i in range(90)]
     rows = []
