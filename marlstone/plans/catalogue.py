@@ -292,24 +292,39 @@ def known_unsupported(spark, sf_dir):
     return out.withColumn("name", F.regexp_replace("name", "^Other ", "Customer #"))
 
 
-@query("""
-select page_id as input_index, case page_id % 4 when 0 then 'detected' when 1 then 'unsupported-ats' when 2 then 'ambiguous' else 'invalid-input' end as status,
-  case page_id % 4 when 0 then 'greenhouse' end as ats, case page_id % 4 when 0 then 'acme' || page_id end as board_token from pages
-""")
+#: Pages' addresses as those of public boards, by the language in their path, and what SQL reads out of them again.
+_BOARD_URLS = """with u as (select page_id, url, html, case regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) when 'en' then regexp_replace(url, '^https?://[^/]+/en/', 'https://boards.greenhouse.io/Co') when 'fr' then regexp_replace(url, '^https?://[^/]+/fr/', 'http://jobs.lever.co/Co')
+  when 'de' then regexp_replace(url, '^https?://[^/]+/de/', 'https://Acme.wd5.MyWorkdayJobs.com/de/Co') else url end as board from pages),
+b as (select *, regexp_extract(board, '^https?://([^/]+)/', 1) as host, regexp_extract(board, '/(Co[^/?#]*)', 1) as token from u),
+d as (select *, case lower(host) when 'boards.greenhouse.io' then 'greenhouse' when 'jobs.lever.co' then 'lever' when 'acme.wd5.myworkdayjobs.com' then 'workday' end as ats, case lower(host) when 'boards.greenhouse.io' then lower(token) when 'jobs.lever.co' then token when 'acme.wd5.myworkdayjobs.com' then lower(host) || '/' || token end as board_token from b)
+"""
+
+
+def _board_urls(spark, sf_dir):
+    lang = F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1)
+    at = lambda x, base: F.when(lang == x, F.regexp_replace("url", f"^https?://[^/]+/{x}/", base))
+    return B.read(spark, sf_dir, "pages").withColumn("board", F.coalesce(at("en", "https://boards.greenhouse.io/Co"), at("fr", "http://jobs.lever.co/Co"), at("de", "https://Acme.wd5.MyWorkdayJobs.com/de/Co"), F.col("url")))
+
+
+@query(_BOARD_URLS + """, e as (select page_id, [board] || case when contains(url, '#') then [] else ['http://jobs.lever.co/CoX'] end || case when contains(url, '?') and length(html) % 2 = 0 then [replace(board, '://', ':')] else [] end as n, ats, board_token, contains(url, '#') as alone, contains(url, '?') and length(html) % 2 = 0 as broken from d)
+select page_id as input_index, case when broken then 'invalid-input' when ats is null and alone then 'unsupported-ats' when ats is not null and not alone then 'ambiguous' else 'detected' end as status,
+  case when not broken and alone then ats when not broken and ats is null then 'lever' end as ats, case when not broken and alone then board_token when not broken and ats is null then 'CoX' end as board_token from e""")
 def detect_evidence(spark, sf_dir):
-    i = F.col("page_id")
-    mine = F.concat(F.lit("https://boards.greenhouse.io/ACME"), i, F.lit("/jobs/1"))
-    other = F.when(i % 4 == 0, F.concat(F.lit("http://job-boards.greenhouse.io/acme"), i)).when(i % 4 == 1, F.col("url")).when(i % 4 == 2, F.lit("https://jobs.lever.co/Acme")).otherwise(F.lit("ftp://x/%zz"))
-    first = F.when(i % 4 == 1, F.lit("https://example.com")).otherwise(mine)
-    return resolve.detect_evidence(B.read(spark, sf_dir, "pages").select(i.alias("input_index"), F.explode(F.array(first, other)).alias("url")))
+    """A page's own address and others: a second board where it has no fragment, a broken one for some."""
+    url, none = F.col("url"), F.array().cast("array<string>")
+    more = F.concat(F.array("board"), F.when(F.contains(url, F.lit("#")), none).otherwise(F.array(F.lit("http://jobs.lever.co/CoX"))), F.when(F.contains(url, F.lit("?")) & (F.length("html") % 2 == 0), F.array(F.replace("board", F.lit("://"), F.lit(":")))).otherwise(none))
+    return resolve.detect_evidence(_board_urls(spark, sf_dir).select(F.col("page_id").alias("input_index"), F.explode(more).alias("url")))
 
 
-@query("""
-select s_suppkey as record_id, case s_suppkey % 7 when 0 then 'verified' when 1 then 'duplicate' when 2 then 'stale-needs-merge' when 3 then 'no-careers' when 4 then 'unsupported-ats' when 5 then 'invalid-token' else 'verified' end as next_status from supplier
-""")
+@query(_BOARD_URLS + """, s as (select page_id, case when contains(html, '<form') then 'verified' else 'pending' end as status, case when length(html) % 5 = 0 then 'duplicate' when length(html) % 5 = 1 then 'stale' else 'new' end as verdict, not contains(url, '#') as careers_ok, ats, contains(html, '<footer') as board_ok from d)
+select page_id as record_id, case when status = 'verified' then status when verdict = 'duplicate' then 'duplicate' when verdict = 'stale' then 'stale-needs-merge' when not careers_ok then 'no-careers' when ats is null then 'unsupported-ats' when not board_ok then 'invalid-token' else 'verified' end as next_status from s""")
 def onboarding_state(spark, sf_dir):
-    k = F.col("s_suppkey") % 7
-    rows = B.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_id"), F.when(k == 0, "verified").otherwise("pending").alias("status"), F.when(k <= 1, "duplicate").when(k == 2, "stale").otherwise("new").alias("verdict"), (k != 3).alias("careers_ok"), F.when(k == 4, "ambiguous").otherwise("detected").alias("detection"), (k != 5).alias("board_ok"))
+    """Pages as research records: what probes and look-ups gave follows from their text and address."""
+    html, size = F.col("html"), F.length("html") % 5
+    rows = _board_urls(spark, sf_dir).select(
+        F.col("page_id").alias("record_id"), F.when(F.contains(html, F.lit("<form")), "verified").otherwise("pending").alias("status"), F.when(size == 0, "duplicate").when(size == 1, "stale").otherwise("new").alias("verdict"), (~F.contains(F.col("url"), F.lit("#"))).alias("careers_ok"),
+        F.when(X.detect_board(F.col("board")).isNotNull(), "detected").otherwise("unsupported-ats").alias("detection"), F.contains(html, F.lit("<footer")).alias("board_ok"),
+    )
     return resolve.onboarding_state(rows).select("record_id", "next_status")
 
 
@@ -317,31 +332,37 @@ def onboarding_state(spark, sf_dir):
 
 
 @query("""
-select event_id, case k when 0 then date '2024-02-10' when 1 then date '2024-02-09' when 2 then date '2024-02-10' - cast(n as int) when 4 then date '2024-01-05' end::date::varchar as day, k <> 5 as known from (select event_id, user_id % 6 as k, cast(json_extract_string(props, '$.k') as int) as n from events)
+with t as (select doc_id, n_chars, regexp_extract(text, '[a-zA-Z]+', 0) as w, case when n_chars % 50 = 0 then ' POSTED Today ' when n_chars % 50 = 1 then 'Posted Yesterday' when contains(text, '#') then 'Posted ' || n_chars % 50 || '+ Days Ago' when contains(text, '%') then 'Posted ' || regexp_extract(text, '[a-zA-Z]+', 0) || ' Days Ago' when n_chars % 3 = 0 then strftime(date '2020-01-01' + cast(n_chars % 900 as int), '%Y-%m-%d') else 'posted ' || n_chars % 50 || ' day' || case when n_chars % 2 = 0 then 's' else '' end || ' ago' end as said from documents),
+p as (select doc_id, lower(trim(said)) as s, said from t)
+select doc_id, said, cast(case when s = 'posted today' then date '2024-02-10' when s = 'posted yesterday' then date '2024-02-09' when regexp_full_match(s, '\\d{4}-\\d{2}-\\d{2}') then cast(s as date) when regexp_full_match(s, 'posted \\d+ days? ago') then date '2024-02-10' - cast(regexp_extract(s, '\\d+') as int) end as varchar) as day,
+  s in ('posted today', 'posted yesterday') or regexp_full_match(s, '\\d{4}-\\d{2}-\\d{2}|posted \\d+\\+? days? ago') as known from p
 """)
 def posted_on_parse(spark, sf_dir):
-    k, n = F.col("user_id") % 6, F.get_json_object("props", "$.k")
-    text = F.when(k == 0, " Posted Today ").when(k == 1, "posted yesterday").when(k == 2, F.concat(F.lit("Posted "), n, F.lit(" Days Ago"))).when(k == 3, "Posted 30+ Days Ago").when(k == 4, "2024-01-05").otherwise("soon")
-    day, known = X.posted_on(text, F.lit("2024-02-10").cast("date"))
-    return B.read(spark, sf_dir, "events").select("event_id", day.cast("date").cast("string").alias("day"), known.alias("known"))
+    """Wordings that follow from a document's length and signs."""
+    n, text = F.col("n_chars"), F.col("text")
+    said = (
+        F.when(n % 50 == 0, " POSTED Today ").when(n % 50 == 1, "Posted Yesterday").when(F.contains(text, F.lit("#")), F.concat(F.lit("Posted "), (n % 50).cast("string"), F.lit("+ Days Ago"))).when(F.contains(text, F.lit("%")), F.concat(F.lit("Posted "), F.regexp_extract(text, "[a-zA-Z]+", 0), F.lit(" Days Ago")))
+        .when(n % 3 == 0, F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (n % 900).cast("int")), "yyyy-MM-dd")).otherwise(F.concat(F.lit("posted "), (n % 50).cast("string"), F.lit(" day"), F.when(n % 2 == 0, "s").otherwise(""), F.lit(" ago")))
+    )
+    day, known = X.posted_on(said, F.lit("2024-02-10").cast("date"))
+    return B.read(spark, sf_dir, "documents").select("doc_id", said.alias("said"), day.cast("date").cast("string").alias("day"), known.alias("known"))
 
 
-@query("""
-select event_id, case k when 0 then 'greenhouse' when 1 then 'lever' when 2 then 'ashby' when 3 then 'workday' when 4 then 'workable' when 5 then 'gem' end as ats,
-  case when k in (0, 2, 4) then 'tok' || user_id when k in (1, 5) then 'ToK' || user_id when k = 3 then 'acme.wd5.myworkdayjobs.com/ToK' || user_id end as board_token from (select *, user_id % 7 as k from events)
-""")
+@query(_BOARD_URLS + "select page_id, board, ats, board_token from d")
 def detect_url(spark, sf_dir):
-    hosts = ("https://boards.greenhouse.io/", "http://jobs.lever.co/", "https://JOBS.ashbyhq.com/", "https://Acme.wd5.myworkdayjobs.com/en-US/", "https://apply.workable.com/", "https://jobs.gem.com/", "https://example.com/")
-    url = F.concat(F.element_at(F.array(*(F.lit(h) for h in hosts)), (F.col("user_id") % 7 + 1).cast("int")), F.lit("ToK"), F.col("user_id"), F.lit("?x=1#y"))
-    return B.read(spark, sf_dir, "events").select("event_id", X.detect_board(url).alias("d")).select("event_id", "d.ats", "d.board_token")
+    return _board_urls(spark, sf_dir).select("page_id", "board", X.detect_board(F.col("board")).alias("d")).select("page_id", "board", "d.ats", "d.board_token")
 
 
-@query("select s_suppkey, case s_suppkey % 3 when 0 then lower(s_name) when 1 then 'host.example/' || s_name else s_name end as token, s_suppkey % 3 = 2 as valid from supplier")
+@query(_BOARD_URLS + """, t as (select page_id, coalesce(ats, 'workable') as ats, case when ats = 'workday' then host || '/' || token when ats is null then upper(regexp_extract(url, '^https?://([^/]+)', 1)) else token end as given from d)
+select page_id, case ats when 'lever' then given when 'workday' then lower(split_part(given, '/', 1)) || '/' || split_part(given, '/', 2) else lower(given) end as token, case ats when 'workable' then regexp_full_match(lower(given), '[a-z0-9]+(-[a-z0-9]+)*') else given <> '' end as valid from t""")
 def token_normalize(spark, sf_dir):
-    k = F.col("s_suppkey") % 3
-    ats = F.when(k == 0, "workable").when(k == 1, "workday").otherwise("lever")
-    token = F.when(k == 1, F.concat(F.lit("HOST.example/"), "s_name")).otherwise(F.col("s_name"))
-    return B.read(spark, sf_dir, "supplier").select("s_suppkey", X.normalize_board_token(ats, token).alias("token"), X.token_valid(ats, X.normalize_board_token(ats, token)).alias("valid"))
+    """Tokens as they stand in addresses; hosts as tokens of a source that takes slugs only."""
+    host, token = F.regexp_extract("board", "^https?://([^/]+)/", 1), F.regexp_extract("board", "/(Co[^/?#]*)", 1)
+    ats = F.coalesce(X.detect_board(F.col("board"))["ats"], F.lit("workable"))
+    given = F.when(ats == "workday", F.concat(host, F.lit("/"), token)).when(ats == "workable", F.upper(F.regexp_extract("url", "^https?://([^/]+)", 1))).otherwise(token)
+    rows = _board_urls(spark, sf_dir).select("page_id", ats.alias("ats"), given.alias("given"))
+    plain = X.normalize_board_token(F.col("ats"), F.col("given"))
+    return rows.select("page_id", plain.alias("token"), X.token_valid(F.col("ats"), plain).alias("valid"))
 
 
 @query("""
