@@ -164,15 +164,46 @@ def similarity(a: Column, b: Column) -> Column:
 
 def percent_text(share: Column) -> Column:
     """Whole per cent; what isn't quite none or all doesn't say so."""
-    whole = F.round(share * 100).cast("int")
-    return F.when((share > 0) & (whole < 1), F.lit("<1%")).when((share < 1) & (whole > 99), F.lit("99%")).otherwise(F.concat(whole.cast("string"), F.lit("%")))
+    pct = share * 100
+    return F.when((pct > 0) & (pct < 1), F.lit("<1%")).when((pct < 100) & (pct >= 99.5), F.lit("99%")).otherwise(F.concat(F.floor(pct + 0.5).cast("string"), F.lit("%")))
+
+
+def exact_count(n: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(n, 0)
 
 
 def compact_count(n: Column) -> Column:
-    text = lambda x, unit: F.concat(F.regexp_replace(F.format_number(x, 1), r"\.0$", ""), F.lit(unit))
-    return F.when(n >= 999_950, text(n / 1_000_000, "M")).when(n >= 1000, text(n / 1000, "K")).otherwise(n.cast("string"))
+    """A whole number: exact below 10,000, else in thousands, millions and so on with a tenth where it isn't nought; halves go up."""
+    out = exact_count(n)
+    for size, unit in ((1_000, "K"), (1_000_000, "M"), (1_000_000_000, "B"), (1_000_000_000_000, "T")):
+        tenths = F.floor((n + size // 20) / (size // 10)).cast("long")
+        text = F.concat(F.floor(tenths / 10).cast("string"), F.when(tenths % 10 != 0, F.concat(F.lit("."), (tenths % 10).cast("string"))).otherwise(""), F.lit(unit))
+        out = F.when(n >= (10_000 if size == 1_000 else size - size // 20_000), text).otherwise(out)
+    return out
+
+
+def rate_text(rate: Column) -> Column:
+    """A rate for each day: whole from ten on, with a tenth below, and plain 0 for none."""
+    return F.when(rate == 0, F.lit("0")).when(rate >= 10, F.floor(rate + 0.5).cast("string")).otherwise(F.format_number(rate, 1))
 
 
 def ago(at: Column, now: Column) -> Column:
-    minutes = F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 60)
-    return F.when(minutes < 1, F.lit("just now")).when(minutes < 60, F.concat(minutes, F.lit("m ago"))).when(minutes < 1440, F.concat(F.floor(minutes / 60), F.lit("h ago"))).otherwise(F.concat(F.floor(minutes / 1440), F.lit("d ago")))
+    """How long before (or after) now, in the largest unit of which one is full; null without a time."""
+    seconds = F.unix_millis(at) - F.unix_millis(now)
+    out = F.lit("just now")
+    units = (("minute", 60, None), ("hour", 3_600, None), ("day", 86_400, ("yesterday", "tomorrow")), ("month", 2_592_000, ("last month", "next month")), ("year", 31_536_000, ("last year", "next year")))
+    for name, size, single in units:
+        n = F.floor(F.abs(seconds) / (size * 1000)).cast("long")
+        amount = F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"))
+        text = F.when(seconds < 0, F.concat(amount, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), amount))
+        if single:
+            text = F.when(n == 1, F.when(seconds < 0, single[0]).otherwise(single[1])).otherwise(text)
+        out = F.when(n >= 1, text).otherwise(out)
+    return F.when(at.isNotNull() & now.isNotNull(), out)
+
+
+def workplace_label(resolved: Column, source: Column) -> Column:
+    """A workplace type with where it is from; null without either."""
+    told = F.when(source.isin("ats", "raw_data"), " (reported)").when(source == "location_text", " (derived from location)")
+    return F.concat(F.upper(F.substring(resolved, 1, 1)), F.substring(resolved, 2, 100), told)

@@ -332,7 +332,7 @@ def onboarding_state(spark, sf_dir):
 
 
 @query("""
-with t as (select doc_id, n_chars, regexp_extract(text, '[a-zA-Z]+', 0) as w, case when n_chars % 50 = 0 then ' POSTED Today ' when n_chars % 50 = 1 then 'Posted Yesterday' when contains(text, '#') then 'Posted ' || n_chars % 50 || '+ Days Ago' when contains(text, '%') then 'Posted ' || regexp_extract(text, '[a-zA-Z]+', 0) || ' Days Ago' when n_chars % 3 = 0 then strftime(date '2020-01-01' + cast(n_chars % 900 as int), '%Y-%m-%d') else 'posted ' || n_chars % 50 || ' day' || case when n_chars % 2 = 0 then 's' else '' end || ' ago' end as said from documents),
+with t as (select doc_id, n_chars, regexp_extract(text, '[a-zA-Z]+', 0) as w, case when n_chars % 50 = 0 then ' POSTED Today ' when n_chars % 50 = 1 then 'Posted Yesterday' when contains(text, '#') and n_chars % 2 = 0 then 'Posted ' || n_chars % 50 || '+ Days Ago' when contains(text, '#') then 'Posted ' || regexp_extract(text, '[a-zA-Z]+', 0) || ' Days Ago' when n_chars % 3 = 0 then strftime(date '2020-01-01' + cast(n_chars % 900 as int), '%Y-%m-%d') else 'posted ' || n_chars % 50 || ' day' || case when n_chars % 2 = 0 then 's' else '' end || ' ago' end as said from documents),
 p as (select doc_id, lower(trim(said)) as s, said from t)
 select doc_id, said, cast(case when s = 'posted today' then date '2024-02-10' when s = 'posted yesterday' then date '2024-02-09' when regexp_full_match(s, '\\d{4}-\\d{2}-\\d{2}') then cast(s as date) when regexp_full_match(s, 'posted \\d+ days? ago') then date '2024-02-10' - cast(regexp_extract(s, '\\d+') as int) end as varchar) as day,
   s in ('posted today', 'posted yesterday') or regexp_full_match(s, '\\d{4}-\\d{2}-\\d{2}|posted \\d+\\+? days? ago') as known from p
@@ -341,7 +341,7 @@ def posted_on_parse(spark, sf_dir):
     """Wordings that follow from a document's length and signs."""
     n, text = F.col("n_chars"), F.col("text")
     said = (
-        F.when(n % 50 == 0, " POSTED Today ").when(n % 50 == 1, "Posted Yesterday").when(F.contains(text, F.lit("#")), F.concat(F.lit("Posted "), (n % 50).cast("string"), F.lit("+ Days Ago"))).when(F.contains(text, F.lit("%")), F.concat(F.lit("Posted "), F.regexp_extract(text, "[a-zA-Z]+", 0), F.lit(" Days Ago")))
+        F.when(n % 50 == 0, " POSTED Today ").when(n % 50 == 1, "Posted Yesterday").when(F.contains(text, F.lit("#")) & (n % 2 == 0), F.concat(F.lit("Posted "), (n % 50).cast("string"), F.lit("+ Days Ago"))).when(F.contains(text, F.lit("#")), F.concat(F.lit("Posted "), F.regexp_extract(text, "[a-zA-Z]+", 0), F.lit(" Days Ago")))
         .when(n % 3 == 0, F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (n % 900).cast("int")), "yyyy-MM-dd")).otherwise(F.concat(F.lit("posted "), (n % 50).cast("string"), F.lit(" day"), F.when(n % 2 == 0, "s").otherwise(""), F.lit(" ago")))
     )
     day, known = X.posted_on(said, F.lit("2024-02-10").cast("date"))
@@ -366,13 +366,21 @@ def token_normalize(spark, sf_dir):
 
 
 @query("""
-select o_orderkey, case when n >= 999950 then regexp_replace(printf('%.1f', n / 1000000), '\\.0$', '') || 'M' when n >= 1000 then regexp_replace(printf('%.1f', n / 1000), '\\.0$', '') || 'K' else cast(n as varchar) end as compact,
-  case when s > 0 and w < 1 then '<1%' when s < 1 and w > 99 then '99%' else w || '%' end as percent from (select o_orderkey, cast(floor(o_totalprice) as bigint) * 10 as n, o_custkey / m as s, cast(round(o_custkey / m * 100) as int) as w from orders, (select max(o_custkey) as m from orders))
+with o as (select o_orderkey, cast(floor(o_totalprice) as bigint) as n, o_custkey / m * 100 as pct, o_totalprice / 40000 as rate, o_orderdate as made, o_orderstatus as s from orders, (select max(o_custkey) as m from orders)),
+c as (select *, n * n * (o_orderkey % 7) as big from o), k as (select *, (big + 50) // 100 as k, (big + 50000) // 100000 as m, (big + 50000000) // 100000000 as b, (big + 50000000000) // 100000000000 as t, date_diff('millisecond', made, timestamp '2001-06-30 12:00:00') as ms from c)
+select o_orderkey, format('{:,}', n) as exact, case when big < 10000 then format('{:,}', big) when big < 999950 then regexp_replace(k // 10 || '.' || k % 10, '\\.0$', '') || 'K' when big < 999950000 then regexp_replace(m // 10 || '.' || m % 10, '\\.0$', '') || 'M' when big < 999950000000 then regexp_replace(b // 10 || '.' || b % 10, '\\.0$', '') || 'B' else regexp_replace(t // 10 || '.' || t % 10, '\\.0$', '') || 'T' end as compact,
+  case when pct > 0 and pct < 1 then '<1%' when pct < 100 and pct >= 99.5 then '99%' else cast(floor(pct + 0.5) as bigint) || '%' end as percent, case when rate >= 10 then cast(cast(floor(rate + 0.5) as bigint) as varchar) when rate < 0.05 then null else 'tenths' end as rate,
+  case when ms >= 63072000000 then ms // 31536000000 || ' years ago' when ms >= 31536000000 then 'last year' when ms >= 5184000000 then ms // 2592000000 || ' months ago' when ms >= 2592000000 then 'last month' when ms >= 172800000 then ms // 86400000 || ' days ago' when ms >= 86400000 then 'yesterday' when ms >= 7200000 then ms // 3600000 || ' hours ago' end as ago,
+  case s when 'F' then 'Remote (reported)' when 'P' then 'Onsite (derived from location)' end as label from k
 """)
 def display_formats(spark, sf_dir):
     o = B.read(spark, sf_dir, "orders")
     o = o.crossJoin(F.broadcast(o.agg(F.max("o_custkey").alias("m"))))  # one row
-    return o.select("o_orderkey", X.compact_count(F.floor("o_totalprice").cast("long") * 10).alias("compact"), X.percent_text(F.col("o_custkey") / F.col("m")).alias("percent"))
+    n, rate, status = F.floor("o_totalprice").cast("long"), F.col("o_totalprice") / 40000, F.col("o_orderstatus")
+    shown = F.when(rate < 0.05, F.lit(None)).when(rate >= 10, X.rate_text(rate)).when(X.rate_text(rate).rlike(r"^[0-9]\.[0-9]$|^10\.0$"), "tenths")
+    label = X.workplace_label(F.when(status == "F", "remote").when(status == "P", "onsite"), F.when(status == "F", "ats").otherwise("location_text"))
+    when = X.ago(F.col("o_orderdate").cast("timestamp"), F.lit("2001-06-30 12:00:00").cast("timestamp"))
+    return o.select("o_orderkey", X.exact_count(n).alias("exact"), X.compact_count(n * n * (F.col("o_orderkey") % 7)).alias("compact"), X.percent_text(F.col("o_custkey") / F.col("m")).alias("percent"), shown.alias("rate"), F.when(~when.startswith("in "), when).alias("ago"), label.alias("label"))
 
 
 @query()
@@ -472,13 +480,14 @@ def union_terms(spark, sf_dir):
     return R.all_terms(**kinds).select("term_kind", "slug", "name").distinct()
 
 
-@query(BIND + f"select {_SLUG} as slug, min(name) as name from terms where term_kind = 'role' and {_SLUG} not in (select {_SLUG} from terms where term_kind = 'role' and classification_id < 50) group by 1")
+@query(BIND + f"select {_SLUG} as slug, min(name) as name, first(user_id order by ts, user_id) as source_posting from terms join events on event_id = classification_id where term_kind = 'role' and {_SLUG} not in (select {_SLUG} from terms where term_kind = 'role' and classification_id < 50) group by 1")
 def new_terms(spark, sf_dir):
     roles = B.terms(spark, sf_dir).where("term_kind = 'role'")
     old = roles.where("classification_id < 50").groupBy("slug").agg(F.min("name").alias("name"))
     old = ledger.numbered(old, ["slug"], ledger.greatest_id(B.runs(spark, sf_dir).where("false"))).withColumn("created_at", _as_of()).select("id", "slug", "name", "created_at")
     after = ledger.get_or_create(old, roles.select("slug", "name"), _as_of())
-    return ledger.new_terms(old, after).select("slug", "name")
+    uses = roles.join(B.classifications(spark, sf_dir).select(F.col("id").alias("classification_id"), F.col("part_id").alias("posting_id"), F.col("classified_at").alias("place")), "classification_id")
+    return ledger.new_terms(old, after, uses).select("slug", "name", "source_posting")
 
 
 @query("select count(*) as n from lineitem where l_orderkey not in (select o_orderkey from orders)")

@@ -63,8 +63,14 @@ def terms_by_slug(terms: DataFrame) -> DataFrame:
     return terms.select("id", "slug", "name").orderBy("slug")
 
 
-def new_terms(before: DataFrame, after: DataFrame) -> DataFrame:
-    return after.join(before.select("slug"), "slug", "left_anti")
+def new_terms(before: DataFrame, after: DataFrame, uses: DataFrame | None = None) -> DataFrame:
+    """Terms of ``after`` that ``before`` doesn't have; with ``uses`` (slug, place, posting_id) also source_posting, the posting
+    whose result came first of those that name the term, 0 if none does."""
+    new = after.join(before.select("slug"), "slug", "left_anti")
+    if uses is None:
+        return new
+    first = uses.groupBy("slug").agg(F.min_by("posting_id", F.struct("place", "posting_id")).alias("source_posting"))
+    return new.join(first, "slug", "left").withColumn("source_posting", F.coalesce("source_posting", F.lit(0)))
 
 
 def link(existing: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -57,6 +57,17 @@ def test_boards(spark):
     assert values(spark, X.strip_code_fence, ["```json\n{}\n```", " {} "]) == ["{}", "{}"]
 
 
+def test_display(spark):
+    assert values(spark, X.compact_count, [0, 999, 1284, 9999, 10_000, 12_949, 12_950, 999_949, 999_950, 1_250_000, 3_000_000_000, 2 * 10**12], "long") == ["0", "999", "1,284", "9,999", "10K", "12.9K", "13K", "999.9K", "1M", "1.3M", "3B", "2T"]
+    assert values(spark, X.percent_text, [0.0, 0.007, 0.014, 0.995, 0.9949, 1.0, 0.125], "double") == ["0%", "<1%", "1%", "99%", "99%", "100%", "13%"]
+    assert values(spark, X.rate_text, [0.0, 0.3, 9.96, 10.0, 34.5], "double") == ["0", "0.3", "10.0", "10", "35"]
+    now = dt.datetime(2024, 3, 1)
+    back = [now - dt.timedelta(seconds=s) for s in (0, 59, 60, 7200, 86_400, 200_000, 2_592_000, 6_000_000, 31_536_000, 99_999_999)] + [now + dt.timedelta(hours=5), now + dt.timedelta(days=1), None]
+    assert values(spark, lambda c: X.ago(c, F.lit("2024-03-01").cast("timestamp")), back, "timestamp") == ["just now", "just now", "1 minute ago", "2 hours ago", "yesterday", "2 days ago", "last month", "2 months ago", "last year", "3 years ago", "in 5 hours", "tomorrow", None]
+    label = lambda a, b: one(spark, X.workplace_label(F.lit(a), F.lit(b)).alias("x")).x
+    assert label("onsite", "ats") == "Onsite (reported)" and label("remote", "location_text") == "Remote (derived from location)" and label("remote", None) is None and label("remote", "guess") is None
+
+
 @pytest.mark.parametrize(
     "html, want",
     [("<p>a&nbsp;b</p>\n c", "a b c"), ("&amp;lt;b&amp;gt;x", "x"), ("a<SCRIPT x>1</Script>y", "ay"), ("<script>t", "t"), ("<script>1</script><style>2</style>z", "z"), ("1 < 2", "1 < 2"), ("&#65;&#x42;&#0;&bogus;", "AB&bogus;"), ("", ""), (None, None), ("<scriptx>t", "t")],
