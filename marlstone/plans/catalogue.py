@@ -379,8 +379,9 @@ def display_formats(spark, sf_dir):
     n, rate, status = F.floor("o_totalprice").cast("long"), F.col("o_totalprice") / 40000, F.col("o_orderstatus")
     shown = F.when(rate < 0.05, F.lit(None)).when(rate >= 10, X.rate_text(rate)).when(X.rate_text(rate).rlike(r"^[0-9]\.[0-9]$|^10\.0$"), "tenths")
     label = X.workplace_label(F.when(status == "F", "remote").when(status == "P", "onsite"), F.when(status == "F", "ats").otherwise("location_text"))
-    when = X.ago(F.col("o_orderdate").cast("timestamp"), F.lit("2001-06-30 12:00:00").cast("timestamp"))
-    return o.select("o_orderkey", X.exact_count(n).alias("exact"), X.compact_count(n * n * (F.col("o_orderkey") % 7)).alias("compact"), X.percent_text(F.col("o_custkey") / F.col("m")).alias("percent"), shown.alias("rate"), F.when(~when.startswith("in "), when).alias("ago"), label.alias("label"))
+    now = F.lit("2001-06-30 12:00:00").cast("timestamp")
+    when = X.ago(F.col("o_orderdate").cast("timestamp"), now)
+    return o.select("o_orderkey", X.exact_count(n).alias("exact"), X.compact_count(n * n * (F.col("o_orderkey") % 7)).alias("compact"), X.percent_text(F.col("o_custkey") / F.col("m")).alias("percent"), shown.alias("rate"), F.when(F.col("o_orderdate").cast("timestamp") <= now, when).alias("ago"), label.alias("label"))
 
 
 @query()
