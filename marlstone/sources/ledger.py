@@ -111,3 +111,8 @@ def outcome_tally(outcomes: DataFrame) -> DataFrame:
 
 def failures(outcomes: DataFrame) -> DataFrame:
     return outcomes.where(F.col("outcome").isin("json_failed", "validation_failed"))
+
+
+def write_failures(outcomes: DataFrame, path: str) -> None:
+    """Appends the failed outcomes as JSON lines."""
+    failures(outcomes).write.mode("append").json(path)
