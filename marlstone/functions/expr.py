@@ -156,6 +156,12 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, of)))
 
 
+def trigram_codes(grams: Column) -> Column:
+    """Trigrams as whole numbers, 21 bits for each character: the same sets, which compare faster."""
+    at = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("long")
+    return F.transform(grams, lambda g: at(g, 1) * (1 << 42) + at(g, 2) * (1 << 21) + at(g, 3))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Share of common trigrams, rounded through single precision; 0 if there is none at all."""
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import expr as X
 from marlstone.operators.latest import latest_per_key
+from marlstone.operators.skew import hot_keys, salted_join
 
 THRESHOLD, FUZZY_SHOWN, REVISIT_DAYS = 0.4, 3, 90
 #: What one request may ask: candidates, and days that count as recent.
@@ -40,23 +41,24 @@ def fuzzy_matches(candidates: DataFrame, companies: DataFrame, threshold: float
     ``n - ceil(threshold * n)`` of the candidate's, so some trigram among its ``n - ceil(threshold * n) + 1`` rarest is
     common to both (and, with one order for all, among the company's rarest too). Only those meet in an equi-join.
     """
-    sides = []
-    for df, key in ((candidates, "input_index"), (companies, "id")):
-        sides.append(df.select(key, X.trigrams(F.col("name")).alias("grams")).where(F.size("grams") > 0))
+    sides = [df.select(key, X.trigram_codes(X.trigrams(F.col("name"))).alias("grams")).where(F.size("grams") > 0) for df, key in ((candidates, "input_index"), (companies, "id"))]
     counts = sides[1].select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(counts, "g", "n", counts.agg(F.sum("n")).first()[0] or 0)
     prefixed = []
     for df, key, name in zip(sides, ("input_index", "id"), "ab", strict=True):
-        ranked = df.select(key, F.explode("grams").alias("g")).join(counts, "g", "left")
+        ranked = salted_join(df.select(key, F.explode("grams").alias("g")), counts, "g", hot, [key], "left")
         ranked = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("o")).select(key, F.col("o.g").alias(name))
         keep = F.size(name) - F.ceil(F.size(name) * threshold - 1e-9).cast("int") + 1
-        prefixed.append(ranked.withColumn(f"front_{name}", F.slice(name, 1, keep)).withColumn("g", F.explode(f"front_{name}")))
+        prefixed.append(ranked.withColumn(f"front_{name}", F.slice(name, 1, keep)).select("*", F.posexplode(f"front_{name}").alias(f"at_{name}", "g")))
     n, m = F.size("a"), F.size("b")
-    near = F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
-    # both fronts are in one order, so a pair is met once: at the first that they share; the arrays go through one shuffle only
+    # what is common from here on must reach what the threshold asks of the union, if this is the first that they share
+    room = F.least(n - F.col("at_a"), m - F.col("at_b")) * (1 + threshold) >= threshold * (n + m) - 1e-9
+    # both fronts are in one order, so a pair is met once: at its first; the arrays go through one shuffle only
     first = F.get(F.array_intersect("front_a", "front_b"), F.lit(0)) == F.col("g")
-    score = X.similarity(F.col("a"), F.col("b"))
-    pairs = prefixed[0].join(prefixed[1], "g").where(near).where(first).withColumn("score", score)
-    return pairs.where(F.col("score") >= F.lit(threshold).cast("float").cast("double")).select("input_index", "id", "score")
+    both = F.size(F.array_intersect("a", "b"))
+    score = (both / (n + m - both)).cast("float").cast("double")
+    met = salted_join(prefixed[1], prefixed[0], "g", hot, ["id"]).where(F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9).where(room).where(first)
+    return met.withColumn("score", score).where(F.col("score") >= F.lit(threshold).cast("float").cast("double")).select("input_index", "id", "score")
 
 
 def request_failures(requests: DataFrame, candidates: DataFrame) -> DataFrame:
