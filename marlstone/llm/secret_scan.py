@@ -225,7 +225,7 @@ def dictionary_of(docs: DataFrame, most_words: int = BROADCAST_ROWS) -> frozense
         if held > most_words:
             break
         least = r["docs"]
-    out = frozenset(r["w"] for r in counted.where(F.col("docs") >= least).select("w").collect()) if least else frozenset()
+    out = frozenset(counted.where(F.col("docs") >= least).select("w").toArrow()["w"].to_pylist()) if least else frozenset()
     discard(counted)
     return out
 
