@@ -68,13 +68,26 @@ class Composition:
     def link(self) -> str:
         """The canonical question as a link; one that can't be answered has none."""
         if wrong := self.issues():
-            raise ValueError(f"no link for what can't be answered: {wrong}")
+            raise ValueError(explain(wrong))
         c = self.canonical()
         pairs = [("v", "1"), ("m", c.measure), ("coh", c.cohort), *([("by", ",".join(c.group_by))] if c.group_by else []), *(("f", f"{d}:{v}") for d, v in c.filters)]
         pairs += [(k, str(v)) for k, v in (("win", f"{c.weeks}w" if c.weeks is not None else None), ("sort", c.sort), ("n", c.limit)) if v is not None]
         return urlencode([*pairs, ("enc", c.encoding)])
 
 
+#: What is said of each kind of issue.
+MESSAGES = {
+    "shape": "has no such value", "version_unsupported": "only version 1 of a link is read", "duplicate_link_key": "is given twice", "cohort_not_allowed": "this measure has no such cohort", "encoding_needs_week": "this form shows weeks, so group by week",
+    "encoding_needs_per_posting_measure": "this form shows single postings, so measure age or lifespan", "encoding_needs_signed_measure": "this form shows changes, so measure delta", "encoding_needs_two_groupings": "this form needs two groupings",
+    "encoding_needs_at_most_one_grouping": "this form has room for one grouping", "measure_needs_grouping": "this measure needs a grouping", "measure_needs_window": "this measure needs a window", "measure_needs_distribution_encoding": "this measure is shown as a histogram or a table",
+}
+
+
+def explain(issues: list[tuple[str, str]]) -> str:
+    """All issues in one line: the slot and what is wrong with it."""
+    return "; ".join(f"{slot or 'composition'}: {MESSAGES[code]}" for code, slot in issues)
+
+
 def from_link(link: str) -> tuple[Composition | None, list[tuple[str, str]]]:
     """(composition, issues): one of them is empty. A key given twice or another version is refused, not guessed at."""
     pairs = parse_qsl(link.removeprefix("?"), keep_blank_values=True)
@@ -191,7 +204,7 @@ def answer(corpus: Corpus, question: Composition, as_of: Column) -> DataFrame:
     absent. Order is by value, if asked, then by groupings.
     """
     if question.issues():
-        raise ValueError(f"this can't be answered: {question.issues()}")
+        raise ValueError(explain(question.issues()))
     q = question.canonical()
     wanted, groups = {*q.group_by, *(d for d, _ in q.filters)}, [g for g in q.group_by if g != "week"]
 

@@ -116,3 +116,8 @@ def failures(outcomes: DataFrame) -> DataFrame:
 def write_failures(outcomes: DataFrame, path: str) -> None:
     """Appends the failed outcomes as JSON lines."""
     failures(outcomes).write.mode("append").json(path)
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Appends rows to a log; what is there is never changed."""
+    rows.write.mode("append").parquet(path)

@@ -130,8 +130,9 @@ def test_questions_from_plain_data():
     assert C.from_mapping([]) == (None, [("shape", "")]) and C.from_mapping(full | {"limit": 0})[1] == [("shape", "limit")]
     schema = C.json_schema()
     assert schema["additionalProperties"] is False and schema["required"] == ["measure", "encoding"] and schema["properties"]["limit"] == {"type": "integer", "minimum": 1, "maximum": 1000}
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="groupBy: this measure needs a grouping"):
         C.Composition("share", "table").link()
+    assert C.explain([("shape", "limit"), ("version_unsupported", "")]) == "limit: has no such value; composition: only version 1 of a link is read"
 
 
 def test_the_entry_stands_without_the_subpackage(monkeypatch):
@@ -217,7 +218,7 @@ def test_saving_is_all_or_nothing(spark):
     assert saved.links.count() == 8 and {(r.slug, r.dimension) for r in saved.dimensions.collect()} == {("data-eng", "eng")}
 
 
-def test_a_fetch_is_one_transaction(spark):
+def test_a_fetch_is_one_transaction(spark, tmp_path):
     from marlstone.sources import actions
 
     body = lambda *ids: json.dumps({"jobs": [{"id": i, "absolute_url": "u"} for i in ids]})
@@ -229,6 +230,9 @@ def test_a_fetch_is_one_transaction(spark):
     assert sorted(r.run_id for r in state.values()) == [41, 42, 43, 44]
     known = {r.id: r.source_id for r in ids.collect()}
     assert sorted(known.values()) == ["1", "2"]
+    for _ in range(2):
+        ledger.append(snaps, f"{tmp_path}/snapshots")
+    assert spark.read.parquet(f"{tmp_path}/snapshots").count() == 6
     assert sorted((known[r.job_posting_id], r.fetch_run_id) for r in snaps.collect()) == sorted([("1", state[1, T(5)].run_id), ("2", state[1, T(5)].run_id), ("2", state[1, T(6)].run_id)])
 
 
