@@ -62,9 +62,15 @@ def discard(*frames: DataFrame) -> None:
             _remove(f.sparkSession, [path])
 
 
-def cleanup(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Remove all that the operators of this process have stashed, but for ``keep``: once their results are written, nothing needs it."""
-    _remove(spark, [p for p in _WRITTEN if keep is None or p != keep.__dict__.get("_stashed")])
+def written() -> frozenset[str]:
+    """What is stashed by now: a mark for cleanup()."""
+    return frozenset(_WRITTEN)
+
+
+def cleanup(spark: SparkSession, keep: DataFrame | None = None, since: frozenset[str] = frozenset()) -> None:
+    """Remove what the operators of this process have stashed since a mark, but for ``keep``: once their results are written,
+    nothing needs it. Results that aren't written yet must not have been made since then."""
+    _remove(spark, [p for p in _WRITTEN if p not in since and (keep is None or p != keep.__dict__.get("_stashed"))])
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -125,8 +125,12 @@ def test_stashes_can_be_removed(spark):
     path = lambda df: df._stashed.removeprefix("file:")
     common.discard(a, a, spark.range(1))
     assert not os.path.exists(path(a)) and b.count() == 4
-    common.cleanup(spark, keep=b)
-    assert b.count() == 4
+    mark = common.written()
+    c = common.stash(spark.range(2), "three")
+    common.cleanup(spark, keep=c, since=mark)
+    assert b.count() == 4 and c.count() == 2
+    common.cleanup(spark, since=mark)
+    assert b.count() == 4 and not os.path.exists(path(c))
     common.cleanup(spark)
     assert not os.path.exists(path(b)) and not common._WRITTEN
 
