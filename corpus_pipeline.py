@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.bpe import tokenized
-from marlstone.llm.common import cleanup, discard, stash, table
+from marlstone.llm.common import cleanup, discard, stash, table, written
 from marlstone.llm.exact_dedup import drop_copies
 from marlstone.llm.mixing import mixed_documents
 from marlstone.llm.near_dedup import drop_near_copies
@@ -50,10 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written to the shared folder and read again; what a stage no longer needs is removed."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each result written to the shared folder and read again; what the stages wrote besides is removed."""
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         before, docs = docs, stash(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
         discard(before)
-    cleanup(spark, keep=docs)
+    cleanup(spark, keep=docs, since=mark)
     return STAGES[-1][1](spark, docs, sf_dir)
