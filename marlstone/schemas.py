@@ -3,14 +3,9 @@
 from __future__ import annotations
 
 # Closed vocabularies of the data model.
-EMPLOYMENT_TYPES = ("full_time", "part_time", "contract", "intern", "temporary")
-WORKPLACE_TYPES = ("remote", "hybrid", "onsite")
 SENIORITIES = ("intern", "junior", "mid", "senior", "staff", "principal", "lead", "director", "unknown")
-RUN_STATUSES = ("in_progress", "success", "failed")
-PERIODS = ("hour", "day", "week", "month", "year")
 SOURCES = ("greenhouse", "lever", "ashby", "workday", "workable", "gem")
 REGISTRY_REASONS = ("unsupported_ats", "no_careers")
-SOURCE_TYPES = ("ats", "web", "agent")
 
 POSTING = (
     "source_id string, source_url string, raw_data string, title string, location_text string, location_texts array<string>, "
@@ -21,8 +16,6 @@ POSTING = (
 POSTING_COLUMNS = tuple(c.split()[0] for c in POSTING.split(", "))
 #: What a capture step hands over: one row for each page of a board.
 PAYLOAD = "company_id long, ats string, board_token string, page_no int, fetched_at timestamp, body string"
-COMPANY = "id long, name string, ats string, board_token string, created_at timestamp, careers_page_url string"
-RUN_EVENT = "run_id long, company_id long, seq int, at timestamp, status string, error_message string, postings_count int"
 SIDECAR = (
     "rank int, name string, source struct<industry: string, location: string, year_founded: int, employees: int, employee_change_pct: double>, "
     "url string, careers_url string, ats string, board_token string, notes string, status string, verified_at timestamp, verified_run_id string"
