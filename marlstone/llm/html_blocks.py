@@ -194,6 +194,14 @@ def _word_row(word: str) -> int:
     return xxhash.xxh32_intdigest(word) >> (32 - WORD_BITS)
 
 
+_DIGIT, _NO_DIGITS = re.compile("[0-9]"), dict.fromkeys(range(48, 58))
+
+
+@lru_cache(1 << 14)
+def _path_rows(bits: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes((1 << PATH_BITS) // 8, "little"), np.uint8), bitorder="little"))
+
+
 def _scale(sizes: np.ndarray) -> np.ndarray:
     """What a sum of rows is divided by: its length's root, and for long ones in proportion, so that they don't saturate."""
     return np.maximum(np.sqrt(np.maximum(sizes, 1)), sizes / np.sqrt(FULL_ROWS))[:, None]
@@ -203,15 +211,12 @@ def vectors(blocks: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np
     """(path features, word features, measures) of each block."""
     paths, words = [], []
     measures = np.zeros((len(blocks), MEASURES))
-    seen: dict[int, np.ndarray] = {}
     for i, b in enumerate(blocks):
-        rows = b.rows or 1
-        if rows not in seen:
-            seen[rows] = np.flatnonzero(np.unpackbits(np.frombuffer(rows.to_bytes((1 << PATH_BITS) // 8, "little"), np.uint8), bitorder="little"))
-        paths.append(seen[rows])
+        paths.append(_path_rows(b.rows or 1))
         w = b.text.lower().split()
-        words.append(np.array([_word_row(x) for x in w], np.int64))
-        measures[i] = np.log1p(len(w)) / 5, min(1.0, b.linked / max(1, len(b.text))), i / max(1, len(blocks)), b.text[-1] in ".!?", len(b.text) / 500 if len(b.text) < 500 else 1.0, 4 * sum(map(str.isdigit, b.text)) / max(1, len(b.text))
+        words.append(np.fromiter(map(_word_row, w), np.int64, len(w)))
+        digits = len(b.text) - len(b.text.translate(_NO_DIGITS)) if _DIGIT.search(b.text) else 0
+        measures[i] = np.log1p(len(w)) / 5, min(1.0, b.linked / max(1, len(b.text))), i / max(1, len(blocks)), b.text[-1] in ".!?", len(b.text) / 500 if len(b.text) < 500 else 1.0, 4 * digits / max(1, len(b.text))
     return paths, words, measures
 
 
