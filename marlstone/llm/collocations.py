@@ -32,7 +32,7 @@ from .common import ASCII_LOWER, ASCII_UPPER, discard, each_batch, stash
 
 LEAST, TOP, LONGEST, INSIDE = 30, 2000, 4, 80
 #: Text that is cut into words at once; sums that a task holds before it sends them; phrases for one owner, on average.
-BLOCK_BYTES, SUMS, OWNER_MASS = 1 << 23, 1 << 21, 1 << 22
+BLOCK_BYTES, SUMS, OWNER_MASS = 1 << 22, 1 << 20, 1 << 22
 #: Bits of the largest bit table (32 MB), and of one of its parts.
 BITS, PART_BITS = 1 << 28, 1 << 22
 
@@ -197,9 +197,18 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     pair = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
     def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for lang, words, _ in blocks(batches):
             found = words.value_counts()
-            yield pa.record_batch([pa.array([lang] * len(found), pa.string()), found.field(0), found.field(1)], pair)
+            held.append(pa.record_batch([pa.array([lang] * len(found), pa.string()), found.field(0), found.field(1)], pair))
+            size += len(found)
+            if size > SUMS:
+                table = pa.Table.from_batches(held).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(pair.names).cast(pair).combine_chunks()
+                held, size = table.to_batches(), len(table)
+                if 2 * size > SUMS:
+                    yield from held
+                    held, size = [], 0
+        yield from pa.Table.from_batches(held, pair).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(pair.names).cast(pair).to_batches()
 
     kind = "lang string, phrase string, f long"
     words = stash(each_batch(docs, ["text", "lang"], kind, count_words).groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "words")
@@ -210,36 +219,39 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     sent = pa.schema([("owner", pa.int64()), ("mass", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def send(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Sums, dealt to owners by range of the hash: each gets sorted keys and counts."""
-        keys, counts = _summed(keys, counts)
-        bounds = np.searchsorted(keys, np.array([(1 << 64) * i // owners for i in range(1, owners)], np.uint64))
-        for i, (k, c) in enumerate(zip(np.split(keys, bounds), np.split(counts, bounds), strict=True)):
-            if len(k):
-                short = c if c.max() >= 1 << 16 else c.astype(np.uint16)
-                yield pa.record_batch([pa.array([i]), pa.array([int(c.sum())]), pa.array([k.tobytes()], pa.binary()), pa.array([short.tobytes()], pa.binary())], sent)
+        """Sums, dealt to owners by range of the hash: each gets sorted keys, and counts of one byte where that holds them."""
+        for on, width in ((counts < 256, np.uint8), (counts >= 256, np.int64)):
+            some = keys[on]
+            bounds = np.searchsorted(some, np.array([(1 << 64) * i // owners for i in range(1, owners)], np.uint64))
+            for i, (k, c) in enumerate(zip(np.split(some, bounds), np.split(counts[on], bounds), strict=True)):
+                if len(k):
+                    yield pa.record_batch([pa.array([i]), pa.array([int(c.sum())]), pa.array([k.tobytes()], pa.binary()), pa.array([c.astype(width).tobytes()], pa.binary())], sent)
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, fresh, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        keys, counts, fresh, held = np.zeros(0, np.uint64), np.zeros(0, np.int32), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            k, c = np.unique(np.concatenate([keys[:0], *fresh]), return_counts=True)
+            fresh.clear()
+            return _summed(np.concatenate([keys, k]), np.concatenate([counts, c.astype(np.int32)]))
+
         for lang, words, piece in blocks(batches):
             for _, _, h in phrases(lang, words, piece, frequent.value)[0]:
                 fresh.append(h)
                 held += len(h)
             if held >= SUMS:
-                new = np.concatenate(fresh)
-                keys, counts = _summed(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
-                fresh, held = [], 0
+                (keys, counts), held = merged(), 0
                 if len(keys) > SUMS:
                     yield from send(keys, counts)
                     keys, counts = keys[:0], counts[:0]
-        new = np.concatenate([keys[:0], *fresh])
-        yield from send(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
+        yield from send(*merged())
 
     def merge(table: pa.Table) -> pa.Table:
         summary = Summary(sum(table.column("mass").to_pylist()) // least + 1)
         for k, c in zip(table.column("keys"), table.column("counts"), strict=True):
             keys = np.frombuffer(k.as_buffer(), np.uint64)
             raw = c.as_buffer()
-            summary.merge(keys, np.frombuffer(raw, np.uint16 if raw.size == 2 * len(keys) else np.int64).astype(np.int64))
+            summary.merge(keys, np.frombuffer(raw, np.uint8 if raw.size == len(keys) else np.int64).astype(np.int64))
         left = summary.maybe(least)
         return pa.table([pa.array([len(left)]), pa.array([left.tobytes()], pa.binary())], pa.schema([("n", pa.int64()), ("keys", pa.binary())]))
 
@@ -265,6 +277,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     exact = each_batch(docs, ["text", "lang"], kind, count_phrases).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     found = stash(exact, "candidates")
     discard(survivors)
+    frequent.destroy()
+    maybe.destroy()
     return ranked(found, words, least, top)
 
 
