@@ -191,27 +191,38 @@ class Summary:
         return self.keys[self.counts + self.short >= least]
 
 
+COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+
+
+def in_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task, summed before they leave it as far as SUMS rows hold them."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size > SUMS:
+            held = _added(held)
+            size = sum(b.num_rows for b in held)
+            if 2 * size > SUMS:
+                yield from held
+                held, size = [], 0
+    yield from _added(held)
+
+
+def _added(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return pa.Table.from_batches(batches, COUNTS).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(COUNTS.names).cast(COUNTS).combine_chunks().to_batches()
+
+
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language."""
     spark = docs.sparkSession
-    pair = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
-
     def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for lang, words, _ in blocks(batches):
             found = words.value_counts()
-            held.append(pa.record_batch([pa.array([lang] * len(found), pa.string()), found.field(0), found.field(1)], pair))
-            size += len(found)
-            if size > SUMS:
-                table = pa.Table.from_batches(held).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(pair.names).cast(pair).combine_chunks()
-                held, size = table.to_batches(), len(table)
-                if 2 * size > SUMS:
-                    yield from held
-                    held, size = [], 0
-        yield from pa.Table.from_batches(held, pair).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(pair.names).cast(pair).to_batches()
+            yield pa.record_batch([pa.array([lang] * len(found), pa.string()), found.field(0), found.field(1)], COUNTS)
 
     kind = "lang string, phrase string, f long"
-    words = stash(each_batch(docs, ["text", "lang"], kind, count_words).groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "words")
+    words = stash(each_batch(docs, ["text", "lang"], kind, lambda b: in_task(count_words(b))).groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "words")
     frequent_words = words.where(F.col("f") >= least)
     size = words.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n"), F.count_if(F.col("f") >= least).alias("frequent")).first()
     frequent = spark.sparkContext.broadcast(bit_table(frequent_words, "lang phrase", size.frequent, word_hashes))
@@ -272,9 +283,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
                 times = times - np.bincount(group[odd], minlength=len(times))
                 places, counts = np.concatenate([at[first], at[odd]]), np.concatenate([times, np.ones(int(odd.sum()), np.int64)])
                 texts = [" ".join([known[i] for i in ids[p : p + k]]) for p in places.tolist()]
-                yield pa.record_batch([pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], pair)
+                yield pa.record_batch([pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], COUNTS)
 
-    exact = each_batch(docs, ["text", "lang"], kind, count_phrases).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    exact = each_batch(docs, ["text", "lang"], kind, lambda b: in_task(count_phrases(b))).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     found = stash(exact, "candidates")
     discard(survivors)
     frequent.destroy()
