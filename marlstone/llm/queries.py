@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, conversations, exact_dedup, html_blocks, language_id, license_scan, mixing, near_dedup, quality_rules, secret_scan, toxicity
+from . import bpe, collocations, conversations, exact_dedup, html_blocks, language_id, license_scan, mixing, near_dedup, personal_data, quality_rules, secret_scan, toxicity
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,6 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
 
 
-_ALL = (op1_quality_rules, op2_bpe, op3_near_dedup, op4_exact_dedup, op5_html_blocks, op6_mixing, op7_license_scan, op8_secret_scan, op9_toxicity, op10_language_id, op12_collocations, op13_conversations)
+_ALL = (op1_quality_rules, op2_bpe, op3_near_dedup, op4_exact_dedup, op5_html_blocks, op6_mixing, op7_license_scan, op8_secret_scan, op9_toxicity, op10_language_id, op11_personal_data, op12_collocations, op13_conversations)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op3_near_dedup": near_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op12_collocations": collocations.ORACLE, "op13_conversations": conversations.ORACLE}
