@@ -23,12 +23,14 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import stash
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "name")
 PART = 512
-ROUNDS, STEPS, RIDGE, TRUST, LEAST = 30, 150, 1.0, 6.0, 0.5
+ROUNDS, STEPS, RIDGE, LEAST = 30, 150, 0.1, 0.5
+#: Counts that speak for each labeler before any are made: votes of 1 and -1 on personal data, votes of 1 and -1 on other spans.
+TRUST = {"form": (9, 1, 5, 5), "checksum": (1000, 1, 20, 180), "gazetteer": (7, 3, 3, 7), "context": (16, 1, 4, 30), "neighbours": (19, 1, 12, 8)}
 
 # Words that labelers know.
 TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
@@ -67,7 +69,7 @@ WIDER_FORMS = {
     "email": rf"(?<![{_WORD}])[{_WORD}]{{1,64}}+\x20?[(\[{{]at[)\]}}]\x20?[{_DOMAIN}]{{1,63}}+(?:\x20?(?:[(\[{{]dot[)\]}}]|\.)\x20?[{_DOMAIN}]{{1,63}}+){{1,5}}",
     "ip": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_][0-9]{3,6}){2,4}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z.+/-])(?:00?[1-9][0-9]{0,2}[\x20.-])?(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z/-])",
+    "phone": r"(?<![0-9A-Za-z.+/-])(?<![0-9][\x20._])(?:00?[1-9][0-9]{0,2}[\x20.-])?(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z/-]|[\x20._][0-9])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{_listed(TITLES)})\.?\x20\p{{Lu}}\p{{L}}{{1,30}}(?:\x20\p{{Lu}}\p{{L}}{{1,30}})?|(?:{_listed(GIVEN)})\x20\p{{Lu}}\p{{L}}{{1,30}})(?!\p{{L}})",
@@ -79,20 +81,26 @@ WIDER_SIGNS = {"email": r"[(\[{]at[)\]}]", "ip": ":", "card": "[0-9]{4}[./_][0-9
 _SPAN = "struct<start:long,end:long,value:string,before:string,after:string>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What ``body`` makes of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running(values: Column, join: Callable[[Column, Column], Column], zero: int) -> Column:
     """What ``join`` makes of each value of an array of longs and all before it. Parts are folded by themselves, then joined with
     what came before them, so that appending never copies more than PART values."""
+    none, first = F.expr("cast(array() as array<long>)"), F.lit(zero).cast("long")
 
     def fold(a: Column) -> Column:
-        start = F.struct(F.lit(zero).cast("long").alias("v"), F.expr("cast(array() as array<long>)").alias("all"))
-        step = lambda s, x: F.struct(join(s["v"], x).alias("v"), F.array_append(s["all"], join(s["v"], x)).alias("all"))
-        return F.aggregate(a, start, step)["all"]
+        step = lambda s, x: let(join(s["v"], x), lambda v: F.struct(v.alias("v"), F.array_append(s["all"], v).alias("all")))
+        return F.aggregate(a, F.struct(first.alias("v"), none.alias("all")), step)["all"]
 
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / PART).cast("int")), lambda i: fold(F.slice(values, i * PART + 1, F.lit(PART))))
-    lasts = lambda p: F.concat(F.array(F.lit(zero).cast("long")), fold(F.transform(p, lambda x: F.element_at(x, -1))))
-    # the last total is before no part
-    whole = lambda p: F.flatten(F.transform(F.arrays_zip(p.alias("p"), F.slice(lasts(p), 1, F.size(p)).alias("b")), lambda z: F.transform(z["p"], lambda x: join(z["b"], x))))
-    return F.when(F.size(values) > 0, F.element_at(F.transform(F.array(parts), whole), 1)).otherwise(F.expr("cast(array() as array<long>)"))
+    def whole(parts: Column) -> Column:
+        before = F.concat(F.array(first), fold(F.transform(parts, lambda x: F.element_at(x, -1))))
+        return let(before, lambda b: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: join(F.get(b, i), x)))))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PART).cast("int")), lambda i: fold(F.slice(v, i * PART + 1, F.lit(PART))))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(cut(v), whole)).otherwise(none))
 
 
 def find(df: DataFrame, name: str, pattern: str, sign: Column | None = None) -> DataFrame:
@@ -100,11 +108,17 @@ def find(df: DataFrame, name: str, pattern: str, sign: Column | None = None) ->
     code points (end exclusive) and up to 48 and 16 code points of what stands between them and their neighbours."""
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
     hit = F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))
-    df = df.withColumn("_m", hit if sign is None else F.when(sign, hit).otherwise(F.expr("cast(array() as array<string>)")))
-    df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split("_text", pattern, -1)))
-    df = df.withColumn("_e", F.when(F.size("_m") > 0, running(F.transform("_m", lambda m, i: (F.length(m) + F.length(F.get("_p", i))).cast("long")), lambda a, b: a + b, 0)))
-    made = F.transform("_m", lambda m, i: F.struct((F.get("_e", i) - F.length(m)).alias("start"), F.get("_e", i).alias("end"), m.alias("value"), F.right(F.get("_p", i), F.lit(48)).alias("before"), F.left(F.get("_p", i + 1), F.lit(16)).alias("after")))
-    return df.withColumn(name, F.when(F.size("_m") > 0, made).otherwise(none)).drop("_m", "_p", "_e")
+
+    def places(m: Column, p: Column, e: Column) -> Column:
+        return F.transform(m, lambda v, i: F.struct((F.get(e, i) - F.length(v)).alias("start"), F.get(e, i).alias("end"), v.alias("value"), F.right(F.get(p, i), F.lit(48)).alias("before"), F.left(F.get(p, i + 1), F.lit(16)).alias("after")))
+
+    def between(m: Column, p: Column) -> Column:
+        sizes = F.transform(m, lambda v, i: (F.length(v) + F.length(F.get(p, i))).cast("long"))
+        return let(running(sizes, lambda a, b: a + b, 0), lambda e: places(m, p, e))
+
+    # one expression, with each part bound: a column of its own would be put into the lambdas and worked out for each match
+    found = let(hit, lambda m: F.when(F.size(m) > 0, let(F.split("_text", pattern, -1), lambda p: between(m, p))).otherwise(none))
+    return df.withColumn(name, found if sign is None else F.when(sign, found).otherwise(none))
 
 
 def digits(v: Column) -> Column:
@@ -161,7 +175,7 @@ def votes(kind: str, s: Column) -> list[Column]:
         "phone": _sign(v.rlike(r"^\+|\("), v.rlike(r"\..*\..*\.")), "iban": _sign(F.length(F.regexp_replace(v, " ", "")).between(15, 34)), "ssn": F.lit(1), "name": _sign(v.rlike(f"^(?:{_listed(TITLES)})\\b"), F.lit(False)),
     }[kind]
     check = {
-        "email": _sign(last.rlike("^[A-Za-z]{2,}$")), "ip": F.when(v.contains("."), _sign(holds("ip", v))).otherwise(0), "card": _sign(F.length(number).between(12, 19) & _luhn(number)), "phone": _sign(F.length(number).between(9, 15)),
+        "email": _sign(last.rlike("^[A-Za-z]{2,}$")), "ip": F.when(v.contains("."), _sign(holds("ip", v))).otherwise(0), "card": _sign(F.length(number).between(12, 19) & _luhn(number)), "phone": _sign(F.lit(False), ~F.length(number).between(9, 15)),
         "iban": _sign(_mod97(v) == 1), "ssn": _sign(~v.rlike("^(?:000|666|9)|-00-|-0000$")), "name": zero,
     }[kind]
     lengths = F.create_map(*(F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv))
@@ -176,7 +190,7 @@ def votes(kind: str, s: Column) -> list[Column]:
 
 
 #: Numbers of the features of a span: one for all, three for each labeler, three for length, three for separators.
-N_LABELERS = 5
+N_LABELERS = len(TRUST)
 SIZE = 1 + 3 * N_LABELERS + 6
 
 
@@ -210,64 +224,75 @@ def _zeros(n: int) -> Column:
     return F.array_repeat(F.lit(0.0), n)
 
 
-def _plus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
+def _plus(sums: Column, hot: Column, by: Column) -> Column:
+    """sums with ``by`` added where ``hot`` is 1."""
+    return F.zip_with(sums, hot, lambda s, h: s + h * by)
 
 
-def reliabilities(patterns: Column) -> Column:
-    """Expectation-maximisation over ``patterns`` (votes, anchor, n): for each labeler the log odds that a vote of -1, 0 or 1 gives,
-    3 x labelers values and then those of the prior. TRUST counts of a labeler that is right speak for each, and abstaining tells
-    nothing before it is counted."""
-    slots = 6 * N_LABELERS + 2  # how often: 3 votes of each labeler among spans, then among others; then both totals
+def _hot(at: Column, n: int) -> Column:
+    """n values, 1 at the numbers that ``at`` lists and 0 elsewhere."""
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(F.array_contains(at, i), 1.0).otherwise(0.0))
+
 
-    def belief(p: Column, odds: Column) -> Column:
-        at = F.transform(p["votes"], lambda v, j: 3 * j + v + 2)
-        return F.when(p["anchor"].isNotNull(), p["anchor"].cast("double")).otherwise(_logistic(_sum_at(odds, at) + F.element_at(odds, 3 * N_LABELERS + 1)))
+def _belief(p: Column, odds: Column) -> Column:
+    """The probability that a pattern's spans are personal data: known of anchors, else by the labelers' odds."""
+    return F.when(p["anchor"].isNotNull(), p["anchor"].cast("double")).otherwise(_logistic(_sum_at(odds, p["at"])))
 
-    def counted(odds: Column) -> Column:
+
+#: Odds: three for each labeler, then those of any span.
+ODDS = 3 * N_LABELERS + 1
+
+
+def reliabilities(patterns: Column) -> Column:
+    """Expectation-maximisation over ``patterns`` (at: numbers of the votes and ODDS, anchor, n): for each labeler the log odds that
+    a vote of -1, 0 or 1 gives, and last those before any vote. Before any count, those of TRUST speak for
+    each labeler."""
+
+    def counted(rows: Column, odds: Column) -> Column:
         def add(sums: Column, p: Column) -> Column:
-            q, n = belief(p, odds), p["n"].cast("double")
-            hot = lambda i: F.when(i <= 3 * N_LABELERS, F.when(F.element_at(p["votes"], (F.ceil(i / 3)).cast("int")) == F.pmod(i - 1, F.lit(3)) - 1, 1.0).otherwise(0.0)).otherwise(1.0)
-            half = F.sequence(F.lit(1), F.lit(3 * N_LABELERS + 1))
-            return _plus(sums, F.concat(F.transform(half, lambda i: hot(i) * n * q), F.transform(half, lambda i: hot(i) * n * (1 - q))))
+            return let(_belief(p, odds), lambda q: F.struct(_plus(sums["yes"], p["hot"], p["n"] * q).alias("yes"), _plus(sums["no"], p["hot"], p["n"] * (1 - q)).alias("no")))
 
-        return F.aggregate(patterns, _zeros(slots), add)
+        return F.aggregate(rows, nothing, add)
 
     def to_odds(sums: Column) -> Column:
-        half = slots // 2
-        right = lambda i: F.when(F.pmod(i - 1, F.lit(3)) == 2, TRUST).otherwise(1.0)
-        wrong = lambda i: F.when(F.pmod(i - 1, F.lit(3)) == 0, TRUST).otherwise(1.0)
-        yes, no = F.element_at(sums, half), F.element_at(sums, 2 * half)
-        each = lambda i: F.log((F.element_at(sums, i) + right(i)) / (yes + TRUST + 2)) - F.log((F.element_at(sums, i + half) + wrong(i)) / (no + TRUST + 2))
-        return F.concat(F.transform(F.sequence(F.lit(1), F.lit(half - 1)), each), F.array(F.log((yes + 1) / (no + 1))))
+        def each(i: Column) -> Column:
+            other, held = F.when(F.pmod(i, F.lit(3)) == 1, i + 2).otherwise(i - 2), lambda of, k: F.element_at(of, k.cast("int"))
+            share = lambda of, known: F.log((held(of, i) + held(known, i)) / (held(of, i) + held(of, other) + held(known, i) + held(known, other)))
+            return F.when(F.pmod(i, F.lit(3)) == 2, 0.0).otherwise(share(sums["yes"], known_yes) - share(sums["no"], known_no))  # who abstains says nothing
+
+        before = F.log((F.element_at(sums["yes"], ODDS) + 2) / (F.element_at(sums["no"], ODDS) + 2))
+        return F.concat(F.transform(F.sequence(F.lit(1), F.lit(ODDS - 1)), each), F.array(before))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), to_odds(_zeros(slots)), lambda odds, _: to_odds(counted(odds)))
+    known_yes, known_no = (F.array(*(F.lit(float(x)) for t in TRUST.values() for x in (t[i + 1], 0, t[i]))) for i in (0, 2))
+    nothing = F.struct(_zeros(ODDS).alias("yes"), _zeros(ODDS).alias("no"))
+    ready = F.transform(patterns, lambda p: F.struct(p["at"].alias("at"), p["anchor"].alias("anchor"), p["n"].cast("double").alias("n"), _hot(p["at"], ODDS).alias("hot")))
+    return let(ready, lambda rows: F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), let(nothing, to_odds), lambda odds, _: let(counted(rows, odds), to_odds)))
 
 
 def fitted(patterns: Column, odds: Column) -> Column:
-    """Weights of a logistic regression of spans, fitted to what the labelers' odds say of each of ``patterns`` (features, votes,
+    """Weights of a logistic regression of spans, fitted to what the labelers' odds say of each of ``patterns`` (features, at,
     anchor, n). A step moves all weights at once, each by its slope over a bound of its curvature, so that the fit never gets worse."""
-    at = lambda p: F.transform(p["votes"], lambda v, j: 3 * j + v + 2)
-    aimed = F.transform(patterns, lambda p: F.struct(p["features"].alias("x"), p["n"].cast("double").alias("n"), F.when(p["anchor"].isNotNull(), p["anchor"].cast("double")).otherwise(_logistic(_sum_at(odds, at(p)) + F.element_at(odds, 3 * N_LABELERS + 1))).alias("q")))
-    active = 1 + N_LABELERS + 2
-    spread = lambda x, v: F.transform(F.sequence(F.lit(1), F.lit(SIZE)), lambda i: F.when(F.array_contains(x, i), v).otherwise(0.0))
-    mass = F.aggregate(aimed, _zeros(SIZE), lambda a, p: _plus(a, spread(p["x"], p["n"])))
+    aimed = F.transform(patterns, lambda p: F.struct(p["features"].alias("x"), _hot(p["features"], SIZE).alias("hot"), p["n"].cast("double").alias("n"), _belief(p, odds).alias("q")))
+
+    def step(w: Column, mass: Column, rows: Column) -> Column:
+        slope = F.aggregate(rows, _zeros(SIZE), lambda a, p: _plus(a, p["hot"], p["n"] * (p["q"] - _logistic(_sum_at(w, p["x"])))))
+        return let(slope, lambda g: F.transform(w, lambda x, i: x + (F.get(g, i) - RIDGE * x) / (F.get(mass, i) * (N_LABELERS + 3) / 4 + RIDGE)))
 
-    def step(w: Column, m: Column, rows: Column) -> Column:
-        slope = F.aggregate(rows, _zeros(SIZE), lambda a, p: _plus(a, spread(p["x"], p["n"] * (p["q"] - _logistic(_sum_at(w, p["x"]))))))
-        return F.transform(w, lambda x, i: x + (F.get(slope, i) - RIDGE * x) / (F.get(m, i) * active / 4 + RIDGE))
+    def fit(rows: Column) -> Column:
+        mass = F.aggregate(rows, _zeros(SIZE), lambda a, p: _plus(a, p["hot"], p["n"]))
+        return let(mass, lambda m: F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), _zeros(SIZE), lambda w, _: step(w, m, rows)))
 
-    both = F.element_at(F.transform(F.array(F.struct(aimed.alias("rows"), mass.alias("mass"))), lambda b: F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), _zeros(SIZE), lambda w, _: step(w, b["mass"], b["rows"]))), 1)
-    return both
+    return let(aimed, fit)
 
 
 def model(candidates: DataFrame) -> dict[int, list[float]]:
     """Weights of each kind that has candidates, from ``candidates`` (kind, anchor, votes, shape): one row for each span of all texts."""
     counted = candidates.groupBy("kind", "anchor", "votes", "shape").agg(F.count(F.lit(1)).alias("n"))
-    one = F.struct("votes", "shape", "anchor", "n", features(F.col("votes"), F.col("shape")).alias("features"))
+    at = F.concat(F.transform("votes", lambda v, j: 3 * j + v + 2), F.array(F.lit(ODDS)))
+    one = F.struct("votes", "shape", "anchor", "n", at.alias("at"), features(F.col("votes"), F.col("shape")).alias("features"))
     rows = counted.groupBy("kind").agg(F.array_sort(F.collect_list(one)).alias("p"))  # at most 243 x 9 x 3 patterns
-    rows = rows.withColumn("odds", reliabilities(F.col("p"))).withColumn("w", fitted(F.col("p"), F.col("odds")))
-    return {r.kind: list(r.w) for r in rows.select("kind", "w").collect()}
+    weights = let(F.col("p"), lambda p: let(reliabilities(p), lambda odds: fitted(p, odds)))
+    return {r.kind: list(r.w) for r in rows.select("kind", weights.alias("w")).collect()}
 
 
 def candidates_of(docs: DataFrame) -> DataFrame:
@@ -297,10 +322,10 @@ def _apart(base: Column, more: Column) -> Column:
     def kept(a: Column) -> Column:
         upto = running(F.transform(a, lambda s: F.when(s["base"], s["end"]).otherwise(far).cast("long")), F.greatest, far)
         later = F.reverse(running(F.reverse(F.transform(a, lambda s: F.when(s["base"], -s["start"]).otherwise(far).cast("long"))), F.greatest, far))
-        marked = F.arrays_zip(a.alias("s"), upto.alias("u"), later.alias("l"))
-        return F.transform(F.filter(marked, lambda z: ~z["s"]["base"] & (z["u"] <= z["s"]["start"]) & (-z["l"] >= z["s"]["end"])), lambda z: F.struct(z["s"]["start"].alias("start"), z["s"]["kind"].alias("kind"), z["s"]["end"].alias("end")))
+        alone = lambda u, l: F.filter(a, lambda s, i: ~s["base"] & (F.get(u, i) <= s["start"]) & (-F.get(l, i) >= s["end"]))  # noqa: E731, E741
+        return F.transform(let(upto, lambda u: let(later, lambda l: alone(u, l))), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
-    return F.element_at(F.transform(F.array(every), kept), 1)
+    return let(every, kept)
 
 
 def _said(spans: Column) -> Column:
