@@ -103,8 +103,8 @@ def running(values: Column, join: Callable[[Column, Column], Column], zero: int)
     return let(values, lambda v: F.when(F.size(v) > 0, let(cut(v), whole)).otherwise(none))
 
 
-def find(df: DataFrame, name: str, pattern: str, sign: Column | None = None) -> DataFrame:
-    """df with column ``name``: the matches of a pattern in ``_text`` from left to right, none overlapping, with their places in
+def matches(pattern: str, sign: Column | None = None) -> Column:
+    """The matches of a pattern in ``_text`` from left to right, none overlapping, with their places in
     code points (end exclusive) and up to 48 and 16 code points of what stands between them and their neighbours."""
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
     hit = F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))
@@ -118,7 +118,7 @@ def find(df: DataFrame, name: str, pattern: str, sign: Column | None = None) ->
 
     # one expression, with each part bound: a column of its own would be put into the lambdas and worked out for each match
     found = let(hit, lambda m: F.when(F.size(m) > 0, let(F.split("_text", pattern, -1), lambda p: between(m, p))).otherwise(none))
-    return df.withColumn(name, found if sign is None else F.when(sign, found).otherwise(none))
+    return found if sign is None else F.when(sign, found).otherwise(none)
 
 
 def digits(v: Column) -> Column:
@@ -298,10 +298,11 @@ def model(candidates: DataFrame) -> dict[int, list[float]]:
 def candidates_of(docs: DataFrame) -> DataFrame:
     """docs' ids with _base (start, kind, end: spans that hold) and _all (judged spans of both forms)."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    for kind, form in BASE_FORMS.items():
-        df = find(df, f"_{kind}", form, F.col("_text").contains(SIGNS[kind]) if kind in SIGNS else F.col("_text").rlike(r"[0-9]\.[0-9]" if kind == "ip" else "[0-9][ -]?[0-9]"))
-    for kind, form in WIDER_FORMS.items():
-        df = find(df, f"_wide_{kind}", form, F.col("_text").rlike(WIDER_SIGNS[kind]) if kind in WIDER_SIGNS else None)
+    text = F.col("_text")
+    signs = {"ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][ -]?[0-9]")} | {k: text.contains(x) for k, x in SIGNS.items()}
+    narrow = [matches(form, signs[kind]).alias(f"_{kind}") for kind, form in BASE_FORMS.items()]
+    wide = [matches(form, text.rlike(WIDER_SIGNS[kind]) if kind in WIDER_SIGNS else None).alias(f"_wide_{kind}") for kind, form in WIDER_FORMS.items()]
+    df = df.select("doc_id", *narrow, *wide)
     # a run of fewer digits than a card, an address or a number of a phone has is no example of anything
     long_enough = lambda s: F.length(digits(s["value"])) >= 9
     base, seen = [], []
