@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as X
@@ -424,6 +425,12 @@ def _dealt(rows: DataFrame, key: str, row_id: str) -> DataFrame:
     return rows.join(F.broadcast(large), F.col(key) == F.col("_key"), "left").withColumn("body_no", F.pmod(F.xxhash64(row_id), bodies)).drop("_key", "_n")
 
 
+def _numbered_pages(rows, key: str, order: list[str], size: int):
+    """rows with number (from 0, within the key) and page_no."""
+    number = F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1
+    return rows.withColumn("number", number).withColumn("page_no", F.floor(F.col("number") / size).cast("int"))
+
+
 def _page_no() -> F.Column:
     """Page numbers come round again instead of reaching the ceiling, which is for sources that never end."""
     return (F.col("body_no") % payloads.MOST_PAGES).cast("int").alias("page_no")
@@ -434,19 +441,22 @@ select o_custkey as company_id, cast(o_orderkey as varchar) as source_id, 'https
   case o_orderstatus when 'F' then 'full_time' when 'P' then 'contract' end as employment_type, case o_orderstatus when 'F' then 'remote' end as workplace_type,
   case when o_orderkey % 3 = 0 then cast(floor(o_totalprice) as bigint) end as compensation_min, case when o_orderkey % 3 = 0 then 'EUR' end as compensation_currency, case when o_orderkey % 3 = 0 then 'year' end as compensation_period, array_to_string(x, '|') as locations, x[1] as location_text
 from (select *, case o_orderkey % 4 when 0 then [] when 1 then ['A', 'B'] when 2 then ['Here'] end as x from orders)
-where o_custkey not in (select o_custkey from orders where o_totalprice < 1500)
+where o_custkey not in (select o_custkey from orders where o_totalprice < 1500) and o_custkey in (select o_custkey from orders group by all having count(*) < 100000)
 """)
 def lever_boards(spark, sf_dir):
-    """Orders as captured boards, one for each customer, large ones in several pages; one job without an address rejects its whole board."""
-    k, o = F.col("o_orderkey"), _dealt(B.read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+    """Orders as captured boards, one for each customer, in pages as the source gives them: a full last page is followed by an empty
+    one. One job without an address rejects its whole board, and so do a thousand pages."""
+    k, o = F.col("o_orderkey"), _numbered_pages(B.read(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"], payloads.PAGE["lever"])
     job = F.struct(
         k.cast("string").alias("id"), F.col("o_orderpriority").alias("text"), F.when(F.col("o_totalprice") >= 1500, F.concat(F.lit("https://jobs.example/"), k)).alias("hostedUrl"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("createdAt"),
         F.when(F.col("o_orderstatus") == "F", "REMOTE").otherwise("unspecified").alias("workplaceType"),
         F.struct(F.when(F.col("o_orderstatus") == "F", "Full-Time").when(F.col("o_orderstatus") == "P", "Fixed term").otherwise("odd").alias("commitment"), F.when(k % 4 == 2, "Here").alias("location"), F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(F.lit("A"), F.lit("B"))).alias("allLocations")).alias("categories"),
         F.struct(F.col("o_totalprice").alias("min"), (F.col("o_totalprice") + 1).alias("max"), F.lit(" eur ").alias("currency"), F.when(k % 3 == 0, "per-year-salary").otherwise("per-decade").alias("interval")).alias("salaryRange"),
     )
-    body = o.groupBy(F.col("o_custkey").alias("company_id"), "body_no").agg(F.to_json(F.collect_list(job)).alias("body"))
-    pages = body.select("company_id", F.lit("lever").alias("ats"), F.lit("t").alias("board_token"), _page_no(), F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "body")
+    body = o.groupBy(F.col("o_custkey").alias("company_id"), "page_no").agg(F.to_json(F.collect_list(job)).alias("body"))
+    full = o.groupBy(F.col("o_custkey").alias("company_id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") % payloads.PAGE["lever"] == 0)
+    body = body.unionByName(full.select("company_id", F.floor(F.col("n") / payloads.PAGE["lever"]).cast("int").alias("page_no"), F.lit("[]").alias("body")))
+    pages = body.select("company_id", F.lit("lever").alias("ats"), F.lit("t").alias("board_token"), "page_no", F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "body")
     out = payloads.accepted(pages)
     return out.select("company_id", "source_id", "source_url", "posted_at", "employment_type", "workplace_type", "compensation_min", "compensation_currency", "compensation_period", F.array_join("location_texts", "|").alias("locations"), "location_text")
 
@@ -569,7 +579,13 @@ def greenhouse_boards(spark, sf_dir):
 def _captured(spark, sf_dir, ats: str, token, job, envelope: str | None):
     """Orders as a source's captured boards, one for each customer, large ones in several pages."""
     jobs = F.collect_list(job)
-    body = jobs if envelope is None else F.struct(jobs.alias(envelope), F.lit(10**9).alias("total"))
+    body = jobs if envelope is None else F.struct(jobs.alias(envelope))
+    if ats in payloads.PAGE:  # in pages as the source gives them
+        orders = _numbered_pages(B.read(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"], payloads.PAGE[ats])
+        sizes = orders.groupBy(F.col("o_custkey").alias("_key")).agg(F.count(F.lit(1)).alias("total"))
+        found = orders.groupBy("o_custkey", "page_no").agg(jobs.alias(envelope)).join(sizes, F.col("o_custkey") == F.col("_key"))
+        found = found.select(F.col("o_custkey").alias("company_id"), F.lit(ats).alias("ats"), "page_no", F.lit(AS_OF).cast("timestamp").alias("fetched_at"), F.to_json(F.struct("total", envelope)).alias("body"))
+        return found.withColumn("board_token", token)
     rows = _dealt(B.read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").groupBy(F.col("o_custkey").alias("company_id"), "body_no").agg(F.to_json(body).alias("body"))
     return rows.select("company_id", F.lit(ats).alias("ats"), token.alias("board_token"), _page_no(), F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "body")
 
@@ -608,7 +624,7 @@ def ashby_boards(spark, sf_dir):
 @query(f"""
 select o_custkey as company_id, path as source_id, url as source_url, o_orderpriority as title, place as location_text, place as locations, null::varchar as department, null::varchar as team, null::varchar as employment_type, null::varchar as workplace_type, url as job_url, null::varchar as description_text,
   case o_orderkey % 4 when 0 then {AS_OF_SQL} when 1 then {AS_OF_SQL} - interval 1 day * (o_orderkey % 25) when 2 then cast(o_orderdate::date as timestamp) end as posted_at, null::timestamp as source_first_published_at, null::timestamp as source_last_modified_at
-from (select *, case when o_orderkey % 5 = 0 then 'https://w.example/' || o_orderkey else 'https://a' || o_custkey || '.wd5.myworkdayjobs.com/en-US/Site/x/job/' || o_orderkey end as url from (select *, case when o_orderkey % 2 = 0 then '/' else '' end || 'job/' || o_orderkey as path, case when o_orderkey % 3 > 0 then 'P' || o_orderkey % 7 end as place from orders)) where {_SOUND}
+from (select *, case when o_orderkey % 5 = 0 then 'https://w.example/' || o_orderkey else 'https://a' || o_custkey || '.wd5.myworkdayjobs.com/en-US/Site/x/job/' || o_orderkey end as url from (select *, case when o_orderkey % 2 = 0 then '/' else '' end || 'job/' || o_orderkey as path, case when o_orderkey % 3 > 0 then 'P' || o_orderkey % 7 end as place from orders)) where {_SOUND} and o_custkey in (select o_custkey from orders group by all having count(*) <= 20000)
 """)
 def workday_boards(spark, sf_dir):
     """One job without a path rejects its whole board; addresses are the source's own or made of host, site and path."""
@@ -621,6 +637,34 @@ def workday_boards(spark, sf_dir):
     return _shown(_captured(spark, sf_dir, "workday", F.concat(F.lit("a"), "company_id", F.lit(".wd5.myworkdayjobs.com/Site/x")), job, "jobPostings"))
 
 
+@query("""
+with l as (select l_suppkey as company_id, count(*) as n, count(*) // 100 as f from lineitem group by all),
+w as (select o_custkey as company_id, count(*) as n, (count(*) + 19) // 20 as p from lineitem join orders on l_orderkey = o_orderkey group by all),
+v as (select company_id, 'lever' as ats, n, company_id % 4 in (1, 2) and f > 0 as broken from l where not (company_id % 4 = 2 and f = 0)
+union all select company_id, 'workday', case when company_id % 5 = 4 then least(n, 20) else n end, company_id % 5 in (1, 2) and p > 1 or company_id % 5 = 3 and n % 20 = 0 from w where not (company_id % 5 = 2 and p = 1))
+select company_id, ats, case when broken then 0 else n end as postings, case when broken then 'incomplete capture' end as first_issue from v
+""")
+def paged_captures(spark, sf_dir):
+    """Lines as captured boards of the paged sources, by supplier and by customer. Of some the second page or the last one is
+    missing, of others the total says too much or nothing: a capture with a gap or without an end is no board."""
+    lines = B.read(spark, sf_dir, "lineitem")
+    address = F.concat_ws("/", F.lit("https://jobs.example"), "l_orderkey", "l_linenumber")
+    lever = _numbered_pages(lines.select(F.col("l_suppkey").alias("company_id"), "l_orderkey", "l_linenumber"), "company_id", ["l_orderkey", "l_linenumber"], payloads.PAGE["lever"])
+    found = lever.groupBy("company_id", "page_no").agg(F.to_json(F.collect_list(F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), address.alias("hostedUrl")))).alias("body"))
+    sizes = lever.groupBy("company_id").agg(F.floor(F.count(F.lit(1)) / payloads.PAGE["lever"]).cast("int").alias("last"), (F.count(F.lit(1)) % payloads.PAGE["lever"]).alias("rest"))
+    found = found.unionByName(sizes.where("rest = 0").select("company_id", F.col("last").alias("page_no"), F.lit("[]").alias("body")))
+    found = found.join(sizes, "company_id").where("not (company_id % 4 = 1 and page_no = 1) and not (company_id % 4 = 2 and page_no = last)")
+    orders = B.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("company_id"))
+    workday = _numbered_pages(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("company_id", "l_orderkey", "l_linenumber"), "company_id", ["l_orderkey", "l_linenumber"], payloads.PAGE["workday"])
+    totals = workday.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.max("page_no").alias("last"))
+    jobs = workday.groupBy("company_id", "page_no").agg(F.collect_list(F.struct(F.concat_ws("/", F.lit("/job"), "l_orderkey", "l_linenumber").alias("externalPath"))).alias("jobPostings")).join(totals, "company_id")
+    said = F.when(F.col("company_id") % 5 == 3, F.col("n") + 100).when(F.col("company_id") % 5 == 4, 0).otherwise(F.col("n"))
+    jobs = jobs.where("not (company_id % 5 = 1 and page_no = 1) and not (company_id % 5 = 2 and page_no = last)").withColumn("body", F.to_json(F.struct(said.alias("total"), "jobPostings")))
+    shown = lambda df, ats, token: df.select("company_id", F.lit(ats).alias("ats"), F.lit(token).alias("board_token"), "page_no", F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "body")
+    captured = shown(found, "lever", "t").unionByName(shown(jobs, "workday", "a.wd5.myworkdayjobs.com/Site"))
+    return payloads.boards(captured).select("company_id", "ats", "postings", "first_issue")
+
+
 @query(f"""
 select o_custkey as company_id, 'S' || o_orderkey as source_id, u as source_url, o_orderpriority as title, place as location_text, place as locations, case when o_orderkey % 2 = 0 then 'D' end as department, null::varchar as team, case o_orderstatus when 'F' then 'full_time' when 'P' then 'contract' end as employment_type, null::varchar as workplace_type, u as job_url, null::varchar as description_text,
   case when o_orderkey % 3 = 0 then cast(o_orderdate::date as timestamp) end as posted_at, case o_orderkey % 3 when 0 then o_orderdate when 1 then cast(o_orderdate::date as timestamp) end as source_first_published_at, null::timestamp as source_last_modified_at

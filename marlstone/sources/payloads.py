@@ -37,16 +37,19 @@ def pages(payloads: DataFrame) -> DataFrame:
     isn't the source's envelope). A body is parsed once, whatever its source.
 
     A paged source is read up to its first short page; Workday's also ends where its pages have as many jobs as it says in
-    total. What was captured beyond isn't the board's.
+    total. What was captured beyond isn't the board's. _whole is false for a capture without such an end, or with a page missing
+    before it: pages are numbered from 0, so the page that ends a whole capture has its own number of pages before it.
     """
     body = F.try_parse_json(F.when(F.octet_length("body") <= schemas.BODY_LIMIT, F.col("body")))
     known = payloads.where(F.col("ats").isin(*ENVELOPES)).withColumn("_body", body)
     at = {ats: F.try_variant_get("_body", "$" if path is None else f"$.{path}", "array<variant>") for ats, path in ENVELOPES.items()}
     found = known.withColumn("_jobs", _by_source(at)).withColumn("_total", F.try_variant_get("_body", "$.total", "long"))
     paged = found.where(F.col("ats").isin(*PAGE)).groupBy(*KEYS, "page_no").agg(F.sum(F.coalesce(F.size("_jobs"), F.lit(0))).alias("n"), F.max("_total").alias("total"))
-    so_far = F.sum("n").over(W.partitionBy(*KEYS).orderBy("page_no"))  # as many rows as a board has pages
+    chain = W.partitionBy(*KEYS).orderBy("page_no")  # as many rows as a board has pages
+    so_far = F.sum("n").over(chain)
     ends = (F.col("n") < _by_source({k: F.lit(v) for k, v in PAGE.items()})) | ((F.col("ats") == "workday") & (so_far >= F.coalesce("total", F.lit(0))))
-    last = paged.withColumn("_end", ends).where("_end").groupBy(*KEYS).agg(F.min("page_no").alias("_last"))
+    place = F.struct("page_no", (F.col("page_no") == F.row_number().over(chain) - 1).alias("whole"))
+    last = paged.withColumn("_end", F.when(ends, place)).groupBy(*KEYS).agg(F.min("_end").alias("_end")).select(*KEYS, F.col("_end.page_no").alias("_last"), F.coalesce("_end.whole", F.lit(False)).alias("_whole"))
     read = found.drop("_body", "_total").join(last, list(KEYS), "left")
     return read.where("_last is null or page_no <= _last").drop("_last")
 
@@ -147,10 +150,11 @@ SOURCES = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby, "workday":
 
 
 def _jobs(payloads: DataFrame) -> tuple[DataFrame, dict[str, dict[str, Column]]]:
-    """One row for each job with its issue, and what each source makes of it. A body that isn't an envelope is one row with an issue."""
-    exploded = pages(payloads).select(*KEYS, F.col("_jobs").isNull().alias("_bad"), F.posexplode_outer("_jobs").alias("_at", "job")).where("_bad or job is not null")
+    """One row for each job with its issue, and what each source makes of it. A body that isn't an envelope is one row with an issue,
+    and so is an empty page of a capture that isn't whole; all jobs of such a capture have that issue."""
+    exploded = pages(payloads).select(*KEYS, F.col("_jobs").isNull().alias("_bad"), (~F.coalesce("_whole", F.lit(True))).alias("_cut"), F.posexplode_outer("_jobs").alias("_at", "job")).where("_bad or _cut or job is not null")
     made = {ats: source() for ats, source in SOURCES.items()}
-    return exploded.withColumn("issue", F.when(F.col("_bad"), "malformed body").otherwise(_by_source({k: v["issue"] for k, v in made.items()}))), made
+    return exploded.withColumn("issue", F.when(F.col("_bad"), "malformed body").when(F.col("_cut"), "incomplete capture").otherwise(_by_source({k: v["issue"] for k, v in made.items()}))), made
 
 
 def normalize(payloads: DataFrame) -> DataFrame:
@@ -173,8 +177,8 @@ def token_readable(ats: Column, token: Column) -> Column:
 
 
 def boards(payloads: DataFrame) -> DataFrame:
-    """company_id, ats, board_token, fetched_at, postings, first_issue, warning: a board with any issue counts as failed. An empty
-    board is sound. A board near the end of what its source gives at once, or of its pages, has a warning."""
+    """company_id, ats, board_token, fetched_at, postings, first_issue, warning: a board with any issue counts as failed, also one whose
+    captured pages have a gap or no end. An empty board is sound. A board near the end of what its source gives at once, or of its pages, has a warning."""
     found = _jobs(payloads)[0].groupBy(*KEYS).agg(F.count_if(F.col("issue").isNull()).alias("postings"), F.min("issue").alias("first_issue"))
     seen = payloads.groupBy(*KEYS).agg(F.max("page_no").alias("pages"))
     out = seen.join(found, list(KEYS), "left").withColumn("postings", F.coalesce("postings", F.lit(0)))
