@@ -92,16 +92,22 @@ def save_enrichments(payloads: DataFrame, postings: DataFrame, taxonomy: DataFra
     return Saved(failures, rows, new, every.join(ids, "payload_id").select("classification_id", "kind", "slug").distinct(), own)
 
 
-def fetch_transaction(payloads: DataFrame, runs: DataFrame, identities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fetch_transaction(payloads: DataFrame, runs: DataFrame, identities: DataFrame, greatest: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(run events, identities after, snapshot rows to append) of captured pages: one run for each board and capture.
 
     A board that fails, by its pages or by a posting that may not be written, keeps a failed run with its first issue and
-    writes no posting. ``runs`` gives the greatest run id; a capture's runs are numbered by their keys.
+    writes no posting. ``runs`` gives the greatest run id; a capture's runs are numbered by their keys. ``identities`` may be those
+    alone that the captures touch; ``greatest`` (one row, m) then gives the greatest id of all.
     """
     from marlstone.sources import payloads as P
 
-    judged = P.boards(payloads)
-    found = P.accepted(payloads)
+    return transaction_of(P.boards(payloads), P.accepted(payloads), runs, identities, greatest)
+
+
+def transaction_of(judged: DataFrame, found: DataFrame, runs: DataFrame, identities: DataFrame, greatest: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same of judged boards and accepted postings, so that a writer may parse bodies once and read both again."""
+    from marlstone.sources import payloads as P
+
     key = list(P.KEYS)
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     broken = found.where(blank("source_url") | blank("source_id") | blank("raw_data")).select(*key).distinct().withColumn("_broken", F.lit(True))
@@ -111,6 +117,6 @@ def fetch_transaction(payloads: DataFrame, runs: DataFrame, identities: DataFram
     ended = numbered.select("run_id", "company_id", F.lit(1).alias("seq"), F.col("fetched_at").alias("at"), F.when(F.col("issue").isNull(), "success").otherwise("failed").alias("status"), F.col("issue").alias("error_message"), F.when(F.col("issue").isNull(), F.col("postings")).cast("int").alias("postings_count"))
     sound = numbered.where("issue is null").select(*key, "run_id")
     written = found.join(sound, key)
-    after = ledger.upsert_identities(identities, written.select("company_id", "source_url", "source_id", "fetched_at"))
+    after = ledger.upsert_identities(identities, written.select("company_id", "source_url", "source_id", "fetched_at"), greatest)
     rows = written.join(after.select("company_id", "source_url", F.col("id").alias("job_posting_id")), ["company_id", "source_url"]).withColumnRenamed("run_id", "fetch_run_id").drop("ats", "board_token")
     return begun.unionByName(ended), after, rows

@@ -34,14 +34,14 @@ def fold_runs(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id", "company_id").agg(F.min("at").alias("started_at"), F.max_by(F.struct("status", "error_message", "postings_count", F.when(F.col("status") != "in_progress", F.col("at")).alias("completed_at")), F.struct("at", "seq")).alias("l")).select("run_id", "company_id", "started_at", "l.*")
 
 
-def upsert_identities(existing: DataFrame, seen: DataFrame) -> DataFrame:
+def upsert_identities(existing: DataFrame, seen: DataFrame, greatest: DataFrame | None = None) -> DataFrame:
     """job_postings after ``seen`` (company_id, source_url, source_id, fetched_at): known ones only take the newest source_id,
-    first_seen_at and id stay; new ones get ids."""
+    first_seen_at and id stay; new ones get ids after the greatest of ``existing``, or after ``greatest`` (one row, m)."""
     key = ["company_id", "source_url"]
     new = seen.groupBy(*key).agg(F.max_by("source_id", F.struct("fetched_at", "source_id")).alias("new_source_id"), F.min("fetched_at").alias("seen_at"))
     kept = existing.join(new, key, "left").select("id", *key, F.coalesce("new_source_id", "source_id").alias("source_id"), "first_seen_at")
     added = new.join(existing.select(*key), key, "left_anti").select(*key, F.col("new_source_id").alias("source_id"), F.col("seen_at").alias("first_seen_at"))
-    return kept.unionByName(numbered(added, key, greatest_id(existing)))
+    return kept.unionByName(numbered(added, key, greatest_id(existing) if greatest is None else greatest))
 
 
 def snapshot_rows(postings: DataFrame, identities: DataFrame, run_of: DataFrame) -> DataFrame:
