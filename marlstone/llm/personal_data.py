@@ -172,7 +172,7 @@ def votes(kind: str, s: Column) -> list[Column]:
     zero = F.lit(0)
     form = {
         "email": _sign(v.rlike(r"@|[(\[{]dot"), ~last.rlike("[A-Za-z]")), "ip": _sign(v.rlike(r"\.|::|(?:[^:]+:){7}")), "card": _sign(v.rlike(r"^[0-9]{13,16}$|^[0-9]{4}([^0-9]?)(?:[0-9]{4}\1){2}[0-9]{1,7}$")),
-        "phone": _sign(v.rlike(r"^\+|\("), v.rlike(r"\..*\..*\.")), "iban": _sign(F.length(F.regexp_replace(v, " ", "")).between(15, 34)), "ssn": F.lit(1), "name": _sign(v.rlike(f"^(?:{_listed(TITLES)})\\b"), F.lit(False)),
+        "phone": _sign(v.rlike(r"^\+|\("), v.rlike(r"\..*\..*\.|^[1-9][0-9]{3}")), "iban": _sign(F.length(F.regexp_replace(v, " ", "")).between(15, 34)), "ssn": F.lit(1), "name": _sign(v.rlike(f"^(?:{_listed(TITLES)})\\b"), F.lit(False)),
     }[kind]
     check = {
         "email": _sign(last.rlike("^[A-Za-z]{2,}$")), "ip": F.when(v.contains("."), _sign(holds("ip", v))).otherwise(0), "card": _sign(F.length(number).between(12, 19) & _luhn(number)), "phone": _sign(F.lit(False), ~F.length(number).between(9, 15)),
