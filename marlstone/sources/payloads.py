@@ -1,8 +1,8 @@
 """Captured job-board payloads to postings: six source formats into one schema.
 
 A board is all or nothing: one job that breaks its source's rules rejects the board's capture. Rows come out with the
-capture's keys, an ``issue`` that is null for sound jobs, and the columns of a posting. Raw JSON of each job is kept as
-the source wrote it, up to the order and blanks of its keys that the variant type doesn't hold.
+capture's keys, an ``issue`` that is null for sound jobs, and the columns of a posting. Raw JSON of each job is kept byte
+by byte as the source wrote it; its fields are read from a variant.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone import schemas
 from marlstone.functions import expr as X
+from marlstone.functions.slices import json_elements
 from marlstone.functions.text import html_to_text
 
 KEYS = ("company_id", "ats", "board_token", "fetched_at")
@@ -32,9 +33,9 @@ def _by_source(values: dict[str, Column | None], otherwise: Column | None = None
     return (F.lit(None) if otherwise is None else otherwise) if out is F else out if otherwise is None else out.otherwise(otherwise)
 
 
-def pages(payloads: DataFrame) -> DataFrame:
+def pages(payloads: DataFrame, raw: bool = False) -> DataFrame:
     """The pages that count, with their jobs: ``payloads`` of known sources with _jobs (array of variants, null if the body
-    isn't the source's envelope). A body is parsed once, whatever its source.
+    isn't the source's envelope), with ``raw`` also _raw, the text of each. A body is parsed once, whatever its source.
 
     A paged source is read up to its first short page; Workday's also ends where its pages have as many jobs as it says in
     total. What was captured beyond isn't the board's. _whole is false for a capture without such an end, or with a page missing
@@ -50,6 +51,8 @@ def pages(payloads: DataFrame) -> DataFrame:
     ends = (F.col("n") < _by_source({k: F.lit(v) for k, v in PAGE.items()})) | ((F.col("ats") == "workday") & (so_far >= F.coalesce("total", F.lit(0))))
     place = F.struct("page_no", (F.col("page_no") == F.row_number().over(chain) - 1).alias("whole"))
     last = paged.withColumn("_end", F.when(ends, place)).groupBy(*KEYS).agg(F.min("_end").alias("_end")).select(*KEYS, F.col("_end.page_no").alias("_last"), F.coalesce("_end.whole", F.lit(False)).alias("_whole"))
+    if raw:
+        found = found.withColumn("_raw", json_elements(F.when(F.size("_jobs") > 0, F.col("body")), _by_source({k: F.lit(v) for k, v in ENVELOPES.items()}).cast("string")))
     read = found.drop("_body", "_total").join(last, list(KEYS), "left")
     return read.where("_last is null or page_no <= _last").drop("_last")
 
@@ -149,21 +152,22 @@ def gem() -> dict[str, Column]:
 SOURCES = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby, "workday": workday, "workable": workable, "gem": gem}
 
 
-def _jobs(payloads: DataFrame) -> tuple[DataFrame, dict[str, dict[str, Column]]]:
+def _jobs(payloads: DataFrame, raw: bool = False) -> tuple[DataFrame, dict[str, dict[str, Column]]]:
     """One row for each job with its issue, and what each source makes of it. A body that isn't an envelope is one row with an issue,
     and so is an empty page of a capture that isn't whole; all jobs of such a capture have that issue."""
-    exploded = pages(payloads).select(*KEYS, F.col("_jobs").isNull().alias("_bad"), (~F.coalesce("_whole", F.lit(True))).alias("_cut"), F.posexplode_outer("_jobs").alias("_at", "job")).where("_bad or _cut or job is not null")
+    job = F.transform("_jobs", lambda j, i: F.struct(j.alias("job"), F.get("_raw", i).alias("raw_data")) if raw else F.struct(j.alias("job")))
+    exploded = pages(payloads, raw).select(*KEYS, F.col("_jobs").isNull().alias("_bad"), (~F.coalesce("_whole", F.lit(True))).alias("_cut"), F.explode_outer(job).alias("_e")).where("_bad or _cut or _e is not null").select(*KEYS, "_bad", "_cut", "_e.*")
     made = {ats: source() for ats, source in SOURCES.items()}
     return exploded.withColumn("issue", F.when(F.col("_bad"), "malformed body").when(F.col("_cut"), "incomplete capture").otherwise(_by_source({k: v["issue"] for k, v in made.items()}))), made
 
 
 def normalize(payloads: DataFrame) -> DataFrame:
     """Postings of all sources with their issues. location_text is the first of location_texts."""
-    rows, made = _jobs(payloads)
+    rows, made = _jobs(payloads, raw=True)
     kinds = dict(c.split() for c in schemas.POSTING.split(", "))
     column = lambda c: _by_source({k: v.get(c) for k, v in made.items()})
     own = [c for c in schemas.POSTING_COLUMNS if c not in ("raw_data", "description_text", "location_text")]
-    out = rows.select(*KEYS, "issue", *(column(c).cast(kinds[c]).alias(c) for c in own), F.to_json("job").alias("raw_data"), column("description_text").alias("_plain"), F.when(column("description_text").isNull(), column("html")).alias("_html"))
+    out = rows.select(*KEYS, "issue", *(column(c).cast(kinds[c]).alias(c) for c in own), "raw_data", column("description_text").alias("_plain"), F.when(column("description_text").isNull(), column("html")).alias("_html"))
     out = out.withColumn("location_text", F.get("location_texts", F.lit(0))).withColumn("description_text", F.coalesce("_plain", X.blank_to_null(html_to_text("_html"))))
     return out.select(*KEYS, "issue", *schemas.POSTING_COLUMNS)
 
