@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import expr as X
 from marlstone.functions.text import NAMED, PASSES, html_to_text
-from marlstone.operators import boilerplate, resolve, validation
+from marlstone.operators import attempts, boilerplate, resolve, validation
 from marlstone.operators.latest import latest_per_key
 from marlstone.plans import bindings as B
 from marlstone.plans import composition as C
@@ -556,6 +556,51 @@ def response_outcomes(spark, sf_dir):
     return validation.response_outcomes(body, e)
 
 
+_ATTEMPTS = """with e as (select event_id, event_type, cast(json_extract_string(props, '$.k') as int) as k, event_id // 5 as batch from events),
+b as (select *, min(k) over (partition by batch) as least, max(k) over (partition by batch) as most from e),
+a as (select event_id, event_type, k, t, case when t = 0 then case when least = 0 then 'no json' when most = 99 then 'exit 1' when k % 10 = 7 then 'missing from the answer' when event_type = 'error' or k % 3 = 0 then 'invalid' else '' end
+  when k >= 90 and t = 2 then 'cancelled' when t > k % 5 then '' when event_type = 'view' then 'exit 1' when event_type = 'click' then 'no json' when event_type = 'purchase' then 'missing from the answer' else 'invalid' end as kind from b, unnest([0, 1, 2]) as x(t)),
+s as (select *, min(case when kind in ('', 'cancelled') then t end) over (partition by event_id) as stop from a),
+o as (select event_id as posting_id, any_value(event_type) as event_type, any_value(k) as k, arg_max(kind, t) as last, count(*) filter (kind <> 'cancelled') as attempts, arg_max(event_type || t, t) filter (kind in ('', 'invalid')) as summary from s where t <= coalesce(stop, 2) group by event_id),
+r as (select posting_id, event_type, k, attempts, summary, case when last = '' and k % 10 = 9 then 'db_failed' when last = '' then 'enriched' when summary is not null then 'validation_failed' else 'json_failed' end as outcome,
+  case when last = '' and k % 10 = 9 then 'posting_id: posting_not_found' when last = 'invalid' then 'seniority: invalid_seniority' else last end as last_reason from o)
+"""
+
+
+def _attempted(spark, sf_dir):
+    """Events as postings in batches of five, each with a call for its batch and three single retries, of which the limit
+    of two leaves the last out. What a call gives follows from the event and its batch."""
+    e = B.read(spark, sf_dir, "events").select(F.col("event_id").alias("posting_id"), F.floor(F.col("event_id") / 5).alias("batch"), "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    k, kind, t = F.col("k"), F.col("event_type"), F.col("t")
+    answer = lambda odd: F.struct("posting_id", F.concat(kind, t.cast("string")).alias("summary"), F.struct(F.when(odd, "expert").otherwise("senior").alias("seniority"), F.lit(" n ").alias("notes")).alias("classification"), F.array(F.struct(kind.alias("slug"), F.upper(kind).alias("name"), F.lit("must").alias("requirement"))).alias("skills"))
+    body = lambda results: F.concat(F.lit("```json\n"), F.to_json(F.struct(results.alias("results"))), F.lit("\n```"))
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    first = e.withColumn("t", F.lit(0)).groupBy("batch").agg(F.min("k").alias("least"), F.max("k").alias("most"), F.collect_list(F.when(k % 10 != 7, answer((kind == "error") | (k % 3 == 0)))).alias("results"))  # five rows
+    first = first.select((F.col("batch") * 4).alias("call_id"), F.lit(0).cast("long").alias("seq"), F.when((F.col("least") > 0) & (F.col("most") == 99), "exit 1").alias("error"), no.alias("cancelled"), F.when(F.col("least") == 0, "{oops").otherwise(body(F.col("results"))).alias("body"))
+    single = e.withColumn("t", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    sound, cut = t > k % 5, (k >= 90) & (t == 2)
+    said = F.when(~sound & (kind == "click"), "{oops").when(~sound & (kind == "purchase"), '{"results": []}').otherwise(body(F.array(answer(~sound))))
+    single = single.select("posting_id", (F.col("posting_id") * 4 + t).alias("call_id"), t.cast("long").alias("seq"), F.when(~sound & (kind == "view"), "exit 1").alias("error"), cut.alias("cancelled"), F.when(cut, none).otherwise(said).alias("body"))
+    asked = e.select((F.col("batch") * 4).alias("call_id"), "posting_id").unionByName(single.select("call_id", "posting_id"))
+    known = e.select(F.lit("skills").alias("kind"), kind.alias("slug")).where("slug = 'click'").distinct()
+    dimensions = e.where("false").select(kind.alias("slug"))
+    found, sound = attempts.outcomes(e.select("posting_id"), first.unionByName(single.drop("posting_id")), asked, known, dimensions, retries=2)
+    return actions.write_back(found, sound, ("m-1", "p-1"), e.where("k % 10 <> 9").select(F.col("posting_id").alias("id")), known, dimensions, B.classifications(spark, sf_dir), _as_of())
+
+
+@query(_ATTEMPTS + "select posting_id, outcome, attempts, last_reason, summary from r")
+def batch_outcomes(spark, sf_dir):
+    return _attempted(spark, sf_dir)[0].drop("payload_id")
+
+
+@query(_ATTEMPTS + "select posting_id, 'm-1' as model, 'p-1' as prompt_version, 'senior' as seniority, ' n ' as notes, event_type as skill from r where outcome = 'enriched'")
+def batch_writeback(spark, sf_dir):
+    """What a wave saves, with its skill's link."""
+    saved = _attempted(spark, sf_dir)[1]
+    skills = saved.links.where("kind = 'skills'").select(F.col("classification_id").alias("id"), F.col("slug").alias("skill"))
+    return saved.classifications.join(skills, "id").select("posting_id", "model", "prompt_version", "seniority", "notes", "skill")
+
+
 @query("select o_orderstatus as outcome, count(*) as n, count(*) filter (o_orderkey % 2 = 0) as again from orders where o_orderstatus <> 'O' group by 1")
 def outcome_tally(spark, sf_dir):
     o = B.read(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "O", "cancelled").otherwise(F.col("o_orderstatus")).alias("outcome"), (F.col("o_orderkey") % 2 == 0).alias("was_classified"))

@@ -64,19 +64,20 @@ class Saved:
     dimensions: DataFrame  # slug, dimension: of new roles
 
 
-def save_enrichments(payloads: DataFrame, postings: DataFrame, taxonomy: DataFrame, dimensions: DataFrame, classifications: DataFrame, at: Column, trim_notes: bool = True) -> Saved:
+def save_enrichments(payloads: DataFrame, postings: DataFrame, taxonomy: DataFrame, dimensions: DataFrame, classifications: DataFrame, at: Column, trim_notes: bool = True, judged: bool = False) -> Saved:
     """Classifications to append from ``payloads``: validation.PAYLOAD with posting_id, model and prompt_version.
 
     A payload with any failure (a broken rule, odd provenance, a posting that doesn't exist) writes nothing. Blank
     provenance takes its default. Blank notes become null; a save trims them, a batch's writeback keeps them as they are
     (``trim_notes``). Classifications are appended: ids go on after the greatest one, one for each payload, whatever the
-    posting had. ``taxonomy``: (kind, slug) of known terms. A payload_id must be given once.
+    posting had. ``taxonomy``: (kind, slug) of known terms. A payload_id must be given once. ``judged``: the payloads were held
+    against the rules already.
     """
     blank = lambda c, default: F.when(_trimmed(c) == "", default).otherwise(_trimmed(c))
     p = payloads.withColumn("model", blank("model", MODEL)).withColumn("prompt_version", blank("prompt_version", PROMPT_VERSION))
     odd = _failures(p, "payload_id", [("provenance.model", "invalid_provenance", ~F.col("model").rlike(PROVENANCE)), ("provenance.prompt_version", "invalid_provenance", ~F.col("prompt_version").rlike(PROVENANCE))])
     lost = p.select("payload_id", "posting_id").join(postings.select(F.col("id").alias("posting_id")), "posting_id", "left_anti").select("payload_id", F.lit("posting_id").alias("path"), F.lit("posting_not_found").alias("code"))
-    failures = rule_failures(p, taxonomy, dimensions).unionByName(odd).unionByName(lost)
+    failures = odd.unionByName(lost) if judged else rule_failures(p, taxonomy, dimensions).unionByName(odd).unionByName(lost)
     sound = p.join(failures.select("payload_id").distinct(), "payload_id", "left_anti")
     notes = X.blank_to_null(_trimmed("notes"))
     notes = notes if trim_notes else F.when(notes.isNotNull(), F.col("notes"))
@@ -92,6 +93,16 @@ def save_enrichments(payloads: DataFrame, postings: DataFrame, taxonomy: DataFra
     return Saved(failures, rows, new, every.join(ids, "payload_id").select("classification_id", "kind", "slug").distinct(), own)
 
 
+def write_back(outcomes: DataFrame, payloads: DataFrame, provenance: tuple[str, str], postings: DataFrame, taxonomy: DataFrame, dimensions: DataFrame, classifications: DataFrame, at: Column) -> tuple[DataFrame, Saved]:
+    """(outcomes with db_failed for the enriched whose save was refused, with what it was refused for; what is saved) of a wave:
+    operators.attempts.outcomes and its payloads. ``provenance``: model and prompt version of the run. Notes are kept as they are."""
+    saved = save_enrichments(payloads.withColumn("model", F.lit(provenance[0])).withColumn("prompt_version", F.lit(provenance[1])), postings, taxonomy, dimensions, classifications, at, trim_notes=False, judged=True)
+    refused = saved.failures.groupBy("payload_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(": ", "path", "code"))), "; ").alias("_why"))  # bounded by a payload's terms
+    out = outcomes.join(refused, "payload_id", "left")
+    lost = F.col("_why").isNotNull()
+    return out.select("posting_id", F.when(lost, "db_failed").otherwise(F.col("outcome")).alias("outcome"), "attempts", F.coalesce("_why", "last_reason").alias("last_reason"), "summary", "payload_id"), saved
+
+
 def fetch_transaction(payloads: DataFrame, runs: DataFrame, identities: DataFrame, greatest: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(run events, identities after, snapshot rows to append) of captured pages: one run for each board and capture.
 
