@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import expr as X
 from marlstone.operators.latest import latest_per_key
 from marlstone.operators.skew import hot_keys, salted_join
+from marlstone.schemas import SOURCES
 
 THRESHOLD, FUZZY_SHOWN, REVISIT_DAYS = 0.4, 3, 90
 #: What one request may ask: candidates, and days that count as recent.
@@ -147,6 +148,60 @@ def onboarding_state(records: DataFrame) -> DataFrame:
     return records.withColumn("next_status", state)
 
 
+#: States in which a research record stays, besides being verified.
+FINISHED = ("duplicate", "stale-needs-merge", "no-careers", "unsupported-ats", "invalid-token")
+
+
+def _by_board(records: DataFrame, boards: DataFrame) -> DataFrame:
+    """(record_id, _pair) joined with a row of each board; one board may have very many records."""
+    hot = hot_keys(records.groupBy("_pair").agg(F.count(F.lit(1)).alias("_n")), "_pair", "_n", records.count())
+    return salted_join(records, boards, "_pair", hot, ["record_id"])
+
+
+def onboard(records: DataFrame, companies: DataFrame) -> DataFrame:
+    """``records`` (record_id, status, verified_at, url, careers_url, careers_ok, ats, board_token) as far as they come without
+    a board's answer: next_status, null for those still open; missing, what an open record lacks; ats and board_token, those
+    detected included. Open records that lack nothing have a board to ask; onboard_boards() takes the answers.
+
+    Finished and verified records stay as they are. A given board is looked up among the companies; where none is given it is
+    detected from the careers address, even if that doesn't answer, and then looked up in the same way: of a known company it is
+    a duplicate if that was fetched lately, else stale. Blank addresses are missing ones; a board without a source name or token
+    can't be asked. ``companies``: ats, board_token, has_recent_snapshot; of several with one board the recent one counts.
+    """
+    status = F.coalesce("status", F.lit(""))
+    blank = lambda c: F.coalesce(X.strip(F.col(c)), F.lit("")) == ""
+    done = status.isin("verified", *FINISHED) | F.col("verified_at").isNotNull()
+    lacks = F.when(blank("url"), "url").when(blank("careers_url") & F.col("ats").isNull(), "careers_url")
+    rows = records.withColumn("_done", done).withColumn("missing", F.when(~done, lacks)).withColumn("_open", ~done & F.col("missing").isNull())
+    # through a generator, so that the detection isn't repeated wherever its result is read
+    rows = rows.select("*", F.explode(F.array(F.when(F.col("_open") & F.col("ats").isNull(), X.detect_board(F.col("careers_url"))))).alias("_found"))
+    unknown = F.col("_open") & F.col("ats").isNull() & F.col("_found").isNull()
+    rows = rows.withColumn("_unknown", unknown).withColumn("board_token", F.when(F.col("_found").isNotNull(), F.col("_found.board_token")).otherwise(F.col("board_token"))).withColumn("ats", F.coalesce("ats", "_found.ats"))
+    pair = F.struct("ats", "board_token")
+    known = companies.where("ats is not null and board_token is not null").groupBy(pair.alias("_pair")).agg(F.max("has_recent_snapshot").alias("_recent"))
+    asked = rows.where("_open and not _unknown and ats is not null and board_token is not null").select("record_id", pair.alias("_pair"))
+    met = _by_board(asked, known).select("record_id", "_recent")
+    rows = rows.join(met, "record_id", "left")
+    lost = F.when(F.coalesce("careers_ok", F.lit(False)), "unsupported-ats").otherwise("no-careers")
+    state = F.when(F.col("verified_at").isNotNull() & ~status.isin(*FINISHED), "verified").when(F.col("_done"), F.col("status")).when(~F.col("_open"), None).when(F.col("_recent"), "duplicate").when(F.col("_recent").isNotNull(), "stale-needs-merge").when(F.col("_unknown"), lost)
+    rows = rows.withColumn("next_status", state)
+    still = F.col("_open") & F.col("next_status").isNull()
+    rows = rows.withColumn("missing", F.when(still & ((F.coalesce("ats", F.lit("")) == "") | (F.coalesce("board_token", F.lit("")) == "")), "ats-or-board-token").otherwise(F.col("missing")))
+    rows = rows.withColumn("next_status", F.when(still & F.col("missing").isNull() & ~F.col("ats").isin(*SOURCES), "unsupported-ats").otherwise(F.col("next_status")))
+    return rows.drop("_done", "_open", "_found", "_unknown", "_recent")
+
+
+def onboard_boards(opened: DataFrame, boards: DataFrame) -> DataFrame:
+    """Records of onboard() after their boards (ats, board_token, ok) were asked: verified or invalid-token; a board without an answer
+    leaves its records open. Of several answers a good one counts."""
+    pair = F.struct("ats", "board_token")
+    open_ = opened.where("next_status is null and missing is null").select("record_id", pair.alias("_pair"))
+    answer = boards.where("ats is not null and board_token is not null and ok is not null").groupBy(pair.alias("_pair")).agg(F.max("ok").alias("_ok"))
+    met = _by_board(open_, answer).select("record_id", "_ok")
+    out = opened.join(met, "record_id", "left")
+    return out.withColumn("next_status", F.coalesce("next_status", F.when(F.col("_ok"), "verified").when(F.col("_ok").isNotNull(), "invalid-token"))).drop("_ok")
+
+
 def onboarding_summary(records: DataFrame) -> DataFrame:
     """status, n of research records after a run: how many stand in each state."""
     return records.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -329,6 +329,33 @@ def onboarding_state(spark, sf_dir):
     return resolve.onboarding_state(rows).select("record_id", "next_status")
 
 
+@query(_BOARD_URLS + """, c as (select case c_custkey % 3 when 0 then 'greenhouse' when 1 then 'lever' else 'workday' end as ats, case c_custkey % 3 when 0 then 'co' when 1 then 'Co' else 'acme.wd5.myworkdayjobs.com/Co' end || c_custkey as board_token, c_mktsegment = 'BUILDING' as recent from customer),
+p as (select ats, base || p_partkey as board_token, p_size % 3 <> 0 as ok from part, (values ('greenhouse', 'co'), ('lever', 'Co'), ('workday', 'acme.wd5.myworkdayjobs.com/Co')) as b(ats, base)),
+r as (select page_id, contains(html, '<form') as done, length(html) % 7 = 0 as nowhere, length(html) % 5 = 0 as no_careers, contains(url, '#') as dead, starts_with(url, 'http://') as given, ats as d_ats, board_token as d_token, case when starts_with(url, 'http://') then coalesce(ats, 'other') end as ats, case when starts_with(url, 'http://') and not contains(url, '?') then coalesce(board_token, 't') end as board_token from d),
+s as (select *, not done and not nowhere and not given and not no_careers as looked from r),
+f as (select page_id, done, nowhere, no_careers, dead, given, looked, case when looked then d_ats else ats end as ats, case when looked then d_token else board_token end as board_token from s)
+select page_id as record_id, f.ats, f.board_token, case when done then 'verified' when nowhere or no_careers and not given then null when recent then 'duplicate' when recent is not null then 'stale-needs-merge' when looked and f.ats is null then case when dead then 'no-careers' else 'unsupported-ats' end
+    when f.board_token is null then null when f.ats = 'other' then 'unsupported-ats' when ok then 'verified' when ok is not null then 'invalid-token' end as next_status,
+  case when done then null when nowhere then 'url' when no_careers and not given then 'careers_url' when given and f.board_token is null then 'ats-or-board-token' end as missing
+from f left join c on c.ats = f.ats and c.board_token = f.board_token left join p on p.ats = f.ats and p.board_token = f.board_token""")
+def onboard(spark, sf_dir):
+    """Pages as research records, customers as companies, parts as boards' answers: a board that was detected is looked up, too."""
+    html, url, size = F.col("html"), F.col("url"), F.length("html")
+    given, number = F.startswith(url, F.lit("http://")), F.col("n").cast("string")
+    found = X.detect_board(F.col("board"))
+    records = _board_urls(spark, sf_dir).select(
+        F.col("page_id").alias("record_id"), F.when(F.contains(html, F.lit("<form")), "verified").alias("status"), F.lit(None).cast("timestamp").alias("verified_at"), F.when(size % 7 == 0, " ").otherwise(url).alias("url"), F.when(size % 5 > 0, F.col("board")).alias("careers_url"),
+        (~F.contains(url, F.lit("#"))).alias("careers_ok"), F.when(given, F.coalesce(found["ats"], F.lit("other"))).alias("ats"), F.when(given & ~F.contains(url, F.lit("?")), F.coalesce(found["board_token"], F.lit("t"))).alias("board_token"),
+    )
+    forms = {"greenhouse": "co", "lever": "Co", "workday": "acme.wd5.myworkdayjobs.com/Co"}
+    board = lambda ats: F.struct(F.lit(ats).alias("ats"), F.concat(F.lit(forms[ats]), number).alias("board_token"))
+    n = F.col("n") % 3
+    companies = B.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n"), (F.col("c_mktsegment") == "BUILDING").alias("has_recent_snapshot"))
+    companies = companies.select(F.when(n == 0, board("greenhouse")).when(n == 1, board("lever")).otherwise(board("workday")).alias("b"), "has_recent_snapshot").select("b.*", "has_recent_snapshot")
+    answers = B.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), (F.col("p_size") % 3 != 0).alias("ok")).select(F.explode(F.array(*map(board, forms))).alias("b"), "ok").select("b.*", "ok")
+    return resolve.onboard_boards(resolve.onboard(records, companies), answers).select("record_id", "ats", "board_token", "next_status", "missing")
+
+
 # --- scalar functions ---
 
 
