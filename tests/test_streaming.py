@@ -1,6 +1,10 @@
 """The stream's versions equal the batch read model after every micro-batch."""
 
 import datetime as dt
+import shutil
+
+import pytest
+from pyspark.errors import StreamingQueryException
 
 from marlstone.plans.read_models import open_postings
 from marlstone.streaming.refresh import open_now, open_postings_stream
@@ -28,3 +32,27 @@ def test_versions_equal_the_read_model(spark, tmp_path):
         want = open_postings(now, spark.createDataFrame(every, SNAPS), spark.createDataFrame([(10, 1), (11, 1), (12, 1), (20, 2)], POSTINGS))
         got = [tuple(r) for r in open_now(spark, now, f"{tmp_path}/out", n).collect()]
         assert sorted(got) == sorted(tuple(r) for r in want.collect()) and len(got) == len(set(got)), n
+
+
+def test_a_lost_version_fails_the_batch_and_old_ones_go(spark, tmp_path):
+    snaps, runs, postings, out = (f"{tmp_path}/{d}" for d in ("snaps", "runs", "postings", "out"))
+    spark.createDataFrame([(i, 1) for i in range(5)], POSTINGS).write.parquet(postings)
+    spark.createDataFrame([(1, 1, dt.datetime(2024, 1, 1), "success")], RUNS).write.parquet(runs)
+
+    def step(n: int) -> None:
+        spark.createDataFrame([(n, n, 1)], SNAPS).coalesce(1).write.mode("append").parquet(snaps)
+        open_postings_stream(spark, snaps, SNAPS, runs, postings, out, f"{tmp_path}/checkpoint", kept=2).awaitTermination()
+
+    there = lambda: sorted(p.name for p in (tmp_path / "out").iterdir())
+    for n in range(4):
+        step(n)
+    assert there() == ["version=2", "version=3"]
+    (tmp_path / "out/version=3/_SUCCESS").unlink()  # as a write that was cut off
+    with pytest.raises(StreamingQueryException, match="never finished"):
+        step(4)
+    assert there() == ["version=2", "version=3"]
+    with pytest.raises(FileNotFoundError):
+        open_now(spark, spark.read.parquet(runs), out, 7)
+    shutil.copy(tmp_path / "out/version=2/_SUCCESS", tmp_path / "out/version=3/_SUCCESS")
+    open_postings_stream(spark, snaps, SNAPS, runs, postings, out, f"{tmp_path}/checkpoint", kept=2).awaitTermination()
+    assert sorted(r.job_posting_id for r in open_now(spark, spark.read.parquet(runs), out, 4).collect()) == [0, 1, 2, 3, 4]
