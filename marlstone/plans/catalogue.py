@@ -468,12 +468,12 @@ select o_custkey as company_id, cast(o_orderkey as varchar) as source_id, 'https
   case o_orderstatus when 'F' then 'full_time' when 'P' then 'contract' end as employment_type, case o_orderstatus when 'F' then 'remote' end as workplace_type,
   case when o_orderkey % 3 = 0 then cast(floor(o_totalprice) as bigint) end as compensation_min, case when o_orderkey % 3 = 0 then 'EUR' end as compensation_currency, case when o_orderkey % 3 = 0 then 'year' end as compensation_period, array_to_string(x, '|') as locations, x[1] as location_text
 from (select *, case o_orderkey % 4 when 0 then [] when 1 then ['A', 'B'] when 2 then ['Here'] end as x from orders)
-where o_custkey not in (select o_custkey from orders where o_totalprice < 1500) and o_custkey in (select o_custkey from orders group by all having count(*) < 100000)
+where o_custkey not in (select o_custkey from orders where o_totalprice < 1500) and o_custkey in (select o_custkey from orders group by all having count(*) <= 9990000)
 """)
 def lever_boards(spark, sf_dir):
-    """Orders as captured boards, one for each customer, in pages as the source gives them: a full last page is followed by an empty
-    one. One job without an address rejects its whole board, and so do a thousand pages."""
-    k, o = F.col("o_orderkey"), _numbered_pages(B.read(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"], payloads.PAGE["lever"])
+    """Orders as captured boards, one for each customer, large ones in several pages, and an empty page after those that are full.
+    One job without an address rejects its whole board, and so do a thousand pages."""
+    k, o = F.col("o_orderkey"), _dealt(B.read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").withColumn("page_no", F.col("body_no").cast("int"))
     job = F.struct(
         k.cast("string").alias("id"), F.col("o_orderpriority").alias("text"), F.when(F.col("o_totalprice") >= 1500, F.concat(F.lit("https://jobs.example/"), k)).alias("hostedUrl"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("createdAt"),
         F.when(F.col("o_orderstatus") == "F", "REMOTE").otherwise("unspecified").alias("workplaceType"),
@@ -481,8 +481,8 @@ def lever_boards(spark, sf_dir):
         F.struct(F.col("o_totalprice").alias("min"), (F.col("o_totalprice") + 1).alias("max"), F.lit(" eur ").alias("currency"), F.when(k % 3 == 0, "per-year-salary").otherwise("per-decade").alias("interval")).alias("salaryRange"),
     )
     body = o.groupBy(F.col("o_custkey").alias("company_id"), "page_no").agg(F.to_json(F.collect_list(job)).alias("body"))
-    full = o.groupBy(F.col("o_custkey").alias("company_id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") % payloads.PAGE["lever"] == 0)
-    body = body.unionByName(full.select("company_id", F.floor(F.col("n") / payloads.PAGE["lever"]).cast("int").alias("page_no"), F.lit("[]").alias("body")))
+    full = o.groupBy(F.col("o_custkey").alias("company_id")).agg(F.count(F.lit(1)).alias("n"), F.max("page_no").alias("last")).where(F.col("n") >= payloads.PAGE["lever"])
+    body = body.unionByName(full.select("company_id", (F.col("last") + 1).alias("page_no"), F.lit("[]").alias("body")))
     pages = body.select("company_id", F.lit("lever").alias("ats"), F.lit("t").alias("board_token"), "page_no", F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "body")
     out = payloads.accepted(pages)
     return out.select("company_id", "source_id", "source_url", "posted_at", "employment_type", "workplace_type", "compensation_min", "compensation_currency", "compensation_period", F.array_join("location_texts", "|").alias("locations"), "location_text")

@@ -17,7 +17,7 @@ from marlstone.functions.slices import json_elements
 from marlstone.functions.text import html_to_text
 
 KEYS = ("company_id", "ats", "board_token", "fetched_at")
-#: Where a body has its jobs; jobs on a full page of the paged sources; pages at which those stop, and from which they warn.
+#: Where a body has its jobs; jobs on a full page of the paged sources (0: the source isn't paged); pages at which those stop, and from which they warn.
 ENVELOPES = {"greenhouse": "jobs", "lever": None, "ashby": "jobs", "workday": "jobPostings", "workable": "jobs", "gem": None}
 PAGE = {"lever": 100, "workday": 20}
 MOST_PAGES, WARN_PAGES, WARN_JOBS = 1000, 500, 1000
@@ -45,7 +45,7 @@ def pages(payloads: DataFrame, raw: bool = False) -> DataFrame:
     known = payloads.where(F.col("ats").isin(*ENVELOPES)).withColumn("_body", body)
     at = {ats: F.try_variant_get("_body", "$" if path is None else f"$.{path}", "array<variant>") for ats, path in ENVELOPES.items()}
     found = known.withColumn("_jobs", _by_source(at)).withColumn("_total", F.try_variant_get("_body", "$.total", "long"))
-    paged = found.where(F.col("ats").isin(*PAGE)).groupBy(*KEYS, "page_no").agg(F.sum(F.coalesce(F.size("_jobs"), F.lit(0))).alias("n"), F.max("_total").alias("total"))
+    paged = found.where(F.col("ats").isin(*(k for k, v in PAGE.items() if v))).groupBy(*KEYS, "page_no").agg(F.sum(F.coalesce(F.size("_jobs"), F.lit(0))).alias("n"), F.max("_total").alias("total"))
     chain = W.partitionBy(*KEYS).orderBy("page_no")  # as many rows as a board has pages
     so_far = F.sum("n").over(chain)
     ends = (F.col("n") < _by_source({k: F.lit(v) for k, v in PAGE.items()})) | ((F.col("ats") == "workday") & (so_far >= F.coalesce("total", F.lit(0))))
