@@ -50,6 +50,13 @@ def test_times(spark):
 
 
 def test_boards(spark):
+    odd = ["HTTP://Boards.Greenhouse.IO/Acme?x#y", "https://boards.greenhouse.io:443/acme", "https://u@jobs.lever.co/acme", "https://www.jobs.lever.co/acme", "https://jobs.lever.co//acme", "https://jobs.lever.co?x=/acme", "ftp://jobs.lever.co/acme", "jobs.lever.co/acme", "https://jobs.gem.com/a b", "https://apply.workable.com/", ""]
+    got = [g and (g["ats"], g["board_token"], g["pattern"]) for g in values(spark, X.detect_board, odd)]
+    assert got == [("greenhouse", "acme", "greenhouse_boards"), *[None] * 7, ("gem", "a b", "gem"), None, None]
+    sites = ["en/Jobs", "en-US/Jobs/x", "en-US", "en/", "eng/Jobs", "e1/Jobs", "en-us-x/Jobs", "en-USA/Jobs", "fr?x/Jobs"]
+    got = [g["board_token"] for g in values(spark, X.detect_board, [f"https://Acme.wd1.myworkdayjobs.com/{x}" for x in sites])]
+    assert got == [f"acme.wd1.myworkdayjobs.com/{x}" for x in ("Jobs", "Jobs", "en-US", "en", "eng", "e1", "en-us-x", "en-USA", "fr")]
+    assert values(spark, X.detect_board, ["https://myworkdayjobs.com/Jobs", "https://.myworkdayjobs.com/Jobs", "https://a_b.myworkdayjobs.com/Jobs"]) == [None] * 3
     got = values(spark, X.detect_board, ["https://boards.greenhouse.io/Acme/jobs/1", "https://jobs.lever.co/AcMe?x", "https://X.myworkdayjobs.com/en-US/Jobs/1", "https://x.myworkdayjobs.com/Jobs", "https://a.b/c", None])
     assert [g and (g.ats, g.board_token) for g in got] == [("greenhouse", "acme"), ("lever", "AcMe"), ("workday", "x.myworkdayjobs.com/Jobs"), ("workday", "x.myworkdayjobs.com/Jobs"), None, None]
     ok = lambda ats, t: one(spark, X.token_valid(F.lit(ats), F.lit(t)).alias("x")).x
