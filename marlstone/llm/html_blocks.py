@@ -29,6 +29,8 @@ PATH_BITS, WORD_BITS, EMBED, HIDDEN, MEASURES = 12, 9, 20, 16, 6
 FULL_ROWS = 40
 #: Fixed values of HTML: elements that hold no text to read, that stand alone, and that don't break a line.
 SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "object", "head", "select", "datalist", "textarea", "math", "canvas", "audio", "video", "title"}
+#: Those of them that hold elements, one of their own kind too; the others hold text up to their first end tag.
+NESTING = {"template", "svg", "object", "math", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: End tags that HTML implies: (elements that are closed, elements behind which they are out of reach, opening tags that close them).
@@ -46,7 +48,35 @@ _CLOSES = {t: [k for k, rule in enumerate(IMPLIED) if t in rule[2]] for t in set
 _MARK = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)")
 #: What follows a tag's name: quotes count behind a sign of equality and where both are there.
 _REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: One attribute after the other, so that neither data-id nor what stands within a value is taken for an id.
+_ATTR = re.compile(r"([^\s/=>]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]++)))?+")
+NAMING = {"class", "id", "role"}
+
+
+def _names(attributes: str) -> list[str]:
+    """name:word of each word in the attributes that name an element; of a repeated attribute the first counts."""
+    low = attributes.lower()
+    if not any(x in low for x in NAMING):
+        return []
+    values: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(low):
+        if name in NAMING:
+            values.setdefault(name, a or b or c)
+    return [f"{name}:{x}" for name, value in values.items() for x in re.split(r"[^a-z0-9]+", value) if x]
+
+
+def _silent_end(page: str, tag: str, at: int) -> int:
+    """Where a silent element ends that opened before ``at``. Those of elements' kind nest, those of text's end at the first end tag."""
+    marks = re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*+>", re.I)
+    deep = 1
+    for m in marks.finditer(page, at, page.rfind(">") + 1):  # every mark is closed there, so nothing is read twice
+        if m[1]:
+            deep -= 1
+        elif tag in NESTING and not m[0].endswith("/>"):
+            deep += 1
+        if not deep:
+            return m.end()
+    return len(page)
 
 
 @lru_cache(1 << 16)
@@ -161,8 +191,7 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if opening and tag in SILENT:
             if tag != "head" and not page.endswith("/>", 0, end):
-                closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = closing.end() if closing else len(page)
+                at = _silent_end(page, tag, at)
             continue
         if tag == "a":
             links = max(0, links + (1 if opening else -1))
@@ -178,9 +207,7 @@ def blocks_of(page: str | None) -> list[Block]:
         while reach and len(stack) > min(reach):
             pop()
         if tag not in VOID:
-            tokens = [tag]
-            for name, a, b, c in _ATTR.findall(attributes):
-                tokens += [f"{name.lower()}:{x}" for x in re.split(r"[^a-z0-9]+", (a or b or c).lower()) if x]
+            tokens = [tag, *_names(attributes)]
             for k, closable in _STANDS.get(tag, ()):
                 standing[k].append(len(stack) if closable else -1)
             stack.append(Element(tag, tuple(tokens), stack[-1] if stack else None))
@@ -413,7 +440,7 @@ def fit(pages: DataFrame, sample_rows: int = 160, composed_pages: int = 360, lon
     got = chosen.toPandas().sort_values(["page_id", "html"])
     cut = [blocks_of(h) for h in got["html"]]
     known = [(b, y) for b in cut if b and (y := own_labels(b)) is not None]
-    texts = [b.text for page in cut for b in page if len(b.text) > 20][:3000] or ["some words of a page that has no text"]
+    texts = [b.text for page in cut for b in page if len(b.text) > 20] or ["some words of a page that has no text"]
     both = known + composed(texts, composed_pages)
     return train([vectors(b) for b, _ in both], [y for _, y in both])
 

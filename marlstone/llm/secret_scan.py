@@ -27,17 +27,27 @@ CONTEXT = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api
 BENIGN = ("sha", "sha1", "sha224", "sha256", "sha384", "sha512", "md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "id", "etag", "revision", "version", "example", "http", "https", "url", "path", "file", "isbn", "order", "number")
 _FORMS = re.compile("|".join(f"(?P<{k.replace('-', '_')}>{v})" for k, v in PREFIXED.items()))
 #: A name is read to its end before its sign is looked for, from the name's start only, so that no text is read over and over.
-_ASSIGNED = re.compile(r"(?i)(?<![\w.-])(?=[\w.-]*?(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential))[\w.-]++\s{0,3}(?:=>|:=|=|:)\s{0,3}(?P<value>\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|[^\s\"',;]{8,})")
+#: It may stand in quotes; a quoted value reaches the closing quote in its line, blanks and all; a scheme's name comes before
+#: the value of a header.
+_ASSIGNED = re.compile(
+    r"(?i)(?<![\w.-])(?=[\w.-]*?(?:token|secret|passw(?:or)?d|passphrase|passcode|pwd|key|access|private|auth|credential))[\w.-]++[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}"
+    r"(?P<value>\"(?:(?:bearer|basic)\s)?+[^\"\n]{6,}+\"|'(?:(?:bearer|basic)\s)?+[^'\n]{6,}+'|(?:(?:bearer|basic)\s{1,3})?+[^\s\"',;]{8,})"
+)
+_SCHEME = re.compile(r"(?i)(?:bearer|basic)\s{1,3}")
+#: A scheme's name alone tells what follows, without a header's.
+_BEARER = re.compile(r"(?i)(?<![\w-])bearer\s{1,3}(?P<value>[A-Za-z0-9._~+/-]{8,}+=*)")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}")
 #: What a text must contain for the forms, or for a credential's name, to be looked for.
 _FORM_SIGNS = ("AKIA", "ASIA", "gh", "xox", "AIza", "k_live_", "k_test_", "eyJ", "-----BEGIN")
-_NAME_SIGNS = ("token", "secret", "passw", "pwd", "key", "auth", "credential")
+_NAME_SIGNS = ("token", "secret", "passw", "passphrase", "passcode", "pwd", "key", "access", "private", "auth", "credential")
+#: How long the usual digests are in hexadecimal, with or without their name, and the form of a UUID.
+_DIGEST = re.compile(r"(?i)(?:[a-z0-9]+[-=])?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})")
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 #: Words joined in a value: by signs, digits or capitals.
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Letter pairs that running text of several languages has most; the rest of a value's pairs speak for chance.
 PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ei ie un ge au ue es la qu os".split())
-FEATURES = ("length", "entropy", "digit_share", "upper_share", "transitions", "common_pairs", "hex", "coverage", "longest_word", "slashes", "extension", "padding", "distinct_share", "quoted", "assigned", "context_words", "benign_words", "prefixed")
+FEATURES = ("length", "entropy", "digit_share", "upper_share", "transitions", "common_pairs", "hex", "coverage", "longest_word", "slashes", "extension", "padding", "distinct_share", "quoted", "assigned", "context_words", "benign_words", "prefixed", "digest_form")
 
 
 @dataclass(frozen=True)
@@ -61,11 +71,16 @@ def findings_in(text: str | None) -> list[Finding]:
     spans: list[tuple[str, int, int]] = []
     if any(x in text for x in _FORM_SIGNS):
         spans += [(m.lastgroup.replace("_", "-"), m.start(), m.end()) for m in _FORMS.finditer(text)]
-    if ("=" in text or ":" in text) and _named(text.lower()):
+    low = text.lower()
+    if ("=" in text or ":" in text) and _named(low):
         for m in _ASSIGNED.finditer(text):
             a, b = m.span("value")
             quoted = text[a] in "\"'"
-            spans.append(("assigned", a + quoted, b - quoted))
+            a, b = a + quoted, b - quoted
+            scheme = _SCHEME.match(text, a, b)
+            spans.append(("assigned", scheme.end() if scheme else a, b))
+    if "bearer" in low:
+        spans += [("assigned", *m.span("value")) for m in _BEARER.finditer(text)]
     if max(map(len, text.split()), default=0) >= 20:
         for m in _RUN.finditer(text):
             v = m[0]
@@ -92,8 +107,9 @@ def describe(f: Finding, dictionary: frozenset[str]) -> list[float]:
         float(len(v)), -sum(k / n * math.log2(k / n) for k in count.values()), sum(map(str.isdigit, v)) / n, sum(map(str.isupper, v)) / n,
         sum(_kind(a) != _kind(b) for a, b in zip(v, v[1:], strict=False)) / n, sum(p in PAIRS for p in pairs) / max(1, len(pairs)), float(all(c in "0123456789abcdefABCDEF" for c in v)),
         sum(len(w) for w in words if w in dictionary) / n, max((len(w) for w in words), default=0) / n, v.count("/") / n, float(bool(re.search(r"\.[a-z]{1,4}$", v))),
-        float(v.endswith("=")), len(count) / n, float(f.before[-1:] in "\"'" and f.after[:1] in "\"'" and bool(f.before)), float(bool(re.search(r"(=>|:=|=|:)\s{0,3}[\"']?$", f.before))),
+        float(v.endswith("=")), len(count) / n, float(f.before[-1:] in "\"'" and f.after[:1] in "\"'" and bool(f.before)), float(bool(re.search(r"(?i)(=>|:=|=|:)\s{0,3}[\"']?(?:(?:bearer|basic)\s{1,3})?$", f.before))),
         float(sum(w in CONTEXT for w in near)), float(sum(w in BENIGN for w in near)), float(f.kind not in ("run", "assigned")),
+        float(bool(_DIGEST.fullmatch(v))),
     ]
 
 
@@ -177,15 +193,17 @@ def decoys(words: list[str], n: int, seed: int = 8) -> list[tuple[Finding, int]]
     for _ in range(n):
         name = CONTEXT[int(r.integers(len(CONTEXT)))]
         quote, sign = ("\"", "'", "")[int(r.integers(3))], (" = ", "=", ": ")[int(r.integers(3))]
-        random = lambda: (draw("0123456789abcdef", 32, 64), draw(low + up + dig, 20, 48), draw(low + up + dig + "+/", 24, 88), draw(low + dig, 20, 40), draw(up + dig, 20, 40))[int(r.integers(5))]
+        random = lambda: (draw("0123456789abcdef", 32, 64), draw(low + up + dig, 20, 48), draw(low + up + dig + "+/", 24, 88), draw(low + dig, 20, 40), draw(up + dig, 20, 40), draw(low + up + dig + "!@#$%&*", 8, 24), draw(low + dig, 8, 16))[int(r.integers(7))]
         value = random()
         out.append((Finding(0, len(value), "assigned", value, f"{word()} {word()} {name}{sign}{quote}", f"{quote} {word()}"), 1))
         benign = BENIGN[int(r.integers(len(BENIGN)))]
+        hexes = lambda k: draw("0123456789abcdef", k, k)
+        digest = hexes((32, 40, 56, 64, 96, 128)[int(r.integers(6))]) if r.random() < 0.7 else "-".join(hexes(k) for k in (8, 4, 4, 4, 12))
         value, before = (
-            (random(), f"{word()} {benign}{sign}{quote}"), ("/".join(word() for _ in range(4)) + "/" + draw(dig, 2, 4), f"{word()} {word()} "), ("-".join(word() for _ in range(4)) + draw(dig, 1, 4), f"{word()} {word()} "),
+            (digest, f"{word()} {benign}{sign}{quote}"), (digest, f"{word()} {word()}{(sign, ' ')[int(r.integers(2))]}{quote}"), (random(), f"{word()} {benign}{sign}{quote}"), ("/".join(word() for _ in range(4)) + "/" + draw(dig, 2, 4), f"{word()} {word()} "), ("-".join(word() for _ in range(4)) + draw(dig, 1, 4), f"{word()} {word()} "),
             (draw(dig, 16, 24) + "x", f"{benign} "), (f"your_{name}_here_{draw(dig, 1, 3)}", f"{name}{sign}{quote}"), ("x" * int(r.integers(16, 40)) + "1", f"{name}{sign}{quote}"), (word() + draw("123", 1, 3), f"{name}{sign}{quote}"),
             ("".join(w.capitalize() for w in (word(), word(), word())) + draw(dig, 1, 4), f"{word()} {word()} "),
-        )[int(r.integers(8))]
+        )[int(r.integers(10))]
         out.append((Finding(0, len(value), "run", value, before, f"{quote if before.endswith(quote) else ''} {word()}"), 0))
     return out
 

@@ -8,10 +8,12 @@ from marlstone.llm import secret_scan as S
 
 WORDS = "river stone market winter garden letter window morning doctor station travel history summer picture teacher village kitchen weather company country people number system simple record travel copper silver planet bridge".split()
 ALNUM = string.ascii_letters + string.digits
+#: Names that the texts below use: taken out of what the features know and the training draws from.
+HELD_OUT = {"commit", "etag", "id", "digest", "passwd", "auth"}
 
 
 def planted(seed, n):
-    """(text, the value in it, label) of each family in turn; none of the families or contexts is one of decoys()."""
+    """(text, the value in it, label) of each family in turn; none of the families is one of decoys(), and no name of HELD_OUT is known to the model."""
     r = np.random.default_rng(seed)
     draw = lambda alphabet, k: "".join(alphabet[i] for i in r.integers(0, len(alphabet), k))
     word = lambda: WORDS[int(r.integers(len(WORDS)))]
@@ -21,7 +23,7 @@ def planted(seed, n):
     for i in range(n):
         secrets = (
             ("export DB_PASSWORD={}\nmake", draw(ALNUM, 8) + "!x" + draw(ALNUM + "$%&", 8)), ("client_secret: '{}' in config", uuid()), ("use access-token => {} now", draw(ALNUM + "-_", 43)), ("MFA secret={} for the app", draw(string.ascii_uppercase + "234567", 32)),
-            ("AccountKey: set auth_key={} there", draw(ALNUM + "+/", 42) + "=="), (f"connect with user {word()} and passwd: \"{{}}\" today", draw(ALNUM + "@#", 14)), ("curl -H 'x-auth-token: {}'", hexes(48)), ("export VAULT_TOKEN=s.{}", draw(ALNUM, 24)),
+            ("AccountKey: set auth_key={} there", draw(ALNUM + "+/", 42) + "=="), (f"connect with user {word()} and passwd: \"{{}}\" today", draw(ALNUM + "@#", 14)), ("curl -H 'x-auth-token: {}'", hexes(48)), ("export VAULT_TOKEN={}", "s." + draw(ALNUM, 24)),
         )
         others = (
             ("fixed in commit {} by", hexes(40)), ('etag: "{}" and', hexes(32)), ("integrity sha384-{} of the file", draw(ALNUM + "+/", 64)), ("session id {} was closed", uuid()), ("at /usr/lib/{} it", "/".join(word() for _ in range(4)) + "/v" + draw("123", 1)),
@@ -39,11 +41,50 @@ def measured(model, cases):
     caught = false = secrets = flagged = 0
     for text, value, label in cases:
         found = S.findings_in(text)
-        hit = any(s >= 0.5 and f.start < text.find(value) + len(value) and text.find(value) < f.end for f, s in zip(found, model.score(found), strict=True))
+        at = text.find(value)
+        said = [f for f, s in zip(found, model.score(found), strict=True) if s >= 0.5]
+        # a secret must be found from its first character to its last; of other values no part may be taken for one
+        hit = any((f.start, f.end) == (at, at + len(value)) for f in said) if label else any(f.start < at + len(value) and at < f.end for f in said)
         secrets, caught, false, flagged = secrets + label, caught + (hit and label), false + (hit and not label), flagged + hit
     return caught / secrets, caught / flagged
 
 
-def test_precision_and_recall_on_families_held_out():
+def test_precision_and_recall_on_families_held_out(monkeypatch):
+    for names in ("CONTEXT", "BENIGN"):
+        monkeypatch.setattr(S, names, tuple(x for x in getattr(S, names) if x not in HELD_OUT))
     recall, precision = measured(S.train([], frozenset(WORDS)), planted(1, 480))
     assert recall >= 0.95 and precision >= 0.95, (recall, precision)
+
+
+def test_values_that_are_proposed():
+    """Quoted values with blanks, names that end in key, headers with a scheme, names in quotes: each to its exact end."""
+    cases = {
+        'password = "my pass word 77"': "my pass word 77", 'encryption_key = "s3cr3t!value"': "s3cr3t!value", 'private_key="abc123!def"': "abc123!def", "Authorization: Bearer abcdefgh12345": "abcdefgh12345",
+        'curl -H "Authorization: Basic dXNlcjpwYXNz"': "dXNlcjpwYXNz", '{"private_key": "zyx987!wvu"}': "zyx987!wvu", "'passphrase' => 'correct horse 9'": "correct horse 9", "sent with bearer tok.en-12345== today": "tok.en-12345==", 'auth = "Bearer qwerty12345"': "qwerty12345",
+    }
+    for text, value in cases.items():
+        assert [f.value for f in S.findings_in(text)] == [value], text
+    assert S.findings_in('password = "never closed\nnext line"') == [] and S.findings_in("the key word") == [] and S.findings_in(None) == []
+    text = 'key = "' * 300_000
+    assert S.findings_in(text)[0].value == "key = "[:6]
+
+
+def test_a_split_is_the_best_of_all_splits():
+    """A tree of depth one that may try its only feature cuts where a search of all cuts finds the least impurity."""
+    gini = lambda v: len(v) * v.mean() * (1 - v.mean())
+    for seed in range(30):
+        r = np.random.default_rng(seed)
+        x = r.integers(0, 9, (40, 1)).astype(float)
+        y = ((x[:, 0] > r.integers(1, 8)) ^ (r.random(40) < 0.2)).astype(float)
+        pick = np.random.default_rng(seed).integers(0, len(x), len(x))  # the tree's own sample
+        v, t = x[pick, 0], y[pick]
+        cuts = {}
+        for a, b in zip(sorted(set(v)), sorted(set(v))[1:], strict=False):
+            if min((v <= a).sum(), (v > a).sum()) >= 2:
+                cuts[(a + b) / 2] = gini(t[v <= a]) + gini(t[v > a])
+        best = min(cuts.values())
+        feature, threshold, *_ = S.grow_forest(x, y, trees=1, depth=1, least=2, seed=seed).trees[0]
+        if feature[0] < 0:
+            assert best >= gini(t) - 1e-6
+        else:
+            assert abs(cuts[threshold[0]] - best) < 1e-9

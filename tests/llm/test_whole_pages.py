@@ -47,3 +47,24 @@ def test_all_ancestors_count_at_any_depth():
     assert [b.rows for b in got] == [H.Block(b.path, "x").rows for b in got]
     many = H.blocks_of("<div class=c>t" * 50_000)
     assert len(many) == 50_000 and len(H.vectors(many[-3:])[0][0]) < 10
+
+
+def test_only_the_attributes_themselves_name_an_element():
+    page = '<div data-id="nav" data-role=banner title="class=menu id=\'foot\'" CLASS="a  b-c" class="second" id=x><p role=\'note\'>text</p></div>'
+    assert [b.path for b in H.blocks_of(page)] == [("div", "class:a", "class:b", "class:c", "id:x", "p", "role:note")]
+
+
+def test_templates_nest_and_scripts_do_not():
+    assert [b.text for b in H.blocks_of("<p>a</p><template><template>x</template>y</template><p>b</p>")] == ["a", "b"]
+    assert [b.text for b in H.blocks_of("<script>'<script>'</script>c<style><style></style>d")] == ["cd"]
+    assert [b.text for b in H.blocks_of("<p>a</p><template><template>x</template><p>b</p>")] == ["a"]
+
+
+def test_end_tags_without_an_end_are_read_once():
+    import time
+
+    start = time.time()
+    H.blocks_of("<p>a</p><script>" + "</script " * 200_000)
+    H.blocks_of("<template>" * 200_000)
+    H.blocks_of("<p " + "a  " * 300_000 + "class=x>t")
+    assert time.time() - start < 10
