@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, ascii_lower, discard, each_batch, fresh, narrow_to, stash
 
 FINGERPRINT_BITS = 48
-CHUNK_ROWS = 100_000
+#: Rows of one message: the least and the most (about 300 MB of a task), between them so many that each of the owners gets
+#: A_MESSAGE fingerprints. The messages are then at most a row for A_MESSAGE rows of input, up to 60e9 rows; only beyond
+#: do they grow with the square.
+CHUNK_ROWS, MOST_CHUNK_ROWS, A_MESSAGE = 100_000, 2_000_000, 64
 #: Fingerprints of one owner: what its task holds at once, about 50 MB.
 OWNER_ROWS = 2_000_000
 LEDGER = "part string, owner int, n int, rice int, quotients binary, remainders binary, twice binary, ranks binary, ids binary, no_id binary, digests binary"
@@ -74,8 +77,12 @@ def _flush(part: str, owners: int, universe: int, ids: list, digests: list[bytes
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in LEDGER.split(", ")])
 
 
+def chunk_rows(owners: int) -> int:
+    return min(MOST_CHUNK_ROWS, max(CHUNK_ROWS, A_MESSAGE * owners))
+
+
 def _send(owners: int):
-    universe = 1 << FINGERPRINT_BITS
+    universe, chunk = 1 << FINGERPRINT_BITS, chunk_rows(owners)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -85,7 +92,7 @@ def _send(owners: int):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(key)
                 digests.append(hashlib.sha256((text.as_py() or "").encode().lower()).digest())
-                if len(ids) >= CHUNK_ROWS:
+                if len(ids) >= chunk:
                     yield _flush(f"{part}-{seq}", owners, universe, ids, digests)
                     seq, ids, digests = seq + 1, [], []
         if ids:
@@ -126,9 +133,12 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     session's number of shuffle partitions.
     """
     spark = docs.sparkSession
-    owners = owners or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNER_ROWS))
+    rows, least = docs.count(), max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    owners = owners or max(least, -(-rows // OWNER_ROWS))
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    ledger = stash(each_batch(docs, ["doc_id", "text"], LEDGER, _send(owners)), "fingerprints")
+    # a table in very many small partitions would send messages of a few fingerprints each
+    senders = docs.coalesce(max(least, -(-rows // chunk_rows(owners))))
+    ledger = stash(each_batch(senders, ["doc_id", "text"], LEDGER, _send(owners)), "fingerprints")
     bitmaps = ledger.select("part", "owner", "n", "rice", "quotients", "remainders").groupBy("owner").applyInArrow(_answer, "part string, owner int, bitmap binary")
     rows = stash(ledger.select("part", "owner", "n", "twice", "ranks", "ids", "no_id", "digests").join(bitmaps, ["part", "owner"]).mapInArrow(_unpack, "doc_id long, text_sha256 string, suspect boolean"), "suspects")
     discard(ledger)

@@ -119,14 +119,36 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
     return out, log_z, moved * move
 
 
-def train(texts: list[str], langs: list[str], steps: int = TRAIN_STEPS, seed: int = 11) -> Crf:
-    """A model from labelled whole texts and code-switched sequences made of runs of words of several of them."""
+#: Cells (words times languages) that a training step holds at once, about 32 MB in each of a few arrays.
+TRAIN_CELLS = 4_000_000
+
+
+def _within(docs: list[tuple[list[bytes], int]], k: int, most_words: int, rng: np.random.Generator) -> list[tuple[list[bytes], int]]:
+    """The texts, if they have at most ``most_words`` words; else of each language whole texts by chance, up to its share."""
+    if sum(len(w) for w, _ in docs) <= most_words:
+        return docs
+    held, out = [0] * k, []
+    for i in rng.permutation(len(docs)):
+        words, y = docs[i]
+        if not held[y] or held[y] + len(words) <= most_words // k:
+            held[y] += len(words)
+            out.append((int(i), docs[i]))
+    return [d for _, d in sorted(out, key=lambda x: x[0])]
+
+
+def train(texts: list[str], langs: list[str], steps: int = TRAIN_STEPS, seed: int = 11, most_words: int = 500_000) -> Crf:
+    """A model from labelled whole texts and code-switched sequences made of runs of words of several of them.
+
+    ``most_words`` bounds the labelled words (a documented bound; half as many texts again are code-switched): with it and
+    TRAIN_CELLS, 100 languages are trained in less than 2 GB.
+    """
     languages = sorted(set(langs))
     k, rng = len(languages), np.random.default_rng(seed)
     docs = [(w, languages.index(y)) for t, y in zip(texts, langs, strict=True) if (w := words_of(t))]
     model = Crf(languages, np.zeros((1 << BITS, max(k, 1))), np.zeros((k, k)), np.zeros(k))
     if not docs or k < 2:
         return model
+    docs = _within(docs, k, most_words, np.random.default_rng(seed))
     sequences: list[tuple[list[bytes], list[int]]] = []
     for words, y in docs:
         sequences += [(words[i : i + CHUNK], [y] * len(words[i : i + CHUNK])) for i in range(0, len(words), CHUNK)]
@@ -144,28 +166,40 @@ def train(texts: list[str], langs: list[str], steps: int = TRAIN_STEPS, seed: in
     of = np.repeat(np.arange(len(sizes)), sizes)
     used, flat = np.unique(flat, return_inverse=True)
     root = np.sqrt(sizes)[:, None]
-    lengths = np.array([len(r) for r in rows])
-    padded, gold = np.zeros((len(rows), lengths[0]), np.int64), np.full((len(rows), lengths[0]), -1)
-    for i, (r, (_, y)) in enumerate(zip(rows, sequences, strict=True)):
-        padded[i, : len(r)], gold[i, : len(r)] = r, y
-    real = gold >= 0
-    total = real.sum()
-    hot = np.eye(k)[np.where(real, gold, 0)] * real[:, :, None]
-    both = real[:, 1:]
-    counted = np.einsum("bti,btj->ij", hot[:, :-1] * both[:, :, None], hot[:, 1:])
+    # blocks of sequences of like length, so that what a step holds for them is bounded whatever the languages
+    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    counted, at = np.zeros((k, k)), 0
+    while at < len(rows):
+        size = max(1, TRAIN_CELLS // (k * len(rows[at])))
+        lengths = np.array([len(r) for r in rows[at : at + size]])
+        padded, gold = np.zeros((len(lengths), lengths[0]), np.int64), np.full((len(lengths), lengths[0]), -1)
+        for i, (r, (_, y)) in enumerate(zip(rows[at : at + size], sequences[at : at + size], strict=True)):
+            padded[i, : len(r)], gold[i, : len(r)] = r, y
+        both = gold[:, 1:] >= 0
+        np.add.at(counted, (gold[:, :-1][both], gold[:, 1:][both]), 1)
+        blocks.append((padded, gold, gold >= 0, lengths))
+        at += size
+    total = sum(int(real.sum()) for _, _, real, _ in blocks)
+    # words whose features are looked up at once
+    ends = np.cumsum(sizes)
+    cuts = np.unique([0, *np.searchsorted(ends, np.arange(0, ends[-1], max(1, TRAIN_CELLS // k)), side="left"), len(sizes)])
     w, move, start = np.zeros((len(used), k)), np.zeros((k, k)), np.zeros(k)
     sums = [np.full_like(x, 1e-8) for x in (w, move, start)]
-    starts = np.cumsum(sizes) - sizes
+    starts = ends - sizes
     for _ in range(steps):  # AdaGrad on the mean log likelihood, with a little L2
-        e = np.add.reduceat(w[flat], starts, axis=0) / root
-        p, _, moved = marginals(e[padded], lengths, move, start, pairs=True)
-        d = np.zeros((len(sizes), k))
-        diff = (hot - p)[real]
-        for c in range(k):
-            d[:, c] = np.bincount(padded[real], diff[:, c], len(sizes))
+        e = np.concatenate([np.add.reduceat(w[flat[starts[i] : ends[j - 1]]], starts[i:j] - starts[i], axis=0) for i, j in zip(cuts, cuts[1:], strict=False)]) / root
+        d, moved, first = np.zeros((len(sizes), k)), np.zeros((k, k)), np.zeros(k)
+        for padded, gold, real, lengths in blocks:
+            p, _, m = marginals(e[padded], lengths, move, start, pairs=True)
+            diff = -p[real]
+            diff[np.arange(len(diff)), gold[real]] += 1
+            for c in range(k):
+                d[:, c] += np.bincount(padded[real], diff[:, c], len(sizes))
+            moved += m
+            first += np.bincount(gold[:, 0], minlength=k) - p[:, 0].sum(0)
         d /= root
         g = np.stack([np.bincount(flat, d[of, c], len(used)) for c in range(k)], 1) / total - 1e-7 * w
-        steps_of = ((w, g, 0.5), (move, (counted - moved) / total - 1e-6 * move, 0.2), (start, (hot[:, 0] - p[:, 0]).sum(0) / total - 1e-6 * start, 0.2))
+        steps_of = ((w, g, 0.5), (move, (counted - moved) / total - 1e-6 * move, 0.2), (start, first / total - 1e-6 * start, 0.2))
         for (x, gx, rate), s in zip(steps_of, sums, strict=True):
             s += gx * gx
             x += rate * gx / np.sqrt(s)
