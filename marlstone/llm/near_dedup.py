@@ -8,7 +8,8 @@ decide about the rest.
 Documents with equal sets form a class and go on as one representative. A bucket of a band isn't expanded into pairs:
 its members are first compared with one leader, then, in rounds, those that are still apart with members of the largest component,
 and at the end those that are apart even then meet by the rare shingles they share, so that a group of near copies costs
-about as many comparisons as it has members, while no link between components is missed.
+about as many comparisons as it has members, while no link between components is missed. Documents that share one pool of
+sentences below the threshold have no rare shingle: nearly all of their pairs meet, and only the comparisons reject them.
 """
 
 from __future__ import annotations
