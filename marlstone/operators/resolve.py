@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import expr as X
 from marlstone.operators.latest import latest_per_key
+from marlstone.operators.lineage import cut
 from marlstone.operators.skew import hot_keys, salted_join
 from marlstone.schemas import SOURCES
 
@@ -72,17 +73,42 @@ def request_failures(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     return requests.join(n, "request_id", "left").select("request_id", found.alias("f")).where("f is not null").select("request_id", "f.*")
 
 
-def _resolved(candidates: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates trimmed, token matches, all other matches): input_index, id, p (strength), score."""
+def _fuzzy_by_name(candidates: DataFrame, companies: DataFrame, shown: int) -> DataFrame:
+    """input_index, match_count, top: how many companies fuzzy_matches() finds for each candidate, and the ``shown`` most alike
+    as (score, neg, the negative id), best first.
+
+    Equal names are compared once: pairs are those of distinct names, and a name stands for all its companies by their
+    number and smallest ids.
+    """
+    asked = candidates.groupBy("name").agg(F.min("input_index").alias("input_index"))
+    known = cut(companies.where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")))
+    met = fuzzy_matches(asked, known).join(known.select("id", "n"), "id")
+    here = F.struct("score", (-F.col("id")).alias("neg"))
+    found = met.groupBy("input_index").agg(F.sum("n").alias("match_count"), F.array(F.max(here)).alias("top"))
+    if shown > 1:
+        # of names in the order of score and smallest id, the first ``shown`` hold the ``shown`` most alike companies; a rank that
+        # is filtered at once is cut in each task before the shuffle, so no candidate's and no name's rows meet in one
+        first = lambda df, key, *order: df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_r") <= shown).drop("_r")
+        least = first(companies.select("id", "name"), "name", "id").groupBy("name").agg(F.collect_list("id").alias("ids"))
+        front = first(met, "input_index", F.col("score").desc(), "id").join(known.select("id", "name"), "id").join(least, "name")
+        front = front.select("input_index", F.explode("ids").alias("id"), "score").groupBy("input_index").agg(F.slice(F.sort_array(F.collect_list(here), False), 1, shown).alias("top"))
+        found = found.drop("top").join(front, "input_index")
+    found = found.join(asked, "input_index").select("name", "match_count", "top")
+    hot = hot_keys(candidates.groupBy("name").agg(F.count(F.lit(1)).alias("_n")), "name", "_n", candidates.count())
+    return salted_join(candidates.select("input_index", "name"), found, "name", hot, ["input_index"]).select("input_index", "match_count", "top")
+
+
+def _resolved(candidates: DataFrame, companies: DataFrame, shown: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(candidates trimmed, token matches; by name and host: input_index, id, p (strength); by trigrams: input_index, match_count, top)."""
+    companies = cut(companies.select("id", "name", "ats", "board_token", "careers_page_url", "has_recent_snapshot"))  # each kind of match reads it
     cand = candidates.withColumn("name", F.trim(F.coalesce("name", F.lit("")))).withColumn("careers_url", F.when(X.url_valid(F.trim("careers_url")), F.trim("careers_url")))
     valid = cand.where("name <> ''")
     token = valid.where("trim(ats) <> '' and trim(board_token) <> ''").select("input_index", F.trim("ats").alias("ats"), F.trim("board_token").alias("board_token"))
     by_token = token.join(companies.select("id", "ats", "board_token", "has_recent_snapshot"), ["ats", "board_token"]).groupBy("input_index").agg(F.min(F.struct("id", "has_recent_snapshot")).alias("t"))
     rest = valid.join(by_token.select("input_index"), "input_index", "left_anti")
     exact = name_matches(rest, companies).select("input_index", "id", F.lit(2).alias("p")).unionByName(host_matches(rest, companies).select("input_index", "id", F.lit(3).alias("p")))
-    fuzzy = fuzzy_matches(rest.join(exact.select("input_index").distinct(), "input_index", "left_anti"), companies)
-    every = exact.groupBy("input_index", "id").agg(F.max("p").alias("p")).withColumn("score", F.lit(1.0)).unionByName(fuzzy.select("input_index", "id", F.lit(1).alias("p"), "score"))
-    return cand, by_token, every
+    fuzzy = _fuzzy_by_name(rest.join(exact.select("input_index").distinct(), "input_index", "left_anti"), companies, shown)
+    return cand, by_token, exact.groupBy("input_index", "id").agg(F.max("p").alias("p")), fuzzy
 
 
 def matches(candidates: DataFrame, companies: DataFrame, shown: int = FUZZY_SHOWN) -> DataFrame:
@@ -91,14 +117,11 @@ def matches(candidates: DataFrame, companies: DataFrame, shown: int = FUZZY_SHOW
     A token match is the only one. Of matches by trigrams, which there are only where nothing else matches, the ``shown``
     most alike are given (ties to the smaller id); match_count counts those that aren't, too.
     """
-    _, by_token, every = _resolved(candidates, companies)
-    exact = every.where("p > 1").select("input_index", "id", "p", "score")
-    counts = every.groupBy("input_index").agg(F.count(F.lit(1)).alias("match_count"))
-    # a rank that is filtered at once is cut in each task before the shuffle, so no candidate's matches meet in one
-    place = W.partitionBy("input_index").orderBy(F.col("score").desc(), "id")
-    fuzzy = every.where("p = 1").withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= shown).drop("_r")
-    kind = F.when(F.col("p") == 3, "domain").when(F.col("p") == 2, "name_only").otherwise("fuzzy_name")
-    out = exact.unionByName(fuzzy).join(counts, "input_index").select("input_index", "id", kind.alias("match_kind"), "score", "match_count")
+    _, by_token, exact, fuzzy = _resolved(candidates, companies, shown)
+    counts = exact.groupBy("input_index").agg(F.count(F.lit(1)).alias("match_count"))
+    out = exact.join(counts, "input_index").select("input_index", "id", F.when(F.col("p") == 3, "domain").otherwise("name_only").alias("match_kind"), F.lit(1.0).alias("score"), "match_count")
+    alike = fuzzy.select("input_index", "match_count", F.explode("top").alias("m"))
+    out = out.unionByName(alike.select("input_index", (-F.col("m.neg")).alias("id"), F.lit("fuzzy_name").alias("match_kind"), "m.score", "match_count"))
     return out.unionByName(by_token.select("input_index", F.col("t.id").alias("id"), F.lit("token").alias("match_kind"), F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("match_count")))
 
 
@@ -109,8 +132,10 @@ def verdicts(candidates: DataFrame, companies: DataFrame) -> DataFrame:
     host or name, or, only where there is none, by trigrams, is stale; nothing at all is new; a blank name is invalid.
     Of several matches the strongest kind leads, then the higher score, then the smaller id.
     """
-    cand, by_token, every = _resolved(candidates, companies)
-    best = every.groupBy("input_index").agg(F.count(F.lit(1)).alias("match_count"), F.max(F.struct("p", "score", (-F.col("id")).alias("neg"))).alias("b"))
+    cand, by_token, exact, fuzzy = _resolved(candidates, companies)
+    best = exact.groupBy("input_index").agg(F.count(F.lit(1)).alias("match_count"), F.max(F.struct("p", F.lit(1.0).alias("score"), (-F.col("id")).alias("neg"))).alias("b"))
+    first = F.element_at("top", 1)
+    best = best.unionByName(fuzzy.select("input_index", "match_count", F.struct(F.lit(1).alias("p"), first["score"].alias("score"), first["neg"].alias("neg")).alias("b")))
     out = cand.select("input_index", "name").join(by_token, "input_index", "left").join(best, "input_index", "left")
     kind = F.when(F.col("t").isNotNull(), "token").when(F.col("b.p") == 3, "domain").when(F.col("b.p") == 2, "name_only").when(F.col("b.p") == 1, "fuzzy_name").otherwise("none")
     verdict = F.when(F.col("name") == "", "invalid").when(F.col("t.has_recent_snapshot"), "duplicate").when(F.col("t").isNotNull() | F.col("b").isNotNull(), "stale").otherwise("new")
