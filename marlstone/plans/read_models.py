@@ -27,7 +27,8 @@ def open_postings(runs: DataFrame, snapshots: DataFrame, postings: DataFrame) ->
     A snapshot without a run never qualifies; the run's company and the posting's must be the same.
     """
     latest = latest_successful_runs(runs).select("fetch_run_id", "company_id")
-    seen = snapshots.where("fetch_run_id is not null").select("fetch_run_id", "job_posting_id")
+    # lines of other runs are gone before the snapshots are dealt for a join
+    seen = snapshots.where("fetch_run_id is not null").join(latest.select("fetch_run_id"), "fetch_run_id", "left_semi").select("fetch_run_id", "job_posting_id")
     return seen.join(latest, "fetch_run_id").join(postings.select(F.col("id").alias("job_posting_id"), "company_id"), ["job_posting_id", "company_id"]).select("job_posting_id", "fetch_run_id").distinct()
 
 
@@ -72,9 +73,9 @@ SNAPSHOT_SHOWN = ("title", "location_text", "workplace_type", "raw_data")
 def open_display(runs: DataFrame, snapshots: DataFrame, postings: DataFrame, companies: DataFrame, classifications: DataFrame, snapshot_order: Sequence[str] = ("fetched_at", "id"), classification_key: str = "job_posting_id") -> DataFrame:
     """One row for each open posting: its content from the run that shows it open, its workplace and its current classification."""
     opened = open_postings(runs, snapshots, postings)
-    shown = snapshots.join(opened, ["job_posting_id", "fetch_run_id"], "left_semi")
-    shown = latest_per_key(shown, ["job_posting_id"], list(snapshot_order)).select("job_posting_id", "fetch_run_id", "fetched_at", *SNAPSHOT_SHOWN)
     started = latest_successful_runs(runs).select("fetch_run_id", F.col("started_at").alias("run_started_at"))
+    shown = snapshots.join(started.select("fetch_run_id"), "fetch_run_id", "left_semi").join(opened, ["job_posting_id", "fetch_run_id"], "left_semi")
+    shown = latest_per_key(shown, ["job_posting_id"], list(snapshot_order)).select("job_posting_id", "fetch_run_id", "fetched_at", *SNAPSHOT_SHOWN)
     out = shown.join(started, "fetch_run_id").join(postings.select(F.col("id").alias("job_posting_id"), *{"company_id", "first_seen_at", *({classification_key} - {"job_posting_id"})}), "job_posting_id")
     out = out.join(companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name")), "company_id")
     current = current_classifications(classifications, classification_key).select(classification_key, F.col("id").alias("classification_id"), "seniority", "classified_at")
