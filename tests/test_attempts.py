@@ -92,3 +92,13 @@ def test_odd_answers_and_limits(spark):
 def test_nothing(spark):
     assert folded(spark, [], [], [])[0].collect() == []
     assert [tuple(r)[:3] for r in folded(spark, [3], [], [])[0].collect()] == [(3, "json_failed", 0)]
+
+
+def test_calls_are_read_once(spark, monkeypatch):
+    """A body is parsed once, and what calls gave is kept once: as the fold."""
+    kept = []
+    monkeypatch.setattr(attempts, "cut", lambda df: kept.append(df) or df)
+    found, _ = folded(spark, [1, 2], [(1, 0, None, False, json.dumps({"results": [answer(1)]}))], [(1, 1), (1, 2)])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(kept) == 1 and plan.count("from_json(") == 1
+    assert {r.posting_id: r.outcome for r in found.collect()} == {1: "enriched", 2: "json_failed"}
