@@ -75,22 +75,31 @@ def save_enrichments(payloads: DataFrame, postings: DataFrame, taxonomy: DataFra
     """
     blank = lambda c, default: F.when(_trimmed(c) == "", default).otherwise(_trimmed(c))
     p = payloads.withColumn("model", blank("model", MODEL)).withColumn("prompt_version", blank("prompt_version", PROMPT_VERSION))
-    odd = _failures(p, "payload_id", [("provenance.model", "invalid_provenance", ~F.col("model").rlike(PROVENANCE)), ("provenance.prompt_version", "invalid_provenance", ~F.col("prompt_version").rlike(PROVENANCE))])
-    lost = p.select("payload_id", "posting_id").join(postings.select(F.col("id").alias("posting_id")), "posting_id", "left_anti").select("payload_id", F.lit("posting_id").alias("path"), F.lit("posting_not_found").alias("code"))
-    failures = odd.unionByName(lost) if judged else rule_failures(p, taxonomy, dimensions).unionByName(odd).unionByName(lost)
-    sound = p.join(failures.select("payload_id").distinct(), "payload_id", "left_anti")
+    odd = [("provenance.model", "invalid_provenance", ~F.col("model").rlike(PROVENANCE)), ("provenance.prompt_version", "invalid_provenance", ~F.col("prompt_version").rlike(PROVENANCE))]
+    exists = postings.select(F.col("id").alias("posting_id"))
+    lost = p.select("payload_id", "posting_id").join(exists, "posting_id", "left_anti").select("payload_id", F.lit("posting_id").alias("path"), F.lit("posting_not_found").alias("code"))
+    broken = None if judged else rule_failures(p, taxonomy, dimensions)
+    failures = _failures(p, "payload_id", odd).unionByName(lost)
+    # what is sound keeps its place: a semi-join by posting, none by payload unless rules are still to be held
+    sound = p.where(~F.coalesce(odd[0][2], F.lit(False)) & ~F.coalesce(odd[1][2], F.lit(False))).join(exists, "posting_id", "left_semi")
+    if broken is not None:
+        failures, sound = broken.unionByName(failures), sound.join(broken.select("payload_id").distinct(), "payload_id", "left_anti")
     notes = X.blank_to_null(_trimmed("notes"))
     notes = notes if trim_notes else F.when(notes.isNotNull(), F.col("notes"))
-    rows = ledger.numbered(sound.select("payload_id", "posting_id", "model", "prompt_version", F.trim("seniority").alias("seniority"), notes.alias("notes"), at.alias("classified_at")), ["payload_id"], ledger.greatest_id(classifications))
-    ids = rows.select("payload_id", F.col("id").alias("classification_id"))
+    slugs_of = lambda kind: F.array_distinct(F.transform(kind, lambda t: F.struct(F.lit(kind).alias("kind"), t.slug.alias("slug"))))
+    slugs = F.flatten(F.array_compact(F.array(*(slugs_of(kind) for kind in KINDS))))
+    # a payload's terms go with it when it is numbered, so that links take their id without a join
+    wide = ledger.numbered(sound.select("payload_id", "posting_id", "model", "prompt_version", F.trim("seniority").alias("seniority"), notes.alias("notes"), at.alias("classified_at"), slugs.alias("_slugs")), ["payload_id"], ledger.greatest_id(classifications))
+    rows = wide.drop("_slugs")
+    links = wide.select(F.col("id").alias("classification_id"), F.explode("_slugs").alias("t")).select("classification_id", "t.kind", "t.slug")
     every = None
     for kind in KINDS:
-        part = sound.select("payload_id", F.explode(kind).alias("t")).select("payload_id", F.lit(kind).alias("kind"), F.col("t.slug").alias("slug"), F.coalesce(X.blank_to_null(X.strip(F.col("t.name"))), F.col("t.slug")).alias("name"))
+        part = sound.select(F.explode(kind).alias("t")).select(F.lit(kind).alias("kind"), F.col("t.slug").alias("slug"), F.coalesce(X.blank_to_null(X.strip(F.col("t.name"))), F.col("t.slug")).alias("name"))
         every = part if every is None else every.unionByName(part)
     new = every.groupBy("kind", "slug").agg(F.min("name").alias("name")).join(taxonomy.select("kind", "slug"), ["kind", "slug"], "left_anti")
     roles = sound.select(F.explode("roles").alias("t")).select(F.col("t.slug").alias("slug"), F.explode("t.dimensions").alias("dimension")).distinct()
     own = roles.join(taxonomy.where("kind = 'roles'").select("slug"), "slug", "left_anti")
-    return Saved(failures, rows, new, every.join(ids, "payload_id").select("classification_id", "kind", "slug").distinct(), own)
+    return Saved(failures, rows, new, links, own)
 
 
 def write_back(outcomes: DataFrame, payloads: DataFrame, provenance: tuple[str, str], postings: DataFrame, taxonomy: DataFrame, dimensions: DataFrame, classifications: DataFrame, at: Column) -> tuple[DataFrame, Saved]:
@@ -98,7 +107,8 @@ def write_back(outcomes: DataFrame, payloads: DataFrame, provenance: tuple[str,
     operators.attempts.outcomes and its payloads. ``provenance``: model and prompt version of the run. Notes are kept as they are."""
     saved = save_enrichments(payloads.withColumn("model", F.lit(provenance[0])).withColumn("prompt_version", F.lit(provenance[1])), postings, taxonomy, dimensions, classifications, at, trim_notes=False, judged=True)
     refused = saved.failures.groupBy("payload_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(": ", "path", "code"))), "; ").alias("_why"))  # bounded by a payload's terms
-    out = outcomes.join(refused, "payload_id", "left")
+    # outcomes without a payload stay where they are: joined by a null they would all land in one task
+    out = outcomes.where("payload_id is not null").join(refused, "payload_id", "left").unionByName(outcomes.where("payload_id is null").withColumn("_why", F.lit(None).cast("string")))
     lost = F.col("_why").isNotNull()
     return out.select("posting_id", F.when(lost, "db_failed").otherwise(F.col("outcome")).alias("outcome"), "attempts", F.coalesce("_why", "last_reason").alias("last_reason"), "summary", "payload_id"), saved
 

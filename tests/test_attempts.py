@@ -102,3 +102,29 @@ def test_calls_are_read_once(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert len(kept) == 1 and plan.count("from_json(") == 1
     assert {r.posting_id: r.outcome for r in found.collect()} == {1: "enriched", 2: "json_failed"}
+
+
+def test_outcomes_without_payload_are_no_hot_task(spark):
+    n = 400
+    found = spark.range(n).select(F.col("id").alias("posting_id"), F.lit("json_failed").alias("outcome"), F.lit(0).cast("long").alias("attempts"), F.lit("cancelled").alias("last_reason"), F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("payload_id")).repartition(4)
+    terms = "array<struct<slug: string, name: string>>"
+    sound = spark.createDataFrame([], f"posting_id long, payload_id string, seniority string, notes string, roles array<struct<slug: string, name: string, dimensions: array<string>, notes: string>>, specializations {terms}, skills {terms}")
+    after, _ = actions.write_back(found, sound, ("m", "v"), spark.range(n), spark.createDataFrame([], "kind string, slug string"), spark.createDataFrame([], "slug string"), spark.range(1), F.lit("2024-01-01").cast("timestamp"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in after.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == n and max(sizes) <= n / 2
+
+
+def test_links_take_the_ids_of_their_payloads(spark):
+    body = json.dumps({"results": [answer(p, skills=[{"slug": f"s{p}", "name": ""}, {"slug": "java", "name": "J"}], specializations=[{"slug": f"x{p}", "name": ""}]) for p in (1, 2, 3)]})
+    found, sound = folded(spark, [1, 2, 3], [(1, 0, None, False, body)], [(1, p) for p in (1, 2, 3)])
+    _, saved = actions.write_back(found, sound, ("m", "v"), spark.createDataFrame([(1,), (3,)], "id long"), spark.createDataFrame([("skills", "java")], "kind string, slug string"), spark.createDataFrame([], "slug string"), spark.createDataFrame([(40,)], "id long"), F.lit("2024-01-01").cast("timestamp"))
+    of = {r.id: r.posting_id for r in saved.classifications.collect()}
+    assert sorted(of) == [41, 42] and sorted(of.values()) == [1, 3]
+    links = [(of[r.classification_id], r.kind, r.slug) for r in saved.links.collect()]
+    assert sorted(links) == sorted((p, k, s) for p in (1, 3) for k, s in (("skills", f"s{p}"), ("skills", "java"), ("specializations", f"x{p}")))
+    assert sorted((r.kind, r.slug, r.name) for r in saved.terms.collect()) == sorted((k, f"{x}{p}", f"{x}{p}") for p in (1, 3) for k, x in (("skills", "s"), ("specializations", "x")))
+    assert "payload_id" not in "".join(line for line in saved.links._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
