@@ -127,17 +127,23 @@ def latest_descriptions(snapshots: DataFrame, order: Sequence[str] = ("fetched_a
     return latest_per_key(snapshots, ["job_posting_id"], list(order)).where("description_text is not null").select("job_posting_id", "description_text")
 
 
-def selection(postings: DataFrame, snapshots: DataFrame, companies: DataFrame, classifications: DataFrame | None, name_like: str = "", newest_first: bool = False, n: int | None = 10, order: Sequence[str] = ("fetched_at", "id")) -> DataFrame:
+def names(title: Column, description: Column, name_like: str) -> Column:
+    """Whether a title or description has the text anywhere, with % and _ as wild cards."""
+    pattern = F.lit(f"%{name_like}%")
+    return F.coalesce(F.ilike(title, pattern), F.lit(False)) | F.ilike(description, pattern)
+
+
+def selection(postings: DataFrame, snapshots: DataFrame, companies: DataFrame, classifications: DataFrame | None, name_like: str = "", newest_first: bool = False, n: int | None = 10, order: Sequence[str] = ("fetched_at", "id"), classification_key: str = "job_posting_id") -> DataFrame:
     """Postings to classify with their latest title and description: unclassified ones, or all if ``classifications`` is
-    None (forced). name_like is matched anywhere in title or description with % and _ as wild cards; empty is no filter."""
+    None (forced). name_like is matched anywhere in title or description; empty is no filter. ``classification_key``: what
+    classifications and postings share, if that isn't the posting's id."""
     latest = latest_per_key(snapshots, ["job_posting_id"], list(order)).select("job_posting_id", "title", "description_text")
-    out = postings.select(F.col("id").alias("job_posting_id"), "company_id", "first_seen_at")
+    out = postings.select(F.col("id").alias("job_posting_id"), "company_id", "first_seen_at", *({classification_key} - {"job_posting_id"}))
     if classifications is not None:
-        out = out.join(classifications.select("job_posting_id").distinct(), "job_posting_id", "left_anti")
+        out = out.join(classifications.select(classification_key).distinct(), classification_key, "left_anti")
     out = out.join(latest, "job_posting_id").join(companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name")), "company_id").where("description_text is not null")
     if name_like:
-        pattern = F.lit(f"%{name_like}%")
-        out = out.where(F.coalesce(F.ilike(F.col("title"), pattern), F.lit(False)) | F.ilike(F.col("description_text"), pattern))
+        out = out.where(names(F.col("title"), F.col("description_text"), name_like))
     out = out.select("job_posting_id", "company_name", F.coalesce("title", F.lit("")).alias("title"), "description_text", "first_seen_at")
     first = F.col("first_seen_at").desc() if newest_first else F.col("first_seen_at").asc()
     return out if n is None else top(out, n, first, F.col("job_posting_id"))
