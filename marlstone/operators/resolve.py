@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as X
+from marlstone.operators.alike import alike
 from marlstone.operators.latest import latest_per_key
 from marlstone.operators.lineage import cut
 from marlstone.operators.skew import hot_keys, salted_join
@@ -15,6 +16,8 @@ from marlstone.schemas import SOURCES
 THRESHOLD, FUZZY_SHOWN, REVISIT_DAYS = 0.4, 3, 90
 #: What one request may ask: candidates, and days that count as recent.
 MOST_CANDIDATES, RECENT_DAYS, MOST_DAYS = 200, 30, 2**31 - 1
+#: Pairs that a join on rare trigrams may meet one by one; beyond, and beyond one in a thousand of all pairs, names meet in blocks.
+MOST_MET = 1_000_000
 KINDS = {"token": 4, "domain": 3, "name_only": 2, "fuzzy_name": 1}
 
 
@@ -36,6 +39,22 @@ def host_matches(candidates: DataFrame, companies: DataFrame) -> DataFrame:
     return candidates.select("input_index", X.url_host(F.col("careers_url")).alias("_h")).join(c, "_h").select("input_index", "id")
 
 
+def _grams() -> Column:
+    return X.trigram_codes(X.trigrams(F.col("name")))
+
+
+def _gram_counts(known: DataFrame) -> DataFrame:
+    return known.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fronts(sets: DataFrame, key: str, name: str, counts: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
+    """(key, trigrams as ``name``, rarest first, front_name, at_name, g): a row for each trigram g of the front."""
+    ranked = salted_join(sets.select(key, F.explode("grams").alias("g")), counts, "g", hot, [key], "left")
+    ranked = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("o")).select(key, F.col("o.g").alias(name))
+    keep = F.size(name) - F.ceil(F.size(name) * threshold - 1e-9).cast("int") + 1
+    return ranked.withColumn(f"front_{name}", F.slice(name, 1, keep)).select("*", F.posexplode(f"front_{name}").alias(f"at_{name}", "g"))
+
+
 def fuzzy_matches(candidates: DataFrame, companies: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """input_index, id, score of names whose trigram similarity reaches the threshold.
 
@@ -43,15 +62,10 @@ def fuzzy_matches(candidates: DataFrame, companies: DataFrame, threshold: float
     ``n - ceil(threshold * n)`` of the candidate's, so some trigram among its ``n - ceil(threshold * n) + 1`` rarest is
     common to both (and, with one order for all, among the company's rarest too). Only those meet in an equi-join.
     """
-    sides = [df.select(key, X.trigram_codes(X.trigrams(F.col("name"))).alias("grams")).where(F.size("grams") > 0) for df, key in ((candidates, "input_index"), (companies, "id"))]
-    counts = sides[1].select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    sides = [df.select(key, _grams().alias("grams")).where(F.size("grams") > 0) for df, key in ((candidates, "input_index"), (companies, "id"))]
+    counts = _gram_counts(sides[1])
     hot = hot_keys(counts, "g", "n", counts.agg(F.sum("n")).first()[0] or 0)
-    prefixed = []
-    for df, key, name in zip(sides, ("input_index", "id"), "ab", strict=True):
-        ranked = salted_join(df.select(key, F.explode("grams").alias("g")), counts, "g", hot, [key], "left")
-        ranked = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("o")).select(key, F.col("o.g").alias(name))
-        keep = F.size(name) - F.ceil(F.size(name) * threshold - 1e-9).cast("int") + 1
-        prefixed.append(ranked.withColumn(f"front_{name}", F.slice(name, 1, keep)).select("*", F.posexplode(f"front_{name}").alias(f"at_{name}", "g")))
+    prefixed = [_fronts(df, key, name, counts, hot, threshold) for df, key, name in zip(sides, ("input_index", "id"), "ab", strict=True)]
     n, m = F.size("a"), F.size("b")
     # what is common from here on must reach what the threshold asks of the union, if this is the first that they share
     room = F.least(n - F.col("at_a"), m - F.col("at_b")) * (1 + threshold) >= threshold * (n + m) - 1e-9
@@ -73,25 +87,49 @@ def request_failures(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     return requests.join(n, "request_id", "left").select("request_id", found.alias("f")).where("f is not null").select("request_id", "f.*")
 
 
+def _many_meet(asked: DataFrame, known: DataFrame, threshold: float) -> bool:
+    """Whether fuzzy_matches() would join more pairs than it should: those at trigrams of the asked fronts, at most."""
+    counts = cut(_gram_counts(known))
+    hot = hot_keys(counts, "g", "n", counts.agg(F.sum("n")).first()[0] or 0)
+    met = _fronts(asked, "input_index", "a", counts, hot, threshold).join(counts, "g").agg(F.sum("n")).first()[0] or 0
+    return met > MOST_MET and met > asked.count() * known.count() // 1_000
+
+
+def _alike_names(asked: DataFrame, known: DataFrame, shown: int) -> DataFrame:
+    """input_index, match_count, top: the sum of n over the known names (id, name, n, grams) that are alike, and the ``shown`` most alike of them."""
+    sets = [df.where(F.size("grams") > 0) for df in (asked, known)]
+    if _many_meet(*sets, THRESHOLD):
+        return alike(sets[0].select("input_index", "grams"), sets[1].select("id", "n", "grams"), THRESHOLD, shown)
+    met = fuzzy_matches(asked, known).join(known.select("id", "n"), "id")
+    here = F.struct("score", (-F.col("id")).alias("neg"))
+    found = met.groupBy("input_index").agg(F.sum("n").alias("match_count"), F.array(F.max(here)).alias("top"))
+    if shown == 1:
+        return found
+    top = _first(met, shown, "input_index", F.col("score").desc(), "id").groupBy("input_index").agg(F.sort_array(F.collect_list(here), False).alias("top"))
+    return found.drop("top").join(top, "input_index")
+
+
+def _first(df: DataFrame, n: int, key: str, *order: Column | str) -> DataFrame:
+    """The first n rows of each key: a rank that is filtered at once is cut in each task before the shuffle, so no key's rows meet in one."""
+    return df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
 def _fuzzy_by_name(candidates: DataFrame, companies: DataFrame, shown: int) -> DataFrame:
-    """input_index, match_count, top: how many companies fuzzy_matches() finds for each candidate, and the ``shown`` most alike
+    """input_index, match_count, top: how many companies are alike each candidate by its name, and the ``shown`` most alike
     as (score, neg, the negative id), best first.
 
     Equal names are compared once: pairs are those of distinct names, and a name stands for all its companies by their
     number and smallest ids.
     """
-    asked = candidates.groupBy("name").agg(F.min("input_index").alias("input_index"))
-    known = cut(companies.where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")))
-    met = fuzzy_matches(asked, known).join(known.select("id", "n"), "id")
-    here = F.struct("score", (-F.col("id")).alias("neg"))
-    found = met.groupBy("input_index").agg(F.sum("n").alias("match_count"), F.array(F.max(here)).alias("top"))
+    asked = cut(candidates.groupBy("name").agg(F.min("input_index").alias("input_index")).withColumn("grams", _grams()))
+    known = cut(companies.where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).withColumn("grams", _grams()))
+    found = cut(_alike_names(asked, known, shown))
     if shown > 1:
-        # of names in the order of score and smallest id, the first ``shown`` hold the ``shown`` most alike companies; a rank that
-        # is filtered at once is cut in each task before the shuffle, so no candidate's and no name's rows meet in one
-        first = lambda df, key, *order: df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_r") <= shown).drop("_r")
-        least = first(companies.select("id", "name"), "name", "id").groupBy("name").agg(F.collect_list("id").alias("ids"))
-        front = first(met, "input_index", F.col("score").desc(), "id").join(known.select("id", "name"), "id").join(least, "name")
-        front = front.select("input_index", F.explode("ids").alias("id"), "score").groupBy("input_index").agg(F.slice(F.sort_array(F.collect_list(here), False), 1, shown).alias("top"))
+        # of names in the order of score and smallest id, the first ``shown`` hold the ``shown`` most alike companies
+        front = found.select("input_index", F.explode("top").alias("t")).select("input_index", "t.score", (-F.col("t.neg")).alias("id")).join(known.select("id", "name"), "id").select("input_index", "score", "name")
+        least = companies.select("id", "name").join(front.select("name").distinct(), "name", "left_semi")
+        front = front.join(_first(least, shown, "name", "id").groupBy("name").agg(F.collect_list("id").alias("ids")), "name").select("input_index", "score", F.explode("ids").alias("id"))
+        front = front.groupBy("input_index").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("id")).alias("neg"))), False), 1, shown).alias("top"))
         found = found.drop("top").join(front, "input_index")
     found = found.join(asked, "input_index").select("name", "match_count", "top")
     hot = hot_keys(candidates.groupBy("name").agg(F.count(F.lit(1)).alias("_n")), "name", "_n", candidates.count())
@@ -99,16 +137,17 @@ def _fuzzy_by_name(candidates: DataFrame, companies: DataFrame, shown: int) -> D
 
 
 def _resolved(candidates: DataFrame, companies: DataFrame, shown: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(candidates trimmed, token matches; by name and host: input_index, id, p (strength); by trigrams: input_index, match_count, top)."""
-    companies = cut(companies.select("id", "name", "ats", "board_token", "careers_page_url", "has_recent_snapshot"))  # each kind of match reads it
+    """(candidates trimmed; token matches: input_index, id; by name and host: input_index, id, p (strength); by trigrams: input_index, match_count, top)."""
+    companies = cut(companies.select("id", "name", "ats", "board_token", "careers_page_url"))  # each kind of match reads it
     cand = candidates.withColumn("name", F.trim(F.coalesce("name", F.lit("")))).withColumn("careers_url", F.when(X.url_valid(F.trim("careers_url")), F.trim("careers_url")))
     valid = cand.where("name <> ''")
     token = valid.where("trim(ats) <> '' and trim(board_token) <> ''").select("input_index", F.trim("ats").alias("ats"), F.trim("board_token").alias("board_token"))
-    by_token = token.join(companies.select("id", "ats", "board_token", "has_recent_snapshot"), ["ats", "board_token"]).groupBy("input_index").agg(F.min(F.struct("id", "has_recent_snapshot")).alias("t"))
+    by_token = cut(token.join(companies.select("id", "ats", "board_token"), ["ats", "board_token"]).groupBy("input_index").agg(F.min("id").alias("id")))
     rest = valid.join(by_token.select("input_index"), "input_index", "left_anti")
     exact = name_matches(rest, companies).select("input_index", "id", F.lit(2).alias("p")).unionByName(host_matches(rest, companies).select("input_index", "id", F.lit(3).alias("p")))
-    fuzzy = _fuzzy_by_name(rest.join(exact.select("input_index").distinct(), "input_index", "left_anti"), companies, shown)
-    return cand, by_token, exact.groupBy("input_index", "id").agg(F.max("p").alias("p")), fuzzy
+    exact = exact.groupBy("input_index", "id").agg(F.max("p").alias("p"))
+    left = cut(rest.join(exact.select("input_index").distinct(), "input_index", "left_anti").select("input_index", "name"))
+    return cand, by_token, exact, _fuzzy_by_name(left, companies, shown)
 
 
 def matches(candidates: DataFrame, companies: DataFrame, shown: int = FUZZY_SHOWN) -> DataFrame:
@@ -122,7 +161,7 @@ def matches(candidates: DataFrame, companies: DataFrame, shown: int = FUZZY_SHOW
     out = exact.join(counts, "input_index").select("input_index", "id", F.when(F.col("p") == 3, "domain").otherwise("name_only").alias("match_kind"), F.lit(1.0).alias("score"), "match_count")
     alike = fuzzy.select("input_index", "match_count", F.explode("top").alias("m"))
     out = out.unionByName(alike.select("input_index", (-F.col("m.neg")).alias("id"), F.lit("fuzzy_name").alias("match_kind"), "m.score", "match_count"))
-    return out.unionByName(by_token.select("input_index", F.col("t.id").alias("id"), F.lit("token").alias("match_kind"), F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("match_count")))
+    return out.unionByName(by_token.select("input_index", "id", F.lit("token").alias("match_kind"), F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("match_count")))
 
 
 def verdicts(candidates: DataFrame, companies: DataFrame) -> DataFrame:
@@ -133,6 +172,8 @@ def verdicts(candidates: DataFrame, companies: DataFrame) -> DataFrame:
     Of several matches the strongest kind leads, then the higher score, then the smaller id.
     """
     cand, by_token, exact, fuzzy = _resolved(candidates, companies)
+    # whether a company was fetched lately is asked of those that a token found alone
+    by_token = by_token.join(companies.select("id", "has_recent_snapshot"), "id").groupBy("input_index").agg(F.min(F.struct("id", "has_recent_snapshot")).alias("t"))
     best = exact.groupBy("input_index").agg(F.count(F.lit(1)).alias("match_count"), F.max(F.struct("p", F.lit(1.0).alias("score"), (-F.col("id")).alias("neg"))).alias("b"))
     first = F.element_at("top", 1)
     best = best.unionByName(fuzzy.select("input_index", "match_count", F.struct(F.lit(1).alias("p"), first["score"].alias("score"), first["neg"].alias("neg")).alias("b")))
