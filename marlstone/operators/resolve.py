@@ -23,9 +23,9 @@ KINDS = {"token": 4, "domain": 3, "name_only": 2, "fuzzy_name": 1}
 
 def recent_companies(companies: DataFrame, snapshots: DataFrame, as_of: Column, days: int = RECENT_DAYS) -> DataFrame:
     """companies with has_recent_snapshot: any fetched within the days before as_of, the edge included."""
-    last = snapshots.groupBy("company_id").agg(F.max("fetched_at").alias("_last"))
-    out = companies.join(last, companies["id"] == last["company_id"], "left").drop("company_id")
-    return out.withColumn("has_recent_snapshot", F.coalesce(F.col("_last") >= as_of - F.make_dt_interval(F.lit(days)), F.lit(False))).drop("_last")
+    recent = snapshots.where(F.col("fetched_at") >= as_of - F.make_dt_interval(F.lit(days))).groupBy("company_id").agg(F.lit(True).alias("_recent"))
+    out = companies.join(recent, companies["id"] == recent["company_id"], "left").drop("company_id")
+    return out.withColumn("has_recent_snapshot", F.coalesce("_recent", F.lit(False))).drop("_recent")
 
 
 def name_matches(candidates: DataFrame, companies: DataFrame) -> DataFrame:

@@ -78,3 +78,10 @@ def test_match_lists_never_ask_for_snapshots(spark):
     known = resolve.recent_companies(companies, broken, F.lit("2024-01-01").cast("timestamp"))
     candidates = spark.createDataFrame([(0, "Zed", "lever", "acme", None), (1, "Acme Toolz", None, None, None)], CANDIDATE)
     assert {(r.input_index, r.id, r.match_kind) for r in resolve.matches(candidates, known).collect()} == {(0, 1, "token"), (1, 1, "fuzzy_name"), (1, 2, "fuzzy_name")}
+
+
+def test_recent_companies_at_the_edge(spark):
+    companies = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")
+    seen = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2023-01-01 00:00:00"), (2, "2023-12-31 23:59:59"), (3, None), (None, "2024-02-01 00:00:00")], "company_id long, at string").select("company_id", F.to_timestamp("at").alias("fetched_at"))
+    got = resolve.recent_companies(companies, seen, F.lit("2024-01-31").cast("timestamp"))
+    assert sorted(map(tuple, got.collect())) == [(1, True), (2, False), (3, False), (4, False)] and got.columns == ["id", "has_recent_snapshot"]
