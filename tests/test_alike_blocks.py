@@ -85,3 +85,12 @@ def test_recent_companies_at_the_edge(spark):
     seen = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2023-01-01 00:00:00"), (2, "2023-12-31 23:59:59"), (3, None), (None, "2024-02-01 00:00:00")], "company_id long, at string").select("company_id", F.to_timestamp("at").alias("fetched_at"))
     got = resolve.recent_companies(companies, seen, F.lit("2024-01-31").cast("timestamp"))
     assert sorted(map(tuple, got.collect())) == [(1, True), (2, False), (3, False), (4, False)] and got.columns == ["id", "has_recent_snapshot"]
+
+
+def test_old_line_items_never_meet_orders(spark, sf):
+    from marlstone.plans import catalogue
+
+    _, companies = catalogue._candidates(spark, sf)
+    plan = companies._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Filter" in line and "l_shipdate" in line and ">=" in line for line in plan.splitlines()), plan
+    assert {f.rsplit("/", 1)[-1] for f in companies.inputFiles()} == {"customer.parquet", "orders.parquet", "lineitem.parquet"}
